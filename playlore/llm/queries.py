@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, license_scan, near_dedup, quality
+from . import bpe, exact_dedup, langid, license_scan, near_dedup, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,11 +44,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {"op1_language": op1_language, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op7_near_dedup": op7_near_dedup, "op9_bpe": op9_bpe, "op10_licences": op10_licences}
+QUERIES = {"op1_language": op1_language, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op7_near_dedup": op7_near_dedup, "op9_bpe": op9_bpe, "op10_licences": op10_licences}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages WHERE page_id IS NOT NULL),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM m""",
     "op4_exact_dedup": f"""
         WITH folded AS (SELECT doc_id, {_FOLDED} AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
