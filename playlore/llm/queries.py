@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, license_scan, near_dedup, quality, warc
+from . import ann, bpe, exact_dedup, langid, license_scan, near_dedup, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {"op1_language": op1_language, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op7_near_dedup": op7_near_dedup, "op9_bpe": op9_bpe, "op10_licences": op10_licences}
+QUERIES = {"op1_language": op1_language, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours, "op7_near_dedup": op7_near_dedup, "op9_bpe": op9_bpe, "op10_licences": op10_licences}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
