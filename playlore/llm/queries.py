@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, license_scan, near_dedup, quality, warc
+from . import ann, bpe, exact_dedup, langid, license_scan, near_dedup, packing, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,18 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,7 +56,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {"op1_language": op1_language, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours, "op7_near_dedup": op7_near_dedup, "op9_bpe": op9_bpe, "op10_licences": op10_licences}
+QUERIES = {"op1_language": op1_language, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours, "op6_pii": op6_pii, "op7_near_dedup": op7_near_dedup, "op8_packing": op8_packing, "op9_bpe": op9_bpe, "op10_licences": op10_licences}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
