@@ -15,8 +15,13 @@ Documents with equal sets are one class, and all further work is on classes:
 * pairs whose sizes or minhashes rule the similarity out go; the others are confirmed on
   their full sets, and confirmed links are joined to components;
 * only buckets that still hold classes of several components are looked at again, and there
-  only pairs across components, compared in blocks of bounded size.  First the most alike
-  pairs of each two components are confirmed, then, where these didn't join the two, all.
+  only pairs across components.  A pair belongs to the first half key that its classes share,
+  so it is compared once whatever the number of tables it meets in.  The members of a half
+  key are compared on their full sets in blocks of bounded size, and a block returns links
+  that join components, so fewer than it has members, never the pairs it has compared.
+
+Full sets are made only for classes that share a bucket.  Which these are reaches the scan
+of the texts as a bitmap of bounded size, so the texts themselves are not shuffled.
 """
 
 from __future__ import annotations
@@ -27,8 +32,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import words as W
 from .common import bounded_batches, written
@@ -38,10 +41,10 @@ WORDS = 5
 HALVES, WIDTH = 14, 4
 #: A pair of similarity 0.85 agrees in so few of 56 minhashes about once in a million.
 LEAST_AGREEING = 33
-#: Classes compared with each other in one block.
-BLOCK = 256
-#: Pairs of two components that are confirmed before all others.
-FIRST = 4
+#: Classes and shingles of one side of a block.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Bits of the largest bitmap of ids; a word of 64 bits is a row, so at most 2**20 rows are broadcast.
+BITMAP = 1 << 26
 
 _CLASSES = W.byte_classes(separators=b" \t\n\x0b\x0c\r")
 _rng = np.random.default_rng(5)
@@ -87,14 +90,13 @@ def _class_table(signed: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, rep): the members of each table's buckets, less half keys that occur once."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * WIDTH + 1, WIDTH)) for i in range(HALVES)])
-    halves = written(classes.select("rep", F.posexplode(keys).alias("half", "key")), "near-halves")
+    """(bucket, half, key, rep), the first of the two half keys with it: the members of each table's buckets, less half keys that occur once."""
+    halves = written(classes.select("rep", F.posexplode(_half_keys()).alias("half", "key")), "near-halves")
     shared = written(halves.groupBy("half", "key").agg(F.count("*").alias("c")).filter("c > 1").select("half", "key"), "near-shared")
     left = halves.join(shared, ["half", "key"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("half", "key"))).alias("held"))
     first = left.select("rep", "held", F.posexplode("held").alias("at", "one"))
     second = first.select("rep", "one", F.explode(F.expr("slice(held, at + 2, 64)")).alias("two"))
-    return second.select(F.xxhash64("one.half", "two.half", "one.key", "two.key").alias("bucket"), "rep")
+    return second.select(F.xxhash64("one.half", "two.half", "one.key", "two.key").alias("bucket"), "one.half", "one.key", "rep")
 
 
 def _agreeing() -> Column:
@@ -115,6 +117,24 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["doc_id"], "shingles": [shingle_set(t).tobytes() for t in batch["text"]]})
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
+    """(id, shingles) of the documents whose id is among ``ids(rep)``, and of a few others.
+
+    A bit for each id's hash, in rows of 64, picks the documents where they are read.  When
+    there are so many ids that the bitmap can't tell, it lets all through, which costs time
+    but changes no result.
+    """
+    bits = min(BITMAP, 1 << max(10, (16 * many).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    one = F.lit(1).cast("long")
+    bit = lambda p: F.call_function("shiftleft", one, F.pmod(p, F.lit(64)).cast("int"))
+    marked = ids.select(place("rep").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit(F.col("p"))).alias("mask"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", place("doc_id").alias("p")).withColumn("word", F.floor(F.col("p") / 64))
+    picked = rows.join(F.broadcast(marked), "word").filter(F.col("mask").bitwiseAND(bit(F.col("p"))) != 0)
+    bounded_batches(docs.sparkSession)
+    return picked.select("doc_id", "text").mapInPandas(_sets, "id long, shingles binary")
+
+
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         linked = []
@@ -125,83 +145,87 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[linked, ["a", "b"]]
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of ids whose full shingle sets are similar enough."""
-    pairs = written(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(_sets, "id long, shingles binary"), "near-sets")
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     return pairs.join(b, "b").join(a, "a").mapInPandas(_confirm, "a long, b long")
 
 
-_MEMBER = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("ca", T.LongType()), T.StructField("cb", T.LongType()), T.StructField("agree", T.IntegerType())])
-
-
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of different components between the two sides of a block."""
-    one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    if two.empty or one.empty:
-        one = two = rows
-    left, right = np.stack(one["signature"].to_list()), np.stack(two["signature"].to_list())
-    parts = []
-    for i in range(len(one)):
-        agree = (right == left[i]).sum(axis=1)
-        n, m = one["n"].iat[i], two["n"].to_numpy()
-        good = (agree >= LEAST_AGREEING) & (100 * np.minimum(n, m) >= 85 * np.maximum(n, m)) & (two["component"].to_numpy() != one["component"].iat[i])
-        if good.any():
-            parts.append(pd.DataFrame({"a": one["rep"].iat[i], "b": two["rep"].to_numpy()[good], "ca": one["component"].iat[i], "cb": two["component"].to_numpy()[good], "agree": agree[good].astype(np.int32)}))
-    if not parts:
-        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("a", "b", "ca", "cb", "agree")})
-    made = pd.concat(parts)
-    swap = made["a"] > made["b"]
-    made.loc[swap, ["a", "b", "ca", "cb"]] = made.loc[swap, ["b", "a", "cb", "ca"]].to_numpy()
-    return made.drop_duplicates(["a", "b"])
-
-
-def _open_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Plausible pairs across components in buckets that hold several of them."""
-    member = written(buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "near-members")
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links across components between the two sides of a block, enough to join what they join.
+
+    An index from shingle to members gives each member's number of shingles in common with
+    all others at once.
+    """
+    rows = rows.drop_duplicates(["rep", "side"]).reset_index(drop=True)
+    if rows["side"].nunique() == 1:  # a part with itself
+        sides = [np.arange(len(rows))] * 2
+    else:
+        sides = [np.flatnonzero(rows["side"] == x) for x in (0, 1)]
+    keys = np.stack(rows["keys"].to_list())
+    half = int(rows["half"].iat[0])
+    n, label = rows["n"].to_numpy(), rows["component"].to_numpy().copy()
+    shingles = [np.frombuffer(x, W.U64) for x in rows["shingles"]]
+    right = sides[1]
+    owner = np.repeat(np.arange(len(right)), [len(shingles[i]) for i in right])
+    tokens = np.concatenate([shingles[i] for i in right])
+    order = np.argsort(tokens, kind="stable")
+    owner, tokens = owner[order], tokens[order]
+    found = []
+    for i in sides[0]:
+        same = keys[right] == keys[i]
+        # The pair belongs here if this is the first half key that both share, and not the only one.
+        due = same[:, half] & ~same[:, :half].any(axis=1) & (same.sum(axis=1) > 1) & (label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= 85 * np.maximum(n[right], n[i]))
+        if not due.any():
+            continue
+        low, high = tokens.searchsorted(shingles[i]), tokens.searchsorted(shingles[i], "right")
+        some = high > low
+        held = [owner[a:b] for a, b in zip(low[some], high[some], strict=True)]
+        common = np.bincount(np.concatenate(held), minlength=len(right)) if held else np.zeros(len(right), int)
+        for j in np.flatnonzero(due & (100 * common >= 85 * (n[right] + n[i] - common))):
+            other = right[j]
+            if label[other] != label[i]:
+                found.append((rows["rep"].iat[i], rows["rep"].iat[other]))
+                label[label == label[other]] = label[i]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _half_keys() -> Column:
+    return F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * WIDTH + 1, WIDTH)) for i in range(HALVES)])
+
+
+def _links_across(buckets: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links between components in buckets that hold several of them."""
+    member = written(buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "half", "key", "rep", F.coalesce("component", "rep").alias("component")), "near-members")
     several = written(member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size"), "near-open")
-    held = member.join(several, "bucket")
-    # Buckets of two are pairs already; many tables hold the same ones.
+    held = written(member.join(several, "bucket").select("bucket", "size", "half", "key", "rep", "component"), "near-held")
+    # A bucket of two is one pair.
     two = held.filter("size = 2").groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b").distinct()
-    cut = F.ceil(F.col("size") / BLOCK)
-    more = held.filter("size > 2").withColumns({"cuts": cut, "part": F.pmod(F.xxhash64("rep"), cut)})
-    # Part i meets part j in the block (i, j); the smaller number is side 0.
-    placed = more.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select(
-        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "component"
+    pairs = confirmed(written(_plausible(two, classes), "near-two"), sets)
+    # Larger buckets of one half key are compared together.
+    more = written(held.filter("size > 2").select("half", "key", "rep", "component").distinct().join(classes.select("rep", "n", _half_keys().alias("keys")), "rep"), "near-more")
+    cuts = more.groupBy("half", "key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("cuts"))
+    cut = more.join(written(cuts, "near-cuts"), ["half", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cuts")))
+    # Part i meets part j in the block (i, j), i <= j; the part with the smaller number is side 0.
+    placed = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select(
+        "half", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "component", "n", "keys"
     )
-    # With the same block in several tables, one is enough.
-    blocks = placed.groupBy("bucket", "i", "j").agg(F.sum(F.xxhash64("rep", "side").cast("decimal(38,0)")).alias("held"), F.count("*").alias("many"))
-    once = blocks.groupBy("held", "many").agg(F.min(F.struct("bucket", "i", "j")).alias("at")).select("at.*")
-    placed = placed.join(once, ["bucket", "i", "j"], "left_semi").join(classes.select("rep", "n", "signature"), "rep")
-    wide = placed.groupBy("bucket", "i", "j").applyInPandas(_across, _MEMBER)
-    where = found.select(F.col("node"), F.col("component"))
-    pairs = _plausible(two, classes)
-    for side in ("a", "b"):
-        pairs = pairs.join(where.select(F.col("node").alias(side), F.col("component").alias("c" + side)), side, "left").withColumn("c" + side, F.coalesce("c" + side, side))
-    return wide.unionByName(pairs.withColumn("agree", F.lit(HALVES * WIDTH))).dropDuplicates(["a", "b"])
+    blocks = placed.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("half", "key", "i", "j").applyInPandas(_block_links, "a long, b long")
+    return pairs.unionByName(blocks)
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to join all that belong together."""
     buckets = written(_buckets(classes), "near-buckets")
     centres = written(buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("bucket", "a"), "near-centres")
-    stars = buckets.join(centres, "bucket").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    known = written(confirmed(_plausible(stars, classes), docs), "near-links")
+    shared = written(buckets.join(centres, "bucket").select("bucket", "half", "key", "a", "rep"), "near-shared-buckets")
+    needed = written(shared.select("rep").distinct(), "near-needed")
+    sets = written(sets_of(docs, needed, needed.count()), "near-sets")
+    stars = shared.filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    known = written(confirmed(written(_plausible(stars, classes), "near-stars"), sets), "near-links")
     found = written(components(known), "near-components")
-    rest = written(_open_pairs(buckets, classes, found), "near-rest")
-    order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("agree"), "a", "b")
-    ranked = written(rest.withColumn("rank", F.row_number().over(order)), "near-ranked")
-    more = written(confirmed(ranked.filter(F.col("rank") <= FIRST).select("a", "b"), docs), "near-links")
-    known = known.unionByName(more)
-    where = written(components(known), "near-components")
-    last = ranked.filter(F.col("rank") > FIRST).select("a", "b")
-    for side in ("a", "b"):
-        last = last.join(where.select(F.col("node").alias(side), F.col("component").alias("c" + side)), side, "left")
-    last = last.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return known.unionByName(written(confirmed(last, docs), "near-links"))
+    return known.unionByName(written(_links_across(shared.drop("a"), classes, found, sets), "near-across"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
