@@ -123,17 +123,21 @@ def risky_terms(hits: DataFrame, based: DataFrame) -> DataFrame:
     # A word that the stretch of text cuts is left out; each side has at most WINDOW words.
     left = F.slice(F.reverse(_words(F.regexp_replace("before", r"^\S*\s", " "))), 1, WINDOW)
     right = F.slice(_words(F.regexp_replace("after", r"\s\S*$", " ")), 1, WINDOW)
-    contexts = hits.select("value", F.array_sort(F.array_distinct(F.concat(left, right))).alias("terms")).distinct()
-    contexts = written(contexts, "pii-contexts")
+    seen = written(hits.select("__id", "value", F.array_sort(F.array_distinct(F.concat(left, right))).alias("terms")), "pii-seen")
+    contexts = seen.select("value", "terms").distinct()
     values = contexts.groupBy("value").agg(F.count("*").alias("n_value"))
     pairs = contexts.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    pairs = written(pairs.join(values, "value"), "pii-pairs")
+    whole = float(max(based.count(), 1))
+    # PMI >= GENERALISED * IC says at most this many documents may hold the term.
+    most = F.col("n_both") * F.pow(whole / F.col("n_value"), F.lit(1 - GENERALISED))
+    # At least those hold it that have it beside some value: that rules common words out
+    # before the documents are read for the count.
+    beside = seen.select("__id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("__id").alias("at_least"))
+    pairs = written(pairs.join(values, "value").withColumn("most", most).join(beside, "term").filter(F.col("at_least") <= F.col("most")).select("value", "term", "n_both", "n_value"), "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
     small = terms.count() <= BROADCAST_TERMS
     every = based.select(F.explode(F.array_distinct(_words(F.col("body")))).alias("term"))
     counted = every.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = based.count()
-    whole = float(max(total, 1))
     pmi = F.log2(F.col("n_both") * whole / (F.col("n_value") * F.col("n_term")))
     share = pmi / F.greatest(F.log2(whole / F.col("n_value")), F.lit(1e-9))
     return pairs.join(counted, "term").withColumn("share", share).filter(F.col("share") >= GENERALISED).select("value", "term", (F.col("share") >= REMOVED).alias("removed"))
