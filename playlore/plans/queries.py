@@ -1,4 +1,441 @@
-"""All registered queries over the reference's domain, with their SQL."""
+"""All registered queries over the listening domain, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from playlore.functions import expressions as X
+from playlore.operators import feed, profile, scoring, taste
+from playlore.plans import chart as C
+from playlore.plans.chart import ChartSpec, chart
+from playlore.sources import adapters as A
+from playlore.sources import ingest
+from playlore.streaming import watch
+
+from . import oracles as O
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+AS_OF = dt.datetime.fromisoformat(A.HISTORY_AS_OF)
+EVENTS_AS_OF = dt.datetime.fromisoformat(A.EVENTS_AS_OF)
+
+#: Charts: spec, whether it needs genres.
+CHARTS: dict[str, ChartSpec] = {
+    "top_artists_hours": ChartSpec(),
+    "top_artists_plays": ChartSpec(metric="plays"),
+    "bottom_artists_hours": ChartSpec(sort="asc", limit=5),
+    "top_albums_hours": ChartSpec(dimension="album"),
+    "top_tracks_plays": ChartSpec(dimension="track", metric="plays", limit=8),
+    "genres_hours": ChartSpec(dimension="genre"),
+    "platforms_plays": ChartSpec(dimension="platform", metric="plays"),
+    "hours_of_day": ChartSpec(dimension="hour_of_day"),
+    "days_of_week_plays": ChartSpec(dimension="day_of_week", metric="plays"),
+    "months_distinct_tracks": ChartSpec(dimension="date", grain="month", metric="distinct_tracks"),
+    "years_distinct_artists": ChartSpec(dimension="date", grain="year", metric="distinct_artists"),
+    "weeks_hours_2000": ChartSpec(dimension="date", grain="week", year=2000),
+    "skip_rate_albums": ChartSpec(dimension="album", metric="skip_rate"),
+    "skip_rate_hours_of_day": ChartSpec(dimension="hour_of_day", metric="skip_rate"),
+    "range_30d_artists": ChartSpec(range="30d", metric="plays"),
+    "range_12mo_months": ChartSpec(range="12mo", dimension="date", grain="month"),
+    "last_2_years_artists": ChartSpec(last=2, last_unit="year"),
+    "span_1996_1998_months": ChartSpec(from_year=1996, to_year=1998, dimension="date", grain="month", metric="plays"),
+    "since_1999_albums": ChartSpec(from_year=1999, dimension="album"),
+    "winter_years": ChartSpec(months=(12, 1, 2), dimension="date", grain="year", metric="plays"),
+    "weekend_evenings": ChartSpec(days=("sat", "sun"), hours=(18, 19, 20, 21, 22, 23), dimension="artist"),
+    "running_total_2000": ChartSpec(year=2000, dimension="date", grain="month", cumulative=True),
+    "running_total_hours": ChartSpec(dimension="hour_of_day", cumulative=True, metric="plays"),
+    "named_genres": ChartSpec(dimension="genre", genres=("china", "united", "saudi arabia")),
+    "genre_lines": ChartSpec(dimension="date", grain="year", series="genre", limit=4),
+    "album_lines_running": ChartSpec(dimension="date", grain="year", series="album", limit=3, cumulative=True, metric="plays"),
+    "top3_artists_each_year": ChartSpec(dimension="date", grain="year", series="artist", per_period=True, limit=3),
+    "top_album_each_month_2000": ChartSpec(dimension="date", grain="month", series="album", per_period=True, limit=1, year=2000, metric="plays"),
+    "best_month": ChartSpec(answer="top", dimension="date", grain="month", metric="plays"),
+    "most_skipped_album": ChartSpec(answer="top", dimension="album", metric="skip_rate"),
+    "numbers_1998": ChartSpec(answer="number", year=1998),
+    "recent_plays": ChartSpec(answer="recent", limit=10),
+}
+
+
+def _chart(name: str) -> Query:
+    spec = CHARTS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        needs = "genre" in (spec.dimension, spec.series) or bool(spec.genres)
+        return chart(A.history(spark, sf_dir), spec, A.genres(spark, sf_dir) if needs else None, AS_OF).drop("year")
+
+    return run
+
+
+def _history(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(A.history(spark, sf_dir))
+
+
+def _recent(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(A.recent(spark, sf_dir))
+
+
+def today_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays of one day by the hour, where the clock says that day."""
+    return chart(A.recent(spark, sf_dir), ChartSpec(range="today", dimension="date", metric="plays"), as_of=dt.datetime(2024, 1, 20, 12), back=1)
+
+
+def stepped_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chart(A.recent(spark, sf_dir), ChartSpec(range="7d", metric="plays"), back=1)
+
+
+def named_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays of an album by year, pinned to the artist with most plays under that title."""
+    return chart(A.history(spark, sf_dir), ChartSpec(dimension="date", grain="year", metric="plays", albums=("Brand#13", "Brand#22")))
+
+
+def named_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chart(A.history(spark, sf_dir), ChartSpec(dimension="date", grain="year", series="artist", artists=("supplier#000000001", "Supplier#000000002", "nobody")))
+
+
+def facts_1999(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.facts(C.selected(A.history(spark, sf_dir), ChartSpec(year=1999)))
+
+
+def bounds_1999(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plays = A.history(spark, sf_dir)
+    return C.window_bounds(plays, C.selected(plays, ChartSpec(year=1999)))
+
+
+def album_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.most_played(A.history(spark, sf_dir).filter(X.is_listen()), ["user_id", "album_name"])
+
+
+def aligned_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chart(A.history(spark, sf_dir), ChartSpec(dimension="date", grain="month", year=1998, metric="plays")).select("user_id", "label", "value")
+    return C.aligned(lines)
+
+
+def genre_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chart(A.history(spark, sf_dir), CHARTS["genre_lines"], A.genres(spark, sf_dir))
+    return C.shares(made).select("user_id", "label", "series", "share")
+
+
+def hour_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.intensity(chart(A.history(spark, sf_dir), CHARTS["days_of_week_plays"])).select("user_id", "label", "intensity")
+
+
+def merged_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.coverage(ingest.merge_sources(**A.sources(spark, sf_dir)))
+
+
+def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.sources(spark, sf_dir)
+    return ingest.recovered_share(ingest.recover_uris(s["account"], ingest.uri_table(s["export"], s["live"])))
+
+
+def uri_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.sources(spark, sf_dir)
+    return ingest.uri_table(s["export"], s["live"])
+
+
+def reread_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.sources(spark, sf_dir)
+    return ingest.first_day(s["live"], s["export"])
+
+
+def prunable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.sources(spark, sf_dir)
+    return ingest.prunable_days(s["live"], s["account"])
+
+
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured plays against the same ones, some seconds off, as the other source estimates them."""
+    p = A.recent(spark, sf_dir).select("user_id", "played_at", "track_uri", "track_name", "artist_name", "ms_played")
+    off = F.make_dt_interval(secs=(F.col("ms_played") % 61 - 30).cast("int") * 2)
+    est = p.withColumn("played_at", F.col("played_at") + off).distinct()
+    made = ingest.reconcile(p.filter("ms_played % 3 = 0"), est)
+    return made.groupBy("user_id", "how").agg(F.count("*").alias("plays"), F.sum("ms_played").alias("ms"))
+
+
+def gap_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.recent(spark, sf_dir).select("user_id", "played_at", "track_uri", F.col("ms_played").alias("duration_ms")).groupBy("user_id", "played_at").agg(F.min("track_uri").alias("track_uri"), F.min("duration_ms").alias("duration_ms"))
+    return ingest.estimate_heard(p)
+
+
+def card_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.card_genres(A.history(spark, sf_dir), A.genres(spark, sf_dir))
+
+
+def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.day_streak(A.recent(spark, sf_dir), EVENTS_AS_OF)
+
+
+def _pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each listener of the history: a song, an artist and an album pinned, the first of each by name."""
+    p = A.history(spark, sf_dir)
+    first = p.groupBy("user_id").agg(F.min("track_uri").alias("uri"), F.min("artist_name").alias("artist"), F.min("album_name").alias("album"))
+    kinds = F.array(
+        F.struct(F.lit("s").alias("pin"), F.lit("song").alias("kind"), F.col("uri").alias("u"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("artist")),
+        F.struct(F.lit("a").alias("pin"), F.lit("artist").alias("kind"), F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("title"), F.col("artist")),
+        F.struct(F.lit("l").alias("pin"), F.lit("album").alias("kind"), F.lit(None).cast("string").alias("u"), F.col("album").alias("title"), F.col("artist")),
+    )
+    return first.select("user_id", F.explode(kinds).alias("k")).select("user_id", "k.pin", "k.kind", F.col("k.u").alias("uri"), "k.title", "k.artist")
+
+
+def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.pin_stats(A.history(spark, sf_dir), _pins(spark, sf_dir))
+
+
+def shows_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = profile.listener_shows(A.shows(spark, sf_dir), A.history(spark, sf_dir), A.genres(spark, sf_dir))
+    return view.select("user_id", "artist", "date", "fans", "genre", "familiarity")
+
+
+def shows_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = profile.listener_shows(A.shows(spark, sf_dir), A.history(spark, sf_dir), A.genres(spark, sf_dir))
+    kept = profile.filter_shows(view, dt.date(1998, 2, 1), familiarity="regular", radius_mi=60, within_days=60, max_fans=90_000)
+    return profile.show_totals(view, kept)
+
+
+def namesakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.history(spark, sf_dir).withColumn("track_name", F.col("album_name"))
+    return profile.namesakes(p)
+
+
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.day_timeline(A.recent(spark, sf_dir), dt.date(2024, 1, 20))
+
+
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each listener means by their most played act's name, with its last letter off."""
+    p = A.recent(spark, sf_dir)
+    typed = p.filter("artist_name IS NOT NULL").groupBy("user_id").agg(F.max("artist_name").alias("n")).select("user_id", F.expr("substring(n, 1, length(n) - 1)").alias("typed"))
+    return profile.resolve_names(p, typed)
+
+
+def map_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.map_regions(A.history(spark, sf_dir), _points(spark, sf_dir))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("artist"), F.col("s_nationkey").alias("region"), (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_suppkey") % 100).cast("double").alias("y"))
+    return s
+
+
+def listener_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.listener_map(A.history(spark, sf_dir), _points(spark, sf_dir))
+
+
+def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.occupancy(taste.artist_weights(A.history(spark, sf_dir)), _points(spark, sf_dir).select("artist", "region"))
+
+
+def coverage_of_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _points(spark, sf_dir).filter("y < 50").select("artist")
+    return taste.coverage(taste.artist_weights(A.history(spark, sf_dir)), known)
+
+
+def cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.region_cohesion(A.space(spark, sf_dir)).withColumn("cohesion", F.round("cohesion", 6))
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = A.space(spark, sf_dir).select("artist", "region", F.element_at("z", 1).alias("x"), F.element_at("z", 2).alias("y"))
+    return taste.region_positions(points)
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's nearest region centre."""
+    space = A.space(spark, sf_dir)
+    return taste.nearest_centre(space, taste.region_centres(space)).withColumn("cosine", F.round("cosine", 6))
+
+
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.region_twins(A.space(spark, sf_dir), floor=0.1).withColumn("cosine", F.round("cosine", 6))
+
+
+def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = A.space(spark, sf_dir)
+    fame = space.filter("artist % 3 = 0").select("artist", (F.col("artist") % 101).alias("fame"))
+    return taste.region_exemplars(space, fame)
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    words = F.split(F.lower("text"), r"\s+")
+    return d.select(F.col("doc_id").cast("string").alias("artist"), F.concat(F.array("lang", "source"), words).alias("tags"))
+
+
+def corpus_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = taste.tag_corpus(_tagged(spark, sf_dir))
+    return made.select("artist", F.size("tags").cast("long").alias("n_tags"))
+
+
+def tag_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.tag_weights(_tagged(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+
+
+def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(genre, artist, tags): parts by brand, tagged with the words of their type."""
+    p = A.table(spark, sf_dir, "part")
+    return p.select(F.col("p_brand").alias("genre"), F.col("p_partkey").alias("artist"), F.split(F.lower("p_type"), " ").alias("tags"))
+
+
+def dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = taste.dominant_tags(part_tags(spark, sf_dir), share=0.25)
+    return made.select("genre", F.explode("tags").alias("tag"))
+
+
+def labels_of_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.region_labels(part_tags(spark, sf_dir).withColumnRenamed("genre", "region"))
+
+
+def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.cover(A.genres(spark, sf_dir).select("genre").distinct(), ("united", "china", "arabia"))
+
+
+def serving_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artist to genre and region, with the fallback to the first act of a credit."""
+    g = A.genres(spark, sf_dir)
+    return C.with_genres(A.history(spark, sf_dir).select("artist_name").distinct(), g).select("artist_name", "genre")
+
+
+def deduped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One listing for each supplier and day: the order with most lines, the earliest key first."""
+    from pyspark.sql.window import Window
+
+    line, orders = A.table(spark, sf_dir, "lineitem"), A.table(spark, sf_dir, "orders")
+    rich = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", F.to_date("o_orderdate").alias("date"), "o_orderkey").agg(F.count("*").alias("rich"))
+    order = Window.partitionBy("l_suppkey", "date").orderBy(F.desc("rich"), "o_orderkey")
+    return rich.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+
+
+def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of jobs read from events: a purchase adds, an error fails."""
+    e = A.table(spark, sf_dir, "events")
+    runs = e.select(F.col("event_type").alias("job"), (F.col("user_id") % 5).alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("at"), (F.col("value") >= 5).alias("ok"), F.concat(F.lit("code "), F.col("event_id").cast("string")).alias("error"), F.floor("value").alias("added"))
+    beats = watch.heartbeat(runs)
+    return watch.stalled(beats, dt.datetime(2024, 1, 31, 0, 0), minutes=60).drop("last_error")
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    uri = F.concat(F.lit("track:"), (F.col("event_id") % 7).cast("string"))
+    return e.select(
+        "user_id",
+        F.col("ts").cast("timestamp").alias("at"),
+        F.lit(200).alias("status"),
+        (F.col("value") > 10).alias("is_playing"),
+        F.when(F.col("event_type") == "signup", "none").otherwise("track").alias("kind"),
+        (F.col("value") * 1000).cast("long").alias("progress_ms"),
+        uri.alias("uri"),
+        uri.alias("name"),
+        F.lit("someone").alias("artist"),
+        F.lit("somewhere").alias("album"),
+        F.lit(200_000).cast("long").alias("duration_ms"),
+    )
+
+
+def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch.replay(_snapshots(spark, sf_dir))
+
+
+def spec_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as produced fields against expected ones: flags exact, quantities between."""
+    line = A.table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case")
+    produced = line.select(key, F.explode(F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("quantity"), F.col("l_quantity").cast("string"))).alias("field", "value"))
+    none = F.lit(None)
+    flags = line.select(key, F.lit("flag").alias("field"), F.lit("exact").alias("kind"), F.col("l_linestatus").alias("value"), none.cast("double").alias("low"), none.cast("double").alias("high"), none.cast("array<string>").alias("among"))
+    ranges = line.select(key, F.lit("quantity").alias("field"), F.lit("between").alias("kind"), none.cast("string").alias("value"), F.lit(10.0).alias("low"), F.lit(30.0).alias("high"), none.cast("array<string>").alias("among"))
+    return scoring.pass_rate(scoring.field_scores(produced, flags.unionByName(ranges)))
+
+
+def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = A.table(spark, sf_dir, "orders")
+    before = o.filter("o_orderkey % 10 <> 3").select(F.col("o_orderkey").alias("case"), (F.col("o_totalprice") > 100_000).alias("ok"))
+    after = o.filter("o_orderkey % 10 <> 7").select(F.col("o_orderkey").alias("case"), (F.col("o_totalprice") > 150_000).alias("ok"))
+    return scoring.run_diff(before, after).groupBy("change").agg(F.count("*").alias("cases"))
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listeners as groups of vectors: each label's centre is a mode of listener label % 3."""
+    centres = taste.region_centres(A.space(spark, sf_dir))
+    modes = centres.select((F.col("region") % 3).cast("long").alias("user_id"), F.col("region").alias("mode"), F.lit(1.0).alias("share"), F.col("z").alias("centre"))
+    pairs = spark.range(3).select(F.col("id").alias("a"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("b")).filter("a <> b")
+    return taste.match(pairs, modes)
+
+
+def show_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.build(A.recent(spark, sf_dir)).select("user_id", "section", "rank", "name", "plays", "plays_prev")
+
+
+QUERIES: dict[str, Query] = {name: _chart(name) for name in CHARTS}
+QUERIES |= {
+    "today_hours": today_hours,
+    "stepped_back": stepped_back,
+    "named_title": named_title,
+    "named_artists": named_artists,
+    "facts_1999": facts_1999,
+    "bounds_1999": bounds_1999,
+    "album_songs": album_songs,
+    "scale_peak": _recent(lambda p: C.scale_peak(p, ChartSpec(range="7d", dimension="hour_of_day", metric="plays"))),
+    "aligned_years": aligned_years,
+    "genre_shares": genre_shares,
+    "hour_intensity": hour_intensity,
+    "merged_coverage": merged_coverage,
+    "recovered": recovered,
+    "uri_table": uri_table,
+    "reread_days": reread_days,
+    "prunable": prunable,
+    "reconciled": reconciled,
+    "gap_estimates": gap_estimates,
+    "last_played": _history(profile.last_played),
+    "week_stats": _recent(feed.week_stats),
+    "artists_up": _recent(lambda p: feed.artist_movers(p, "up")),
+    "artists_down": _recent(lambda p: feed.artist_movers(p, "down")),
+    "songs_up": _recent(lambda p: feed.song_movers(p, "up")),
+    "songs_down": _recent(lambda p: feed.song_movers(p, "down")),
+    "discoveries": _recent(feed.discoveries),
+    "song_discoveries": _recent(feed.song_discoveries),
+    "back_in_rotation": _recent(feed.back_in_rotation),
+    "songs_back_in_rotation": _recent(feed.songs_back_in_rotation),
+    "on_repeat": _recent(feed.on_repeat),
+    "artist_songs": _recent(feed.artist_songs),
+    "weekly_feed": show_feed,
+    "card": _history(profile.card),
+    "card_genres": card_genres,
+    "streaks": streaks,
+    "top_tracks": _history(profile.top_tracks),
+    "top_artists": _history(profile.top_artists),
+    "top_albums": _history(profile.top_albums),
+    "familiarity": _history(profile.artist_familiarity),
+    "pins": pins,
+    "shows_joined": shows_joined,
+    "shows_filtered": shows_filtered,
+    "namesakes": namesakes,
+    "timeline": timeline,
+    "resolved_names": resolved_names,
+    "artist_weights": _history(lambda p: taste.artist_weights(p, 90)),
+    "map_regions": map_regions,
+    "listener_map": listener_map,
+    "occupancy": occupancy,
+    "coverage_of_space": coverage_of_space,
+    "cohesion": cohesion,
+    "positions": positions,
+    "placed": placed,
+    "twins": twins,
+    "exemplars": exemplars,
+    "corpus_tags": corpus_tags,
+    "tag_idf": tag_idf,
+    "dominant": dominant,
+    "labels_of_regions": labels_of_regions,
+    "widened": widened,
+    "serving_table": serving_table,
+    "deduped_listings": deduped_listings,
+    "heartbeats": heartbeats,
+    "watched": watched,
+    "spec_scores": spec_scores,
+    "run_changes": run_changes,
+    "matches": matches,
+}
+ORACLES: dict[str, str] = {k: v for k, v in O.ORACLES.items() if k in QUERIES}
