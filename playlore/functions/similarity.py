@@ -32,10 +32,9 @@ def jaro_winkler_pair(a: str, b: str) -> float:
     return jaro + begin * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@F.pandas_udf("double")
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_pair(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def jaro_winkler(a: Column | str, b: Column | str) -> Column:
-    return _similar(a, b)
+    return F.pandas_udf(_similar, "double")(a, b)

@@ -235,8 +235,30 @@ ORACLES: dict[str, str] = {
         SELECT l_suppkey, date, o_orderkey, rich FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, date ORDER BY rich DESC, o_orderkey) AS r FROM c) WHERE r = 1""",
     "heartbeats": """SELECT event_type AS job, user_id % 5 AS user_id, max(CAST(ts AS TIMESTAMP)) AS last_run, max(CASE WHEN value >= 5 THEN CAST(ts AS TIMESTAMP) END) AS last_ok, count(*) AS runs, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS added,
         coalesce(max(CASE WHEN value >= 5 THEN CAST(ts AS TIMESTAMP) END) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 60 MINUTE, true) AS stalled FROM events GROUP BY 1, 2""",
-    "spec_scores": """WITH s AS (SELECT 'flag' AS field, l_returnflag = l_linestatus AS ok FROM lineitem UNION ALL SELECT 'quantity', l_quantity BETWEEN 10 AND 30 FROM lineitem) SELECT field, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 4) AS rate FROM s GROUP BY 1""",
+    "spec_scores": """WITH s AS (SELECT 'segment' AS field, c_mktsegment = 'BUILDING' AS ok FROM customer UNION ALL SELECT 'balance', c_acctbal BETWEEN 0 AND 5000 FROM customer UNION ALL SELECT 'nation', c_nationkey IN (1, 2, 3) FROM customer)
+        SELECT field, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 4) AS rate FROM s GROUP BY 1""",
+    "reconciled": f"""WITH plays AS ({A.RECENT_SQL}), w AS (SELECT * FROM plays WHERE ms_played % 3 = 0),
+        e AS (SELECT DISTINCT user_id, played_at + to_seconds(CAST((ms_played % 61 - 30) * 2 AS BIGINT)) AS played_at, track_uri, track_name, artist_name, ms_played FROM plays),
+        x AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = e.user_id AND w.track_uri = e.track_uri AND abs(epoch_us(w.played_at) - epoch_us(e.played_at)) <= 30000000)
+              AND NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = e.user_id AND lower(trim(w.track_name)) = lower(trim(e.track_name)) AND lower(trim(w.artist_name)) = lower(trim(e.artist_name)) AND abs(epoch_us(w.played_at) - epoch_us(e.played_at)) <= 30000000))
+        SELECT user_id, 'watch' AS how, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms FROM w GROUP BY 1 UNION ALL SELECT user_id, 'recent', count(*), CAST(sum(ms_played) AS BIGINT) FROM x GROUP BY 1""",
+    "timeline": f"""{E}, d AS (SELECT user_id, local, track_uri, ms_played, hour(local) + minute(local) / 60 + second(local) / 3600 AS stop, ms_played / 3600000.0 AS heard FROM p WHERE CAST(local AS DATE) = DATE '2024-01-20'),
+        t AS (SELECT user_id, stop, heard, greatest(coalesce(lag(stop) OVER o, 0), stop - heard) AS start, sum(heard) OVER (PARTITION BY user_id ORDER BY local, track_uri, ms_played ROWS UNBOUNDED PRECEDING) AS total FROM d WINDOW o AS (PARTITION BY user_id ORDER BY local, track_uri, ms_played))
+        SELECT user_id, round(start, 4) AS at, round(total - heard, 4) AS hours FROM t UNION ALL SELECT user_id, round(stop, 4), round(total, 4) FROM t""",
     "run_changes": """WITH x AS (SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'new' WHEN o_orderkey % 10 = 7 THEN 'gone' WHEN o_totalprice > 100000 AND o_totalprice <= 150000 THEN 'regression' WHEN o_totalprice <= 100000 AND o_totalprice > 150000 THEN 'fixed' END AS change FROM orders)
         SELECT change, count(*) AS cases FROM x WHERE change IS NOT NULL GROUP BY 1""",
 }
 ORACLES["genre_shares"] = f"""WITH f AS ({ORACLES['genre_lines']}) SELECT user_id, label, series, round(value * 100 / nullif(sum(value) OVER (PARTITION BY user_id, label), 0), 2) AS share FROM f"""
+
+_SECTIONS = [
+    ("artists_up", "artists_up", "artist_name", "recent", "prior"),
+    ("artists_down", "artists_down", "artist_name", "recent", "prior"),
+    ("songs_up", "songs_up", "track_uri", "recent", "prior"),
+    ("songs_down", "songs_down", "track_uri", "recent", "prior"),
+    ("discoveries", "discoveries", "artist_name", "plays", "NULL"),
+    ("song_discoveries", "song_discoveries", "track_uri", "plays", "NULL"),
+    ("back", "back_in_rotation", "artist_name", "recent", "prior"),
+    ("songs_back", "songs_back_in_rotation", "uri", "recent", "prior"),
+    ("repeat", "on_repeat", "track_uri", "plays", "NULL"),
+]
+ORACLES["weekly_feed"] = " UNION ALL ".join(f"SELECT user_id, '{section}' AS section, rank, {name} AS name, {plays} AS plays, CAST({before} AS BIGINT) AS plays_prev FROM ({ORACLES[query]})" for section, query, name, plays, before in _SECTIONS)

@@ -340,14 +340,18 @@ def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as produced fields against expected ones: flags exact, quantities between."""
-    line = A.table(spark, sf_dir, "lineitem")
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case")
-    produced = line.select(key, F.explode(F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("quantity"), F.col("l_quantity").cast("string"))).alias("field", "value"))
-    none = F.lit(None)
-    flags = line.select(key, F.lit("flag").alias("field"), F.lit("exact").alias("kind"), F.col("l_linestatus").alias("value"), none.cast("double").alias("low"), none.cast("double").alias("high"), none.cast("array<string>").alias("among"))
-    ranges = line.select(key, F.lit("quantity").alias("field"), F.lit("between").alias("kind"), none.cast("string").alias("value"), F.lit(10.0).alias("low"), F.lit(30.0).alias("high"), none.cast("array<string>").alias("among"))
-    return scoring.pass_rate(scoring.field_scores(produced, flags.unionByName(ranges)))
+    """Customers as produced specs: the segment exact, the balance between, the nation one of three."""
+    c = A.table(spark, sf_dir, "customer")
+    case, none = F.col("c_custkey").alias("case"), F.lit(None)
+    got = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("balance"), F.col("c_acctbal").cast("string"), F.lit("nation"), F.col("c_nationkey").cast("string"))
+    produced = c.select(case, F.explode(got).alias("field", "value"))
+    text, number, names = none.cast("string"), none.cast("double"), none.cast("array<string>")
+    parts = [
+        c.select(case, F.lit("segment").alias("field"), F.lit("exact").alias("kind"), F.lit("BUILDING").alias("value"), number.alias("low"), number.alias("high"), names.alias("among")),
+        c.select(case, F.lit("balance").alias("field"), F.lit("between").alias("kind"), text.alias("value"), F.lit(0.0).alias("low"), F.lit(5000.0).alias("high"), names.alias("among")),
+        c.select(case, F.lit("nation").alias("field"), F.lit("in").alias("kind"), text.alias("value"), number.alias("low"), number.alias("high"), F.array(F.lit("1"), F.lit("2"), F.lit("3")).alias("among")),
+    ]
+    return scoring.pass_rate(scoring.field_scores(produced, parts[0].unionByName(parts[1]).unionByName(parts[2])))
 
 
 def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

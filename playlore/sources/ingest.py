@@ -243,7 +243,8 @@ def reconcile(watched: DataFrame, estimated: DataFrame, seconds: int = 30) -> Da
     est = estimated.withColumn("__row", F.xxhash64("user_id", "played_at", "track_uri", "track_name", "artist_name"))
     spread = est.select("user_id", "__row", F.col("played_at").alias("e_at"), F.col("track_uri").alias("e_uri"), F.concat_ws("\u001f", X.name_key("track_name"), X.name_key("artist_name")).alias("e_name"), F.explode(F.array(*[bucket(F.col("played_at")) + d for d in (-1, 0, 1)])).alias("b"))
     seen = watched.select("user_id", F.col("played_at").alias("w_at"), F.col("track_uri").alias("w_uri"), F.concat_ws("\u001f", X.name_key("track_name"), X.name_key("artist_name")).alias("w_name"), bucket(F.col("played_at")).alias("b"))
-    near = F.abs(F.timestamp_diff("SECOND", F.col("e_at"), F.col("w_at"))) <= seconds
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    near = F.abs(micros("e_at") - micros("w_at")) <= seconds * 1_000_000
     by_uri = spread.join(seen.withColumnRenamed("w_uri", "e_uri"), ["user_id", "b", "e_uri"]).filter(near).select("__row")
     by_name = spread.join(seen.withColumnRenamed("w_name", "e_name"), ["user_id", "b", "e_name"]).filter(near).select("__row")
     left = est.join(by_uri.union(by_name).distinct(), "__row", "left_anti").drop("__row")
