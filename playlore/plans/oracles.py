@@ -39,9 +39,7 @@ TIP = "(SELECT max(q.played_at) FROM plays q WHERE q.user_id = p.user_id)"
 PLATFORM = """CASE WHEN lower(platform) LIKE '%ios%' OR lower(platform) LIKE '%iphone%' THEN 'iOS' WHEN lower(platform) LIKE '%android%' THEN 'Android'
     WHEN lower(platform) LIKE '%windows%' THEN 'Windows' WHEN lower(platform) LIKE '%mac%' OR lower(platform) LIKE '%os x%' THEN 'Mac' WHEN lower(platform) LIKE '%web%' THEN 'Web' ELSE 'Other' END"""
 GENRED = "(SELECT p.*, g.genre FROM p JOIN genres g ON lower(p.artist_name) = g.artist)"
-COVER = "(CASE WHEN genre = 'china' OR regexp_matches(genre, '\\bchina') THEN 'china' WHEN regexp_matches(genre, '\\bunited') THEN 'united' WHEN regexp_matches(genre, '\\bsaudi arabia') THEN 'saudi arabia' END)"
-KEY = "trim(regexp_replace(regexp_replace(lower({0}), '&', ' and ', 'g'), '[!-/:-@\\[-`{{-~]', '', 'g'))"
-
+COVER = "(CASE WHEN regexp_matches(genre, '\\bamerica') THEN 'america' WHEN regexp_matches(genre, '\\beast') THEN 'east' WHEN regexp_matches(genre, '\\basia 8') THEN 'asia 8' END)"
 
 def split(label: str, series: str, metric: str, source: str, where: str, limit: int, value: str = "value") -> str:
     return f"""{H}, m AS (SELECT user_id, {label} AS label, {series} AS series, round({metric}, 2) AS value FROM {source} WHERE {where} AND {series} IS NOT NULL GROUP BY 1, 2, 3),
@@ -90,7 +88,7 @@ ORACLES: dict[str, str] = {
     "months_distinct_tracks": along(month(), "CAST(count(DISTINCT track_uri) AS DOUBLE)", LISTEN),
     "years_distinct_artists": along(year(), "CAST(count(DISTINCT artist_name) AS DOUBLE)", LISTEN),
     "weeks_hours_2000": along("strftime(date_trunc('week', local), '%Y-%m-%d')", where=WHOLE_YEAR),
-    "skip_rate_albums": ranked("album_name", "coalesce(artist_name, '')", SKIPS, having="count(*) >= 25"),
+    "skip_rate_artists": ranked("artist_name", NONE, SKIPS, having="count(*) >= 25"),
     "skip_rate_hours_of_day": along("CAST(hour(local) AS VARCHAR)", SKIPS, order="CAST(label AS INTEGER)"),
     "range_30d_artists": ranked("artist_name", metric=PLAYS, where=f"{LISTEN} AND played_at >= {TIP} - INTERVAL 30 DAY"),
     "range_12mo_months": along(month(), where=f"played_at >= {TIP} - INTERVAL 12 MONTH"),
@@ -113,7 +111,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY value DESC, series, sub) AS rank FROM m)
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, rank) AS row FROM r WHERE rank = 1""",
     "best_month": ranked(month(), metric=PLAYS, where=LISTEN, limit=2),
-    "most_skipped_album": ranked("album_name", "coalesce(artist_name, '')", SKIPS, limit=2, having=f"count(*) >= 25 AND {SKIPS} > 0"),
+    "most_skipped_platform": ranked(PLATFORM, NONE, SKIPS, limit=2, having=f"count(*) >= 25 AND {SKIPS} > 0"),
     "numbers_1998": f"""{H} SELECT user_id, count(*) FILTER (WHERE {LISTEN}) AS plays, round({HOURS}, 2) AS hours, count(DISTINCT track_uri) FILTER (WHERE {LISTEN}) AS tracks,
         count(DISTINCT artist_name) FILTER (WHERE {LISTEN}) AS artists, round({SKIPS}, 2) AS skip_rate, count(skipped) AS rated,
         CAST(min(local) FILTER (WHERE {LISTEN}) AS DATE) AS first_day, CAST(max(local) FILTER (WHERE {LISTEN}) AS DATE) AS last_day FROM p WHERE year(local) = 1998 GROUP BY 1""",
@@ -229,7 +227,7 @@ ORACLES: dict[str, str] = {
         SELECT t.genre, tag FROM t JOIN n ON t.genre = n.genre GROUP BY 1, 2 HAVING count(*) >= 0.25 * min(n)""",
     "labels_of_regions": """WITH t AS (SELECT p_brand AS region, unnest(string_split(lower(p_type), ' ')[1:4]) AS tag FROM part), c AS (SELECT region, tag, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, tag) AS r FROM t GROUP BY 1, 2)
         SELECT region, string_agg(tag, ', ' ORDER BY r) AS label FROM c WHERE r <= 2 GROUP BY 1""",
-    "widened": f"""WITH genres AS ({A.GENRES_SQL}) SELECT DISTINCT genre, CASE WHEN regexp_matches(genre, '\\bunited') THEN 'united' WHEN regexp_matches(genre, '\\bchina') THEN 'china' ELSE 'arabia' END AS word FROM genres WHERE regexp_matches(genre, '\\b(united|china|arabia)')""",
+    "widened": f"""WITH genres AS ({A.GENRES_SQL}) SELECT DISTINCT genre, {COVER} AS word FROM genres WHERE {COVER} IS NOT NULL""",
     "serving_table": f"""{H} SELECT DISTINCT artist_name, genre FROM plays LEFT JOIN genres g ON lower(artist_name) = g.artist""",
     "deduped_listings": """WITH c AS (SELECT l_suppkey, CAST(o_orderdate AS DATE) AS date, o_orderkey, count(*) AS rich FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)
         SELECT l_suppkey, date, o_orderkey, rich FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, date ORDER BY rich DESC, o_orderkey) AS r FROM c) WHERE r = 1""",

@@ -12,6 +12,10 @@ HISTORY_AS_OF = "2001-12-31 12:00:00"
 EVENTS_AS_OF = "2024-01-31 12:00:00"
 
 
+#: Raw platforms, by the number that an order's priority begins with.
+PLATFORMS = ("Windows 10 (10.0.19041; x64)", "iOS 14.8.1 (iPhone11,6)", "Android OS 11", "OS X 12.6", "web_player")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,30 +36,30 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("artist_name"),
         F.col("p_brand").alias("album_name"),
         (F.col("l_quantity") * 8000).cast("long").alias("ms_played"),
-        F.col("o_orderpriority").alias("platform"),
+        F.element_at(F.array(*[F.lit(x) for x in PLATFORMS]), F.substring("o_orderpriority", 1, 1).cast("int")).alias("platform"),
         F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False).alias("skipped"),
         F.lit("export").alias("source"),
     )
 
 
-HISTORY_SQL = """
+HISTORY_SQL = f"""
     SELECT o_custkey % 20 AS user_id,
            CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST((l_partkey % 24) * 60 + 7 * l_linenumber AS BIGINT)) AS played_at,
            'track:' || l_partkey AS track_uri, p_name AS track_name, s_name AS artist_name, p_brand AS album_name,
-           CAST(l_quantity * 8000 AS BIGINT) AS ms_played, o_orderpriority AS platform,
+           CAST(l_quantity * 8000 AS BIGINT) AS ms_played, list_extract({list(PLATFORMS)}, CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS platform,
            CASE WHEN l_returnflag = 'R' THEN true WHEN l_returnflag = 'A' THEN false END AS skipped, 'export' AS source
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
 
 
 def genres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(artist, genre, region): a supplier's nation is its genre; artists are lower case."""
+    """(artist, genre, region): a genre is a region with the number of the supplier's nation; artists are lower case."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
     joined = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select(F.lower("s_name").alias("artist"), F.lower("n_name").alias("genre"), F.lower("r_name").alias("region"))
+    return joined.select(F.lower("s_name").alias("artist"), F.concat_ws(" ", F.lower("r_name"), F.col("n_nationkey").cast("string")).alias("genre"), F.lower("r_name").alias("region"))
 
 
 GENRES_SQL = """
-    SELECT lower(s_name) AS artist, lower(n_name) AS genre, lower(r_name) AS region
+    SELECT lower(s_name) AS artist, lower(r_name) || ' ' || n_nationkey AS genre, lower(r_name) AS region
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
