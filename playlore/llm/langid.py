@@ -15,7 +15,6 @@ product of the two matrices doesn't depend on the text, it is formed once.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ ORDER = 3
 #: Texts are read in stretches of this many characters, so memory doesn't grow with them.
 STRETCH = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _letters() -> np.ndarray:
@@ -42,6 +40,10 @@ def _letters() -> np.ndarray:
 _IS_LETTER = _letters()
 
 
+def has_letter(text: object) -> bool:
+    return isinstance(text, str) and any(c.isalpha() for c in text)
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[[bool(_LETTER.search(t)) for t in batch["text"]]]
+            batch = batch[np.array([has_letter(t) for t in batch["text"]], bool)]
             yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "keys": [runs(t).tobytes() for t in batch["text"]]})
 
     got = drawn.mapInPandas(extract, "id long, lang string, keys binary").toPandas().sort_values(["id", "lang"], kind="stable")
@@ -174,7 +176,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") ->
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in batches:
-            plain = [t if isinstance(t, str) and _LETTER.search(t) else "" for t in texts]
+            plain = [t if has_letter(t) else "" for t in texts]
             asked = [i for i, t in enumerate(plain) if t] if own.languages else []
             names, scores = [UNKNOWN] * len(plain), np.zeros(len(plain))
             if asked:

@@ -40,7 +40,7 @@ _PATTERN = {
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Words on either side of a value; different contexts needed; shares of the value's
 #: information from which a word is generalised and removed.
-WINDOW, SUPPORT, GENERALISED, REMOVED = 4, 3, 0.6, 0.9
+WINDOW, SUPPORT, GENERALISED, REMOVED = 4, 3, 0.8, 0.95
 #: Most terms that are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 _WORD = r"[^\s\p{Punct}]{3,}+"
@@ -118,6 +118,14 @@ def _hits(based: DataFrame) -> DataFrame:
     return held.select("__id", F.lower("hit.value").alias("value"), before.alias("before"), after.alias("after"))
 
 
+def _holders(pairs: DataFrame, based: DataFrame) -> DataFrame:
+    """(term, n_term): how many of the documents hold each term of the pairs."""
+    terms = written(pairs.select("term").distinct(), "pii-terms")
+    small = terms.count() <= BROADCAST_TERMS
+    every = based.select(F.explode(F.array_distinct(_words(F.col("body")))).alias("term"))
+    return every.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+
+
 def risky_terms(hits: DataFrame, based: DataFrame) -> DataFrame:
     """(value, term, removed): words that give a value away, from all documents."""
     # A word that the stretch of text cuts is left out; each side has at most WINDOW words.
@@ -133,11 +141,11 @@ def risky_terms(hits: DataFrame, based: DataFrame) -> DataFrame:
     # At least those hold it that have it beside some value: that rules common words out
     # before the documents are read for the count.
     beside = seen.select("__id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("__id").alias("at_least"))
-    pairs = written(pairs.join(values, "value").withColumn("most", most).join(beside, "term").filter(F.col("at_least") <= F.col("most")).select("value", "term", "n_both", "n_value"), "pii-pairs")
-    terms = written(pairs.select("term").distinct(), "pii-terms")
-    small = terms.count() <= BROADCAST_TERMS
-    every = based.select(F.explode(F.array_distinct(_words(F.col("body")))).alias("term"))
-    counted = every.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = written(pairs.join(values, "value").withColumn("most", most).join(beside, "term").filter(F.col("at_least") <= F.col("most")).select("value", "term", "n_both", "n_value", "most"), "pii-pairs")
+    # The documents that hold a value are a lower bound too, and only then all are read.
+    near = pairs.join(_holders(pairs, based.filter(F.size("base") > 0)).withColumnRenamed("n_term", "at_least"), "term")
+    pairs = written(near.filter(F.col("at_least") <= F.col("most")).select("value", "term", "n_both", "n_value"), "pii-pairs")
+    counted = _holders(pairs, based)
     pmi = F.log2(F.col("n_both") * whole / (F.col("n_value") * F.col("n_term")))
     share = pmi / F.greatest(F.log2(whole / F.col("n_value")), F.lit(1e-9))
     return pairs.join(counted, "term").withColumn("share", share).filter(F.col("share") >= GENERALISED).select("value", "term", (F.col("share") >= REMOVED).alias("removed"))

@@ -102,10 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int =
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "at": [a.astype(np.int32) for a, _ in made], "value": [v.astype(np.float32) for _, v in made]})
+            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "at": [a.astype(np.int32).tobytes() for a, _ in made], "value": [v.astype(np.float32).tobytes() for _, v in made]})
 
-    got = drawn.mapInPandas(extract, "id long, label int, at array<int>, value array<float>").toPandas().sort_values(["id", "label"], kind="stable")
-    return train([(np.asarray(a, np.int64), np.asarray(v, float), int(y)) for a, v, y in zip(got["at"], got["value"], got["label"], strict=True)], seed=seed)
+    got = sorted(drawn.mapInPandas(extract, "id long, label int, at binary, value binary").collect(), key=lambda r: (r["id"], r["label"]))
+    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in got], seed=seed)
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

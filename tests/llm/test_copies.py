@@ -263,7 +263,7 @@ def test_base_spans_by_brute_force(spark):
 
 
 def test_terms_that_give_a_value_away(spark):
-    rows = [(i, f"report {i} from zebulon about jo@x.org on day {i * 7} the end of it") for i in range(8)]
+    rows = [(i, f"report word{i} from zebulon about jo@x.org on day {i * 7} the end of it") for i in range(8)]
     rows += [(100 + i, f"the day was long and the report of {i} was about the end") for i in range(200)]
     rows += [(500, "zebulon stands alone"), (501, None)]
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], DOC + ", n_chars long")
