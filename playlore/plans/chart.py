@@ -361,6 +361,15 @@ def winner(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     return made.drop("n").withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
 
 
+def winner_facts(rows: DataFrame, spec: ChartSpec) -> DataFrame:
+    """The first by the metric, with what single answers say about it."""
+    label, sub = _axis(spec, spec.dimension)
+    first = winner(rows, spec).filter("rank = 1").select("user_id", F.col("label").alias("__label"), F.coalesce("sub", F.lit("")).alias("__sub"))
+    keyed = rows.withColumns({"__label": label, "__sub": F.coalesce(sub, F.lit(""))})
+    theirs = keyed.join(first, ["user_id", "__label", "__sub"], "left_semi")
+    return single_answer(theirs).join(first.select("user_id", F.col("__label").alias("label")), "user_id")
+
+
 def recent_runs(plays: DataFrame, spec: ChartSpec, rows: DataFrame) -> DataFrame:
     """Newest plays with consecutive repeats of a song folded; runs are found before filters."""
     order = Window.partitionBy("user_id").orderBy("played_at", "track_uri", "ms_played")
@@ -405,7 +414,8 @@ def window_bounds(plays: DataFrame, rows: DataFrame, zone: str = ZONE) -> DataFr
 
 def aligned(lines: DataFrame, fill: str = "zero") -> DataFrame:
     """Several listeners' lines on the union of their labels; gaps are 0, null, or the last value."""
-    spine = lines.select("label").distinct().join(F.broadcast(lines.select("user_id").distinct()))
+    # Labels are parts of a calendar or of a day: a bounded set, whatever the number of listeners.
+    spine = lines.select("user_id").distinct().join(F.broadcast(lines.select("label").distinct()))
     joined = spine.join(lines, ["user_id", "label"], "left")
     if fill == "zero":
         return joined.withColumn("value", F.coalesce("value", F.lit(0.0)))

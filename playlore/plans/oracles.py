@@ -243,6 +243,12 @@ ORACLES: dict[str, str] = {
     "timeline": f"""{E}, d AS (SELECT user_id, local, track_uri, ms_played, hour(local) + minute(local) / 60 + second(local) / 3600 AS stop, ms_played / 3600000.0 AS heard FROM p WHERE CAST(local AS DATE) = DATE '2024-01-20'),
         t AS (SELECT user_id, stop, heard, greatest(coalesce(lag(stop) OVER o, 0), stop - heard) AS start, sum(heard) OVER (PARTITION BY user_id ORDER BY local, track_uri, ms_played ROWS UNBOUNDED PRECEDING) AS total FROM d WINDOW o AS (PARTITION BY user_id ORDER BY local, track_uri, ms_played))
         SELECT user_id, round(start, 4) AS at, round(total - heard, 4) AS hours FROM t UNION ALL SELECT user_id, round(stop, 4), round(total, 4) FROM t""",
+    "captured": f"""{E} SELECT user_id, source, count(*) AS plays, max(played_at) AS newest FROM plays WHERE played_at >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1, 2""",
+    "compared": f"""{H}, m AS (SELECT user_id, {month()} AS label, {PLAYS} AS v FROM p WHERE {LISTEN} AND year(local) = 1999 AND user_id IN (1, 2, 3) GROUP BY 1, 2)
+        SELECT u.user_id, l.label, 'lines' AS kind, sum(coalesce(v, 0.0)) OVER (PARTITION BY u.user_id ORDER BY l.label ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT DISTINCT user_id FROM m) u CROSS JOIN (SELECT DISTINCT label FROM m) l LEFT JOIN m ON m.user_id = u.user_id AND m.label = l.label""",
+    "winners_facts": f"""{H}, f AS (SELECT user_id, artist_name, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, artist_name) AS r FROM p WHERE {LISTEN} GROUP BY 1, 2)
+        SELECT p.user_id, count(*) FILTER (WHERE {LISTEN}) AS plays, round({HOURS}, 2) AS hours, count(DISTINCT track_uri) FILTER (WHERE {LISTEN}) AS tracks, count(DISTINCT p.artist_name) FILTER (WHERE {LISTEN}) AS artists, round({SKIPS}, 2) AS skip_rate, count(skipped) AS rated,
+        CAST(min(local) FILTER (WHERE {LISTEN}) AS DATE) AS first_day, CAST(max(local) FILTER (WHERE {LISTEN}) AS DATE) AS last_day, min(p.artist_name) AS label FROM p JOIN f ON p.user_id = f.user_id AND p.artist_name = f.artist_name AND f.r = 1 GROUP BY 1""",
     "run_changes": """WITH x AS (SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'new' WHEN o_orderkey % 10 = 7 THEN 'gone' WHEN o_totalprice > 100000 AND o_totalprice <= 150000 THEN 'regression' WHEN o_totalprice <= 100000 AND o_totalprice > 150000 THEN 'fixed' END AS change FROM orders)
         SELECT change, count(*) AS cases FROM x WHERE change IS NOT NULL GROUP BY 1""",
 }

@@ -12,6 +12,8 @@ from playlore.functions import expressions as X
 from playlore.operators import feed, profile, scoring, taste
 from playlore.plans import chart as C
 from playlore.plans.chart import ChartSpec, chart
+from playlore.plans.compare import compare
+from playlore.plans.gallery import GALLERY
 from playlore.sources import adapters as A
 from playlore.sources import ingest
 from playlore.streaming import watch
@@ -369,6 +371,56 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taste.match(pairs, modes)
 
 
+def _supplier_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artist, tags, z): suppliers with the vector of their number, tagged by nation and label."""
+    v = A.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    z = A.space(spark, sf_dir).select(F.col("artist").alias("vec_id"), "z")
+    s = A.table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("artist"), "s_nationkey")
+    joined = s.join(z, F.col("s_suppkey") == F.col("vec_id")).join(v, "vec_id")
+    tags = F.array(*[F.concat(F.lit(x), F.col(c).cast("string")) for x, c in (("label ", "label"), ("nation ", "s_nationkey"), ("a ", "label"), ("b ", "s_nationkey"))])
+    return joined.select("artist", tags.alias("tags"), "z")
+
+
+def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.listener_modes(A.history(spark, sf_dir), _supplier_space(spark, sf_dir)).select("user_id", "mode", "share", "recent_share", "label", "coverage")
+
+
+def recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each listener, artists to try of those with even numbers, who count as unplayed here."""
+    odd = A.history(spark, sf_dir).filter("cast(right(artist_name, 1) AS int) % 2 = 1")
+    space = _supplier_space(spark, sf_dir)
+    return taste.recommendations(taste.listener_modes(odd, space, least=20), space, odd).withColumn("score", F.round("score", 6))
+
+
+def winners_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ChartSpec(answer="top", metric="plays")
+    return C.winner_facts(C.selected(A.history(spark, sf_dir), spec), spec)
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ChartSpec(dimension="date", grain="month", year=1999, cumulative=True, metric="plays")
+    return compare(A.history(spark, sf_dir), spec, [1, 2, 3])
+
+
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.captured_lately(A.recent(spark, sf_dir), dt.datetime(2024, 1, 25))
+
+
+def background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = A.space(spark, sf_dir).select("artist", F.element_at("z", 1).alias("x"), F.element_at("z", 2).alias("y"))
+    return taste.backdrop(points, n=200)
+
+
+def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each preset chart."""
+    plays, genres = A.history(spark, sf_dir), A.genres(spark, sf_dir)
+    made = [chart(plays, spec, genres, AS_OF).select(F.lit(name).alias("preset"), "user_id") for name, spec in GALLERY.items()]
+    every = made[0]
+    for m in made[1:]:
+        every = every.unionByName(m)
+    return every.groupBy("preset").agg(F.count("*").alias("rows"))
+
+
 def show_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.build(A.recent(spark, sf_dir)).select("user_id", "section", "rank", "name", "plays", "plays_prev")
 
@@ -441,5 +493,12 @@ QUERIES |= {
     "spec_scores": spec_scores,
     "run_changes": run_changes,
     "matches": matches,
+    "modes": modes,
+    "recommended": recommended,
+    "winners_facts": winners_facts,
+    "compared": compared,
+    "captured": captured,
+    "background": background,
+    "gallery": gallery,
 }
 ORACLES: dict[str, str] = {k: v for k, v in O.ORACLES.items() if k in QUERIES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,6 +159,12 @@ def coverage(plays: DataFrame) -> DataFrame:
     return plays.groupBy("user_id", "source").agg(F.count("*").alias("plays"), F.min("played_at").alias("first"), F.max("played_at").alias("last"))
 
 
+def captured_lately(plays: DataFrame, as_of: dt.datetime, hours: int = 24) -> DataFrame:
+    """Plays of each listener and source in the last hours, and the newest of them."""
+    since = F.lit(as_of.isoformat(" ")).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(hours)} HOURS")
+    return plays.filter(F.col("played_at") >= since).groupBy("user_id", "source").agg(F.count("*").alias("plays"), F.max("played_at").alias("newest"))
+
+
 def first_day(live: DataFrame, export: DataFrame, reread: int = 2) -> DataFrame:
     """(user_id, first_day) to pull again from: two days before the newest captured play, or the export's end."""
     newest = live.groupBy("user_id").agg(F.date_sub(F.to_date(F.max("played_at")), reread).alias("a"))
