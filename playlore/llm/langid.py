@@ -27,7 +27,7 @@ from .common import bounded_batches
 from .quality import held_out
 
 ORDER = 3
-#: Texts are read in stretches of this many characters, so memory doesn't grow with them.
+#: Runs are sorted in stretches of this many characters, so only their codes grow with a text.
 STRETCH = 1 << 20
 UNKNOWN = "und"
 
@@ -55,23 +55,23 @@ def runs(text: str) -> np.ndarray:
     Letters are lower-cased, and every stretch of other characters counts as one space.
     A character takes 21 bits, so the numbers stand for the runs without collisions.
     """
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _IS_LETTER[code]
+    stays = letter.copy()
+    stays[0] = True
+    stays[1:] |= letter[:-1]
+    code = np.where(letter, code, 32)[stays]
     found = []
-    for start in range(0, max(len(text), 1), STRETCH):
-        part = " " + text[max(0, start - ORDER + 1) : start + STRETCH].lower() + " "
-        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
-        letter = _IS_LETTER[code]
-        stays = letter.copy()
-        stays[0] = True
-        stays[1:] |= letter[:-1]
-        code = np.where(letter, code, 32)[stays].astype(np.int64)
-        key = code
+    for start in range(0, len(code), STRETCH):
+        part = code[max(0, start - ORDER + 1) : start + STRETCH].astype(np.int64)
+        key = part
         found.append(_distinct(key))
         for n in range(1, ORDER):
-            if len(code) > n:
-                key = (key[:-1] << 21) | code[n:]
+            if len(part) > n:
+                key = (key[:-1] << 21) | part[n:]
                 found.append(_distinct(key))
     merged = np.concatenate(found)
-    return _distinct(merged) if len(text) > STRETCH else merged
+    return _distinct(merged) if len(code) > STRETCH else merged
 
 
 def _shared(keys: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:

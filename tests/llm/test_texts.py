@@ -102,7 +102,7 @@ def test_tokens_are_those_of_the_library():
         ids = own.encode(t)
         assert ids == lib.encode(t, add_special_tokens=False).ids
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
-    assert own.decode(own.encode("é")[:1]) == "�"
+    assert "�" in own.decode(own.encode("𐍈")[:1])
 
 
 def test_tokens_of_a_table(spark):
