@@ -46,7 +46,8 @@ def test_rates_leave_unknown_out(history):
 def test_windows_are_anchored_on_each_listener(history):
     got = chart(history, ChartSpec(range="30d", metric="plays")).collect()
     assert [(r.user_id, r.value) for r in got] == [(1, 4.0)]
-    assert chart(history, ChartSpec(range="7d", metric="plays"), back=1).count() == 0
+    assert [r.value for r in chart(history, ChartSpec(range="7d", metric="plays"), back=1).collect()] == [1.0]
+    assert chart(history, ChartSpec(range="7d", metric="plays"), back=4).count() == 0
 
 
 def test_title_is_pinned_to_the_artist_with_most_plays(history):
