@@ -249,6 +249,14 @@ ORACLES: dict[str, str] = {
     "winners_facts": f"""{H}, f AS (SELECT user_id, artist_name, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, artist_name) AS r FROM p WHERE {LISTEN} GROUP BY 1, 2)
         SELECT p.user_id, count(*) FILTER (WHERE {LISTEN}) AS plays, round({HOURS}, 2) AS hours, count(DISTINCT track_uri) FILTER (WHERE {LISTEN}) AS tracks, count(DISTINCT p.artist_name) FILTER (WHERE {LISTEN}) AS artists, round({SKIPS}, 2) AS skip_rate, count(skipped) AS rated,
         CAST(min(local) FILTER (WHERE {LISTEN}) AS DATE) AS first_day, CAST(max(local) FILTER (WHERE {LISTEN}) AS DATE) AS last_day, min(p.artist_name) AS label FROM p JOIN f ON p.user_id = f.user_id AND p.artist_name = f.artist_name AND f.r = 1 GROUP BY 1""",
+    "short_titles": """WITH v AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || list_extract([' - Remastered 2011', ' (feat. Somebody)', ' [Live]', '', ' - Part One', ' & Friends!'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS title FROM part)
+        SELECT p_partkey, CASE WHEN p_partkey % 6 < 3 THEN regexp_replace(title, '( - Remastered 2011| \\(feat. Somebody\\)| \\[Live\\])$', '') ELSE title END AS short,
+               CASE WHEN p_partkey % 6 = 5 THEN lower(replace(replace(title, '&', 'and'), '!', '')) ELSE lower(regexp_replace(title, '( - .*| \\(.*| \\[.*)$', '')) END AS key FROM v""",
+    "cells": """WITH s AS (SELECT s_suppkey, radians(s_acctbal % 90) AS la, radians(s_acctbal % 180) AS lo, radians(40.7) AS lb, radians(-74.0) AS lp FROM supplier)
+        SELECT s_suppkey, round(2 * 3958.8 * asin(sqrt(least(1.0, power(sin((lb - la) / 2), 2) + cos(la) * cos(lb) * power(sin((lp - lo) / 2), 2)))), 3) AS miles, true AS placed FROM s""",
+    "matches": f"""WITH {CENTRES}, d AS (SELECT a.region AS mode_a, a.region % 3 AS a, b.region % 3 AS b, b.region AS mode_b, sum(a.c * b.c) AS cosine FROM centres a JOIN centres b ON a.i = b.i AND a.region % 3 <> b.region % 3 GROUP BY 1, 2, 3, 4),
+        n AS (SELECT a, b, mode_a, max(cosine) AS near FROM d GROUP BY 1, 2, 3)
+        SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(greatest(0.0, least(1.0, (avg(near) - 0.709) / 0.291)), 3) AS match FROM n GROUP BY 1, 2""",
     "run_changes": """WITH x AS (SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'new' WHEN o_orderkey % 10 = 7 THEN 'gone' WHEN o_totalprice > 100000 AND o_totalprice <= 150000 THEN 'regression' WHEN o_totalprice <= 100000 AND o_totalprice > 150000 THEN 'fixed' END AS change FROM orders)
         SELECT change, count(*) AS cases FROM x WHERE change IS NOT NULL GROUP BY 1""",
 }

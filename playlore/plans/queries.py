@@ -421,6 +421,28 @@ def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("preset").agg(F.count("*").alias("rows"))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with the tails that versions of a song carry, by key."""
+    k = F.col("p_partkey") % 6
+    tail = F.element_at(F.array(*[F.lit(x) for x in VERSION_TAILS]), (k + 1).cast("int"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.initcap("p_name"), tail).alias("title"))
+
+
+#: Tails of titles, by key; the last two are no versions.
+VERSION_TAILS = (" - Remastered 2011", " (feat. Somebody)", " [Live]", "", " - Part One", " & Friends!")
+
+
+def short_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versions(spark, sf_dir).select("p_partkey", X.short_title("title").alias("short"), X.title_key("title").alias("key"))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers at made-up places: their cells, and miles to one point."""
+    lat, lon = F.col("s_acctbal") % 90, F.col("s_acctbal") % 180
+    miles = X.distance_miles(lat, lon, F.lit(40.7), F.lit(-74.0))
+    return A.table(spark, sf_dir, "supplier").select("s_suppkey", F.round(miles, 3).alias("miles"), X.geo_cell(lat, lon).isNotNull().alias("placed"))
+
+
 def show_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.build(A.recent(spark, sf_dir)).select("user_id", "section", "rank", "name", "plays", "plays_prev")
 
@@ -493,6 +515,8 @@ QUERIES |= {
     "spec_scores": spec_scores,
     "run_changes": run_changes,
     "matches": matches,
+    "short_titles": short_titles,
+    "cells": cells,
     "modes": modes,
     "recommended": recommended,
     "winners_facts": winners_facts,

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from playlore import schema as S
 from playlore.functions import expressions as X
+from playlore.functions.shared import exists, file_system
 
 EXPORT = T.StructType(
     [
@@ -90,9 +91,7 @@ def store_verified(plays: DataFrame, folder: str) -> dict:
 
 
 def _loads(spark: SparkSession, folder: str) -> int:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{folder}/verified")
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, f"{folder}/verified"):
         return 0
     return spark.read.schema("load int").json(f"{folder}/verified").agg(F.max("load")).first()[0] or 0
 
@@ -181,10 +180,7 @@ def replace_days(spark: SparkSession, pulled: DataFrame, folder: str, since: Dat
     day = F.date_format("played_at", "yyyy-MM-dd")
     digest = lambda rows: rows.groupBy("user_id", "day").agg(F.sum(F.xxhash64("played_at", "track_uri", "track_name", "artist_name", "album_name", "ms_played").cast("decimal(38,0)")).alias("d"), F.count("*").alias("n"))
     fresh = pulled.withColumn("day", day).join(since, "user_id").filter(F.col("day") >= F.col("first_day").cast("string")).drop("first_day")
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(folder)
-    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(place):
+    if exists(spark, folder):
         old = spark.read.schema(T.StructType([*pulled.schema.fields, T.StructField("day", T.StringType())])).parquet(folder).join(since, "user_id").filter(F.col("day") >= F.col("first_day").cast("string")).drop("first_day")
         before = digest(old).withColumnsRenamed({"d": "od", "n": "on"})
         changed = digest(fresh).join(before, ["user_id", "day"], "full").filter(~(F.col("d").eqNullSafe(F.col("od")) & F.col("n").eqNullSafe(F.col("on")))).select("user_id", "day", F.col("n").isNull().alias("gone")).collect()
@@ -196,7 +192,8 @@ def replace_days(spark: SparkSession, pulled: DataFrame, folder: str, since: Dat
         fresh.join(F.broadcast(touched), ["user_id", "day"], "left_semi").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("user_id", "day").parquet(folder)
     for r in changed:
         if r["gone"]:
-            system.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/user_id={r['user_id']}/day={r['day']}"), True)
+            system, path = file_system(spark, f"{folder}/user_id={r['user_id']}/day={r['day']}")
+            system.delete(path, True)
     return sorted((r["user_id"], r["day"]) for r in changed)
 
 

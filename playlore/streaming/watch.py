@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from playlore.functions.shared import checkpointed, exists, file_system
+
 # Fixed values, in milliseconds.
 REPEAT_MS, SLACK_MS, BLACKOUT_MS, SHORTEST_MS = 3000, 2000, 50_000, 1000
 
@@ -221,19 +223,22 @@ def store_stream(plays: DataFrame, folder: str, checkpoint: str, **trigger: obje
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
         day = F.to_date("played_at")
-        rows = rows.withColumn("day", day).persist()
+        rows = rows.withColumn("day", day)
         touched = rows.select("user_id", F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))).alias("day")).distinct()
-        try:
-            old = spark.read.parquet(folder).join(touched, ["user_id", "day"], "left_semi").select(rows.columns)
-            rows = rows.unionByName(old)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        before = None
+        if exists(spark, folder):
+            stored = spark.read.parquet(folder).withColumn("day", F.col("day").cast("date")).join(touched, ["user_id", "day"], "left_semi")
+            before = checkpointed(stored.select("user_id", "day").distinct())
+            rows = rows.unionByName(stored.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]))
         rows = rows.dropDuplicates(["user_id", "source", "track_uri", "played_at"])
         merged = reconcile(rows.filter("source = 'watch'").drop("source"), rows.filter("source = 'recent'").drop("source")).withColumnRenamed("how", "source")
         # Cut from the files that are about to be replaced.
-        done = merged.select("user_id", "played_at", "track_uri", "track_name", "artist_name", "album_name", "ms_played", "source", F.to_date("played_at").alias("day")).checkpoint()
+        done = checkpointed(merged.select("user_id", "played_at", "track_uri", "track_name", "artist_name", "album_name", "ms_played", "source", F.to_date("played_at").alias("day")))
         done.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("user_id", "day").parquet(folder)
+        # An overwrite leaves days alone that have lost their last play.
+        for r in before.join(done, ["user_id", "day"], "left_anti").collect() if before is not None else []:
+            system, path = file_system(spark, f"{folder}/user_id={r['user_id']}/day={r['day']}")
+            system.delete(path, True)
 
     return plays.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

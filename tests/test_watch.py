@@ -85,3 +85,25 @@ def test_stream_gives_the_same_plays(spark, tmp_path):
     got = spark.read.schema(watch.FINISHED).parquet(str(tmp_path / "out")).toPandas()
     assert set(got["track_uri"]) >= {"u1", "u2"}
     assert isinstance(got, pd.DataFrame) and int(got.loc[got["track_uri"] == "u1", "ms_played"].iloc[0]) == 35_000
+
+
+def _captured(spark, rows):
+    at = dt.datetime(2024, 1, 1, 23, 59, 50)
+    made = [(1, at + dt.timedelta(seconds=s), u, "t", "a", "b", 1000, source) for s, u, source in rows]
+    return spark.createDataFrame(made, "user_id long, played_at timestamp, track_uri string, track_name string, artist_name string, album_name string, ms_played long, source string")
+
+
+def test_stored_days_hold_measured_plays_in_either_order_of_arrival(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "days")
+
+    def arrive(rows):
+        made = _captured(spark, rows)
+        made.coalesce(1).write.mode("append").parquet(source)
+        query = watch.store_stream(spark.readStream.schema(made.schema).parquet(source), folder, str(tmp_path / "ck"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return sorted((r.track_uri, r.source, r.played_at.second) for r in spark.read.parquet(folder).collect())
+
+    assert arrive([(0, "x", "recent"), (100, "y", "watch")]) == [("x", "recent", 50), ("y", "watch", 30)]
+    # The measured play ends twenty seconds later, past midnight; a repeat changes nothing.
+    assert arrive([(20, "x", "watch"), (170, "z", "recent"), (100, "y", "watch")]) == [("x", "watch", 10), ("y", "watch", 30), ("z", "recent", 40)]
