@@ -111,32 +111,35 @@ def _candidates(path: str, start: int, size: int, archive: int) -> list[tuple[in
 
 
 def ranges(spark: SparkSession, folder: str, size: int = RANGE) -> DataFrame:
-    """(path, start, size, archive) of the byte ranges of all archives; contents aren't read."""
+    """(path, file, start, size, archive) of the byte ranges of all archives; contents aren't read.
+
+    ``file`` is a hash of the path that stands for it in the tables of offsets.
+    """
     files = spark.read.format("binaryFile").load(folder).select("path", "length").filter("length > 0")
     cut = files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))))
-    return cut.select("path", (F.col("part") * size).alias("start"), F.lit(size).cast("long").alias("size"), F.col("length").alias("archive"))
+    return cut.select("path", F.xxhash64("path").alias("file"), (F.col("part") * size).alias("start"), F.lit(size).cast("long").alias("size"), F.col("length").alias("archive"))
 
 
 def _exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, start, size, archive in zip(batch["path"], batch["start"], batch["size"], batch["archive"], strict=True):
+        for path, file, start, size, archive in zip(batch["path"], batch["file"], batch["start"], batch["size"], batch["archive"], strict=True):
             found = _candidates(path, start, size, archive)
             inside: dict[int, int] = {}
             for at, following in reversed(found):
                 inside[at] = inside.get(following, following)
-            yield pd.DataFrame({"path": path, "start": start, "at": [a for a, _ in found], "leaves": [inside[a] for a, _ in found]}).astype({"at": "int64", "leaves": "int64"})
+            yield pd.DataFrame({"file": file, "at": [a for a, _ in found], "leaves": [inside[a] for a, _ in found]}).astype({"file": "int64", "at": "int64", "leaves": "int64"})
 
 
 def reachable(candidates: DataFrame, rounds: int) -> DataFrame:
-    """(path, at) of range entries that the chain from offset 0 passes, by pointer jumping."""
-    entry = candidates.select("path", F.col("leaves").alias("at")).union(candidates.select("path", F.lit(0).cast("long"))).distinct()
-    jump = written(candidates.join(entry, ["path", "at"]).select("path", "at", "leaves"), "warc-jump")
-    reached = written(jump.select("path").distinct().select("path", F.lit(0).cast("long").alias("at")), "warc-reached")
+    """(file, at) of range entries that the chain from offset 0 passes, by pointer jumping."""
+    entry = candidates.select("file", F.col("leaves").alias("at")).union(candidates.select("file", F.lit(0).cast("long"))).distinct()
+    jump = written(candidates.join(entry, ["file", "at"]).select("file", "at", "leaves"), "warc-jump")
+    reached = written(jump.select("file").distinct().select("file", F.lit(0).cast("long").alias("at")), "warc-reached")
     for _ in range(rounds):
-        onward = reached.join(jump, ["path", "at"]).select("path", F.col("leaves").alias("at"))
+        onward = reached.join(jump, ["file", "at"]).select("file", F.col("leaves").alias("at"))
         reached = written(reached.union(onward).distinct(), "warc-reached")
-        further = jump.select("path", F.col("at").alias("leaves"), F.col("leaves").alias("far"))
-        jump = written(jump.join(further, ["path", "leaves"]).select("path", "at", F.col("far").alias("leaves")), "warc-jump")
+        further = jump.select("file", F.col("at").alias("leaves"), F.col("leaves").alias("far"))
+        jump = written(jump.join(further, ["file", "leaves"]).select("file", "at", F.col("far").alias("leaves")), "warc-jump")
     return reached
 
 
@@ -188,12 +191,12 @@ def read_archives(spark: SparkSession, folder: str, *, range_bytes: int = RANGE,
     cut = written(ranges(spark, folder, range_bytes), "warc-ranges")
     total = cut.agg(F.count("*").alias("n"), F.max("archive").alias("largest")).first()
     spread = cut.repartition(max(1, min(total["n"], 10_000)), "path", "start")
-    found = written(spread.mapInPandas(_exits, "path string, start long, at long, leaves long"), "warc-candidates")
+    found = written(spread.mapInPandas(_exits, "file long, at long, leaves long"), "warc-candidates")
     many = -(-(total["largest"] or 1) // range_bytes)
-    reached = reachable(found.select("path", "at", "leaves"), max(1, (many - 1).bit_length()))
+    reached = reachable(found, max(1, (many - 1).bit_length()))
     first = reached.withColumn("start", F.floor(F.col("at") / range_bytes) * range_bytes)
     # The chain enters a range once: at the least reachable offset in it.
-    entries = first.groupBy("path", "start").agg(F.min("at").alias("at")).join(cut, ["path", "start"]).select("path", "start", "size", "at")
+    entries = first.groupBy("file", "start").agg(F.min("at").alias("at")).join(cut, ["file", "start"]).select("path", "start", "size", "at")
     return written(entries, "warc-entries").repartition(max(1, min(total["n"], 10_000)), "path", "start").mapInPandas(_reader(with_payload), _RECORD)
 
 
