@@ -6,8 +6,8 @@ where matches start, in code points.
 
 What stands around a value can give it away as well.  The information-theoretic step
 estimates that from the corpus.  A value is protected; its contexts are the ``WINDOW`` words
-on either side of each occurrence, each different context counted once, so that copies of a
-document add nothing.  For a value c and a word t of its contexts
+on either side of each occurrence.  Occurrences with the same 200 characters before and
+after are one context, so that copies of a document add nothing.  For a value c and a word t of its contexts
 
     PMI(c; t) = log2( p(c, t) / (p(c) p(t)) )      and      IC(c) = -log2 p(c)
 
@@ -131,8 +131,9 @@ def risky_terms(hits: DataFrame, based: DataFrame) -> DataFrame:
     # A word that the stretch of text cuts is left out; each side has at most WINDOW words.
     left = F.slice(F.reverse(_words(F.regexp_replace("before", r"^\S*\s", " "))), 1, WINDOW)
     right = F.slice(_words(F.regexp_replace("after", r"\s\S*$", " ")), 1, WINDOW)
-    seen = written(hits.select("__id", "value", F.array_sort(F.array_distinct(F.concat(left, right))).alias("terms")), "pii-seen")
-    contexts = seen.select("value", "terms").distinct()
+    around = F.xxhash64("before", "after").alias("around")
+    seen = written(hits.select("__id", "value", around, F.array_sort(F.array_distinct(F.concat(left, right))).alias("terms")), "pii-seen")
+    contexts = seen.select("value", "around", "terms").distinct()
     values = contexts.groupBy("value").agg(F.count("*").alias("n_value"))
     pairs = contexts.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
     whole = float(max(based.count(), 1))
