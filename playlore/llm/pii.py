@@ -40,7 +40,7 @@ _PATTERN = {
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Words on either side of a value; different contexts needed; shares of the value's
 #: information from which a word is generalised and removed.
-WINDOW, SUPPORT, GENERALISED, REMOVED = 4, 3, 0.8, 0.95
+WINDOW, SUPPORT, GENERALISED, REMOVED = 4, 3, 0.6, 0.9
 #: Most terms that are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 _WORD = r"[^\s\p{Punct}]{3,}+"
@@ -138,7 +138,7 @@ def risky_terms(hits: DataFrame, based: DataFrame) -> DataFrame:
     pairs = contexts.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
     whole = float(max(based.count(), 1))
     # PMI >= GENERALISED * IC says at most this many documents may hold the term.
-    most = F.col("n_both") * F.pow(whole / F.col("n_value"), F.lit(1 - GENERALISED))
+    most = F.col("n_both") * F.pow(whole / F.col("n_value"), F.lit(1 - GENERALISED)) * (1 + 1e-9)
     # At least those hold it that have it beside some value: that rules common words out
     # before the documents are read for the count.
     beside = seen.select("__id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("__id").alias("at_least"))

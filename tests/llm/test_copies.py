@@ -276,6 +276,15 @@ def test_terms_that_give_a_value_away(spark):
     assert clean[100].text == rows[8][1] and clean[501].text is None
 
 
+def test_terms_from_six_tenths_are_generalised_and_from_nine_removed(spark):
+    rows = [(i, f"item{i} quorvath zebulon jo@x.org number{i} here") for i in range(10)]
+    rows += [(i, f"zebulon stands alone {i}") for i in range(10, 40)] + [(i, f"quorvath stands alone {i}") for i in range(40, 44)]
+    rows += [(i, f"something else {i}") for i in range(44, 1000)]
+    got = {r.doc_id: r.spans for r in pii.pii_spans(spark.createDataFrame(rows, DOC)).collect()}
+    # Shares log(1000 / 40) / log(1000 / 10) = 0.70 and log(1000 / 14) / log(1000 / 10) = 0.93.
+    assert {"removed:6:14", "term:15:22"} <= set(got[3].split(","))
+
+
 def test_sanitising_keeps_rows_and_columns(spark):
     rows = [(None, "a@b.cc", "x", "y"), (1, "a@b.cc +1 555 123 4567", "x", "y"), (1, "a@b.cc +1 555 123 4567", "x", "y"), (2, "", "x", "y")]
     docs = spark.createDataFrame(rows, DOC + ", base string, value string")
