@@ -23,8 +23,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return near_dedup.drop_near_duplicates(docs)
+    """Of each group of near-duplicates, at a similarity of 0.8 or more, the document with the smallest id stays."""
+    return near_dedup.drop_near_duplicates(docs, similarity=80)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Near-duplicates by MinHash with tensored banding.
 
-A document is its set of five-word shingles.  ``HALVES`` half keys of ``WIDTH`` minhashes
-each are computed, and a table is formed for every pair of half keys: 56 minhashes serve 91
-tables of eight, where separate tables would need 728.  Two documents meet in some table as
-soon as two of their half keys agree; at the similarity of 0.85 that fails for one pair in
-two thousand, and a pair of the same component usually has other ways to be joined.
+A document is its set of five-word shingles.  Half keys of ``WIDTH`` minhashes each are
+computed, and a table is formed for every pair of half keys.  Two documents meet in some
+table as soon as two of their half keys agree.  The number of half keys follows from the
+similarity asked for (``tensoring``), so that a pair at just that similarity is missed with a
+probability of at most ``MISSED``, and a pair of the same component usually has other ways
+to be joined.  At 0.85 these are 14 half keys: 56 minhashes serve 91 tables of eight, where
+separate tables would need 728.  At 0.8 they are 20, and 190 tables.
 
 Documents with equal sets are one class, and all further work is on classes:
 
@@ -26,7 +28,10 @@ of the texts as a bitmap of bounded size, so the texts themselves are not shuffl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,18 +43,50 @@ from .common import bounded_batches, written
 from .components import components
 
 WORDS = 5
-HALVES, WIDTH = 14, 4
-#: A pair of similarity 0.85 agrees in so few of 56 minhashes about once in a million.
-LEAST_AGREEING = 33
+WIDTH = 4
+#: Hundredths of similarity from which documents are linked, unless it is given.
+SIMILARITY = 85
+#: How often a pair at the similarity may meet in no table, and may agree in too few minhashes.
+MISSED, RULED_OUT = 6e-4, 2e-6
 #: Classes and shingles of one side of a block.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: Bits of the largest bitmap of ids; a word of 64 bits is a row, so at most 2**20 rows are broadcast.
 BITMAP = 1 << 26
 
 _CLASSES = W.byte_classes(separators=b" \t\n\x0b\x0c\r")
-_rng = np.random.default_rng(5)
-_A = _rng.integers(1, 1 << 62, HALVES * WIDTH, dtype=np.int64).astype(W.U64) * W.U64(2) + W.U64(1)
-_B = _rng.integers(1, 1 << 62, HALVES * WIDTH, dtype=np.int64).astype(W.U64)
+
+
+class Tensoring(NamedTuple):
+    """A similarity in hundredths, its number of half keys, and the fewest minhashes that agree."""
+
+    similarity: int
+    halves: int
+    least_agreeing: int
+
+    def reached(self, part: Column | np.ndarray | int, whole: Column | np.ndarray | int) -> Column | np.ndarray | bool:
+        return 100 * part >= self.similarity * whole
+
+
+@lru_cache
+def tensoring(similarity: int = SIMILARITY) -> Tensoring:
+    """The fewest half keys that meet ``MISSED`` at a similarity, and the bound that meets ``RULED_OUT``."""
+    if not 50 <= similarity <= 100:
+        raise ValueError(f"a similarity of 50 to 100 hundredths is needed, not {similarity}")
+    s = similarity / 100
+    p, halves = s**WIDTH, 2
+    while (1 - p) ** halves + halves * p * (1 - p) ** (halves - 1) > MISSED:
+        halves += 1
+    n, least, below = halves * WIDTH, 0, 0.0
+    while (below := below + math.comb(n, least) * s**least * (1 - s) ** (n - least)) <= RULED_OUT:
+        least += 1
+    return Tensoring(similarity, halves, least)
+
+
+@lru_cache
+def _functions(many: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 1 << 62, many, dtype=np.int64).astype(W.U64) * W.U64(2) + W.U64(1)
+    return a, rng.integers(1, 1 << 62, many, dtype=np.int64).astype(W.U64)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -57,45 +94,49 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(W.shingles(W.words(W.LOWER[W.utf8(text)], _CLASSES)[2], WORDS))
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
+def minhashes(shingles: np.ndarray, many: int) -> np.ndarray:
     """Upper halves of the least values under each of the hash functions, as 32-bit integers."""
-    low = np.full(len(_A), np.iinfo(np.uint64).max, W.U64)
+    a, b = _functions(many)
+    low = np.full(many, np.iinfo(np.uint64).max, W.U64)
     for start in range(0, len(shingles), 2048):
         part = shingles[start : start + 2048, None]
-        np.minimum(low, (part * _A + _B).min(axis=0), out=low)
+        np.minimum(low, (part * a + b).min(axis=0), out=low)
     return (low >> W.U64(32)).astype(np.uint32).view(np.int32)
 
 
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            s = shingle_set(text)
-            digest = (s.sum(dtype=W.U64), W.mix(s ^ W.U64(0x5BD1E9955BD1E995)).sum(dtype=W.U64))
-            rows.append((len(s), *(int(np.uint64(d).view(np.int64)) for d in digest), minhashes(s) if len(s) else None))
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **{c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "set_a", "set_b", "signature"))}})
+def _signatures(many: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                s = shingle_set(text)
+                digest = (s.sum(dtype=W.U64), W.mix(s ^ W.U64(0x5BD1E9955BD1E995)).sum(dtype=W.U64))
+                rows.append((len(s), *(int(np.uint64(d).view(np.int64)) for d in digest), minhashes(s, many) if len(s) else None))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **{c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "set_a", "set_b", "signature"))}})
 
+    return sign
 
-def signatures(docs: DataFrame) -> DataFrame:
+
+def signatures(docs: DataFrame, how: Tensoring) -> DataFrame:
     """doc_id, size of the shingle set, 128-bit digest of the set, and minhashes."""
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(_signatures, _SIGNED)
+    return docs.select("doc_id", "text").mapInPandas(_signatures(how.halves * WIDTH), _SIGNED)
 
 
 def _class_table(signed: DataFrame) -> DataFrame:
     return signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
+def _buckets(classes: DataFrame, how: Tensoring) -> DataFrame:
     """(bucket, half, key, rep), the first of the two half keys with it: the members of each table's buckets, less half keys that occur once."""
-    halves = written(classes.select("rep", F.posexplode(_half_keys()).alias("half", "key")), "near-halves")
+    halves = written(classes.select("rep", F.posexplode(_half_keys(how)).alias("half", "key")), "near-halves")
     shared = written(halves.groupBy("half", "key").agg(F.count("*").alias("c")).filter("c > 1").select("half", "key"), "near-shared")
     left = halves.join(shared, ["half", "key"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("half", "key"))).alias("held"))
     first = left.select("rep", "held", F.posexplode("held").alias("at", "one"))
-    second = first.select("rep", "one", F.explode(F.expr("slice(held, at + 2, 64)")).alias("two"))
+    second = first.select("rep", "one", F.explode(F.expr("slice(held, at + 2, size(held))")).alias("two"))
     return second.select(F.xxhash64("one.half", "two.half", "one.key", "two.key").alias("bucket"), "one.half", "one.key", "rep")
 
 
@@ -104,12 +145,12 @@ def _agreeing() -> Column:
     return F.aggregate(same, F.lit(0), lambda total, x: total + x)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, how: Tensoring) -> DataFrame:
     """Pairs (a, b) that sizes and minhashes don't rule out."""
     a = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"))
     b = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"))
-    sized = pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= 85 * F.greatest("n_a", "n_b"))
-    return sized.filter(_agreeing() >= LEAST_AGREEING).select("a", "b")
+    sized = pairs.join(a, "a").join(b, "b").filter(how.reached(F.least("n_a", "n_b"), F.greatest("n_a", "n_b")))
+    return sized.filter(_agreeing() >= how.least_agreeing).select("a", "b")
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,24 +176,27 @@ def sets_of(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
     return picked.select("doc_id", "text").mapInPandas(_sets, "id long, shingles binary")
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch["of_a"], batch["of_b"], strict=True):
-            x, y = np.frombuffer(x, W.U64), np.frombuffer(y, W.U64)
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            linked.append(100 * common >= 85 * (len(x) + len(y) - common))
-        yield batch.loc[linked, ["a", "b"]]
+def _confirm(how: Tensoring) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch["of_a"], batch["of_b"], strict=True):
+                x, y = np.frombuffer(x, W.U64), np.frombuffer(y, W.U64)
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                linked.append(how.reached(common, len(x) + len(y) - common))
+            yield batch.loc[linked, ["a", "b"]]
+
+    return confirm
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, how: Tensoring) -> DataFrame:
     """Those of the pairs (a, b) of ids whose full shingle sets are similar enough."""
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(b, "b").join(a, "a").mapInPandas(_confirm, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").mapInPandas(_confirm(how), "a long, b long")
 
 
-def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+def _block_links(rows: pd.DataFrame, how: Tensoring) -> pd.DataFrame:
     """Links across components between the two sides of a block, enough to join what they join.
 
     An index from shingle to members gives each member's number of shingles in common with
@@ -176,14 +220,14 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     for i in sides[0]:
         same = keys[right] == keys[i]
         # The pair belongs here if this is the first half key that both share, and not the only one.
-        due = same[:, half] & ~same[:, :half].any(axis=1) & (same.sum(axis=1) > 1) & (label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= 85 * np.maximum(n[right], n[i]))
+        due = same[:, half] & ~same[:, :half].any(axis=1) & (same.sum(axis=1) > 1) & (label[right] != label[i]) & how.reached(np.minimum(n[right], n[i]), np.maximum(n[right], n[i]))
         if not due.any():
             continue
         low, high = tokens.searchsorted(shingles[i]), tokens.searchsorted(shingles[i], "right")
         some = high > low
         held = [owner[a:b] for a, b in zip(low[some], high[some], strict=True)]
         common = np.bincount(np.concatenate(held), minlength=len(right)) if held else np.zeros(len(right), int)
-        for j in np.flatnonzero(due & (100 * common >= 85 * (n[right] + n[i] - common))):
+        for j in np.flatnonzero(due & how.reached(common, n[right] + n[i] - common)):
             other = right[j]
             if label[other] != label[i]:
                 found.append((rows["rep"].iat[i], rows["rep"].iat[other]))
@@ -191,56 +235,57 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _half_keys() -> Column:
-    return F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * WIDTH + 1, WIDTH)) for i in range(HALVES)])
+def _half_keys(how: Tensoring) -> Column:
+    return F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * WIDTH + 1, WIDTH)) for i in range(how.halves)])
 
 
-def _links_across(buckets: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_across(buckets: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFrame, how: Tensoring) -> DataFrame:
     """Confirmed links between components in buckets that hold several of them."""
     member = written(buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "half", "key", "rep", F.coalesce("component", "rep").alias("component")), "near-members")
     several = written(member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size"), "near-open")
     held = written(member.join(several, "bucket").select("bucket", "size", "half", "key", "rep", "component"), "near-held")
     # A bucket of two is one pair.
     two = held.filter("size = 2").groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b").distinct()
-    pairs = confirmed(written(_plausible(two, classes), "near-two"), sets)
+    pairs = confirmed(written(_plausible(two, classes, how), "near-two"), sets, how)
     # Larger buckets of one half key are compared together.
-    more = written(held.filter("size > 2").select("half", "key", "rep", "component").distinct().join(classes.select("rep", "n", _half_keys().alias("keys")), "rep"), "near-more")
+    more = written(held.filter("size > 2").select("half", "key", "rep", "component").distinct().join(classes.select("rep", "n", _half_keys(how).alias("keys")), "rep"), "near-more")
     cuts = more.groupBy("half", "key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("cuts"))
     cut = more.join(written(cuts, "near-cuts"), ["half", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cuts")))
     # Part i meets part j in the block (i, j), i <= j; the part with the smaller number is side 0.
     placed = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select(
         "half", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "component", "n", "keys"
     )
-    blocks = placed.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("half", "key", "i", "j").applyInPandas(_block_links, "a long, b long")
+    blocks = placed.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("half", "key", "i", "j").applyInPandas(lambda rows: _block_links(rows, how), "a long, b long")
     return pairs.unionByName(blocks)
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, how: Tensoring) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to join all that belong together."""
-    buckets = written(_buckets(classes), "near-buckets")
+    buckets = written(_buckets(classes, how), "near-buckets")
     centres = written(buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("bucket", "a"), "near-centres")
     shared = written(buckets.join(centres, "bucket").select("bucket", "half", "key", "a", "rep"), "near-shared-buckets")
     needed = written(shared.select("rep").distinct(), "near-needed")
     sets = written(sets_of(docs, needed, needed.count()), "near-sets")
     stars = shared.filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    known = written(confirmed(written(_plausible(stars, classes), "near-stars"), sets), "near-links")
+    known = written(confirmed(written(_plausible(stars, classes, how), "near-stars"), sets, how), "near-links")
     found = written(components(known), "near-components")
-    return known.unionByName(written(_links_across(shared.drop("a"), classes, found, sets), "near-across"))
+    return known.unionByName(written(_links_across(shared.drop("a"), classes, found, sets, how), "near-across"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document.
 
     Words are runs without white space, after lower-casing A-Z; a text of one to four words
     has its whole sequence as only shingle.  Texts that are null or have no word have an
     empty set and are linked with nothing.  Two documents are linked at a similarity of at
-    least 0.85, and component_id is the smallest id that links reach.  A row without an id
+    least ``similarity`` hundredths, and component_id is the smallest id that links reach.  A row without an id
     is linked with nothing: its component_id is null, and it is kept.  Rows that repeat an
     id are placed each by its own text.  An empty table gives an empty result.
     """
-    signed = written(signatures(docs), "near-signed")
+    how = tensoring(similarity)
+    signed = written(signatures(docs, how), "near-signed")
     classes = written(_class_table(signed), "near-classes")
-    found = components(links(docs, classes))
+    found = components(links(docs, classes, how))
     placed = written(classes.select("set_a", "set_b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")), "near-placed")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     rows = signed.select("doc_id", "n_shingles", "set_a", "set_b")
@@ -249,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with their columns."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, similarity=similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -148,6 +148,23 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_near_copies_from_four_fifths_leave_the_pipeline(spark):
+    import corpus_pipeline
+
+    assert near_dedup.tensoring(85)[1:] == (14, 33)
+    # 104 words of which the last 10 (11 or 12) differ: 90 (89, 88) of 110 (111, 112) shingles are shared.
+    rows = []
+    for i in range(60):
+        base, other = [f"b{i}w{k}" for k in range(104)], [f"c{i}w{k}" for k in range(104)]
+        n = 10 + i % 3
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-n] + other[-n:]))]
+    docs = spark.createDataFrame(rows, DOC)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    # 90 / 110 = 0.82 and 89 / 111 = 0.802 go; 88 / 112 = 0.79 stays, and so does all at 0.85.
+    assert kept == {i for i in range(120) if i % 2 == 0 or i // 2 % 3 == 2}
+    assert all(r.kept for r in near_dedup.near_duplicates(docs).collect())
+
+
 def test_neighbours_by_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((1500, 16)).astype(np.float32)
