@@ -6,16 +6,17 @@ where matches start, in code points.
 
 What stands around a value can give it away as well.  The information-theoretic step
 estimates that from the corpus.  A value is protected; its contexts are the ``WINDOW`` words
-on either side of each occurrence.  Occurrences with the same 200 characters before and
-after are one context, so that copies of a document add nothing.  For a value c and a word t of its contexts
+on either side of each occurrence.  Everything is counted over different texts, so that
+copies of a document add nothing to any count.  For a value c and a word t of its contexts
 
     PMI(c; t) = log2( p(c, t) / (p(c) p(t)) )      and      IC(c) = -log2 p(c)
 
-are taken over all documents, p(t) being the share of documents that hold t.  A word whose
+are taken over all texts, p(t) being the share of texts that hold t.  A word whose
 PMI reaches ``REMOVED`` of IC(c) tells (nearly) which value it stands with, and is removed
 wherever it stands in a document that holds the value; between ``GENERALISED`` and that it
-is replaced by a general term.  A word needs ``SUPPORT`` different contexts with the value,
-since one meeting is no estimate.
+is replaced by a general term.  A word needs ``SUPPORT`` different surroundings with the
+value (the 200 characters before and after it), since one meeting is no estimate and texts
+that repeat a passage are one meeting.
 """
 
 from __future__ import annotations
@@ -41,8 +42,6 @@ _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Words on either side of a value; different contexts needed; shares of the value's
 #: information from which a word is generalised and removed.
 WINDOW, SUPPORT, GENERALISED, REMOVED = 4, 3, 0.6, 0.9
-#: Most terms that are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_TERMS = 100_000
 _WORD = r"[^\s\p{Punct}]{3,}+"
 
 
@@ -109,44 +108,41 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0)
 
 
-def _hits(based: DataFrame) -> DataFrame:
-    """(id, value, before, after) of every base span: the text on either side of it."""
+def _hits(based: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, value, before and after of every base span: the text on either side of it."""
     # explode_outer, as explode would have the patterns evaluated once more to filter rows.
-    held = based.select("__id", "body", F.explode_outer("base").alias("hit")).filter(F.col("hit.value").isNotNull())
+    held = based.select(*columns, "body", F.explode_outer("base").alias("hit")).filter(F.col("hit.value").isNotNull())
     before = F.expr("substring(body, greatest(hit.start - 199, 1), hit.start - greatest(hit.start - 199, 1) + 1)")
     after = F.expr("substring(body, hit.end + 1, 200)")
-    return held.select("__id", F.lower("hit.value").alias("value"), before.alias("before"), after.alias("after"))
+    return held.select(*columns, F.lower("hit.value").alias("value"), before.alias("before"), after.alias("after"))
 
 
-def _holders(pairs: DataFrame, based: DataFrame) -> DataFrame:
-    """(term, n_term): how many of the documents hold each term of the pairs."""
-    terms = written(pairs.select("term").distinct(), "pii-terms")
-    small = terms.count() <= BROADCAST_TERMS
-    every = based.select(F.explode(F.array_distinct(_words(F.col("body")))).alias("term"))
-    return every.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+def _holders(texts: DataFrame, name: str) -> DataFrame:
+    """(term, ``name``): how many of the different texts hold each word."""
+    return texts.select(F.explode(F.array_distinct(_words(F.col("body")))).alias("term")).groupBy("term").agg(F.count("*").alias(name))
 
 
-def risky_terms(hits: DataFrame, based: DataFrame) -> DataFrame:
-    """(value, term, removed): words that give a value away, from all documents."""
+def risky_terms(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(value, term, removed): words that give a value away, from all different texts."""
+    # Copies meet in the map side already, and each text is read once for whatever is counted.
+    texts = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body")).distinct(), "pii-texts")
+    inside = written(find_base(texts, text_col="body").filter(F.size("base") > 0).select(F.sha2("body", 256).alias("of"), "body", "base"), "pii-inside")
     # A word that the stretch of text cuts is left out; each side has at most WINDOW words.
     left = F.slice(F.reverse(_words(F.regexp_replace("before", r"^\S*\s", " "))), 1, WINDOW)
     right = F.slice(_words(F.regexp_replace("after", r"\s\S*$", " ")), 1, WINDOW)
     around = F.xxhash64("before", "after").alias("around")
-    seen = written(hits.select("__id", "value", around, F.array_sort(F.array_distinct(F.concat(left, right))).alias("terms")), "pii-seen")
-    contexts = seen.select("value", "around", "terms").distinct()
-    values = contexts.groupBy("value").agg(F.count("*").alias("n_value"))
-    pairs = contexts.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    whole = float(max(based.count(), 1))
-    # PMI >= GENERALISED * IC says at most this many documents may hold the term.
+    seen = written(_hits(inside, "of").select("of", "value", around, F.array_distinct(F.concat(left, right)).alias("terms")), "pii-seen")
+    values = seen.groupBy("value").agg(F.countDistinct("of").alias("n_value"))
+    together = seen.select("value", "of", "around", F.explode("terms").alias("term"))
+    pairs = together.groupBy("value", "term").agg(F.countDistinct("of").alias("n_both"), F.countDistinct("around").alias("n_around")).filter(F.col("n_around") >= SUPPORT)
+    whole = float(max(texts.count(), 1))
+    # PMI >= GENERALISED * IC says at most this many texts may hold the term.
     most = F.col("n_both") * F.pow(whole / F.col("n_value"), F.lit(1 - GENERALISED)) * (1 + 1e-9)
-    # At least those hold it that have it beside some value: that rules common words out
-    # before the documents are read for the count.
-    beside = seen.select("__id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("__id").alias("at_least"))
-    pairs = written(pairs.join(values, "value").withColumn("most", most).join(beside, "term").filter(F.col("at_least") <= F.col("most")).select("value", "term", "n_both", "n_value", "most"), "pii-pairs")
-    # The documents that hold a value are a lower bound too, and only then all are read.
-    near = pairs.join(_holders(pairs, based.filter(F.size("base") > 0)).withColumnRenamed("n_term", "at_least"), "term")
-    pairs = written(near.filter(F.col("at_least") <= F.col("most")).select("value", "term", "n_both", "n_value"), "pii-pairs")
-    counted = _holders(pairs, based)
+    # The texts that hold a value are a lower bound, which rules common words out.
+    bounded = pairs.join(values, "value").join(_holders(inside, "at_least"), "term").filter(F.col("at_least") <= most)
+    pairs = written(bounded.select("value", "term", "n_both", "n_value"), "pii-pairs")
+    # Words are counted before they meet the pairs, so the rows don't grow with the terms looked for.
+    counted = _holders(texts, "n_term")
     pmi = F.log2(F.col("n_both") * whole / (F.col("n_value") * F.col("n_term")))
     share = pmi / F.greatest(F.log2(whole / F.col("n_value")), F.lit(1e-9))
     return pairs.join(counted, "term").withColumn("share", share).filter(F.col("share") >= GENERALISED).select("value", "term", (F.col("share") >= REMOVED).alias("removed"))
@@ -160,9 +156,9 @@ def find_all(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     found for it.
     """
     based = find_base(docs.withColumn("__id", F.col(id_col)), text_col=text_col)
-    held = written(_hits(based), "pii-hits")
-    risky = written(risky_terms(held, based), "pii-risky")
-    hits = held.select("__id", "value").distinct().join(risky, "value").groupBy("__id", "term").agg(F.max("removed").alias("removed"))
+    held = written(_hits(based, "__id").select("__id", "value").distinct(), "pii-hits")
+    risky = written(risky_terms(docs, text_col=text_col), "pii-risky")
+    hits = held.join(risky, "value").groupBy("__id", "term").agg(F.max("removed").alias("removed"))
     by_doc = written(hits.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("terms")), "pii-terms")
     joined = based.join(by_doc, "__id", "left")
     # Terms hold neither punctuation nor white space, so they stand for themselves in a pattern.

@@ -302,6 +302,14 @@ def test_terms_from_six_tenths_are_generalised_and_from_nine_removed(spark):
     assert {"removed:6:14", "term:15:22"} <= set(got[3].split(","))
 
 
+def test_copies_of_a_text_do_not_hide_its_terms(spark):
+    texts = [f"item{i} zebulon jo@x.org number{i} here" for i in range(3)]
+    rows = [(i, texts[0]) for i in range(1000)] + [(1000, texts[1]), (1001, texts[2])]
+    rows += [(i, f"something else {i}") for i in range(1002, 3000)]
+    got = {r.doc_id: r.spans for r in pii.pii_spans(spark.createDataFrame(rows, DOC)).collect()}
+    assert all("removed:6:13" in got[i] for i in (0, 999, 1000, 1001))
+
+
 def test_sanitising_keeps_rows_and_columns(spark):
     rows = [(None, "a@b.cc", "x", "y"), (1, "a@b.cc +1 555 123 4567", "x", "y"), (1, "a@b.cc +1 555 123 4567", "x", "y"), (2, "", "x", "y")]
     docs = spark.createDataFrame(rows, DOC + ", base string, value string")
