@@ -5,8 +5,8 @@ positions come from cutting the text at the matches: where the pieces between ma
 where matches start, in code points.
 
 What stands around a value can give it away as well.  The information-theoretic step
-estimates that from the corpus.  A value is protected; its contexts are the ``WINDOW`` words
-on either side of each occurrence.  Everything is counted over different texts, so that
+estimates that from the corpus.  A value is protected; its contexts are the whole texts that
+hold it.  Everything is counted over different texts, so that
 copies of a document add nothing to any count.  For a value c and a word t of its contexts
 
     PMI(c; t) = log2( p(c, t) / (p(c) p(t)) )      and      IC(c) = -log2 p(c)
@@ -16,7 +16,8 @@ PMI reaches ``REMOVED`` of IC(c) tells (nearly) which value it stands with, and
 wherever it stands in a document that holds the value; between ``GENERALISED`` and that it
 is replaced by a general term.  A word needs ``SUPPORT`` different surroundings with the
 value (the 200 characters before and after it), since one meeting is no estimate and texts
-that repeat a passage are one meeting.
+that repeat a passage are one meeting.  They may also lie in one text where the word is among
+the ``WINDOW`` words on either side of the value each time.
 """
 
 from __future__ import annotations
@@ -109,12 +110,12 @@ def _words(text: Column) -> Column:
 
 
 def _hits(based: DataFrame, *columns: str) -> DataFrame:
-    """``columns``, value, before and after of every base span: the text on either side of it."""
+    """``columns``, value, before and after of every base span, and whether these reach the text's ends."""
     # explode_outer, as explode would have the patterns evaluated once more to filter rows.
     held = based.select(*columns, "body", F.explode_outer("base").alias("hit")).filter(F.col("hit.value").isNotNull())
     before = F.expr("substring(body, greatest(hit.start - 199, 1), hit.start - greatest(hit.start - 199, 1) + 1)")
     after = F.expr("substring(body, hit.end + 1, 200)")
-    return held.select(*columns, F.lower("hit.value").alias("value"), before.alias("before"), after.alias("after"))
+    return held.select(*columns, F.lower("hit.value").alias("value"), before.alias("before"), after.alias("after"), (F.col("hit.start") <= 200).alias("from_start"), (F.length("body") <= F.col("hit.end") + 200).alias("to_end"))
 
 
 def _holders(texts: DataFrame, name: str) -> DataFrame:
@@ -128,13 +129,19 @@ def risky_terms(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     texts = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body")).distinct(), "pii-texts")
     inside = written(find_base(texts, text_col="body").filter(F.size("base") > 0).select(F.sha2("body", 256).alias("of"), "body", "base"), "pii-inside")
     # A word that the stretch of text cuts is left out; each side has at most WINDOW words.
-    left = F.slice(F.reverse(_words(F.regexp_replace("before", r"^\S*\s", " "))), 1, WINDOW)
-    right = F.slice(_words(F.regexp_replace("after", r"\s\S*$", " ")), 1, WINDOW)
+    left = F.slice(F.reverse(_words(F.when(F.col("from_start"), F.col("before")).otherwise(F.regexp_replace("before", r"^\S*\s", " ")))), 1, WINDOW)
+    right = F.slice(_words(F.when(F.col("to_end"), F.col("after")).otherwise(F.regexp_replace("after", r"\s\S*$", " "))), 1, WINDOW)
     around = F.xxhash64("before", "after").alias("around")
     seen = written(_hits(inside, "of").select("of", "value", around, F.array_distinct(F.concat(left, right)).alias("terms")), "pii-seen")
-    values = seen.groupBy("value").agg(F.countDistinct("of").alias("n_value"))
-    together = seen.select("value", "of", "around", F.explode("terms").alias("term"))
-    pairs = together.groupBy("value", "term").agg(F.countDistinct("of").alias("n_both"), F.countDistinct("around").alias("n_around")).filter(F.col("n_around") >= SUPPORT)
+    values = seen.groupBy("value").agg(F.countDistinct("of").alias("n_value"), F.countDistinct("around").alias("n")).filter(F.col("n") >= SUPPORT)
+    values = written(values.select("value", "n_value"), "pii-values")
+    # Texts whose occurrences of the value have the same surroundings are one meeting.
+    surroundings = F.xxhash64(F.array_sort(F.collect_set("around"))).alias("around")
+    meetings = written(seen.join(values, "value").groupBy("value", "of").agg(surroundings), "pii-meetings")
+    held = meetings.join(inside.select("of", F.array_distinct(_words(F.col("body"))).alias("words")), "of").select("value", "around", F.explode("words").alias("term"))
+    together = held.groupBy("value", "around", "term").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_around"))
+    beside = seen.select("value", "around", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.countDistinct("around").alias("n_beside")).filter(F.col("n_beside") >= SUPPORT)
+    pairs = together.join(written(beside, "pii-beside"), ["value", "term"], "left").filter((F.col("n_around") >= SUPPORT) | F.col("n_beside").isNotNull())
     whole = float(max(texts.count(), 1))
     # PMI >= GENERALISED * IC says at most this many texts may hold the term.
     most = F.col("n_both") * F.pow(whole / F.col("n_value"), F.lit(1 - GENERALISED)) * (1 + 1e-9)

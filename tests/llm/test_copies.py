@@ -310,6 +310,18 @@ def test_copies_of_a_text_do_not_hide_its_terms(spark):
     assert all("removed:6:13" in got[i] for i in (0, 999, 1000, 1001))
 
 
+def test_terms_at_the_ends_of_texts_and_far_from_the_value(spark):
+    rows = [(i, f"item{i} on a@b.co John Smith") for i in range(4)] + [(10 + i, f"Alice Brown: c@d.co in item{i}") for i in range(4)]
+    rows += [(20 + i, "Initech wrote. " + f"plain{i} words " * 60 + "to e@f.co") for i in range(4)]
+    rows += [(30, " and ".join(f"near g@h.co globex far{i}" + " so on" * 40 for i in range(3)) + " hapax")]
+    rows += [(i, f"plain words and something else {i}") for i in range(100, 1000)]
+    got = {r.doc_id: r.spans for r in pii.pii_spans(spark.createDataFrame(rows, DOC)).collect()}
+    marked = {i: {t[int(x[1]) : int(x[2])] for s in got[i].split(",") if (x := s.split(":")) and x[0] in ("term", "removed")} for i, t in rows if got[i]}
+    assert {"John", "Smith"} <= marked[3] and {"Alice", "Brown"} <= marked[13] and "Initech" in marked[23]
+    assert not {"words", "item3"} & (marked[3] | marked[13] | marked[23])
+    assert "globex" in marked[30] and "hapax" not in marked[30]
+
+
 def test_sanitising_keeps_rows_and_columns(spark):
     rows = [(None, "a@b.cc", "x", "y"), (1, "a@b.cc +1 555 123 4567", "x", "y"), (1, "a@b.cc +1 555 123 4567", "x", "y"), (2, "", "x", "y")]
     docs = spark.createDataFrame(rows, DOC + ", base string, value string")
