@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import new_folder, written
 
 MAGIC = b"WARC/1.1\r\n"
+CLOSE = b"\r\n\r\n"
 RANGE = 8 << 20
-#: A header that isn't complete after this many bytes is none.
+#: Bytes read at first for a header; a longer one is read on to its end.
 HEADER = 64 << 10
 #: Payloads of fewer bytes are always stored, however often they recur.
 LEAST_REVISIT = 1000
@@ -85,7 +86,7 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Fields of a header at ``at`` and where its block begins; None if it isn't one."""
     if not data.startswith(MAGIC, at):
         return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
+    end = data.find(CLOSE, at)
     if end < 0:
         return None
     fields = {}
@@ -97,16 +98,32 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdecimal() and "warc-type" in fields else None
 
 
+def _read_on(f, data: bytes, at: int) -> bytes:
+    """``data``, with as much of the file after it as the header at ``at`` needs to end."""
+    seen = at
+    while data.find(CLOSE, seen) < 0 and (more := f.read(max(HEADER, len(data) - at))):
+        seen = max(at, len(data) - len(CLOSE) + 1)
+        data += more
+    return data
+
+
 def _candidates(path: str, start: int, size: int, archive: int) -> list[tuple[int, int]]:
-    """(offset, successor) of everything in a range that looks like a record."""
+    """(offset, successor) of everything in a range that looks like a record.
+
+    A record follows the two line ends that close the one before it, so no header is looked
+    for inside another and the range is gone through once, however long its headers are.
+    """
+    early = min(start, len(CLOSE))
     with _open(path) as f:
-        f.seek(start)
-        data = f.read(min(size + HEADER, archive - start))
-    found, at = [], data.find(MAGIC)
-    while 0 <= at < size:
-        if head := _header(data, at):
-            found.append((start + at, start + head[1] + int(head[0]["content-length"]) + 4))
-        at = data.find(MAGIC, at + 1)
+        f.seek(start - early)
+        data = f.read(min(early + size + HEADER, archive - start + early))
+        found, at = [], data.find(MAGIC, early)
+        while 0 <= at < early + size:
+            if start - early + at == 0 or data.endswith(CLOSE, 0, at):
+                data = _read_on(f, data, at)
+                if head := _header(data, at):
+                    found.append((start - early + at, start - early + head[1] + int(head[0]["content-length"]) + 4))
+            at = data.find(MAGIC, at + 1)
     return found
 
 
@@ -154,19 +171,20 @@ def _number(urn: str | None) -> int | None:
 def _reader(with_payload: bool):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, start, size, at in zip(batch["path"], batch["start"], batch["size"], batch["at"], strict=True):
+            for path, start, size, archive, at in zip(batch["path"], batch["start"], batch["size"], batch["archive"], batch["at"], strict=True):
                 rows = []
                 with _open(path) as f:
-                    while start <= at < start + size:
+                    while start <= at < min(start + size, archive):
                         f.seek(at)
-                        data = f.read(HEADER)
-                        head = _header(data, 0)
+                        head = _header(_read_on(f, f.read(HEADER), 0), 0)
                         if head is None:
-                            break
+                            raise ValueError(f"{path}: no record at byte {at} of {archive}")
                         fields, begin = head
                         length = int(fields["content-length"])
                         f.seek(at + begin)
                         payload = f.read(length)
+                        if at + begin + length + 4 > archive:
+                            raise ValueError(f"{path}: the record at byte {at} goes beyond the archive's {archive} bytes")
                         rows.append((path, at, _number(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields["warc-type"], hashlib.sha1(payload).hexdigest() if fields["warc-type"] == "response" else fields.get("warc-payload-digest", "").removeprefix("sha1:"), _number(fields.get("warc-refers-to")), len(payload), payload if with_payload else None))
                         at += begin + length + 4
                         if len(rows) >= 500:
@@ -186,7 +204,7 @@ def read_archives(spark: SparkSession, folder: str, *, range_bytes: int = RANGE,
     """The records of all archives in ``folder``: where they are, their fields and payloads.
 
     digest is computed from the payload of a response and taken from the header of a
-    revisit, whose payload is empty.  A chain that comes to something unreadable ends there.
+    revisit, whose payload is empty.  A chain that doesn't end where its archive ends is an error.
     """
     cut = written(ranges(spark, folder, range_bytes), "warc-ranges")
     total = cut.agg(F.count("*").alias("n"), F.max("archive").alias("largest")).first()
@@ -194,9 +212,11 @@ def read_archives(spark: SparkSession, folder: str, *, range_bytes: int = RANGE,
     found = written(spread.mapInPandas(_exits, "file long, at long, leaves long"), "warc-candidates")
     many = -(-(total["largest"] or 1) // range_bytes)
     reached = reachable(found, max(1, (many - 1).bit_length()))
-    first = reached.withColumn("start", F.floor(F.col("at") / range_bytes) * range_bytes)
+    # Where an archive begins is read whether or not it looks like a record, to tell if it doesn't.
+    starts = cut.filter("start = 0").select("file", F.col("start").alias("at"))
+    first = reached.union(starts).withColumn("start", F.floor(F.col("at") / range_bytes) * range_bytes)
     # The chain enters a range once: at the least reachable offset in it.
-    entries = first.groupBy("file", "start").agg(F.min("at").alias("at")).join(cut, ["file", "start"]).select("path", "start", "size", "at")
+    entries = first.groupBy("file", "start").agg(F.min("at").alias("at")).join(cut, ["file", "start"]).select("path", "start", "size", "archive", "at")
     return written(entries, "warc-entries").repartition(max(1, min(total["n"], 10_000)), "path", "start").mapInPandas(_reader(with_payload), _RECORD)
 
 

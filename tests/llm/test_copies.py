@@ -206,6 +206,23 @@ def test_archives_reject_magic_inside_payloads(spark, size):
     assert (got[501].record_type, got[501].refers_to) == ("revisit", 502) and got[502].record_type == "response"
 
 
+@pytest.mark.parametrize("size", [5000, 1 << 20])
+def test_archives_with_addresses_of_any_length(spark, size):
+    rows = [(i, "data:" + "x" * (300_000 if i % 7 == 3 else 65_480 + i), f"page {i} " + MAGIC * (i % 3)) for i in range(30)]
+    folder = new_folder(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    got = {r.id: (r.uri, bytes(r.payload).decode()) for r in warc.read_archives(spark, folder, range_bytes=size).collect()}
+    assert got == {i: (url, html) for i, url, html in rows}
+
+
+@pytest.mark.parametrize("text", ["no record", MAGIC[5:] + "no record", MAGIC[5:-8]])
+def test_archives_that_end_early_are_an_error(spark, text):
+    folder = new_folder(spark, "warc-test")
+    spark.createDataFrame([(text,)], "value string").write.option("lineSep", "\n").text(folder)
+    with pytest.raises(Exception, match="no record at byte|goes beyond"):
+        warc.read_archives(spark, folder).collect()
+
+
 def test_archives_of_nothing_and_of_short_equal_pages(spark):
     shape = "page_id long, url string, html string"
     assert warc.round_trip(spark.createDataFrame([], shape)).count() == 0
