@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,11 @@ from .common import bounded_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids one task remembers, and the longest piece that is remembered.
 REMEMBERED, LONGEST = 500_000, 64
+#: Characters of the texts that are encoded together; a longer text is encoded by itself.
+TOGETHER = 1 << 20
+# Tasks are what runs in parallel here; threads of the library's own in each of them only
+# wait for one another.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
 def byte_characters() -> list[str]:
@@ -90,7 +97,7 @@ class ForcedBoundaryBPE:
         parts, counts = self.fragments([p.encode("utf-8") for p in pieces])
         distinct = list(dict.fromkeys(parts))
         encoded = self.merger.encode_batch_fast([d.decode("latin-1").translate(self.table) for d in distinct], add_special_tokens=False)
-        packed = {d: np.array(e.ids, "<u4").tobytes() for d, e in zip(distinct, encoded, strict=True)}
+        packed = {d: array("I", e.ids).tobytes() for d, e in zip(distinct, encoded, strict=True)}
         made, at = {}, 0
         for piece, count in zip(pieces, counts.tolist(), strict=True):
             made[piece] = packed[parts[at]] if count == 1 else b"".join([packed[x] for x in parts[at : at + count]])
@@ -112,20 +119,29 @@ class ForcedBoundaryBPE:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= TOGETHER):
+                size += len(texts[stop])
+                stop += 1
+            out += self._encode_together(texts[start:stop])
+            start = stop
+        return out
+
+    def _encode_together(self, texts: list[str]) -> list[bytes]:
+        """Encode a few texts: what their pieces lack in the memory is learnt in one call."""
         known = self.known
-        for text in texts:
-            pieces = self._split(text)
-            fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-            if not fresh:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-                continue
-            made = self._learn([p for p in fresh if isinstance(p, str)]) if any(isinstance(p, str) for p in fresh) else {}
-            made |= {p: p.to_bytes(4, "little") for p in fresh if isinstance(p, int)}
-            here = {p: known[p] for p in dict.fromkeys(pieces) if p in known} | made
-            out.append(b"".join(map(here.__getitem__, pieces)))
-            if len(known) + len(made) > REMEMBERED:
-                known.clear()
-            known.update((p, ids) for p, ids in made.items() if isinstance(p, int) or len(p) <= LONGEST)
+        split = [self._split(text) for text in texts]
+        fresh = set().union(*(set(pieces).difference(known) for pieces in split))
+        known |= {p: p.to_bytes(4, "little") for p in fresh if isinstance(p, int)}
+        known |= self._learn([p for p in fresh if isinstance(p, str)])
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        if len(known) > REMEMBERED:
+            known.clear()
+        for p in fresh:
+            if isinstance(p, str) and len(p) > LONGEST:
+                known.pop(p, None)
         return out
 
     def encode(self, text: str) -> list[int]:
