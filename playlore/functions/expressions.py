@@ -79,6 +79,21 @@ def fractional_hour(ts: Column) -> Column:
     return F.hour(ts) + F.minute(ts) / 60 + F.second(ts) / 3600
 
 
+def into_hour(ts: Column) -> Column:
+    """How much of its hour has passed at a time, from 0 to 1."""
+    return F.round((F.minute(ts) + F.second(ts) / 60) / 60, 3)
+
+
+def weekday_name(ts: Column | str) -> Column:
+    """Mon, Tue, ... of a date or time."""
+    return F.date_format(ts, "EEE")
+
+
+def month_name(ts: Column | str) -> Column:
+    """Jan, Feb, ... of a date or time."""
+    return F.date_format(ts, "MMM")
+
+
 def distance_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance."""
     a = F.sin(F.radians(lat2 - lat1) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
@@ -88,7 +103,7 @@ def distance_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
 def geo_cell(lat: Column, lon: Column, places: int = 2) -> Column:
     """A coarse cell; null outside the bounds of latitude and longitude."""
     inside = lat.between(-90, 90) & lon.between(-180, 180)
-    return F.when(inside, F.concat_ws(",", F.round(lat, places).cast("string"), F.round(lon, places).cast("string")))
+    return F.when(inside, F.format_string(f"%.{places}f,%.{places}f", F.round(lat, places), F.round(lon, places)))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

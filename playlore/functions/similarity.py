@@ -38,3 +38,16 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def jaro_winkler(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_similar, "double")(a, b)
+
+
+def may_reach(a: Column | str, b: Column | str, floor: float) -> Column:
+    """Whether two names can be as near as ``floor`` at all, by their lengths and beginnings.
+
+    At best all letters of the shorter name stand in the longer one in order, and the common
+    beginning counts up to four letters; what this bound rules out needs no comparison.
+    """
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    begin = sum((F.substring(a, 1, n) == F.substring(b, 1, n)).cast("int") * (short >= n).cast("int") for n in range(1, 5))
+    jaro = (1 + short / long + 1) / 3
+    return (short > 0) & (jaro + begin * 0.1 * (1 - jaro) >= floor - 1e-9)

@@ -33,10 +33,12 @@ def card_genres(plays: DataFrame, genres: DataFrame) -> DataFrame:
 def day_streak(plays: DataFrame, as_of: dt.datetime, zone: str = S.ZONE, gaps: DataFrame | None = None) -> DataFrame:
     """(user_id, streak, start): consecutive local days up to today or yesterday; 0 if broken.
 
-    ``gaps(user_id, after, before)`` are stretches that no source observed; the days strictly
-    between count as played.
+    Any play makes a day, however short.  ``gaps(user_id, after, before)`` are stretches that
+    no source observed, by default those of ``unobserved``; the days strictly between count
+    as played.
     """
-    days = plays.filter(X.is_listen()).select("user_id", F.to_date(X.local("played_at", zone)).alias("day"))
+    days = plays.select("user_id", F.to_date(X.local("played_at", zone)).alias("day"))
+    gaps = unobserved(plays, zone) if gaps is None and "source" in plays.columns else gaps
     if gaps is not None:
         unseen = gaps.filter(F.datediff("before", "after") > 1).select("user_id", F.explode(F.sequence(F.date_add("after", 1), F.date_sub("before", 1))).alias("day"))
         days = days.unionByName(unseen)
@@ -50,6 +52,13 @@ def day_streak(plays: DataFrame, as_of: dt.datetime, zone: str = S.ZONE, gaps: D
     return newest.select("user_id", F.when(alive, F.col("run.n")).otherwise(0).alias("streak"), F.when(alive, F.col("run.start")).alias("start"))
 
 
+def unobserved(plays: DataFrame, zone: str = S.ZONE) -> DataFrame:
+    """(user_id, after, before): from the last local day of a listener's export to the first of capture."""
+    day = F.to_date(X.local("played_at", zone))
+    edges = plays.groupBy("user_id").agg(F.max(F.when(F.col("source") == "export", day)).alias("after"), F.min(F.when(F.col("source") == "live", day)).alias("before"))
+    return edges.filter("after IS NOT NULL AND before IS NOT NULL")
+
+
 def _top(made: DataFrame, value: str, *names: str, limit: int) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.desc(value), *names)
     return made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -88,23 +97,34 @@ def last_played(plays: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max("played_at").alias("played_at"), last.alias("l")).select("user_id", "played_at", "l.track_name", "l.artist_name", "l.track_uri")
 
 
+def _credit_keys(name: str) -> Column:
+    """(key, whole) for an act and each of its leading parts before a comma, in lower case."""
+    parts = F.split(F.lower(name), ", ")
+    leading = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), ", ").alias("key"), (n == F.size(parts)).alias("whole")))
+    return F.inline(leading)
+
+
 def pin_stats(plays: DataFrame, pins: DataFrame, zone: str = S.ZONE) -> DataFrame:
     """Hours, plays and first local day of each pin; zeros where it was never played.
 
     ``pins(user_id, pin, kind, uri, title, artist)``: a song matches by uri, or by title key
-    and act; an artist by act; an album by title key and act.
+    and act; an artist by act; an album by title key and act.  Plays are counted by song
+    before they meet the pins, once by uri and once by act: an act is joined under its whole
+    credit and under the credit's leading parts, of which one side's must be whole.
     """
-    p = pins.withColumn("pin_title", X.title_key("title")).withColumnRenamed("user_id", "pin_user")
-    rows = plays.select("user_id", "played_at", "track_uri", "artist_name", X.title_key("track_name").alias("t"), X.title_key("album_name").alias("al"), "ms_played")
-    act = F.coalesce(X.same_act(F.col("artist_name"), F.col("artist")), F.lit(False))
-    song = (F.col("track_uri") == F.col("uri")) | ((F.col("t") == F.col("pin_title")) & act)
-    hit = F.when(F.col("kind") == "song", song).when(F.col("kind") == "artist", act).otherwise((F.col("al") == F.col("pin_title")) & act)
-    joined = p.join(rows, (F.col("pin_user") == F.col("user_id")) & hit, "left")
     listen = F.col("ms_played") >= S.LISTEN_MS
-    return joined.groupBy(F.col("pin_user").alias("user_id"), "pin").agg(
-        F.round(F.coalesce(F.sum("ms_played"), F.lit(0)) / 3600000.0, 2).alias("hours"),
-        F.count_if(listen).alias("plays"),
-        F.to_date(F.min(F.when(listen, X.local("played_at", zone)))).alias("first_day"),
+    songs = plays.groupBy("user_id", "track_uri", "track_name", "artist_name", "album_name").agg(F.sum("ms_played").alias("ms"), F.count_if(listen).alias("n"), F.min(F.when(listen, F.col("played_at"))).alias("first"))
+    songs = songs.withColumns({"t": X.title_key("track_name"), "al": X.title_key("album_name")}).drop("track_name", "album_name")
+    asked = pins.select("user_id", "pin", "kind", "uri", X.title_key("title").alias("want"), "artist")
+    found = ["user_id", "pin", "track_uri", "artist_name", "t", "al", "ms", "n", "first"]
+    by_uri = songs.join(asked.filter("kind = 'song'").select("user_id", "pin", F.col("uri").alias("track_uri")), ["user_id", "track_uri"]).select(*found)
+    theirs = songs.select("*", _credit_keys("artist_name")).withColumnRenamed("whole", "whole_play")
+    named = asked.select("*", _credit_keys("artist")).drop("artist")
+    title = F.when(F.col("kind") == "song", F.col("t") == F.col("want")).when(F.col("kind") == "album", F.col("al") == F.col("want")).otherwise(F.lit(True))
+    by_act = theirs.join(named, ["user_id", "key"]).filter((F.col("whole") | F.col("whole_play")) & title).select(*found)
+    total = by_uri.unionByName(by_act).distinct().groupBy("user_id", "pin").agg(F.sum("ms").alias("ms"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    return pins.select("user_id", "pin").join(total, ["user_id", "pin"], "left").select(
+        "user_id", "pin", F.round(F.coalesce("ms", F.lit(0)) / 3600000.0, 2).alias("hours"), F.coalesce("n", F.lit(0)).alias("plays"), F.to_date(X.local("first", zone)).alias("first_day")
     )
 
 
@@ -114,18 +134,16 @@ def listener_shows(shows: DataFrame, plays: DataFrame, genres: DataFrame, fans:
     Rows are made for acts that the listener has heard, and for the listeners in ``asked``
     for all other shows too, which are ``new`` to them.
     """
-    known = artist_familiarity(plays).select("user_id", F.col("artist").alias("key"), "level", "hours", "days")
+    known = artist_familiarity(plays).select("user_id", F.col("artist").alias("key"), "level", "hours")
     if fans is not None:
         shows = shows.drop("fans").join(fans.select(F.lower("name").alias("fan_key"), "fans"), F.lower("artist") == F.col("fan_key"), "left").drop("fan_key")
-    near = known.select("user_id", "key").distinct()
-    keyed = shows.withColumn("key", F.lower("artist"))
-    view = keyed.join(near, "key").select("user_id", *keyed.columns)
+    named = with_genres(shows.withColumnRenamed("artist", "artist_name"), genres).withColumnRenamed("artist_name", "artist")
+    keyed = named.withColumn("key", F.lower("artist"))
+    view = keyed.join(known, "key")
     if asked:
-        every = keyed.withColumn("user_id", F.explode(F.array(*[F.lit(u).cast("long") for u in asked]))).select("user_id", *keyed.columns)
-        view = view.unionByName(every.join(near, ["user_id", "key"], "left_anti"))
-    seen = view.join(known, ["user_id", "key"], "left")
-    named = with_genres(seen.withColumnRenamed("artist", "artist_name"), genres)
-    return named.select("user_id", F.col("artist_name").alias("artist"), "date", "distance_mi", "fans", "genre", F.coalesce("level", F.lit("new")).alias("familiarity"), F.coalesce("hours", F.lit(0.0)).alias("hours"))
+        every = keyed.withColumn("user_id", F.explode(F.array(*[F.lit(u).cast("long") for u in asked])))
+        view = view.unionByName(every.join(known, ["user_id", "key"], "left_anti"), allowMissingColumns=True)
+    return view.select("user_id", "artist", "date", "distance_mi", "fans", "genre", F.coalesce("level", F.lit("new")).alias("familiarity"), F.coalesce("hours", F.lit(0.0)).alias("hours"))
 
 
 def filter_shows(shows: DataFrame, as_of: dt.date, *, familiarity: str | None = None, radius_mi: float = 50, within_days: int = 90, min_fans: int | None = None, max_fans: int | None = None, artists: tuple[str, ...] = (), genres: tuple[str, ...] = (), regions: DataFrame | None = None) -> DataFrame:
@@ -174,35 +192,62 @@ def namesakes(plays: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def resolve_names(plays: DataFrame, typed: DataFrame) -> DataFrame:
-    """The played artist that a typed name means: exact before whole words before close spelling.
-
-    ``typed(user_id, typed)``.  Names are compared by the listener's plays; within a tier of
-    spelling nearness goes first, then plays, then the name.  Close names are only compared if
-    they share one of their first two letters' pair or their length class, and have four
-    letters.
+    """The played name that a typed one means: exact before whole words before close spelling.
+
+    ``typed(user_id, typed)`` are artists; with a column ``kind`` (artist, track or album) and
+    optionally ``artists`` (lower-case names) titles are read too, and those named with their
+    artists are looked for among these artists' only.  Names are compared without version
+    tails, punctuation and case.  Within close spellings nearness goes first, then plays, then
+    the name.  Whole words and close spellings need four letters; a close spelling is compared
+    wherever the lengths and first letters of the two don't rule 0.9 out.
+    """
+    from playlore.functions.similarity import jaro_winkler, may_reach
+
+    asked = typed
+    if "kind" not in asked.columns:
+        asked = asked.withColumn("kind", F.lit("artist"))
+    if "artists" not in asked.columns:
+        asked = asked.withColumn("artists", F.lit(None).cast("array<string>"))
+    asked = asked.select("user_id", "typed", "kind", "artists", X.title_key(F.trim("typed")).alias("want")).filter("want <> ''")
+    kinds = (("artist", "artist_name"), ("track", "track_name"), ("album", "album_name"))
+    names = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in kinds])
+    counted = plays.select("user_id", F.lower("artist_name").alias("act"), F.inline(names)).filter("name IS NOT NULL")
+    counted = counted.groupBy("user_id", "kind", "name", F.when(F.col("kind") != "artist", F.col("act")).alias("act")).agg(F.count("*").alias("plays"))
+    scoped = counted.withColumn("key", X.title_key("name")).join(asked, ["user_id", "kind"])
+    scoped = scoped.filter((F.col("kind") == "artist") | F.col("artists").isNull() | (F.size("artists") == 0) | F.array_contains("artists", F.col("act")))
+    enough = F.length("want") >= 4
+    words = enough & F.concat(F.lit(" "), F.col("key"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("want"), F.lit(" ")))
+    tier = F.when(F.col("key") == F.col("want"), 3).when(words, 2).when(enough & may_reach("key", "want", 0.9), 1)
+    by = ["user_id", "typed", "kind", "artists", "name", "key", "want", "tier"]
+    pairs = scoped.withColumn("tier", tier).filter("tier IS NOT NULL").groupBy(*by).agg(F.sum("plays").alias("plays"))
+    certain = pairs.filter("tier > 1").withColumn("near", F.lit(0.0))
+    close = pairs.filter("tier = 1").withColumn("near", jaro_winkler("key", "want")).filter("near >= 0.9")
+    order = Window.partitionBy("user_id", "kind", "typed", "artists").orderBy(F.desc("tier"), F.desc("near"), F.desc("plays"), "name")
+    best = certain.unionByName(close.select(certain.columns)).withColumn("r", F.row_number().over(order)).filter("r = 1")
+    return best.select("user_id", "kind", "typed", "name", "tier", "plays")
+
+
+def day_timeline(plays: DataFrame, day: dt.date, zone: str = S.ZONE, metric: str = "hours", as_of: dt.datetime | None = None) -> DataFrame:
+    """One day's listening as a running total: (user_id, at, value) points of a line.
+
+    The line starts at (0, 0).  Hours are ramps from start to end of each play, which never go
+    back in time; plays are steps where each ended.  A day that is over runs flat to 24; the
+    day of the clock ``as_of`` stops at its minute, or at the last play if that is later.
     """
-    from playlore.functions.similarity import jaro_winkler
-
-    names = plays.filter("artist_name IS NOT NULL").groupBy("user_id", "artist_name").agg(F.count("*").alias("plays")).withColumn("key", X.name_key("artist_name"))
-    asked = typed.select("user_id", "typed", X.name_key("typed").alias("want"))
-    pairs = names.join(asked, "user_id")
-    words = F.concat(F.lit(" "), F.regexp_replace("key", r"[^\w]+", " "), F.lit(" "))
-    part = (F.length("want") >= 4) & words.contains(F.concat(F.lit(" "), F.col("want"), F.lit(" ")))
-    certain = pairs.withColumn("tier", F.when(F.col("key") == F.col("want"), 3).when(part, 2)).filter("tier IS NOT NULL").withColumn("near", F.lit(1.0))
-    left = pairs.filter((F.length("want") >= 4) & (F.length("key") >= 4) & (F.col("key") != F.col("want")) & ~part & (F.abs(F.length("key") - F.length("want")) <= F.greatest(F.length("key"), F.length("want")) / 3))
-    close = left.withColumn("near", jaro_winkler("key", "want")).filter("near >= 0.9").withColumn("tier", F.lit(1))
-    order = Window.partitionBy("user_id", "typed").orderBy(F.desc("tier"), F.desc("near"), F.desc("plays"), "artist_name")
-    both = certain.unionByName(close.select(certain.columns))
-    return both.withColumn("r", F.row_number().over(order)).filter("r = 1").select("user_id", "typed", "artist_name", "tier", "plays")
-
-
-def day_timeline(plays: DataFrame, day: dt.date, zone: str = S.ZONE) -> DataFrame:
-    """One day's listening as a running total: ramps from start to end of each play."""
     rows = plays.withColumn("local", X.local("played_at", zone)).filter(F.to_date("local") == F.lit(day))
-    ends = X.fractional_hour(F.col("local"))
+    if metric == "plays":
+        rows = rows.filter(X.is_listen())
+    heard = F.col("ms_played") / 3600000.0 if metric == "hours" else F.lit(1.0)
     order = Window.partitionBy("user_id").orderBy("local", "track_uri", "ms_played")
-    timed = rows.withColumns({"end": ends, "heard": F.col("ms_played") / 3600000.0})
-    timed = timed.withColumn("start", F.greatest(F.coalesce(F.lag("end").over(order), F.lit(0.0)), F.col("end") - F.col("heard")))
-    timed = timed.withColumn("total", F.sum("heard").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    points = F.array(F.struct(F.col("start").alias("at"), (F.col("total") - F.col("heard")).alias("hours")), F.struct(F.col("end").alias("at"), F.col("total").alias("hours")))
-    return timed.select("user_id", F.explode(points).alias("p")).select("user_id", F.round("p.at", 4).alias("at"), F.round("p.hours", 4).alias("hours"))
+    timed = rows.select("user_id", "local", "track_uri", "ms_played", X.fractional_hour(F.col("local")).alias("end"), heard.alias("heard"))
+    before = F.greatest(F.coalesce(F.lag("end").over(order), F.lit(0.0)), F.col("end") - F.col("heard")) if metric == "hours" else F.col("end")
+    timed = timed.withColumns({"start": before, "total": F.sum("heard").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(order)})
+    step = lambda n, at, value: F.struct(n.cast("long").alias("n"), at.alias("at"), value.alias("value"))
+    points = timed.select("user_id", F.inline(F.array(step(F.col("n") * 2, F.col("start"), F.col("total") - F.col("heard")), step(F.col("n") * 2 + 1, F.col("end"), F.col("total")))))
+    now = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.lit(as_of.isoformat(" ")).cast("timestamp_ntz")) if as_of else None
+    today = F.to_date(now) == F.lit(day) if as_of else F.lit(False)
+    until = F.when(today, F.greatest(X.fractional_hour(now), F.max("end"))).otherwise(F.lit(24.0)) if as_of else F.lit(24.0)
+    last = timed.groupBy("user_id").agg(until.alias("at"), F.sum("heard").alias("value"), (F.max("n") * 2 + 2).alias("n"))
+    zero = timed.select("user_id").distinct().select("user_id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("at"), F.lit(0.0).alias("value"))
+    line = zero.unionByName(points).unionByName(last.select("user_id", F.col("n").cast("long").alias("n"), "at", "value"))
+    return line.select("user_id", "n", F.round("at", 4).alias("at"), F.round("value", 3).alias("value"))

@@ -30,6 +30,17 @@ def summary(scores: DataFrame) -> DataFrame:
     return by_case.agg(F.count("*").alias("cases"), F.count_if("exact").alias("exact")).join(F.broadcast(fields))
 
 
+def run_totals(runs: DataFrame) -> DataFrame:
+    """Of all answers ``runs(case, error, latency_ms, input_tokens, output_tokens)``: errors, mean latency, tokens."""
+    return runs.agg(
+        F.count("*").alias("cases"),
+        F.count("error").alias("errors"),
+        F.coalesce(F.round(F.avg("latency_ms")), F.lit(0.0)).cast("long").alias("avg_latency_ms"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+    )
+
+
 def pass_rate(scores: DataFrame, by: str = "field") -> DataFrame:
     return scores.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(F.col("ok").cast("double")), 4).alias("rate"))
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, replace
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playlore.functions import expressions as X
-from playlore.schema import LISTEN_MS, RATE_SAMPLE, TABLE_CAP, ZONE
+from playlore.schema import LISTEN_MS, RATE_SAMPLE, TABLE_CAP, TRACK_PREFIX, ZONE
 
 METRICS = ("hours", "plays", "distinct_tracks", "distinct_artists", "skip_rate")
 DIMENSIONS = ("artist", "album", "track", "genre", "platform", "hour_of_day", "day_of_week", "date")
@@ -24,6 +25,8 @@ GRAINS = ("day", "week", "month", "year")
 RANGES = {"7d": "7 days", "30d": "30 days", "90d": "90 days", "6mo": "6 months", "12mo": "12 months"}
 STEPS = {"7d": 7, "30d": 30, "90d": 90}
 DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+#: Labels of an axis that several listeners share; fifty years have fewer days.
+LABELS = 20_000
 
 
 @dataclass(frozen=True)
@@ -92,14 +95,18 @@ class ChartSpec:
 
 
 def with_genres(plays: DataFrame, genres: DataFrame) -> DataFrame:
-    """Left join of genres by artist, falling back to the first act of a credit."""
-    key = F.lower("artist_name")
-    first = F.element_at(X.credited_acts("artist_name"), 1)
+    """Left join of genres by artist, falling back to the first act of a credit.
+
+    The names are looked up once each; the rows meet the names and their genres in one join.
+    """
+    credits = plays.select(F.col("artist_name").alias("__credit")).filter("__credit IS NOT NULL").distinct()
     named = genres.select(F.col("artist").alias("__artist"), F.col("genre").alias("__genre"))
+    known = credits.withColumn("__key", F.lower("__credit")).join(named, F.col("__key") == F.col("__artist"), "left")
+    first = F.element_at(X.credited_acts("__credit"), 1)
     lone = genres.select(F.col("artist").alias("__first"), F.col("genre").alias("__lone"))
-    joined = plays.withColumns({"__key": key, "__act": first}).join(named, F.col("__key") == F.col("__artist"), "left")
-    joint = joined.join(lone, (F.col("__act") == F.col("__first")) & (F.col("__act") != F.col("__key")), "left")
-    return joint.withColumn("genre", F.coalesce("__genre", "__lone")).drop("__key", "__act", "__artist", "__genre", "__first", "__lone")
+    missed = known.filter("__genre IS NULL").select("__credit", first.alias("__act")).join(lone, F.col("__act") == F.col("__first"))
+    found = known.filter("__genre IS NOT NULL").select("__credit", "__genre").unionByName(missed.select("__credit", F.col("__lone").alias("__genre")))
+    return plays.join(found, F.col("artist_name") == F.col("__credit"), "left").withColumn("genre", F.col("__genre")).drop("__credit", "__genre")
 
 
 def cover(regions: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
@@ -138,22 +145,46 @@ def tips(plays: DataFrame) -> DataFrame:
     return plays.groupBy("user_id").agg(F.max("played_at").alias("tip"))
 
 
+def between(plays: DataFrame, first: dt.date | None, last: dt.date | None) -> DataFrame:
+    """Plays from the day before ``first`` to the day after ``last``, in UTC.
+
+    A local day lies inside that, whatever the zone, so this drops nothing that a window on
+    local time keeps; and it is about stored columns, so files and folders are skipped.
+    """
+    for day, step, kept in ((first, -1, lambda c, x: c >= x), (last, 2, lambda c, x: c < x)):
+        if day is not None:
+            edge = day + dt.timedelta(days=step)
+            plays = plays.filter(kept(F.col("played_at"), F.lit(edge.isoformat()).cast("timestamp_ntz")))
+            if "year" in plays.columns:
+                plays = plays.filter(F.col("year") >= edge.year if step < 0 else F.col("year") <= edge.year)
+    return plays
+
+
+def _years(plays: DataFrame, spec: ChartSpec, first: int, last: int | None) -> DataFrame:
+    """``between`` for seasons: a season's year begins some months before its calendar year."""
+    n = _shift(spec)
+    opens = dt.date(first - 1, 13 - n, 1) if n else dt.date(first, 1, 1)
+    return between(plays, opens, dt.date(last, 12, 31) if last else None)
+
+
 def windowed(plays: DataFrame, spec: ChartSpec, as_of: dt.datetime, zone: str = ZONE, back: int = 0) -> DataFrame:
     """Plays inside the window of the spec, with a column ``local``.  Year goes before a span, before last, before range."""
-    rows = plays.withColumn("local", X.local("played_at", zone))
+    on_clock = lambda rows: rows.withColumn("local", X.local("played_at", zone))
+    rows = on_clock(plays)
     year = F.year(_season(spec, F.col("local")))
     clock = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.lit(as_of.isoformat(" ")).cast("timestamp_ntz"))
     if spec.year is not None:
-        return rows.filter(year == spec.year)
+        return on_clock(_years(plays, spec, spec.year, spec.year)).filter(year == spec.year)
     if spec.from_year is not None:
-        return rows.filter((year >= spec.from_year) & (year <= spec.to_year if spec.to_year else F.lit(True)))
+        return on_clock(_years(plays, spec, spec.from_year, spec.to_year)).filter((year >= spec.from_year) & (year <= spec.to_year if spec.to_year else F.lit(True)))
     if spec.last is not None:
         length = F.expr(f"INTERVAL {int(spec.last)} {spec.last_unit}")
         return rows.join(tips(plays), "user_id").filter(F.col("played_at") >= F.col("tip") - length)
     if spec.range == "today":
-        return rows.filter(F.to_date("local") == F.date_sub(F.to_date(clock), back))
+        day = as_of.date() - dt.timedelta(days=back)
+        return on_clock(between(plays, day - dt.timedelta(days=1), day + dt.timedelta(days=1))).filter(F.to_date("local") == F.date_sub(F.to_date(clock), back))
     if spec.range == "this_year":
-        return rows.filter(year == F.year(clock))
+        return on_clock(_years(plays, spec, as_of.year - 1, as_of.year + 1)).filter(year == F.year(clock))
     if spec.range in RANGES:
         anchored = rows.join(tips(plays), "user_id")
         if back:
@@ -250,7 +281,9 @@ def chart(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as
     rows = selected(plays, spec, genres, as_of, zone, back)
     if spec.answer == "recent":
         return recent_runs(plays, spec, rows)
-    if spec.answer in ("number", "first_played", "last_played"):
+    if spec.answer in ("first_played", "last_played"):
+        return first_or_last(plays, spec, rows, genres)
+    if spec.answer == "number":
         return single_answer(rows)
     if spec.answer == "top":
         return winner(rows, spec)
@@ -267,7 +300,7 @@ def chart(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as
     made = made.withColumn("value", F.round("value", 2)).drop("n")
     if spec.dimension in ORDERED:
         if spec.dimension == "hour_of_day" and spec.metric != "skip_rate":
-            made = every_hour(made, spec)
+            made = every_hour(made, spec, hour_of(as_of, zone) if spec.range == "today" and spec.year is None and not back and as_of else 23)
         order = Window.partitionBy("user_id").orderBy(_ordinal(spec))
         made = made.withColumn("rank", F.row_number().over(order))
         if spec.cumulative:
@@ -275,33 +308,66 @@ def chart(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as
         return made
     value = F.desc("value") if spec.sort == "desc" else F.asc("value")
     order = Window.partitionBy("user_id").orderBy(value, "label", "sub")
-    return made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= spec.limit)
+    bars = made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= spec.limit)
+    if spec.dimension != "track":
+        return bars
+    theirs = rows.select("user_id", label.alias("label"), sub.alias("sub"), "track_uri")
+    return bars.join(most_played(theirs, ["user_id", "label", "sub"]), ["user_id", "label", "sub"], "left").withColumnRenamed("track_uri", "uri")
+
+
+def rows_behind(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as_of: dt.datetime | None = None, zone: str = ZONE, back: int = 0) -> DataFrame:
+    """(user_id, total_rows): how many plays a chart of the spec counts."""
+    rows = selected(plays, spec.effective(), genres, as_of, zone, back)
+    if _needs_floor(spec.metric):
+        rows = rows.filter(F.col("ms_played") >= LISTEN_MS)
+    return rows.groupBy("user_id").agg(F.count("*").alias("total_rows"))
 
 
-def every_hour(made: DataFrame, spec: ChartSpec) -> DataFrame:
-    """All hours asked for, for each listener that has any; hours without plays are 0."""
-    asked = sorted(set(spec.hours)) or list(range(24))
+def hour_of(as_of: dt.datetime, zone: str = ZONE) -> int:
+    """The local hour of a UTC clock."""
+    return as_of.replace(tzinfo=dt.UTC).astimezone(ZoneInfo(zone)).hour
+
+
+def every_hour(made: DataFrame, spec: ChartSpec, last: int = 23) -> DataFrame:
+    """All hours asked for up to ``last``, for each listener that has any; hours without plays are 0.
+
+    A chart of today ends at the current hour: those to come have not happened.
+    """
+    asked = [h for h in sorted(set(spec.hours)) or range(24) if h <= last]
+    if not asked:
+        return made.limit(0)
     spine = made.select("user_id").distinct().withColumn("label", F.explode(F.array(*[F.lit(str(h)) for h in asked])))
     return spine.join(made, ["user_id", "label"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def per_period(rows: DataFrame, spec: ChartSpec) -> DataFrame:
-    """The top of every period, newest period first, at most a table's rows for each listener."""
+    """The top of every period, newest period first, at most a table's rows for each listener.
+
+    ``plays`` counts listens; where series are songs each cell has the uri of its most played
+    track.  ``truncated`` says that the listener's table was full.
+    """
     label, _ = _axis(spec, spec.dimension)
     series, sub = _axis(spec, spec.series)
-    made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), series.alias("series"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), F.count("*").alias("plays")).filter("value IS NOT NULL")
+    made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), series.alias("series"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), F.count_if(F.col("ms_played") >= LISTEN_MS).alias("plays")).filter("value IS NOT NULL")
     value = F.desc("value") if spec.sort == "desc" else F.asc("value")
     inside = Window.partitionBy("user_id", "label").orderBy(value, "series", "sub")
     ranked = made.withColumn("rank", F.row_number().over(inside)).filter(F.col("rank") <= spec.limit)
     newest = Window.partitionBy("user_id").orderBy(_ordinal(spec).desc(), "rank")
-    return ranked.withColumn("row", F.row_number().over(newest)).filter(F.col("row") <= TABLE_CAP)
+    cells = ranked.withColumn("row", F.row_number().over(newest)).filter(F.col("row") <= TABLE_CAP)
+    cells = cells.withColumn("truncated", F.count("*").over(Window.partitionBy("user_id")) >= TABLE_CAP)
+    if spec.series != "track":
+        return cells
+    by = ["user_id", "label", "series", "sub"]
+    theirs = rows.select("user_id", label.alias("label"), series.alias("series"), sub.alias("sub"), "track_uri")
+    return cells.join(most_played(theirs, by), by, "left").withColumnRenamed("track_uri", "uri")
 
 
 def split(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     """A line for each of the strongest series, or for the named artists; gaps filled.
 
-    Lines are ranked by their total along the axis.  Missing points are 0 for sums and
-    counts and null for rates.
+    Lines are ranked by their total along the axis, added as decimals, so that equal totals
+    are equal in whatever order they are added.  Missing points are 0 for sums and counts and
+    null for rates.
     """
     label, _ = _axis(spec, spec.dimension)
     series, sub = _axis(spec, spec.series)
@@ -309,10 +375,10 @@ def split(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), key.alias("series")).agg(F.round(_metric(spec.metric), 2).alias("value")).filter("value IS NOT NULL")
     if spec.series == "artist" and spec.artists:
         wanted = rows.sparkSession.createDataFrame([(a.strip().lower(), i) for i, a in enumerate(spec.artists, 1)], "series string, line int")
-        made = made.withColumn("series", F.lower("series")).groupBy("user_id", "label", "series").agg(F.sum("value").alias("value"))
+        made = made.withColumn("series", F.lower("series")).groupBy("user_id", "label", "series").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
         lines = made.select("user_id").distinct().join(F.broadcast(wanted))
     else:
-        total = made.groupBy("user_id", "series").agg(F.sum("value").alias("total"))
+        total = made.groupBy("user_id", "series").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
         order = Window.partitionBy("user_id").orderBy(F.desc("total"), "series")
         lines = total.withColumn("line", F.row_number().over(order)).filter(F.col("line") <= min(spec.limit, 6)).select("user_id", "series", "line")
     spine = made.select("user_id", "label").distinct().join(lines, "user_id")
@@ -325,10 +391,25 @@ def split(rows: DataFrame, spec: ChartSpec) -> DataFrame:
 
 
 def most_played(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The most played track of each group; ties go to the smaller uri."""
-    counted = rows.filter(F.col("track_uri").isNotNull()).groupBy(*by, "track_uri").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy(F.desc("n"), "track_uri")
-    return counted.withColumn("r", F.row_number().over(order)).filter("r = 1").select(*by, "track_uri")
+    """The most played track of each group; ties go to the smaller uri.  Other things than tracks don't count."""
+    counted = rows.filter(F.col("track_uri").startswith(TRACK_PREFIX)).groupBy(*by, "track_uri").agg(F.count("*").alias("n"))
+    return counted.groupBy(*by).agg(F.min_by("track_uri", F.struct(-F.col("n"), "track_uri")).alias("track_uri"))
+
+
+def first_or_last(plays: DataFrame, spec: ChartSpec, rows: DataFrame, genres: DataFrame | None = None) -> DataFrame:
+    """(user_id, day, status) for every listener: the first or last local day of the plays asked about.
+
+    status is ``played``, ``not_in_window`` where the listener has played it at another time,
+    and ``never``.
+    """
+    edge = F.min("local") if spec.answer == "first_played" else F.max("local")
+    listens = lambda some: some.filter(F.col("ms_played") >= LISTEN_MS)
+    inside = listens(rows).groupBy("user_id").agg(F.to_date(edge).alias("day"))
+    always = replace(spec, range="all", year=None, last=None, last_unit=None, from_year=None, to_year=None, months=(), hours=(), days=())
+    ever = listens(selected(plays, always, genres)).select("user_id").distinct().withColumn("ever", F.lit(True))
+    told = plays.select("user_id").distinct().join(ever, "user_id", "left").join(inside, "user_id", "left")
+    status = F.when(F.col("day").isNotNull(), "played").when(F.col("ever"), "not_in_window").otherwise("never")
+    return told.select("user_id", "day", status.alias("status"))
 
 
 def single_answer(rows: DataFrame) -> DataFrame:
@@ -371,16 +452,26 @@ def winner_facts(rows: DataFrame, spec: ChartSpec) -> DataFrame:
 
 
 def recent_runs(plays: DataFrame, spec: ChartSpec, rows: DataFrame) -> DataFrame:
-    """Newest plays with consecutive repeats of a song folded; runs are found before filters."""
-    order = Window.partitionBy("user_id").orderBy("played_at", "track_uri", "ms_played")
-    song = F.struct(F.coalesce("track_name", F.lit("")), F.coalesce("artist_name", F.lit("")))
-    every = plays.filter("track_name IS NOT NULL AND artist_name IS NOT NULL")
-    marked = every.withColumn("new", F.coalesce((song != F.lag(song).over(order)).cast("int"), F.lit(1)))
-    runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = runs.join(rows.select("user_id", "played_at", "track_uri", "ms_played").distinct(), ["user_id", "played_at", "track_uri", "ms_played"], "left_semi")
-    folded = kept.groupBy("user_id", "run").agg(F.max("played_at").alias("played_at"), F.first("track_name").alias("label"), F.first("artist_name").alias("sub"), F.count("*").alias("times"))
-    newest = Window.partitionBy("user_id").orderBy(F.desc("played_at"), F.desc("run"))
-    return folded.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= spec.limit).select("user_id", "rank", "label", "sub", "times", F.date_format("played_at", "yyyy-MM-dd'T'HH:mm:ss").alias("played_at"))
+    """Newest listens with consecutive repeats of a song folded; runs are found before filters.
+
+    A song is its uri, or its title and artist where it has none.  Runs are numbered from the
+    newest, so without filters the first ones are the answer.
+    """
+    key = ("user_id", "played_at", "track_uri", "ms_played")
+    newest = Window.partitionBy("user_id").orderBy(F.desc("played_at"), F.desc("track_uri"), F.desc("ms_played"))
+    song = F.coalesce("track_uri", F.concat_ws("\u001f", "track_name", F.coalesce("artist_name", F.lit(""))))
+    every = plays.filter((F.col("ms_played") >= LISTEN_MS) & F.col("track_name").isNotNull()).select(*key, "track_name", "artist_name", song.alias("song"))
+    marked = every.withColumn("fresh", (~F.col("song").eqNullSafe(F.lag("song").over(newest))).cast("int"))
+    runs = marked.withColumn("run", F.sum("fresh").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    if replace(spec, answer="chart", limit=10, metric="hours") != ChartSpec():
+        runs = runs.join(rows.select(*key).distinct(), list(key), "left_semi")
+    else:
+        runs = runs.filter(F.col("artist_name").isNotNull())
+    at = F.struct("played_at", "track_uri", "ms_played")
+    folded = runs.groupBy("user_id", "run").agg(F.max("played_at").alias("played_at"), F.max_by("track_name", at).alias("label"), F.max_by("artist_name", at).alias("sub"), F.count("*").alias("times"))
+    order = Window.partitionBy("user_id").orderBy("run")
+    shown = folded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= spec.limit)
+    return shown.select("user_id", "rank", "label", "sub", "times", F.date_format("played_at", "yyyy-MM-dd'T'HH:mm:ss").alias("played_at"))
 
 
 def scale_peak(plays: DataFrame, spec: ChartSpec, zone: str = ZONE) -> DataFrame:
@@ -414,8 +505,10 @@ def window_bounds(plays: DataFrame, rows: DataFrame, zone: str = ZONE) -> DataFr
 
 def aligned(lines: DataFrame, fill: str = "zero") -> DataFrame:
     """Several listeners' lines on the union of their labels; gaps are 0, null, or the last value."""
-    # Labels are parts of a calendar or of a day: a bounded set, whatever the number of listeners.
-    spine = lines.select("user_id").distinct().join(F.broadcast(lines.select("label").distinct()))
+    labels = lines.select("label").distinct()
+    if labels.limit(LABELS + 1).count() > LABELS:
+        raise ValueError(f"lines are aligned on at most {LABELS} labels")
+    spine = lines.select("user_id").distinct().join(F.broadcast(labels))
     joined = spine.join(lines, ["user_id", "label"], "left")
     if fill == "zero":
         return joined.withColumn("value", F.coalesce("value", F.lit(0.0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from playlore.operators import taste
+from playlore.plans.gallery import PRESETS
 from playlore.sources import adapters as A
 
 L = "((played_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')"
@@ -43,12 +45,28 @@ COVER = "(CASE WHEN regexp_matches(genre, '\\bamerica') THEN 'america' WHEN rege
 
 def split(label: str, series: str, metric: str, source: str, where: str, limit: int, value: str = "value") -> str:
     return f"""{H}, m AS (SELECT user_id, {label} AS label, {series} AS series, round({metric}, 2) AS value FROM {source} WHERE {where} AND {series} IS NOT NULL GROUP BY 1, 2, 3),
-        lines AS (SELECT user_id, series, row_number() OVER (PARTITION BY user_id ORDER BY sum(value) DESC, series) AS line FROM m GROUP BY 1, 2),
+        lines AS (SELECT user_id, series, row_number() OVER (PARTITION BY user_id ORDER BY sum(CAST(value AS DECIMAL(18, 2))) DESC, series) AS line FROM m GROUP BY 1, 2),
         spine AS (SELECT DISTINCT m.user_id, m.label, l.series, l.line FROM m JOIN lines l ON m.user_id = l.user_id WHERE l.line <= {limit}),
         f AS (SELECT s.user_id, s.label, s.series, s.line, coalesce(m.value, 0.0) AS value FROM spine s LEFT JOIN m USING (user_id, label, series))
         SELECT user_id, label, series, line, {value} AS value FROM f"""
 
 
+def told(edge: str) -> str:
+    """First or last day in 1995 of two artists, for every listener."""
+    named = "lower(artist_name) IN ('supplier#000000003', 'supplier#000000007')"
+    return f"""{H}, i AS (SELECT user_id, CAST({edge}(local) AS DATE) AS day FROM p WHERE {LISTEN} AND {named} AND year(local) = 1995 GROUP BY 1)
+        SELECT p.user_id, i.day, CASE WHEN i.day IS NOT NULL THEN 'played' WHEN bool_or({LISTEN} AND {named}) THEN 'not_in_window' ELSE 'never' END AS status FROM p LEFT JOIN i ON i.user_id = p.user_id GROUP BY 1, 2"""
+
+
+def timeline(heard: str, where: str, until: str, ramps: bool = True) -> str:
+    """A day's points: a start, two for each play, and an end."""
+    start = "greatest(coalesce(lag(stop) OVER o, 0), stop - heard)" if ramps else "stop"
+    return f"""{E}, d AS (SELECT user_id, local, track_uri, ms_played, hour(local) + minute(local) / 60 + second(local) / 3600 AS stop, {heard} AS heard FROM p WHERE CAST(local AS DATE) = DATE '2024-01-20' AND {where}),
+        t AS (SELECT user_id, stop, heard, {start} AS start, sum(heard) OVER (o ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER o AS n FROM d WINDOW o AS (PARTITION BY user_id ORDER BY local, track_uri, ms_played))
+        SELECT user_id, n * 2 AS n, round(start, 4) AS at, round(total - heard, 3) AS value FROM t UNION ALL SELECT user_id, n * 2 + 1, round(stop, 4), round(total, 3) FROM t
+        UNION ALL SELECT DISTINCT user_id, 0, 0.0, 0.0 FROM t UNION ALL SELECT user_id, max(n) * 2 + 2, round({until}, 4), round(sum(heard), 3) FROM t GROUP BY 1"""
+
+
 def movers(key: str, extra: str, prior: int, recent: int, up: bool) -> str:
     cond = "recent > prior" if up else f"recent < prior AND recent >= {recent}"
     return f"""{E}, m AS (SELECT user_id, {key}, {extra} count(*) FILTER (WHERE played_at > tip - INTERVAL 7 DAY) AS recent, count(*) FILTER (WHERE played_at <= tip - INTERVAL 7 DAY) AS prior
@@ -57,6 +75,45 @@ def movers(key: str, extra: str, prior: int, recent: int, up: bool) -> str:
         SELECT * FROM r WHERE rank <= 10"""
 
 
+def resolved() -> str:
+    """Each listener's names without their last letter, and the titles of each act, read back."""
+    key = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({c}), '&', ' and '), '(.)(\\s+-\\s.*|\\(.*|\\[.*)$', '\\1'), '[[:punct:]‘’“”]', '', 'g'), '\\s+', ' ', 'g'))"
+    return f"""{E}, asked AS (SELECT DISTINCT user_id, 'artist' AS kind, left(artist_name, length(artist_name) - 1) AS typed, NULL AS act FROM p
+            UNION SELECT user_id, 'track', left(max(track_name), length(max(track_name)) - 1), lower(artist_name) FROM p GROUP BY user_id, artist_name),
+        q AS (SELECT *, {key('trim(typed)')} AS want FROM asked),
+        n AS (SELECT user_id, 'artist' AS kind, artist_name AS name, NULL AS act, count(*) AS n FROM p GROUP BY 1, 3 UNION ALL SELECT user_id, 'track', track_name, lower(artist_name), count(*) FROM p GROUP BY user_id, track_name, lower(artist_name)),
+        k AS (SELECT *, {key('name')} AS key FROM n),
+        j AS (SELECT k.user_id, k.kind, typed, q.act, name, CASE WHEN key = want THEN 3 WHEN length(want) >= 4 AND contains(' ' || key || ' ', ' ' || want || ' ') THEN 2 WHEN length(want) >= 4 AND jaro_winkler_similarity(key, want) >= 0.9 THEN 1 END AS tier, jaro_winkler_similarity(key, want) AS near, k.n
+              FROM k JOIN q ON k.user_id = q.user_id AND k.kind = q.kind AND (k.kind = 'artist' OR k.act = q.act) WHERE want <> ''),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind, typed, act ORDER BY tier DESC, CASE WHEN tier = 1 THEN near ELSE 0 END DESC, n DESC, name) AS r FROM j WHERE tier IS NOT NULL)
+        SELECT user_id, kind, typed, name, tier, max(n) AS plays FROM r WHERE r = 1 GROUP BY 1, 2, 3, 4, 5"""
+
+
+def watched() -> str:
+    """The player's rules, a snapshot of each listener at a time."""
+    rest = lambda room: f"CASE WHEN s.playing THEN greatest(0, least(200000 - s.progress, {room})) ELSE 0 END"
+    base = "CASE WHEN s.playing THEN s.seen ELSE s.moved END"
+    repeat = "(n.uri = s.uri AND n.progress + 3000 < s.progress AND n.progress <= n.at - s.seen + 3000)"
+    other, over = "(s.uri IS NOT NULL AND n.uri IS NOT NULL AND n.uri <> s.uri)", "(s.uri IS NOT NULL AND n.uri IS NULL AND s.gone IS NOT NULL AND n.at - s.gone >= 50000)"
+    same = f"(n.uri = s.uri AND NOT {repeat})"
+    credit = "CASE WHEN n.progress > s.progress THEN least(n.progress - s.progress, n.at - s.seen + 2000) ELSE 0 END"
+    kept = lambda fresh, stays, moves: f"CASE WHEN {over} THEN NULL WHEN n.uri IS NULL THEN {stays} WHEN {same} THEN {moves} ELSE {fresh} END"
+    return f"""WITH RECURSIVE n AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS at, value > 10 AS playing, CASE WHEN event_type <> 'signup' THEN 'track:' || (event_id % 7) END AS uri, greatest(0, CAST(trunc(value * 1000) AS BIGINT)) AS progress,
+            row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP), 'track:' || (event_id % 7), CAST(trunc(value * 1000) AS BIGINT)) AS k FROM events),
+        s AS (SELECT CAST(0 AS BIGINT) AS k, user_id, CAST(NULL AS VARCHAR) AS uri, CAST(NULL AS BIGINT) AS progress, CAST(NULL AS BIGINT) AS heard, CAST(NULL AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS moved, CAST(NULL AS BOOLEAN) AS playing, CAST(NULL AS BIGINT) AS gone,
+                     CAST(NULL AS VARCHAR) AS done, CAST(NULL AS BIGINT) AS played, CAST(NULL AS BIGINT) AS ended FROM (SELECT DISTINCT user_id FROM n)
+              UNION ALL
+              SELECT n.k, n.user_id, {kept('n.uri', 's.uri', 's.uri')}, {kept('n.progress', 's.progress', 'n.progress')},
+                     CASE WHEN {other} THEN least(n.progress, n.at - s.seen + 2000) ELSE {kept('n.progress', 's.heard', f's.heard + {credit}')} END,
+                     {kept('n.at', 's.seen', 'n.at')}, {kept('n.at', 's.moved', f'CASE WHEN {credit} > 0 THEN n.at ELSE s.moved END')}, {kept('n.playing', 's.playing', 'n.playing')},
+                     CASE WHEN {over} OR n.uri IS NOT NULL THEN NULL WHEN s.uri IS NULL THEN NULL ELSE coalesce(s.gone, n.at) END,
+                     CASE WHEN {other} OR {repeat} OR {over} THEN s.uri END,
+                     least(200000, s.heard + CASE WHEN {over} THEN {rest('greatest(0, s.gone - s.seen)')} ELSE {rest('n.at - s.seen - n.progress')} END),
+                     {base} + CASE WHEN {over} THEN {rest('greatest(0, s.gone - s.seen)')} ELSE {rest('n.at - s.seen - n.progress')} END
+              FROM s JOIN n ON n.user_id = s.user_id AND n.k = s.k + 1)
+        SELECT user_id, make_timestamp(ended * 1000) AS played_at, done AS track_uri, done AS track_name, 'someone' AS artist_name, 'somewhere' AS album_name, CAST(200000 AS BIGINT) AS duration_ms, played AS ms_played FROM s WHERE done IS NOT NULL AND played >= 1000"""
+
+
 SPANS = """count(*) FILTER (WHERE played_at > tip - INTERVAL 7 DAY) AS recent, count(*) FILTER (WHERE played_at > tip - INTERVAL 14 DAY AND played_at <= tip - INTERVAL 7 DAY) AS prior, count(*) FILTER (WHERE played_at <= tip - INTERVAL 14 DAY) AS earlier"""
 POINTS = "points AS (SELECT lower(s_name) AS artist, s_nationkey AS region, s_acctbal / 1000 AS x, CAST(s_suppkey % 100 AS DOUBLE) AS y FROM supplier)"
 WEIGHTS = "weights AS (SELECT user_id, lower(trim(artist_name)) AS artist, sum(ms_played) AS ms FROM plays WHERE ms_played >= 30000 AND artist_name IS NOT NULL GROUP BY 1, 2)"
@@ -78,7 +135,10 @@ ORACLES: dict[str, str] = {
     "top_artists_plays": ranked("artist_name", metric=PLAYS, where=LISTEN),
     "bottom_artists_hours": ranked("artist_name", sort="ASC", limit=5),
     "top_albums_hours": ranked("album_name", "coalesce(artist_name, '')"),
-    "top_tracks_plays": ranked("track_name", "coalesce(artist_name, '')", PLAYS, LISTEN, 8),
+    "top_tracks_plays": f"""{H}, c AS (SELECT user_id, track_name AS label, artist_name AS sub, track_uri, count(*) AS n FROM p WHERE {LISTEN} GROUP BY 1, 2, 3, 4),
+        u AS (SELECT *, row_number() OVER (PARTITION BY user_id, label, sub ORDER BY n DESC, track_uri) AS k, sum(n) OVER (PARTITION BY user_id, label, sub) AS total FROM c),
+        r AS (SELECT user_id, label, sub, CAST(total AS DOUBLE) AS value, track_uri AS uri, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, label, sub) AS rank FROM u WHERE k = 1)
+        SELECT * FROM r WHERE rank <= 8""",
     "genres_hours": ranked("genre", source=GENRED),
     "platforms_plays": ranked(PLATFORM, metric=PLAYS, where=LISTEN),
     "hours_of_day": f"""{H}, m AS (SELECT user_id, hour(local) AS h, round({HOURS}, 2) AS v FROM p GROUP BY 1, 2),
@@ -104,21 +164,33 @@ ORACLES: dict[str, str] = {
     "named_genres": ranked(COVER, source=GENRED),
     "genre_lines": split(year(), "genre", HOURS, GENRED, "true", 4),
     "album_lines_running": split(year(), "album_name || chr(31) || artist_name", PLAYS, "p", LISTEN, 3, "sum(value) OVER (PARTITION BY user_id, series ORDER BY label ROWS UNBOUNDED PRECEDING)"),
-    "top3_artists_each_year": f"""{H}, m AS (SELECT user_id, {year()} AS label, artist_name AS series, {NONE} AS sub, round({HOURS}, 2) AS value, count(*) AS plays FROM p GROUP BY 1, 2, 3),
+    "top3_artists_each_year": f"""{H}, m AS (SELECT user_id, {year()} AS label, artist_name AS series, {NONE} AS sub, round({HOURS}, 2) AS value, count(*) FILTER (WHERE {LISTEN}) AS plays FROM p GROUP BY 1, 2, 3),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY value DESC, series) AS rank FROM m)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, rank) AS row FROM r WHERE rank <= 3) WHERE row <= 60""",
+        SELECT *, count(*) OVER (PARTITION BY user_id) >= 60 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, rank) AS row FROM r WHERE rank <= 3) WHERE row <= 60""",
     "top_album_each_month_2000": f"""{H}, m AS (SELECT user_id, {month()} AS label, album_name AS series, artist_name AS sub, {PLAYS} AS value, count(*) AS plays FROM p WHERE {LISTEN} AND {WHOLE_YEAR} GROUP BY 1, 2, 3, 4),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY value DESC, series, sub) AS rank FROM m)
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, rank) AS row FROM r WHERE rank = 1""",
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, rank) AS row, false AS truncated FROM r WHERE rank = 1""",
+    "top_track_each_year": f"""{H}, c AS (SELECT user_id, {year()} AS label, track_name AS series, artist_name AS sub, track_uri, count(*) AS n FROM p WHERE {LISTEN} GROUP BY 1, 2, 3, 4, 5),
+        u AS (SELECT *, row_number() OVER (PARTITION BY user_id, label, series, sub ORDER BY n DESC, track_uri) AS k, CAST(sum(n) OVER (PARTITION BY user_id, label, series, sub) AS BIGINT) AS plays FROM c),
+        r AS (SELECT user_id, label, series, sub, CAST(plays AS DOUBLE) AS value, plays, track_uri AS uri, row_number() OVER (PARTITION BY user_id, label ORDER BY plays DESC, series, sub) AS rank FROM u WHERE k = 1)
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC) AS row, false AS truncated FROM r WHERE rank = 1""",
     "best_month": ranked(month(), metric=PLAYS, where=LISTEN, limit=2),
     "most_skipped_platform": ranked(PLATFORM, NONE, SKIPS, limit=2, having=f"count(*) >= 25 AND {SKIPS} > 0"),
     "numbers_1998": f"""{H} SELECT user_id, count(*) FILTER (WHERE {LISTEN}) AS plays, round({HOURS}, 2) AS hours, count(DISTINCT track_uri) FILTER (WHERE {LISTEN}) AS tracks,
         count(DISTINCT artist_name) FILTER (WHERE {LISTEN}) AS artists, round({SKIPS}, 2) AS skip_rate, count(skipped) AS rated,
         CAST(min(local) FILTER (WHERE {LISTEN}) AS DATE) AS first_day, CAST(max(local) FILTER (WHERE {LISTEN}) AS DATE) AS last_day FROM p WHERE year(local) = 1998 GROUP BY 1""",
-    "recent_plays": f"""{H}, o AS (SELECT *, lag(track_name || chr(31) || artist_name) OVER (PARTITION BY user_id ORDER BY played_at, track_uri, ms_played) AS prior FROM p),
-        r AS (SELECT *, sum(CASE WHEN prior IS NULL OR prior <> track_name || chr(31) || artist_name THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY played_at, track_uri, ms_played ROWS UNBOUNDED PRECEDING) AS run FROM o),
-        f AS (SELECT user_id, run, max(played_at) AS ended, min(track_name) AS label, min(artist_name) AS sub, count(*) AS times FROM r GROUP BY 1, 2)
-        SELECT user_id, rank, label, sub, times, strftime(ended, '%Y-%m-%dT%H:%M:%S') AS played_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ended DESC, run DESC) AS rank FROM f) WHERE rank <= 10""",
+    "recent_plays": f"""{H}, o AS (SELECT *, lag(track_uri) OVER (PARTITION BY user_id ORDER BY played_at DESC, track_uri DESC, ms_played DESC) AS prior FROM p WHERE {LISTEN} AND track_name IS NOT NULL),
+        r AS (SELECT *, sum(CASE WHEN prior IS NULL OR prior <> track_uri THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY played_at DESC, track_uri DESC, ms_played DESC ROWS UNBOUNDED PRECEDING) AS run FROM o),
+        f AS (SELECT user_id, CAST(run AS INTEGER) AS rank, max(played_at) AS ended, arg_max(track_name, (played_at, track_uri, ms_played)) AS label, arg_max(artist_name, (played_at, track_uri, ms_played)) AS sub, count(*) AS times FROM r GROUP BY 1, 2)
+        SELECT user_id, rank, label, sub, times, strftime(ended, '%Y-%m-%dT%H:%M:%S') AS played_at FROM f WHERE rank <= 10""",
+    "today_so_far": f"""{E}, m AS (SELECT user_id, hour(local) AS h, {PLAYS} AS v FROM p WHERE {LISTEN} AND CAST(local AS DATE) = DATE '2024-01-20' GROUP BY 1, 2),
+        s AS (SELECT DISTINCT user_id, h.h FROM m CROSS JOIN (SELECT unnest(range(12)) AS h) h)
+        SELECT user_id, CAST(s.h AS VARCHAR) AS label, {NONE} AS sub, coalesce(v, 0.0) AS value, row_number() OVER (PARTITION BY user_id ORDER BY s.h) AS rank FROM s LEFT JOIN m USING (user_id, h)""",
+    "first_played": told("min"),
+    "last_told": told("max"),
+    "behind_1997": f"""{H} SELECT user_id, count(*) AS total_rows FROM p WHERE {LISTEN} AND year(local) = 1997 AND artist_name IS NOT NULL GROUP BY 1""",
+    "last_clock": f"""{E}, t AS (SELECT user_id, ((tip AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS tick FROM tips)
+        SELECT user_id, strftime(tick, '%a') AS weekday, strftime(tick, '%b') AS month, round((minute(tick) + second(tick) / 60) / 60, 3) AS into_hour FROM t""",
     "today_hours": f"""{E}, m AS (SELECT user_id, hour(local) AS h, {PLAYS} AS v FROM p WHERE {LISTEN} AND CAST(local AS DATE) = DATE '2024-01-19' GROUP BY 1, 2),
         s AS (SELECT DISTINCT user_id, h.h FROM m CROSS JOIN (SELECT unnest(range(24)) AS h) h)
         SELECT user_id, CAST(s.h AS VARCHAR) AS label, {NONE} AS sub, coalesce(v, 0.0) AS value, row_number() OVER (PARTITION BY user_id ORDER BY s.h) AS rank FROM s LEFT JOIN m USING (user_id, h)""",
@@ -187,7 +259,7 @@ ORACLES: dict[str, str] = {
     "card": f"""{H} SELECT user_id, round({HOURS}, 1) AS hours, count(*) AS plays, count(DISTINCT artist_name) AS artists, year(min(played_at)) AS since FROM plays WHERE {LISTEN} GROUP BY 1""",
     "card_genres": f"""{H}, t AS (SELECT user_id, max(played_at) AS tip FROM plays GROUP BY 1), m AS (SELECT p.user_id, genre, {HOURS} AS h FROM plays p JOIN t ON p.user_id = t.user_id JOIN genres g ON lower(artist_name) = g.artist WHERE {LISTEN} AND played_at > tip - INTERVAL 365 DAY GROUP BY 1, 2)
         SELECT user_id, rank, genre, round(h, 1) AS hours, deep AS deep_genres FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h DESC, genre) AS rank, count(*) FILTER (WHERE h >= 5) OVER (PARTITION BY user_id) AS deep FROM m) WHERE rank <= 6""",
-    "streaks": f"""{E}, d AS (SELECT DISTINCT user_id, CAST(local AS DATE) AS day FROM p WHERE {LISTEN} AND CAST(local AS DATE) <= DATE '2024-01-31'),
+    "streaks": f"""{E}, d AS (SELECT DISTINCT user_id, CAST(local AS DATE) AS day FROM p WHERE CAST(local AS DATE) <= DATE '2024-01-31'),
         i AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM d),
         r AS (SELECT user_id, count(*) AS n, min(day) AS start, max(day) AS stop FROM i GROUP BY user_id, island), x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY stop DESC) AS k FROM r)
         SELECT user_id, CASE WHEN stop >= DATE '2024-01-30' THEN n ELSE 0 END AS streak, CASE WHEN stop >= DATE '2024-01-30' THEN start END AS start FROM x WHERE k = 1""",
@@ -205,13 +277,16 @@ ORACLES: dict[str, str] = {
         SELECT user_id, count(*) AS total, count(*) FILTER (WHERE days >= 15 AND (distance_mi IS NULL OR distance_mi <= 60) AND date BETWEEN DATE '1998-02-01' AND DATE '1998-04-02' AND fans <= 90000) AS matching FROM v GROUP BY 1""",
     "namesakes": f"""{H}, c AS (SELECT user_id, lower(replace(album_name, '#', '')) AS title, artist_name, count(*) AS plays FROM plays WHERE {LISTEN} GROUP BY 1, 2, 3)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, title ORDER BY plays DESC, artist_name) - 1 AS rank FROM c) WHERE rank BETWEEN 1 AND 8""",
-    "artist_weights": f"""{H}, t AS (SELECT user_id, max(played_at) AS tip FROM plays GROUP BY 1) SELECT p.user_id, {ACT} AS artist, sum(ms_played) AS ms FROM plays p JOIN t ON p.user_id = t.user_id WHERE {LISTEN} AND played_at > tip - INTERVAL 90 DAY GROUP BY 1, 2""",
+    "artist_weights": f"""{H}, t AS (SELECT user_id, max(played_at) AS tip FROM plays GROUP BY 1) SELECT p.user_id, {ACT} AS artist, sum(ms_played) AS ms FROM plays p JOIN t ON p.user_id = t.user_id WHERE {LISTEN} AND played_at >= tip - INTERVAL 90 DAY GROUP BY 1, 2""",
     "occupancy": f"{H}, {OCCUPIED} SELECT * FROM occ",
     "map_regions": f"""{H}, {OCCUPIED}, r AS (SELECT region, round(median(x), 6) AS x, round(median(y), 6) AS y, count(*) AS all_artists FROM points GROUP BY 1)
-        SELECT user_id, region, x, y, artists, all_artists, share, hours >= 1 AS yours FROM occ JOIN r USING (region)""",
-    "listener_map": f"""{H}, {WEIGHTS}, {POINTS}, t AS (SELECT user_id, max(played_at) AS tip FROM plays GROUP BY 1), r AS (SELECT p.user_id, {ACT} AS artist, sum(ms_played) AS ms FROM plays p JOIN t ON p.user_id = t.user_id WHERE {LISTEN} AND played_at > tip - INTERVAL 14 DAY GROUP BY 1, 2)
+        , t AS (SELECT user_id, max(played_at) AS tip FROM plays GROUP BY 1),
+        n AS (SELECT p.user_id, region, sum(ms_played) AS ms FROM plays p JOIN t ON p.user_id = t.user_id JOIN points ON points.artist = {ACT} WHERE {LISTEN} AND played_at >= tip - INTERVAL 14 DAY GROUP BY 1, 2),
+        q AS (SELECT user_id, region, round(ms / sum(ms) OVER (PARTITION BY user_id), 4) AS recent_share FROM n)
+        SELECT occ.user_id, occ.region, x, y, artists, all_artists, share, coalesce(recent_share, 0.0) AS recent_share, hours >= 1 AS yours FROM occ JOIN r USING (region) LEFT JOIN q ON q.user_id = occ.user_id AND q.region = occ.region""",
+    "listener_map": f"""{H}, {WEIGHTS}, {POINTS}, t AS (SELECT user_id, max(played_at) AS tip FROM plays GROUP BY 1), r AS (SELECT p.user_id, {ACT} AS artist, sum(ms_played) AS ms FROM plays p JOIN t ON p.user_id = t.user_id WHERE {LISTEN} AND played_at >= tip - INTERVAL 14 DAY GROUP BY 1, 2)
         SELECT w.user_id, w.artist, region, x, y, round(w.ms / 3600000.0, 2) AS hours, round(coalesce(r.ms, 0) / 3600000.0, 2) AS recent_hours FROM weights w JOIN points USING (artist) LEFT JOIN r ON r.user_id = w.user_id AND r.artist = w.artist""",
-    "coverage_of_space": f"""{H}, {WEIGHTS}, {POINTS} SELECT user_id, round(sum(CASE WHEN y < 50 THEN ms ELSE 0 END) / sum(ms), 3) AS coverage, count(*) FILTER (WHERE y < 50) AS matched FROM weights LEFT JOIN points USING (artist) GROUP BY 1""",
+    "coverage_of_space": f"""{H}, {WEIGHTS}, {POINTS} SELECT user_id, round(sum(CASE WHEN x > 0 THEN ms ELSE 0 END) / sum(ms), 3) AS coverage, count(*) FILTER (WHERE x > 0) AS matched FROM weights LEFT JOIN points USING (artist) GROUP BY 1""",
     "cohesion": f"""WITH {CENTRES} SELECT region, n, CASE WHEN n > 1 THEN round((length * length - n) / (n * n - n), 6) END AS cohesion FROM lengths""",
     "positions": f"""WITH s AS ({A.SPACE_SQL}) SELECT region, round(median(z[1]), 6) AS x, round(median(z[2]), 6) AS y, count(*) AS artists FROM s GROUP BY 1""",
     "placed": f"""WITH {CENTRES}, d AS (SELECT artist, c.region, sum(x * c) AS cosine FROM cells JOIN centres c ON cells.i = c.i GROUP BY 1, 2)
@@ -229,20 +304,24 @@ ORACLES: dict[str, str] = {
         SELECT region, string_agg(tag, ', ' ORDER BY r) AS label FROM c WHERE r <= 2 GROUP BY 1""",
     "widened": f"""WITH genres AS ({A.GENRES_SQL}) SELECT DISTINCT genre, {COVER} AS word FROM genres WHERE {COVER} IS NOT NULL""",
     "serving_table": f"""{H} SELECT DISTINCT artist_name, genre FROM plays LEFT JOIN genres g ON lower(artist_name) = g.artist""",
-    "deduped_listings": """WITH c AS (SELECT l_suppkey, CAST(o_orderdate AS DATE) AS date, o_orderkey, count(*) AS rich FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)
-        SELECT l_suppkey, date, o_orderkey, rich FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, date ORDER BY rich DESC, o_orderkey) AS r FROM c) WHERE r = 1""",
+    "deduped_listings": """WITH c AS (SELECT s_name AS artist, CAST(o_orderdate AS DATE) AS date, l_orderkey * 8 + l_linenumber AS fetched, CASE WHEN l_returnflag = 'R' THEN o_orderpriority END AS venue,
+            CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DOUBLE) END AS price, CASE WHEN l_tax > 0.04 THEN CAST(l_tax AS DOUBLE) END AS distance_mi FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)
+        SELECT artist, date, venue, price, distance_mi FROM (SELECT *, row_number() OVER (PARTITION BY artist, date ORDER BY (venue IS NOT NULL)::INT + (price IS NOT NULL)::INT + (distance_mi IS NOT NULL)::INT DESC, fetched, venue NULLS FIRST, price NULLS FIRST, distance_mi NULLS FIRST) AS r FROM c) WHERE r = 1""",
+    "genre_index": """WITH t AS (SELECT DISTINCT p_brand AS genre, p_partkey, unnest(string_split(lower(p_type), ' ')) AS tag FROM part), n AS (SELECT p_brand AS genre, count(*) AS n FROM part GROUP BY 1),
+        d AS (SELECT t.genre, tag FROM t JOIN n ON t.genre = n.genre GROUP BY 1, 2 HAVING count(*) >= 0.5 * min(n))
+        SELECT n.genre, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS dominant, min(n) AS n_artists, 'calm' AS state FROM n LEFT JOIN d ON n.genre = d.genre GROUP BY 1""",
+    "run_totals": """SELECT count(*) AS cases, count(*) FILTER (WHERE l_returnflag = 'R') AS errors, CAST(round(avg(l_quantity)) AS BIGINT) AS avg_latency_ms, CAST(sum(l_partkey) AS BIGINT) AS input_tokens, CAST(sum(l_linenumber) AS BIGINT) AS output_tokens FROM lineitem""",
     "heartbeats": """SELECT event_type AS job, user_id % 5 AS user_id, max(CAST(ts AS TIMESTAMP)) AS last_run, max(CASE WHEN value >= 5 THEN CAST(ts AS TIMESTAMP) END) AS last_ok, count(*) AS runs, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS added,
         coalesce(max(CASE WHEN value >= 5 THEN CAST(ts AS TIMESTAMP) END) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 60 MINUTE, true) AS stalled FROM events GROUP BY 1, 2""",
     "spec_scores": """WITH s AS (SELECT 'segment' AS field, c_mktsegment = 'BUILDING' AS ok FROM customer UNION ALL SELECT 'balance', c_acctbal BETWEEN 0 AND 5000 FROM customer UNION ALL SELECT 'nation', c_nationkey IN (1, 2, 3) FROM customer)
         SELECT field, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 4) AS rate FROM s GROUP BY 1""",
-    "reconciled": f"""WITH plays AS ({A.RECENT_SQL}), w AS (SELECT * FROM plays WHERE ms_played % 3 = 0),
+    "reconciled": f"""WITH plays AS ({A.RECENT_SQL}), w AS (SELECT * FROM plays),
         e AS (SELECT DISTINCT user_id, played_at + to_seconds(CAST((ms_played % 61 - 30) * 2 AS BIGINT)) AS played_at, track_uri, track_name, artist_name, ms_played FROM plays),
         x AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = e.user_id AND w.track_uri = e.track_uri AND abs(epoch_us(w.played_at) - epoch_us(e.played_at)) <= 30000000)
               AND NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = e.user_id AND lower(trim(w.track_name)) = lower(trim(e.track_name)) AND lower(trim(w.artist_name)) = lower(trim(e.artist_name)) AND abs(epoch_us(w.played_at) - epoch_us(e.played_at)) <= 30000000))
         SELECT user_id, 'watch' AS how, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms FROM w GROUP BY 1 UNION ALL SELECT user_id, 'recent', count(*), CAST(sum(ms_played) AS BIGINT) FROM x GROUP BY 1""",
-    "timeline": f"""{E}, d AS (SELECT user_id, local, track_uri, ms_played, hour(local) + minute(local) / 60 + second(local) / 3600 AS stop, ms_played / 3600000.0 AS heard FROM p WHERE CAST(local AS DATE) = DATE '2024-01-20'),
-        t AS (SELECT user_id, stop, heard, greatest(coalesce(lag(stop) OVER o, 0), stop - heard) AS start, sum(heard) OVER (PARTITION BY user_id ORDER BY local, track_uri, ms_played ROWS UNBOUNDED PRECEDING) AS total FROM d WINDOW o AS (PARTITION BY user_id ORDER BY local, track_uri, ms_played))
-        SELECT user_id, round(start, 4) AS at, round(total - heard, 4) AS hours FROM t UNION ALL SELECT user_id, round(stop, 4), round(total, 4) FROM t""",
+    "timeline": timeline("ms_played / 3600000.0", "true", "24.0"),
+    "timeline_steps": timeline("1.0", LISTEN, "greatest(15.5, max(stop))", ramps=False),
     "captured": f"""{E} SELECT user_id, source, count(*) AS plays, max(played_at) AS newest FROM plays WHERE played_at >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1, 2""",
     "compared": f"""{H}, m AS (SELECT user_id, {month()} AS label, {PLAYS} AS v FROM p WHERE {LISTEN} AND year(local) = 1999 AND user_id IN (1, 2, 3) GROUP BY 1, 2)
         SELECT u.user_id, l.label, 'lines' AS kind, sum(coalesce(v, 0.0)) OVER (PARTITION BY u.user_id ORDER BY l.label ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT DISTINCT user_id FROM m) u CROSS JOIN (SELECT DISTINCT label FROM m) l LEFT JOIN m ON m.user_id = u.user_id AND m.label = l.label""",
@@ -252,16 +331,23 @@ ORACLES: dict[str, str] = {
     "short_titles": """WITH v AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || list_extract([' - Remastered 2011', ' (feat. Somebody)', ' [Live]', '', ' - Part One', ' & Friends!'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS title FROM part)
         SELECT p_partkey, CASE WHEN p_partkey % 6 < 3 THEN regexp_replace(title, '( - Remastered 2011| \\(feat. Somebody\\)| \\[Live\\])$', '') ELSE title END AS short,
                CASE WHEN p_partkey % 6 = 5 THEN lower(replace(replace(title, '&', 'and'), '!', '')) ELSE lower(regexp_replace(title, '( - .*| \\(.*| \\[.*)$', '')) END AS key FROM v""",
-    "cells": """WITH s AS (SELECT s_suppkey, radians(s_acctbal % 90) AS la, radians(s_acctbal % 180) AS lo, radians(40.7) AS lb, radians(-74.0) AS lp FROM supplier)
-        SELECT s_suppkey, round(2 * 3958.8 * asin(sqrt(least(1.0, power(sin((lb - la) / 2), 2) + cos(la) * cos(lb) * power(sin((lp - lo) / 2), 2)))), 3) AS miles, true AS placed FROM s""",
+    "cells": """WITH s AS (SELECT s_suppkey, s_acctbal % 90 AS lat, s_acctbal % 180 AS lon, radians(s_acctbal % 90) AS la, radians(s_acctbal % 180) AS lo, radians(40.7) AS lb, radians(-74.0) AS lp FROM supplier)
+        SELECT s_suppkey, round(2 * 3958.8 * asin(sqrt(least(1.0, power(sin((lb - la) / 2), 2) + cos(la) * cos(lb) * power(sin((lp - lo) / 2), 2)))), 3) AS miles, printf('%.2f,%.2f', round(lat, 2), round(lon, 2)) AS cell,
+               CASE WHEN lat * 3 BETWEEN -90 AND 90 THEN printf('%.2f,%.2f', round(lat * 3, 2), round(lon, 2)) END AS outside FROM s""",
     "matches": f"""WITH {CENTRES}, d AS (SELECT a.region AS mode_a, a.region % 3 AS a, b.region % 3 AS b, b.region AS mode_b, sum(a.c * b.c) AS cosine FROM centres a JOIN centres b ON a.i = b.i AND a.region % 3 <> b.region % 3 GROUP BY 1, 2, 3, 4),
         n AS (SELECT a, b, mode_a, max(cosine) AS near FROM d GROUP BY 1, 2, 3)
         SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(greatest(0.0, least(1.0, (avg(near) - 0.709) / 0.291)), 3) AS match FROM n GROUP BY 1, 2""",
-    "run_changes": """WITH x AS (SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'new' WHEN o_orderkey % 10 = 7 THEN 'gone' WHEN o_totalprice > 100000 AND o_totalprice <= 150000 THEN 'regression' WHEN o_totalprice <= 100000 AND o_totalprice > 150000 THEN 'fixed' END AS change FROM orders)
+    "run_changes": """WITH x AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'new' WHEN o_orderstatus = 'F' THEN 'gone' WHEN o_totalprice > 100000 AND NOT o_orderpriority < '3' THEN 'regression' WHEN o_totalprice <= 100000 AND o_orderpriority < '3' THEN 'fixed' END AS change FROM orders)
         SELECT change, count(*) AS cases FROM x WHERE change IS NOT NULL GROUP BY 1""",
+    "corpus_tags": f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS artist, trim(regexp_replace(lower(unnest(list_concat([lang, source], regexp_split_to_array(lower(text), '\\s+')))), '[\\s_/-]+', ' ', 'g')) AS tag FROM documents WHERE text IS NOT NULL)
+        SELECT artist, count(DISTINCT tag) AS n_tags FROM t WHERE tag <> '' AND length(tag) < 40 AND tag NOT IN {taste.JUNK} AND NOT regexp_matches(tag, '{taste.OF_ONESELF}') GROUP BY 1""",
+    "resolved_names": resolved(),
+    "watched": watched(),
 }
 ORACLES["genre_shares"] = f"""WITH f AS ({ORACLES['genre_lines']}) SELECT user_id, label, series, round(value * 100 / nullif(sum(value) OVER (PARTITION BY user_id, label), 0), 2) AS share FROM f"""
 
+ORACLES["gallery"] = " UNION ALL ".join(f"SELECT '{name}' AS preset, count(*) AS rows FROM ({ORACLES[name]})" for name in PRESETS)
+
 _SECTIONS = [
     ("artists_up", "artists_up", "artist_name", "recent", "prior"),
     ("artists_down", "artists_down", "artist_name", "recent", "prior"),
@@ -273,4 +359,7 @@ _SECTIONS = [
     ("songs_back", "songs_back_in_rotation", "uri", "recent", "prior"),
     ("repeat", "on_repeat", "track_uri", "plays", "NULL"),
 ]
+_LONG = E.replace(f"({A.RECENT_SQL})", f"(SELECT * REPLACE ('track:' || artist_name AS track_uri) FROM ({A.RECENT_SQL}))")
 ORACLES["weekly_feed"] = " UNION ALL ".join(f"SELECT user_id, '{section}' AS section, rank, {name} AS name, {plays} AS plays, CAST({before} AS BIGINT) AS plays_prev FROM ({ORACLES[query]})" for section, query, name, plays, before in _SECTIONS)
+for _name in ("songs_up", "songs_down"):
+    ORACLES[_name] = ORACLES[_name].replace(E, _LONG)

@@ -13,7 +13,7 @@ from playlore.operators import feed, profile, scoring, taste
 from playlore.plans import chart as C
 from playlore.plans.chart import ChartSpec, chart
 from playlore.plans.compare import compare
-from playlore.plans.gallery import GALLERY
+from playlore.plans.gallery import PRESETS
 from playlore.sources import adapters as A
 from playlore.sources import ingest
 from playlore.streaming import watch
@@ -55,6 +55,7 @@ CHARTS: dict[str, ChartSpec] = {
     "album_lines_running": ChartSpec(dimension="date", grain="year", series="album", limit=3, cumulative=True, metric="plays"),
     "top3_artists_each_year": ChartSpec(dimension="date", grain="year", series="artist", per_period=True, limit=3),
     "top_album_each_month_2000": ChartSpec(dimension="date", grain="month", series="album", per_period=True, limit=1, year=2000, metric="plays"),
+    "top_track_each_year": ChartSpec(dimension="date", grain="year", series="track", per_period=True, limit=1, metric="plays"),
     "best_month": ChartSpec(answer="top", dimension="date", grain="month", metric="plays"),
     "most_skipped_platform": ChartSpec(answer="top", dimension="platform", metric="skip_rate"),
     "numbers_1998": ChartSpec(answer="number", year=1998),
@@ -80,6 +81,11 @@ def _recent(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(A.recent(spark, sf_dir))
 
 
+def _long_songs(plays: DataFrame) -> DataFrame:
+    """Plays with one song for each artist, so that songs are played often enough to move."""
+    return plays.withColumn("track_uri", F.concat(F.lit("track:"), F.col("artist_name")))
+
+
 def today_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plays of one day by the hour, where the clock says that day."""
     return chart(A.recent(spark, sf_dir), ChartSpec(range="today", dimension="date", metric="plays"), as_of=dt.datetime(2024, 1, 20, 12), back=1)
@@ -89,6 +95,27 @@ def stepped_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chart(A.recent(spark, sf_dir), ChartSpec(range="7d", metric="plays"), back=1)
 
 
+def today_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays of the clock's own day by the hour; it is eleven in the morning there."""
+    return chart(A.recent(spark, sf_dir), ChartSpec(range="today", dimension="date", metric="plays"), as_of=dt.datetime(2024, 1, 20, 16, 40))
+
+
+def _told(answer: str) -> Query:
+    """When each listener played some artists, asked of one year."""
+    spec = ChartSpec(answer=answer, year=1995, artists=("supplier#000000003", "Supplier#000000007"))
+    return lambda spark, sf_dir: chart(A.history(spark, sf_dir), spec)
+
+
+def behind_1997(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.rows_behind(A.history(spark, sf_dir), ChartSpec(year=1997, metric="plays"))
+
+
+def last_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest play of each listener: weekday, month, and how much of its hour had passed."""
+    newest = X.local("tip")
+    return C.tips(A.recent(spark, sf_dir)).select("user_id", X.weekday_name(newest).alias("weekday"), X.month_name(newest).alias("month"), X.into_hour(newest).alias("into_hour"))
+
+
 def named_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plays of an album by year, pinned to the artist with most plays under that title."""
     return chart(A.history(spark, sf_dir), ChartSpec(dimension="date", grain="year", metric="plays", albums=("Brand#13", "Brand#22")))
@@ -154,7 +181,7 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.recent(spark, sf_dir).select("user_id", "played_at", "track_uri", "track_name", "artist_name", "ms_played")
     off = F.make_dt_interval(secs=(F.col("ms_played") % 61 - 30).cast("int") * 2)
     est = p.withColumn("played_at", F.col("played_at") + off).distinct()
-    made = ingest.reconcile(p.filter("ms_played % 3 = 0"), est)
+    made = ingest.reconcile(p, est)
     return made.groupBy("user_id", "how").agg(F.count("*").alias("plays"), F.sum("ms_played").alias("ms"))
 
 
@@ -207,11 +234,19 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.day_timeline(A.recent(spark, sf_dir), dt.date(2024, 1, 20))
 
 
+def timeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays of a day that is still going on, as steps up to its minute."""
+    return profile.day_timeline(A.recent(spark, sf_dir), dt.date(2024, 1, 20), metric="plays", as_of=dt.datetime(2024, 1, 20, 20, 30))
+
+
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each listener means by their most played act's name, with its last letter off."""
-    p = A.recent(spark, sf_dir)
-    typed = p.filter("artist_name IS NOT NULL").groupBy("user_id").agg(F.max("artist_name").alias("n")).select("user_id", F.expr("substring(n, 1, length(n) - 1)").alias("typed"))
-    return profile.resolve_names(p, typed)
+    """What each listener means by every name of theirs with its last letter off, and by titles of those acts."""
+    p = A.recent(spark, sf_dir).filter("artist_name IS NOT NULL")
+    off = lambda c: F.expr(f"substring({c}, 1, length({c}) - 1)")
+    acts = p.select("user_id", off("artist_name").alias("typed"), F.lit("artist").alias("kind"), F.array().cast("array<string>").alias("artists"))
+    titles = p.groupBy("user_id", "artist_name").agg(F.max("track_name").alias("title")).select("user_id", off("title").alias("typed"), F.lit("track").alias("kind"), F.array(F.lower("artist_name")).alias("artists"))
+    made = profile.resolve_names(p, acts.unionByName(titles).distinct())
+    return made.groupBy("user_id", "kind", "typed", "name", "tier").agg(F.max("plays").alias("plays"))
 
 
 def map_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +267,7 @@ def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_of_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _points(spark, sf_dir).filter("y < 50").select("artist")
+    known = _points(spark, sf_dir).filter("x > 0").select("artist")
     return taste.coverage(taste.artist_weights(A.history(spark, sf_dir)), known)
 
 
@@ -257,7 +292,7 @@ def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = A.space(spark, sf_dir)
-    fame = space.filter("artist % 3 = 0").select("artist", (F.col("artist") % 101).alias("fame"))
+    fame = space.select("artist", F.when(F.col("artist") % 3 == 0, F.col("artist") % 101).alias("fame"))
     return taste.region_exemplars(space, fame)
 
 
@@ -301,14 +336,29 @@ def serving_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_genres(A.history(spark, sf_dir).select("artist_name").distinct(), g).select("artist_name", "genre")
 
 
+def _event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a landed listing: its supplier plays on the order's day, some know where and for how much."""
+    line, orders = A.table(spark, sf_dir, "lineitem"), A.table(spark, sf_dir, "orders")
+    s = A.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    start = F.struct(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("localDate")).alias("start"))
+    venue = F.when(F.col("l_returnflag") == "R", F.array(F.struct(F.col("o_orderpriority").alias("name"))))
+    price = F.when(F.col("l_linestatus") == "F", F.array(F.struct(F.col("l_quantity").cast("double").alias("min"))))
+    body = F.struct(F.col("s_name").alias("name"), start.alias("dates"), F.when(F.col("l_tax") > 0.04, F.col("l_tax").cast("double")).alias("distance"), price.alias("priceRanges"), F.struct(venue.alias("venues")).alias("_embedded"))
+    return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fetched"), F.to_json(body).alias("body"))
+
+
 def deduped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One listing for each supplier and day: the order with most lines, the earliest key first."""
-    from pyspark.sql.window import Window
+    """One listing for each supplier and day, the one that tells most."""
+    return ingest.normal_events(_event_bodies(spark, sf_dir)).select("artist", "date", "venue", "price", "distance_mi")
 
-    line, orders = A.table(spark, sf_dir, "lineitem"), A.table(spark, sf_dir, "orders")
-    rich = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", F.to_date("o_orderdate").alias("date"), "o_orderkey").agg(F.count("*").alias("rich"))
-    order = Window.partitionBy("l_suppkey", "date").orderBy(F.desc("rich"), "o_orderkey")
-    return rich.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+
+def genre_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widening index of parts by brand: dominant tags and number of parts of each."""
+    tagged = part_tags(spark, sf_dir)
+    atlas = tagged.select(F.col("genre").alias("region"), F.col("genre").alias("name")).distinct().select("region", "name", F.array().cast("array<string>").alias("tags"), F.lit("calm").alias("state"))
+    _, index = taste.serving_tables(tagged.select("artist", F.col("genre").alias("region")), atlas, tagged.select("artist", "tags"))
+    return index.select("genre", F.array_join("dominant", ",").alias("dominant"), "n_artists", "state")
 
 
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,10 +406,17 @@ def spec_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.pass_rate(scoring.field_scores(produced, parts[0].unionByName(parts[1]).unionByName(parts[2])))
 
 
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as answers of a run: returned ones failed, quantity is latency, key and number are tokens."""
+    line = A.table(spark, sf_dir, "lineitem")
+    error = F.when(F.col("l_returnflag") == "R", F.lit("failed"))
+    return scoring.run_totals(line.select(F.col("l_orderkey").alias("case"), error.alias("error"), F.col("l_quantity").alias("latency_ms"), F.col("l_partkey").alias("input_tokens"), F.col("l_linenumber").alias("output_tokens")))
+
+
 def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = A.table(spark, sf_dir, "orders")
-    before = o.filter("o_orderkey % 10 <> 3").select(F.col("o_orderkey").alias("case"), (F.col("o_totalprice") > 100_000).alias("ok"))
-    after = o.filter("o_orderkey % 10 <> 7").select(F.col("o_orderkey").alias("case"), (F.col("o_totalprice") > 150_000).alias("ok"))
+    before = o.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("case"), (F.col("o_totalprice") > 100_000).alias("ok"))
+    after = o.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("case"), (F.col("o_orderpriority") < "3").alias("ok"))
     return scoring.run_diff(before, after).groupBy("change").agg(F.count("*").alias("cases"))
 
 
@@ -371,25 +428,25 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taste.match(pairs, modes)
 
 
-def _supplier_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(artist, tags, z): suppliers with the vector of their number, tagged by nation and label."""
+def _artist_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artist, tags, z): suppliers have the vector of their number; the other vectors are artists nobody plays."""
     v = A.table(spark, sf_dir, "embeddings").select("vec_id", "label")
     z = A.space(spark, sf_dir).select(F.col("artist").alias("vec_id"), "z")
-    s = A.table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("artist"), "s_nationkey")
-    joined = s.join(z, F.col("s_suppkey") == F.col("vec_id")).join(v, "vec_id")
-    tags = F.array(*[F.concat(F.lit(x), F.col(c).cast("string")) for x, c in (("label ", "label"), ("nation ", "s_nationkey"), ("a ", "label"), ("b ", "s_nationkey"))])
-    return joined.select("artist", tags.alias("tags"), "z")
+    s = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vec_id"), F.lower("s_name").alias("artist"), "s_nationkey")
+    joined = z.join(v, "vec_id").join(s, "vec_id", "left")
+    nation = F.coalesce("s_nationkey", F.col("label"))
+    tags = F.array(*[F.concat(F.lit(x), c.cast("string")) for x, c in (("label ", F.col("label")), ("nation ", nation), ("a ", F.col("label")), ("b ", nation))])
+    return joined.select(F.coalesce("artist", F.concat(F.lit("vector "), F.col("vec_id").cast("string"))).alias("artist"), tags.alias("tags"), "z")
 
 
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taste.listener_modes(A.history(spark, sf_dir), _supplier_space(spark, sf_dir)).select("user_id", "mode", "share", "recent_share", "label", "coverage")
+    return taste.listener_modes(A.history(spark, sf_dir), _artist_space(spark, sf_dir)).select("user_id", "mode", "share", "recent_share", "label", "coverage")
 
 
 def recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each listener, artists to try of those with even numbers, who count as unplayed here."""
-    odd = A.history(spark, sf_dir).filter("cast(right(artist_name, 1) AS int) % 2 = 1")
-    space = _supplier_space(spark, sf_dir)
-    return taste.recommendations(taste.listener_modes(odd, space, least=20), space, odd).withColumn("score", F.round("score", 6))
+    """For each mode of a listener, artists to try of those never played."""
+    plays, space = A.history(spark, sf_dir), _artist_space(spark, sf_dir)
+    return taste.recommendations(taste.listener_modes(plays, space), space, plays).withColumn("score", F.round("score", 6))
 
 
 def winners_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,8 +470,7 @@ def background(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each preset chart."""
-    plays, genres = A.history(spark, sf_dir), A.genres(spark, sf_dir)
-    made = [chart(plays, spec, genres, AS_OF).select(F.lit(name).alias("preset"), "user_id") for name, spec in GALLERY.items()]
+    made = [_chart(name)(spark, sf_dir).select(F.lit(name).alias("preset"), "user_id") for name in PRESETS]
     every = made[0]
     for m in made[1:]:
         every = every.unionByName(m)
@@ -440,7 +496,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers at made-up places: their cells, and miles to one point."""
     lat, lon = F.col("s_acctbal") % 90, F.col("s_acctbal") % 180
     miles = X.distance_miles(lat, lon, F.lit(40.7), F.lit(-74.0))
-    return A.table(spark, sf_dir, "supplier").select("s_suppkey", F.round(miles, 3).alias("miles"), X.geo_cell(lat, lon).isNotNull().alias("placed"))
+    return A.table(spark, sf_dir, "supplier").select("s_suppkey", F.round(miles, 3).alias("miles"), X.geo_cell(lat, lon).alias("cell"), X.geo_cell(lat * 3, lon).alias("outside"))
 
 
 def show_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,6 +506,14 @@ def show_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {name: _chart(name) for name in CHARTS}
 QUERIES |= {
     "today_hours": today_hours,
+    "today_so_far": today_so_far,
+    "first_played": _told("first_played"),
+    "last_told": _told("last_played"),
+    "behind_1997": behind_1997,
+    "last_clock": last_clock,
+    "timeline_steps": timeline_steps,
+    "genre_index": genre_index,
+    "run_totals": run_totals,
     "stepped_back": stepped_back,
     "named_title": named_title,
     "named_artists": named_artists,
@@ -471,8 +535,8 @@ QUERIES |= {
     "week_stats": _recent(feed.week_stats),
     "artists_up": _recent(lambda p: feed.artist_movers(p, "up")),
     "artists_down": _recent(lambda p: feed.artist_movers(p, "down")),
-    "songs_up": _recent(lambda p: feed.song_movers(p, "up")),
-    "songs_down": _recent(lambda p: feed.song_movers(p, "down")),
+    "songs_up": _recent(lambda p: feed.song_movers(_long_songs(p), "up")),
+    "songs_down": _recent(lambda p: feed.song_movers(_long_songs(p), "down")),
     "discoveries": _recent(feed.discoveries),
     "song_discoveries": _recent(feed.song_discoveries),
     "back_in_rotation": _recent(feed.back_in_rotation),

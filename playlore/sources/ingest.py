@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from playlore import schema as S
 from playlore.functions import expressions as X
-from playlore.functions.shared import exists, file_system
+from playlore.functions.shared import checkpointed, exists, file_system
 
 EXPORT = T.StructType(
     [
@@ -171,30 +171,34 @@ def first_day(live: DataFrame, export: DataFrame, reread: int = 2) -> DataFrame:
     return newest.join(end, "user_id", "full").select("user_id", F.greatest("a", "b").alias("first_day"))
 
 
-def replace_days(spark: SparkSession, pulled: DataFrame, folder: str, since: DataFrame) -> list[tuple[int, str]]:
+def replace_days(spark: SparkSession, pulled: DataFrame, folder: str, since: DataFrame) -> DataFrame:
     """Make each day from ``since(user_id, first_day)`` on hold exactly the pulled rows.
 
     Days whose rows are as they were are not written; days that vanished are emptied.
-    Returns the (user, day) pairs that changed.
+    Returns (user_id, day, gone) of the days that changed.
     """
     day = F.date_format("played_at", "yyyy-MM-dd")
-    digest = lambda rows: rows.groupBy("user_id", "day").agg(F.sum(F.xxhash64("played_at", "track_uri", "track_name", "artist_name", "album_name", "ms_played").cast("decimal(38,0)")).alias("d"), F.count("*").alias("n"))
-    fresh = pulled.withColumn("day", day).join(since, "user_id").filter(F.col("day") >= F.col("first_day").cast("string")).drop("first_day")
+    digest = lambda rows, d, n: rows.groupBy("user_id", "day").agg(F.sum(F.xxhash64("played_at", "track_uri", "track_name", "artist_name", "album_name", "ms_played").cast("decimal(38,0)")).alias(d), F.count("*").alias(n))
+    due = lambda rows: rows.join(since, "user_id").filter(F.col("day") >= F.col("first_day").cast("string")).drop("first_day")
+    fresh = due(pulled.withColumn("day", day))
+    made = digest(fresh, "d", "n")
     if exists(spark, folder):
-        old = spark.read.schema(T.StructType([*pulled.schema.fields, T.StructField("day", T.StringType())])).parquet(folder).join(since, "user_id").filter(F.col("day") >= F.col("first_day").cast("string")).drop("first_day")
-        before = digest(old).withColumnsRenamed({"d": "od", "n": "on"})
-        changed = digest(fresh).join(before, ["user_id", "day"], "full").filter(~(F.col("d").eqNullSafe(F.col("od")) & F.col("n").eqNullSafe(F.col("on")))).select("user_id", "day", F.col("n").isNull().alias("gone")).collect()
-    else:
-        changed = [r for r in digest(fresh).select("user_id", "day", F.lit(False).alias("gone")).collect()]
-    written = [(r["user_id"], r["day"]) for r in changed if not r["gone"]]
-    if written:
-        touched = spark.createDataFrame(written, "user_id long, day string")
-        fresh.join(F.broadcast(touched), ["user_id", "day"], "left_semi").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("user_id", "day").parquet(folder)
-    for r in changed:
-        if r["gone"]:
-            system, path = file_system(spark, f"{folder}/user_id={r['user_id']}/day={r['day']}")
-            system.delete(path, True)
-    return sorted((r["user_id"], r["day"]) for r in changed)
+        old = due(spark.read.schema(T.StructType([*pulled.schema.fields, T.StructField("day", T.StringType())])).parquet(folder))
+        both = made.join(digest(old, "od", "on"), ["user_id", "day"], "full")
+        made = both.filter(~(F.col("d").eqNullSafe(F.col("od")) & F.col("n").eqNullSafe(F.col("on"))))
+    # Cut from the files that are about to be replaced.
+    changed = checkpointed(made.select("user_id", "day", F.col("n").isNull().alias("gone")))
+    touched = fresh.join(changed.filter("NOT gone").select("user_id", "day"), ["user_id", "day"], "left_semi")
+    touched.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("user_id", "day").parquet(folder)
+    drop_days(spark, folder, changed.filter("gone").select("user_id", "day"))
+    return changed
+
+
+def drop_days(spark: SparkSession, folder: str, days: DataFrame) -> None:
+    """Remove the folders of ``days(user_id, day)``, which come to the driver a partition at a time."""
+    for r in days.toLocalIterator():
+        system, path = file_system(spark, f"{folder}/user_id={r['user_id']}/day={r['day']}")
+        system.delete(path, True)
 
 
 def prunable_days(live: DataFrame, export: DataFrame) -> DataFrame:
@@ -205,9 +209,13 @@ def prunable_days(live: DataFrame, export: DataFrame) -> DataFrame:
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """(artist, tags) of a CSV with a header and columns artist and tag, in file order."""
-    raw = spark.read.option("header", True).schema("artist string, tag string").csv(path)
-    return raw.filter("artist IS NOT NULL AND tag IS NOT NULL").withColumn("at", F.monotonically_increasing_id()).groupBy(X.name_key("artist").alias("artist")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]).alias("tags"))
+    """(artist, tags) of a CSV with a header and columns artist and tags, tags parted by semicolons.
+
+    An artist has as many rows as tracks, with the same tags in each; one of its longest lists stays.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).select("artist", F.split("tags", ";").alias("tags"))
+    named = raw.filter("artist IS NOT NULL AND trim(artist) <> '' AND tags IS NOT NULL").groupBy(X.name_key("artist").alias("artist"))
+    return named.agg(F.max_by("tags", F.struct(F.size("tags"), F.col("tags"))).alias("tags"))
 
 
 def flatten_recent(payloads: DataFrame) -> DataFrame:
@@ -277,7 +285,7 @@ def normal_events(events: DataFrame) -> DataFrame:
         "fetched",
     ).filter("artist IS NOT NULL AND date IS NOT NULL")
     filled = sum(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), 1).otherwise(0) for c in ("external_id", "venue", "price", "image", "distance_mi"))
-    order = Window.partitionBy("artist", "date").orderBy(F.desc("rich"), "fetched", F.col("venue"))
+    order = Window.partitionBy("artist", "date").orderBy(F.desc("rich"), "fetched", "venue", "price", "distance_mi")
     return rows.withColumn("rich", filled).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r", "rich", "fetched")
 
 

@@ -1,8 +1,8 @@
 """From playback snapshots to finished plays: the state of each listener's player.
 
 ``step`` is the pure rule; ``plays_from`` runs it in a stateful stream operator, keyed by
-listener.  A play also ends when snapshots stop: an event-time timer fires after the
-blackout and finishes what was playing at its last movement.
+listener.  Nothing is finished by the first empty snapshot.  If none with a track follows for
+the length of a blackout, an empty one or an event-time timer ends the play.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from playlore.functions.shared import checkpointed, exists, file_system
+from playlore.functions.shared import checkpointed, exists
 
 # Fixed values, in milliseconds.
 REPEAT_MS, SLACK_MS, BLACKOUT_MS, SHORTEST_MS = 3000, 2000, 50_000, 1000
@@ -40,7 +40,7 @@ FINISHED = T.StructType(
     [T.StructField(c, t) for c, t in (("user_id", T.LongType()), ("played_at", T.TimestampType()), ("track_uri", T.StringType()), ("track_name", T.StringType()), ("artist_name", T.StringType()), ("album_name", T.StringType()), ("duration_ms", T.LongType()), ("ms_played", T.LongType()))]
 )
 _STATE = T.StructType(
-    [T.StructField(c, t) for c, t in (("uri", T.StringType()), ("name", T.StringType()), ("artist", T.StringType()), ("album", T.StringType()), ("duration", T.LongType()), ("progress", T.LongType()), ("heard", T.LongType()), ("seen", T.LongType()), ("moved", T.LongType()), ("playing", T.BooleanType()))]
+    [T.StructField(c, t) for c, t in (("uri", T.StringType()), ("name", T.StringType()), ("artist", T.StringType()), ("album", T.StringType()), ("duration", T.LongType()), ("progress", T.LongType()), ("heard", T.LongType()), ("seen", T.LongType()), ("moved", T.LongType()), ("playing", T.BooleanType()), ("gone", T.LongType()))]
 )
 
 
@@ -48,47 +48,77 @@ def finished(state: dict | None, heard: int, ended: int) -> dict | None:
     """The play of a state, heard for at most its duration; None if too short to count."""
     if not state:
         return None
-    heard = int(min(heard, state["duration"]) if state["duration"] else heard)
+    heard = int(heard if state["duration"] is None else min(heard, state["duration"]))
     if heard < SHORTEST_MS:
         return None
     return {"played_at": ended, "track_uri": state["uri"], "track_name": state["name"], "artist_name": state["artist"], "album_name": state["album"], "duration_ms": state["duration"], "ms_played": heard}
 
 
 def _begin(snap: dict, at: int, heard: int) -> dict:
-    return {"uri": snap["uri"], "name": snap["name"], "artist": snap["artist"], "album": snap["album"], "duration": snap["duration_ms"] or 0, "progress": snap["progress_ms"] or 0, "heard": heard, "seen": at, "moved": at, "playing": bool(snap["is_playing"])}
+    return {"uri": snap["uri"], "name": snap["name"], "artist": snap["artist"], "album": snap["album"], "duration": snap["duration_ms"], "progress": snap["progress_ms"], "heard": heard, "seen": at, "moved": at, "playing": bool(snap["is_playing"]), "gone": None}
+
+
+def _over(state: dict, room: int) -> dict | None:
+    """The play of a state that ended within ``room`` milliseconds of when it was last seen.
+
+    What was playing went on until its end or for that long; what was paused ended when it
+    last moved.
+    """
+    if not state["playing"]:
+        return finished(state, state["heard"], state["moved"])
+    whole = state["progress"] if state["duration"] is None else state["duration"]
+    rest = max(0, min(whole - state["progress"], room))
+    return finished(state, state["heard"] + rest, state["seen"] + rest)
+
+
+def blacked_out(state: dict) -> dict | None:
+    """The play of a state after a blackout: it ended somewhere before the first empty snapshot."""
+    return _over(state, max(0, state["gone"] - state["seen"]))
 
 
 def step(state: dict | None, snap: dict | None, at: int) -> tuple[dict | None, dict | None]:
     """(next state, finished play) after a snapshot taken at ``at`` milliseconds.
 
-    ``snap`` is None when nothing is playing, or something that isn't a track.
+    ``snap`` is None when nothing is playing, or something that isn't a track.  Time counts
+    as heard as far as the track moved on, but never more than the time that passed.
     """
     if state and at < state["seen"]:
         return state, None  # older than what has been seen
     if snap is None:
-        if state and at - state["moved"] >= BLACKOUT_MS:
-            return None, finished(state, state["heard"], state["moved"])
-        return state, None
-    now = snap["progress_ms"] or 0
+        if state is None:
+            return None, None
+        if state["gone"] is None:
+            return state | {"gone": at}, None
+        return (None, blacked_out(state)) if at - state["gone"] >= BLACKOUT_MS else (state, None)
+    now = snap["progress_ms"]
     if state is None:
-        return _begin(snap, at, 0), None
+        return _begin(snap, at, now), None
     elapsed = at - state["seen"]
-    if snap["uri"] == state["uri"]:
-        before = state["progress"]
-        if now + REPEAT_MS < before and now <= elapsed + REPEAT_MS:
-            # Played again from the start: what was left of it may have been heard first.
-            rest = max(0, min(elapsed - now, state["duration"] - before)) if state["playing"] else 0
-            return _begin(snap, at, now), finished(state, state["heard"] + rest, at - now)
-        credit = min(now - before, elapsed + SLACK_MS) if now > before else 0
-        moved = at if now != before else state["moved"]
-        return state | {"progress": now, "heard": state["heard"] + credit, "seen": at, "moved": moved, "playing": bool(snap["is_playing"])}, None
-    # Another track began ``now`` ago, so the old one ended then.
-    if state["playing"]:
-        rest = max(0, min(elapsed - now, state["duration"] - state["progress"]))
-        ended = max(state["moved"], at - now)
-    else:
-        rest, ended = 0, state["moved"]
-    return _begin(snap, at, min(now, elapsed + SLACK_MS)), finished(state, state["heard"] + rest, ended)
+    if snap["uri"] != state["uri"]:
+        # The new track began ``now`` ago, and the old one ended by then.
+        return _begin(snap, at, min(now, elapsed + SLACK_MS)), _over(state, elapsed - now)
+    before = state["progress"]
+    if now + REPEAT_MS < before and now <= elapsed + REPEAT_MS:
+        # Near its start again, with time enough to have been started over.
+        return _begin(snap, at, now), _over(state, elapsed - now)
+    credit = min(now - before, elapsed + SLACK_MS) if now > before else 0
+    return state | {"progress": now, "heard": state["heard"] + credit, "seen": at, "moved": at if credit else state["moved"], "playing": bool(snap["is_playing"]), "gone": None}, None
+
+
+def _snapshot(row: dict) -> tuple[dict | None, int]:
+    """What a row of a table of snapshots says is playing, and its time in milliseconds."""
+    at = pd.Timestamp(row["at"]).value // 1_000_000
+    if row["kind"] != "track" or not isinstance(row["uri"], str):
+        return None, at
+    plain = {k: None if pd.isna(v) else v for k, v in row.items()}
+    plain["progress_ms"] = max(0, int(plain["progress_ms"] or 0))
+    plain["duration_ms"] = None if plain["duration_ms"] is None else int(plain["duration_ms"])
+    return plain, at
+
+
+def _frame(plays: list[tuple[int, dict]]) -> pd.DataFrame:
+    rows = [{"user_id": user, **p, "played_at": pd.Timestamp(p["played_at"], unit="ms")} for user, p in plays]
+    return pd.DataFrame(rows, columns=[f.name for f in FINISHED.fields]).astype({"duration_ms": "Int64"})
 
 
 class Watcher(StatefulProcessor):
@@ -110,33 +140,24 @@ class Watcher(StatefulProcessor):
             self.state.clear()
             return
         self.state.update(tuple(state[f.name] for f in _STATE.fields))
-        self.handle.registerTimer(state["moved"] + BLACKOUT_MS)
-
-    @staticmethod
-    def _out(user: int, plays: list[dict]) -> pd.DataFrame:
-        rows = [{"user_id": user, **p, "played_at": pd.Timestamp(p["played_at"], unit="ms")} for p in plays]
-        return pd.DataFrame(rows, columns=[f.name for f in FINISHED.fields])
+        if state["gone"] is not None:
+            self.handle.registerTimer(state["gone"] + BLACKOUT_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values("at", kind="stable")
         state, done = self._load(), []
-        for r in every.to_dict("records"):
-            at = int(pd.Timestamp(r["at"]).timestamp() * 1000)
-            track = r["kind"] == "track" and isinstance(r["uri"], str)
-            clean = {k: (None if pd.isna(v) else v) for k, v in r.items()} if track else None
-            if clean:
-                clean["progress_ms"], clean["duration_ms"] = int(clean["progress_ms"] or 0), int(clean["duration_ms"] or 0)
-            state, play = step(state, clean, at)
+        for row in every.to_dict("records"):
+            state, play = step(state, *_snapshot(row))
             if play:
-                done.append(play)
+                done.append((key[0], play))
         self._save(state)
-        yield self._out(key[0], done)
+        yield _frame(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._load()
-        play = finished(state, state["heard"], state["moved"]) if state else None
+        play = blacked_out(state) if state and state["gone"] is not None else None
         self._save(None)
-        yield self._out(key[0], [play] if play else [])
+        yield _frame([(key[0], play)] if play else [])
 
     def close(self) -> None:
         pass
@@ -152,7 +173,7 @@ def replay(snapshots: DataFrame) -> DataFrame:
     """The same rule over snapshots at rest, listener by listener, in batches.
 
     Rows are dealt by listener and sorted by time, so that a listener's snapshots stream
-    through one task without being held.  What is still playing at the end is finished.
+    through one task without being held.  What is still playing at the end is not finished.
     """
     dealt = snapshots.filter("status = 200").repartition("user_id").sortWithinPartitions("user_id", "at", "uri", "progress_ms")
 
@@ -160,22 +181,14 @@ def replay(snapshots: DataFrame) -> DataFrame:
         user, state = None, None
         for batch in batches:
             done: list[tuple[int, dict]] = []
-            for r in batch.to_dict("records"):
-                if r["user_id"] != user:
-                    if state and (play := finished(state, state["heard"], state["moved"])):
-                        done.append((user, play))
-                    user, state = r["user_id"], None
-                at = int(pd.Timestamp(r["at"]).timestamp() * 1000)
-                snap = {k: (None if pd.isna(v) else v) for k, v in r.items()} if r["kind"] == "track" and isinstance(r["uri"], str) else None
-                if snap:
-                    snap["progress_ms"], snap["duration_ms"] = int(snap["progress_ms"] or 0), int(snap["duration_ms"] or 0)
-                state, play = step(state, snap, at)
+            for row in batch.to_dict("records"):
+                if row["user_id"] != user:
+                    user, state = row["user_id"], None
+                state, play = step(state, *_snapshot(row))
                 if play:
                     done.append((user, play))
             if done:
-                yield pd.concat([Watcher._out(u, [p]) for u, p in done])
-        if state and (play := finished(state, state["heard"], state["moved"])):
-            yield Watcher._out(user, [play])
+                yield _frame(done)
 
     return dealt.mapInPandas(run, FINISHED)
 
@@ -218,7 +231,7 @@ def store_stream(plays: DataFrame, folder: str, checkpoint: str, **trigger: obje
 
     The days' stored plays are read, reconciled with the batch by source, and written again.
     """
-    from playlore.sources.ingest import reconcile
+    from playlore.sources.ingest import drop_days, reconcile
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
@@ -236,9 +249,8 @@ def store_stream(plays: DataFrame, folder: str, checkpoint: str, **trigger: obje
         done = checkpointed(merged.select("user_id", "played_at", "track_uri", "track_name", "artist_name", "album_name", "ms_played", "source", F.to_date("played_at").alias("day")))
         done.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("user_id", "day").parquet(folder)
         # An overwrite leaves days alone that have lost their last play.
-        for r in before.join(done, ["user_id", "day"], "left_anti").collect() if before is not None else []:
-            system, path = file_system(spark, f"{folder}/user_id={r['user_id']}/day={r['day']}")
-            system.delete(path, True)
+        if before is not None:
+            drop_days(spark, folder, before.join(done, ["user_id", "day"], "left_anti"))
 
     return plays.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

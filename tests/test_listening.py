@@ -63,9 +63,50 @@ def test_specs_that_mean_nothing_are_refused(history, spec):
 
 def test_runs_are_folded_before_filters(spark):
     t = lambda m: T0 + dt.timedelta(minutes=m)
-    p = plays(spark, [(1, t(0), "A", "x", 60_000, None), (1, t(1), "A", "x", 60_000, None), (1, t(2), "B", "y", 60_000, None), (1, t(3), "A", "x", 5_000, None)])
-    got = [(r.label, r.times) for r in chart(p, ChartSpec(answer="recent", artists=("x",))).orderBy("rank").collect()]
-    assert got == [("A", 1), ("A", 2)]
+    p = plays(spark, [(1, t(0), "A", "x", 60_000, None), (1, t(1), "A", "x", 60_000, None), (1, t(2), "B", "y", 60_000, None), (1, t(3), "A", "x", 5_000, None), (1, t(4), "A", "x", 40_000, None)])
+    runs = lambda **k: [(r.label, r.times, r.played_at[-5:]) for r in chart(p, ChartSpec(answer="recent", **k)).orderBy("rank").collect()]
+    # What is under half a minute is no listen; the runs of A are two although the filter leaves nothing between.
+    assert runs(artists=("x",)) == [("A", 1, "04:00"), ("A", 2, "01:00")]
+    assert runs() == [("A", 1, "04:00"), ("B", 1, "02:00"), ("A", 2, "01:00")]
+    bare = p.withColumn("track_uri", F.lit(None).cast("string"))
+    assert [r.times for r in chart(bare, ChartSpec(answer="recent")).orderBy("rank").collect()] == [1, 1, 2]
+
+
+def test_a_chart_of_today_ends_at_the_current_hour(spark):
+    p = plays(spark, [(1, dt.datetime(2024, 1, 15, 14), "A", "x", 60_000, None)])
+    day = lambda **k: [r.label for r in chart(p, ChartSpec(range="today", dimension="date", metric="plays"), **k).orderBy("rank").collect()]
+    assert day(as_of=dt.datetime(2024, 1, 15, 16, 30)) == [str(h) for h in range(12)]
+    assert len(day(as_of=dt.datetime(2024, 1, 16, 16, 30), back=1)) == 24
+
+
+def test_first_and_last_played_tell_never_from_not_then(history):
+    ask = lambda **k: {r.user_id: (str(r.day), r.status) for r in chart(history, ChartSpec(**k)).collect()}
+    assert ask(answer="first_played", artists=("ann",)) == {1: ("2024-01-15", "played"), 2: ("None", "never")}
+    assert ask(answer="last_played", artists=("ann",), year=2020)[1] == ("None", "not_in_window")
+    assert ask(answer="last_played", artists=("ann",))[1][0] == "2024-04-23"
+
+
+def test_equal_totals_are_ranked_by_name_whatever_the_order_of_addition(spark):
+    parts = {"b": (0.1, 0.2, 0.3), "a": (0.3, 0.2, 0.1)}
+    rows = [(1, dt.datetime(2001 + i, 6, 1), "t", a, int(h * 3_600_000), None) for a, hours in parts.items() for i, h in enumerate(hours)]
+    got = chart(plays(spark, rows), ChartSpec(dimension="date", grain="year", series="artist", limit=1)).collect()
+    assert {r.series for r in got} == {"a"}
+
+
+def test_windows_reach_the_folders_of_a_stored_table(history, spark, tmp_path):
+    history.withColumn("year", F.year("played_at")).write.partitionBy("year").parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    for spec in (ChartSpec(year=2024, metric="plays"), ChartSpec(months=(12, 1), year=2024, metric="plays"), ChartSpec(from_year=2023, to_year=2024, metric="plays")):
+        made = chart(stored, spec)
+        assert sorted(map(str, made.collect())) == sorted(map(str, chart(history, spec).collect()))
+        assert "PartitionFilters: [isnotnull(year" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_day_line_starts_at_nothing_and_ends_with_the_day(spark):
+    p = plays(spark, [(1, dt.datetime(2024, 1, 15, 15), "A", "x", 1_800_000, None), (1, dt.datetime(2024, 1, 15, 15, 15), "B", "x", 1_800_000, None)])
+    line = lambda **k: [(r["at"], r["value"]) for r in profile.day_timeline(p, dt.date(2024, 1, 15), **k).orderBy("n").collect()]
+    assert line() == [(0.0, 0.0), (9.5, 0.0), (10.0, 0.5), (10.0, 0.5), (10.25, 1.0), (24.0, 1.0)]
+    assert line(metric="plays", as_of=dt.datetime(2024, 1, 15, 17))[-3:] == [(10.25, 1.0), (10.25, 2.0), (12.0, 2.0)]
 
 
 def test_winter_belongs_to_the_year_it_ends_in(spark):
@@ -101,6 +142,9 @@ def test_streak_bridges_what_no_source_saw(spark):
     gaps = spark.createDataFrame([(1, dt.date(2024, 1, 2), dt.date(2024, 1, 6))], "user_id long, after date, before date")
     assert profile.day_streak(p, now, gaps=gaps).first().streak == 7
     assert profile.day_streak(p, dt.datetime(2024, 1, 10, 17)).first().streak == 0
+    # The gap between the export's last day and capture's first is derived from the plays, and short plays make days too.
+    both = p.withColumns({"source": F.when(F.dayofmonth("played_at") <= 2, "export").otherwise("live"), "ms_played": F.lit(5).cast("long")})
+    assert profile.day_streak(both, now).first().streak == 7
 
 
 def test_show_filter_keeps_what_it_does_not_know(spark):
@@ -148,7 +192,7 @@ def test_days_are_replaced_whole(spark, tmp_path):
     since = spark.createDataFrame([(1, dt.date(2024, 1, 1))], "user_id long, first_day date")
     row = lambda d, u: (1, dt.datetime(2024, 1, d, 10), u, "t", "a", "b", 1000)
     shape = "user_id long, played_at timestamp_ntz, track_uri string, track_name string, artist_name string, album_name string, ms_played long"
-    pull = lambda rows: ingest.replace_days(spark, spark.createDataFrame(rows, shape), folder, since)
+    pull = lambda rows: sorted((r.user_id, r.day) for r in ingest.replace_days(spark, spark.createDataFrame(rows, shape), folder, since).collect())
     assert pull([row(1, "x"), row(2, "y")]) == [(1, "2024-01-01"), (1, "2024-01-02")]
     assert pull([row(1, "x"), row(2, "z"), row(2, "y")]) == [(1, "2024-01-02")]
     assert pull([row(1, "x")]) == [(1, "2024-01-02")]
@@ -207,13 +251,96 @@ def _space(spark):
     return spark.createDataFrame(rows, "artist string, tags array<string>, z array<double>")
 
 
+def test_one_genre_is_two_modes_at_least(spark):
+    space = _space(spark).filter("artist LIKE 'g0%'")
+    p = plays(spark, [(1, T0, "t", f"g0-{i}", 600_000, None) for i in range(60)])
+    got = taste.listener_modes(p, space).collect()
+    assert len(got) == 2 and all(r.label.startswith("more0, tag0") and r.tags == ["more0", "tag0", "x", "y"] for r in got)
+    assert sum(r.artists for r in got) == 60 and abs(sum(r.hours for r in got) - 10) < 0.02
+
+
+def test_recommendations_are_those_of_brute_force(spark):
+    import numpy as np
+
+    space = _space(spark)
+    p = plays(spark, [(1, T0, "t", f"g{g}-{i}", 600_000, None) for g in range(2) for i in range(40)] + [(1, T0, "t", f"g2-{i}", 60_000, None) for i in range(57)])
+    modes = taste.listener_modes(p, space)
+    z = {r.artist: np.array(r.z) for r in space.collect()}
+    played = {r[0] for r in p.select("artist_name").distinct().collect()}
+    got = {}
+    for r in taste.recommendations(modes, space, p).orderBy("rank").collect():
+        got.setdefault(r["mode"], []).append(r.artist)
+    for m in modes.collect():
+        score = {a: min(v @ np.array(m.centre), max(v @ z[x] for x in m.members)) for a, v in z.items() if a not in played}
+        assert got[m.mode] == sorted(score, key=lambda a: (-score[a], a))[:6]
+
+
+def test_tags_are_cleaned(spark, tmp_path):
+    (tmp_path / "tags.csv").write_text('artist,tags\nAnn,Hip-Hop;hip_hop; seen live ;my songs\n ann ,"rock;Hip Hop;swedish;female vocalists;i love it"\nBob,\n,x\n')
+    raw = ingest.read_tags(spark, str(tmp_path / "tags.csv"))
+    assert [r.artist for r in raw.collect()] == ["ann"]
+    assert taste.tag_corpus(raw).first().tags == ["rock", "hip hop", "swedish", "female vocalists"]
+    assert taste.tag_corpus(raw, soft=True).first().tags == ["rock", "hip hop"]
+
+
+def test_account_files_are_read(spark, tmp_path):
+    rows = [{"endTime": "2024-01-02 03:04", "artistName": "A", "trackName": "T", "msPlayed": 5}, {"endTime": None, "artistName": "A", "trackName": "T", "msPlayed": 5}]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    got = ingest.read_account(spark, str(tmp_path / "a.json"), 7).collect()
+    assert [(r.user_id, r.played_at, r.track_name, r.artist_name, r.ms_played) for r in got] == [(7, dt.datetime(2024, 1, 2, 3, 4), "T", "A", 5)]
+
+
+def test_serving_tables_are_built_and_stored(spark, tmp_path):
+    placed = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "artist string, region int")
+    atlas = spark.createDataFrame([(1, "rock", ["loud"], "calm"), (2, "jazz", [], None), (3, "polka", [], None)], "region int, name string, tags array<string>, state string")
+    tagged = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"])], "artist string, tags array<string>")
+    table, index = taste.serving_tables(placed, atlas, tagged)
+    taste.store_serving(table, index, str(tmp_path))
+    assert {(r.artist, r.genre) for r in spark.read.parquet(str(tmp_path / "artist_genre")).collect()} == {("a", "rock"), ("b", "rock"), ("c", "jazz")}
+    assert {r.genre: (r.dominant, r.n_artists) for r in spark.read.json(str(tmp_path / "index")).collect()} == {"rock": (["x", "y"], 2), "jazz": ([], 1), "polka": ([], 0)}
+    with pytest.raises(ValueError):
+        taste.serving_tables(placed, atlas.filter("region = 1"), tagged)
+
+
+def test_names_are_read_as_what_was_played(spark):
+    p = plays(spark, [(1, T0, t, a, 60_000, None) for t, a in (("Creep - Live", "Radiohead"), ("Help!", "The Beatles"), ("Yesterday", "Beatles"), ("Creep", "TLC"), ("Creep", "TLC"))])
+    ask = lambda *rows: {r.typed: (r.name, r.tier) for r in profile.resolve_names(p, spark.createDataFrame([(1, *r) for r in rows], "user_id long, typed string, kind string, artists array<string>")).collect()}
+    assert ask(("radio", "artist", None), ("beat", "artist", None), ("beatles", "artist", None), ("zzzz", "artist", None)) == {"radio": ("Radiohead", 1), "beat": ("Beatles", 1), "beatles": ("Beatles", 3)}
+    assert ask(("creep", "track", ["radiohead"])) == {"creep": ("Creep - Live", 3)}
+    assert ask(("creep", "track", None), ("help", "track", None)) == {"creep": ("Creep", 3), "help": ("Help!", 3)}
+
+
+def test_no_close_name_is_ruled_out_unread(spark):
+    import random
+
+    from playlore.functions.similarity import may_reach
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+    pairs = [(word(), word()) for _ in range(4000)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", may_reach("a", "b", 0.9).alias("may")).collect()
+    assert all(r.may for r in got if jaro_winkler_pair(r.a, r.b) >= 0.9) and not all(r.may for r in got)
+
+
+def test_pins_are_those_of_brute_force(spark):
+    acts = ["Ann", "Ann, Bob", "Bob, Ann", "Ann, Bob, Cy", "ann", "Anna", None]
+    rows = [(u, T0 + dt.timedelta(hours=i), t, a, 40_000 + i, None) for u in (1, 2) for i, (t, a) in enumerate((t, a) for t in ("Stay", "Stay (Live)", "Go") for a in acts)]
+    p = plays(spark, rows)
+    asked = [(1, "a", "artist", None, None, "Ann, Bob"), (1, "s", "song", "track:Go", "Stay", "Ann"), (1, "l", "album", None, "Album", "Bob"), (2, "n", "artist", None, None, "nobody")]
+    got = {r.pin: (r.plays, r.hours) for r in profile.pin_stats(p, spark.createDataFrame(asked, "user_id long, pin string, kind string, uri string, title string, artist string")).collect()}
+    same = lambda a, b: a is not None and (a.lower() == b.lower() or a.lower().startswith(b.lower() + ", ") or b.lower().startswith(a.lower() + ", "))
+    mine = [r for r in rows if r[0] == 1]
+    hits = {"a": [r for r in mine if same(r[3], "Ann, Bob")], "s": [r for r in mine if r[2] == "Go" or (r[2].startswith("Stay") and same(r[3], "Ann"))], "l": [r for r in mine if same(r[3], "Bob")], "n": []}
+    assert got == {k: (len(v), round(sum(r[4] for r in v) / 3_600_000, 2)) for k, v in hits.items()}
+
+
 def test_modes_find_the_three_genres(spark):
     space = _space(spark)
     rows = [(1, T0 - dt.timedelta(days=200), "t", f"g{g}-{i}", 600_000, None) for g in range(3) for i in range(60)]
     rows += [(1, T0, "t", "g0-1", 600_000, None)]
     modes = taste.listener_modes(plays(spark, rows), space)
     got = modes.collect()
-    assert len(got) == 3 and {r.label.split(", ")[1] for r in got} == {"tag0", "tag1", "tag2"}
+    assert len(got) == 3 and {r.label.split(", ")[1] for r in got} == {"tag0", "tag1", "tag2"} and all(len(r.tags) == 4 for r in got)
     assert taste.drift(modes).filter("rank = 1").first().points > 50
     few = plays(spark, rows[:60])
     rec = taste.recommendations(taste.listener_modes(few, space, least=20), space, few).collect()

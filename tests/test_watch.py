@@ -20,40 +20,58 @@ def run(*steps):
     return state, plays
 
 
-def test_forward_play_then_next_track():
-    _, plays = run((0, snap(progress=0)), (20, snap(progress=20_000)), (40, snap("u2", progress=5_000)))
-    assert plays == [("u1", 35_000, 35)]
+def test_first_sight_takes_the_progress_as_heard():
+    state, plays = run((0, snap(progress=5_000)), (30, snap(progress=35_000)), (60, snap(progress=65_000)))
+    assert plays == [] and state["heard"] == 65_000
+
+
+def test_next_track_ends_the_last_one_when_it_began():
+    assert run((0, snap(progress=170_000)), (30, snap("u2", progress=5_000)))[1] == [("u1", 195_000, 25)]
+    assert run((0, snap(progress=1_000)), (30, snap(progress=31_000)), (60, snap("u2", progress=20_000)))[1] == [("u1", 41_000, 40)]
+
+
+def test_what_was_left_bounds_the_end():
+    assert run((0, snap(progress=190_000)), (60, snap("u2", progress=5_000)))[1] == [("u1", 200_000, 10)]
 
 
 def test_credit_is_bounded_by_the_time_that_passed():
-    state, _ = run((0, snap(progress=0)), (10, snap(progress=100_000)))
-    assert state["heard"] == 12_000
+    state, _ = run((0, snap(progress=50_000)), (30, snap(progress=150_000)))
+    assert state["heard"] == 82_000
+    assert run((0, snap()), (1, snap("u2", progress=90_000)))[0]["heard"] == 3_000
+
 
+def test_seeking_back_earns_nothing_and_is_no_movement():
+    state, plays = run((0, snap(progress=150_000)), (30, snap(progress=60_000)))
+    assert state["heard"] == 150_000 and not plays and state["moved"] == 0
 
-def test_seeking_back_earns_nothing():
-    state, plays = run((0, snap(progress=100_000)), (20, snap(progress=50_000)))
-    assert state["heard"] == 0 and not plays
 
+def test_each_repeat_is_a_play():
+    steps = [(30 * (4 * i + j), snap(progress=10_000 + 30_000 * j, duration=110_000)) for i in range(3) for j in range(4)]
+    _, plays = run(*steps)
+    assert [p[:2] for p in plays] == [("u1", 110_000)] * 2 and [p[2] for p in plays] == [100, 220]
 
-def test_repeat_finishes_the_first_play():
-    state, plays = run((0, snap(progress=180_000)), (30, snap(progress=10_000)))
-    assert plays == [("u1", 20_000, 20)] and state["heard"] == 10_000
 
+def test_one_empty_snapshot_ends_nothing():
+    state, plays = run((0, snap(progress=10_000)), (30, None), (60, snap(progress=70_000)))
+    assert plays == [] and state["gone"] is None and state["heard"] == 70_000
 
-def test_short_blackout_is_tolerated_and_a_long_one_ends_the_play():
-    steps = [(0, snap(progress=0)), (20, snap(progress=20_000)), (40, None)]
-    assert run(*steps)[1] == []
-    assert run(*steps, (71, None))[1] == [("u1", 20_000, 20)]
+
+def test_blackout_counts_from_its_first_empty_snapshot():
+    state, plays = run((0, snap(progress=10_000)), (30, None), (60, None), (79, None))
+    assert plays == [] and state["gone"] == 30_000
+    assert run((0, snap(progress=10_000)), (30, None), (60, None), (80, None)) == (None, [("u1", 40_000, 30)])
 
 
 def test_paused_track_ends_when_it_last_moved():
-    _, plays = run((0, snap(progress=0)), (20, snap(progress=20_000)), (40, snap(progress=20_000, playing=False)), (100, snap("u2", progress=1_000)))
-    assert plays == [("u1", 20_000, 20)]
+    paused = [(0, snap(progress=100_000)), (30, snap(progress=110_000, playing=False)), (600, snap(progress=110_000, playing=False))]
+    assert run(*paused, (630, snap("u2", progress=3_000)))[1] == [("u1", 110_000, 30)]
+    assert run(*paused, (620, None), (670, None))[1] == [("u1", 110_000, 30)]
 
 
 def test_plays_under_a_second_are_dropped_and_long_ones_capped():
-    assert run((0, snap(progress=0)), (1, snap("u2", progress=900)))[1] == []
+    assert run((0, snap(progress=100)), (1, snap("u2", progress=500)))[1] == []
     assert watch.finished(watch._begin(snap(duration=5_000), 0, 0), 9_000, 9)["ms_played"] == 5_000
+    assert run((0, snap(progress=4_000, duration=None)), (30, snap("u2", progress=1_000)))[1] == [("u1", 4_000, 0)]
 
 
 def test_late_snapshot_changes_nothing():
@@ -72,7 +90,13 @@ ROWS = [(0, "u1", 0), (20, "u1", 20_000), (40, "u2", 5_000), (60, "u2", 25_000)]
 
 def test_replay_of_snapshots_at_rest(spark):
     got = [(r.track_uri, r.ms_played) for r in watch.replay(_frame(spark, ROWS)).orderBy("played_at").collect()]
-    assert got == [("u1", 35_000), ("u2", 25_000)]
+    assert got == [("u1", 35_000)]
+
+
+def test_other_things_than_tracks_read_as_nothing_playing(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at + dt.timedelta(seconds=s), 200, True, kind, 30_000, "u1" if kind == "track" else "e", "n", "a", "b", 200_000) for s, kind in ((0, "track"), (20, "episode"), (40, "ad"), (70, "episode"))]
+    assert [(r.ms_played, r.played_at.second) for r in watch.replay(spark.createDataFrame(rows, watch.SNAPSHOT)).collect()] == [(50_000, 20)]
 
 
 def test_stream_gives_the_same_plays(spark, tmp_path):
@@ -83,7 +107,7 @@ def test_stream_gives_the_same_plays(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     got = spark.read.schema(watch.FINISHED).parquet(str(tmp_path / "out")).toPandas()
-    assert set(got["track_uri"]) >= {"u1", "u2"}
+    assert set(got["track_uri"]) == {"u1", "u2"}
     assert isinstance(got, pd.DataFrame) and int(got.loc[got["track_uri"] == "u1", "ms_played"].iloc[0]) == 35_000
 
 
