@@ -1,6 +1,6 @@
 """Nearest neighbours by collision counting over query-aware hashes.
 
-Vectors are cut into blocks of bounded size.  A block is indexed by random
+Vectors of one length are cut into blocks of bounded size.  A block is indexed by random
 directions: for each, the block's projections are kept in sorted order.  A query is projected
 on the same directions, and a window centred on its own projection is opened in each sorted
 array.  A vector collides with the query in an array if it lies in the window, and vectors
@@ -38,12 +38,12 @@ from .common import bounded_batches, written
 #: tell far and near vectors apart better than independent ones.  At most ``MOST`` are used.
 PROJECTIONS, MOST = 64, 128
 #: Half widths of the windows, in standard deviations of a direction's projections.
-RADII = (1.2, 1.4, 1.6, 1.8, 2.0, 2.4, 3.2, 4.8)
+RADII = (*(x / 20 for x in range(12, 70)), 4.0, 6.0)
 #: Share of the projections in which a candidate collides.
-COLLISIONS = 0.8
+COLLISIONS = 0.9
 #: Candidates wanted before windows stop widening: so many times k, and this share of the
 #: block.  Without any structure in the vectors the share is what recall depends on.
-WANTED, SHARE = 40, 0.08
+WANTED, SHARE = 10, 0.06
 BLOCK = 16_384
 
 
@@ -56,46 +56,56 @@ def usable(vector: Column) -> Column:
 class BlockIndex:
     """Sorted projections of the vectors of one block."""
 
-    def __init__(self, vectors: np.ndarray, longest: float, seed: int):
+    def __init__(self, vectors: np.ndarray, seed: int):
         self.vectors = vectors
+        # The largest component is scaled to 1, so that no length overflows.
+        scaled = vectors / np.abs(vectors).max()
         dim = vectors.shape[1]
         rng = np.random.default_rng(seed)
         sets = [np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0] for _ in range(-(-PROJECTIONS // (dim + 1)))]
         self.directions = np.concatenate(sets, axis=1)[:, :MOST]
-        extra = np.sqrt(np.maximum(0.0, longest**2 - np.einsum("ij,ij->i", vectors, vectors)))
-        projected = (np.column_stack((vectors, extra)) @ self.directions).T
+        squares = np.einsum("ij,ij->i", scaled, scaled)
+        self.longest = float(np.sqrt(squares.max()))
+        extra = np.sqrt(np.maximum(0.0, self.longest**2 - squares))
+        projected = (np.column_stack((scaled, extra)) @ self.directions).T
         order = np.argsort(projected, axis=1, kind="stable")
         self.order = order.astype(np.int32)
         self.sorted = np.take_along_axis(projected, order, axis=1)
         self.spread = projected.std(axis=1) + 1e-12
         self.need = int(np.ceil(COLLISIONS * len(projected)))
-        self.longest = longest
+        #: Number of the first radius; it follows where the last query's windows were wide enough.
+        self.start = 0
 
     def _windows(self, centre: np.ndarray, radius: float) -> list[tuple[int, int]]:
         reach = radius * self.spread
         return [tuple(row.searchsorted((c - r, c + r))) for row, c, r in zip(self.sorted, centre, reach, strict=True)]
 
     def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """Positions of the vectors that collide often enough with the query."""
-        n, m = len(self.vectors), len(self.sorted)
-        if n <= wanted:
-            return np.arange(n)
+        """Positions of the vectors that collide often enough with the query, ``wanted`` of them at least.
+
+        Only where even the widest windows bring too few together are all vectors taken.
+        """
+        n = len(self.vectors)
         # A query is compared as a vector of the common length.
-        centre = (query * (self.longest / np.sqrt(query @ query))) @ self.directions[:-1]
-        windows = self._windows(centre, RADII[0])
-        # What lies outside a window is the smaller part, so collisions are counted down from m.
-        outside = [part for row, (a, b) in zip(self.order, windows, strict=True) for part in (row[:a], row[b:])]
-        counts = m - np.bincount(np.concatenate(outside), minlength=n)
-        for radius in RADII[1:]:
-            found = np.flatnonzero(counts >= self.need)
+        unit = query / np.abs(query).max()
+        centre = (unit * (self.longest / np.sqrt(unit @ unit))) @ self.directions[:-1]
+        start = self.start
+        windows = self._windows(centre, RADII[start])
+        counts = np.bincount(np.concatenate([row[a:b] for row, (a, b) in zip(self.order, windows, strict=True)]), minlength=n)
+        found = np.flatnonzero(counts >= self.need)
+        for step, radius in enumerate(RADII[start + 1 :], start + 1):
             if len(found) >= wanted:
-                return found
+                break
             wider = self._windows(centre, radius)
             fresh = [part for row, (a, b), (c, d) in zip(self.order, windows, wider, strict=True) for part in (row[c:a], row[b:d])]
             counts += np.bincount(np.concatenate(fresh), minlength=n)
-            windows = wider
-        found = np.flatnonzero(counts >= self.need)
-        return found if len(found) >= wanted else np.arange(n)
+            windows, self.start = wider, max(0, step - 3)
+            found = np.flatnonzero(counts >= self.need)
+        else:
+            return found if len(found) >= wanted else np.arange(n)
+        if self.start == start:
+            self.start = max(0, start - 1)
+        return found
 
     def products(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Inner products in double precision, added in the order of the components."""
@@ -106,16 +116,15 @@ class BlockIndex:
         return total
 
 
-_STREAM = "block long, kind int, at long, ids array<long>, vector array<double>"
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _search(k: int, longest: float, seed: int):
+def _search(k: int, seed: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, index, vectors, ids = None, None, [], []
         for batch in batches:
             # A task may hold several blocks; within each the vectors come before the queries.
-            for key, part in batch.groupby("block", sort=False):
+            for key, part in batch.groupby(["dim", "block"], sort=False):
                 if key != block:
                     block, index, vectors, ids = key, None, [], []
                 stored, asked = part[part["kind"] == 0], part[part["kind"] == 1]
@@ -124,7 +133,7 @@ def _search(k: int, longest: float, seed: int):
                 if asked.empty or not vectors:
                     continue
                 if index is None:
-                    index = BlockIndex(np.array([np.asarray(v, float) for v in vectors]), longest, seed)
+                    index = BlockIndex(np.array([np.asarray(v, float) for v in vectors]), seed)
                     owned = [np.asarray(x, np.int64) for x in ids]
                     first = np.array([x[0] for x in owned])
                     single = np.array([len(x) == 1 for x in owned])
@@ -157,20 +166,16 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the
     query's own.  Nearest is the largest inner product; equal ones go by the smaller id.
     Vectors that are null or zero, or that hold a null or a non-finite component, take no
-    part, nor do vectors without an id or of another length than the longest.  Rows that
-    repeat an id with another vector are candidates with each of them; a repeated query is
-    asked for each vector and its answers merged.  An empty table gives an empty result.
+    part, nor do rows without an id.  Vectors of different lengths have no inner product:
+    those of each length are searched among themselves.  Rows that repeat an id with another
+    vector are candidates with each of them; a repeated query is asked for each vector and its
+    answers merged.  Other columns are not read.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     bounded_batches(spark, rows=2000)
     plain = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     # 0.0 for -0.0, so that equal vectors are equal bytes.
     plain = plain.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
-    seen = plain.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"), F.max(norm).alias("longest")).first()
-    if not seen["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    plain = plain.filter(F.size("vector") == seen["dim"])
     # The k + 1 smallest ids of each vector: first within small groups, then over all.
     group = F.sha2(F.concat_ws(",", F.transform("vector", lambda x: x.cast("string"))), 256)
     keyed = plain.select("id", "vector", group.alias("same")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
@@ -184,12 +189,15 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
         several.join(lists, "same", "left").select("low", F.coalesce("ids", F.array("low")).alias("ids"), "same").join(keyed.select(F.col("id").alias("low"), "same", "vector"), ["low", "same"]).select("low", "ids", "vector", "same").dropDuplicates(["same"]),
         "ann-entries",
     )
-    blocks = max(1, -(-entries.count() // block_rows))
-    stored = entries.select(F.pmod(F.xxhash64("low"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), F.col("low").alias("at"), "ids", "vector")
-    queries = plain.filter(F.col("id") % every == 0)
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), F.col("id").alias("at"), F.array().cast("array<long>").alias("ids"), "vector")
-    stream = stored.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind", "at")
-    found = stream.mapInPandas(_search(k, float(seen["longest"]), seed), _FOUND)
+    dim = F.size("vector").alias("dim")
+    sizes = written(entries.groupBy(dim).agg(F.ceil(F.count("*") / block_rows).alias("blocks")), "ann-sizes")
+    total = sizes.agg(F.sum("blocks")).first()[0] or 1
+    columns = ["dim", "block", "kind", "at", "ids", "vector"]
+    stored = entries.withColumn("dim", dim).join(sizes, "dim").select("dim", F.pmod(F.xxhash64("low"), F.col("blocks")).alias("block"), F.lit(0).alias("kind"), F.col("low").alias("at"), "ids", "vector")
+    queries = plain.filter(F.col("id") % every == 0).withColumn("dim", dim).join(sizes, "dim")
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), F.col("id").alias("at"), F.array().cast("array<long>").alias("ids"), "vector")
+    stream = stored.select(*columns).unionByName(asked.select(*columns)).repartition(max(1, min(total, 20_000)), "dim", "block").sortWithinPartitions("dim", "block", "kind", "at")
+    found = stream.mapInPandas(_search(k, seed), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
     return merged.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,14 +14,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (a local session, as in tests) a temporary folder is
-    made and set as the context's checkpoint folder.
+    Only a local session without the setting, as in tests, gets a temporary folder, which is
+    set as the context's checkpoint folder.  On a cluster such a folder would be one
+    machine's, so there the setting is needed.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    folder = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")

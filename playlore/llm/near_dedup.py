@@ -104,7 +104,7 @@ def minhashes(shingles: np.ndarray, many: int) -> np.ndarray:
     return (low >> W.U64(32)).astype(np.uint32).view(np.int32)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
+_SIGNED = "doc_id long, h long, n_shingles long, set_a long, set_b long, signature array<int>"
 
 
 def _signatures(many: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -115,15 +115,15 @@ def _signatures(many: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
                 s = shingle_set(text)
                 digest = (s.sum(dtype=W.U64), W.mix(s ^ W.U64(0x5BD1E9955BD1E995)).sum(dtype=W.U64))
                 rows.append((len(s), *(int(np.uint64(d).view(np.int64)) for d in digest), minhashes(s, many) if len(s) else None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **{c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "set_a", "set_b", "signature"))}})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "h": batch["h"], **{c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "set_a", "set_b", "signature"))}})
 
     return sign
 
 
 def signatures(docs: DataFrame, how: Tensoring) -> DataFrame:
-    """doc_id, size of the shingle set, 128-bit digest of the set, and minhashes."""
+    """doc_id, hash of the text, size of the shingle set, 128-bit digest of the set, and minhashes."""
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(_signatures(how.halves * WIDTH), _SIGNED)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(_signatures(how.halves * WIDTH), _SIGNED)
 
 
 def _class_table(signed: DataFrame) -> DataFrame:
@@ -272,29 +272,53 @@ def links(docs: DataFrame, classes: DataFrame, how: Tensoring) -> DataFrame:
     return known.unionByName(written(_links_across(shared.drop("a"), classes, found, sets, how), "near-across"))
 
 
-def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document.
+def _placed(docs: DataFrame, how: Tensoring) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles and component_id of every row.
 
-    Words are runs without white space, after lower-casing A-Z; a text of one to four words
-    has its whole sequence as only shingle.  Texts that are null or have no word have an
-    empty set and are linked with nothing.  Two documents are linked at a similarity of at
-    least ``similarity`` hundredths, and component_id is the smallest id that links reach.  A row without an id
-    is linked with nothing: its component_id is null, and it is kept.  Rows that repeat an
-    id are placed each by its own text.  An empty table gives an empty result.
+    Sets are looked up by id.  If some id stands for several sets, that would mix them up, so
+    all rows then get numbers of their own, and a component takes its smallest id afterwards.
     """
-    how = tensoring(similarity)
     signed = written(signatures(docs, how), "near-signed")
+    sets = signed.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[f(c).alias(f"{name}_{c}") for c in ("set_a", "set_b") for name, f in (("low", F.min), ("high", F.max))])
+    if not sets.filter("low_set_a < high_set_a OR low_set_b < high_set_b").isEmpty():
+        rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("h")), "near-rows")
+        own = _placed(rows.filter("doc_id IS NOT NULL").select(F.col("row").alias("doc_id"), "text"), how)
+        placed = own.select(F.col("doc_id").alias("row"), "n_shingles", "component_id").join(rows.select("row", "doc_id", "h"), "row")
+        low = placed.groupBy("component_id").agg(F.min("doc_id").alias("low"))
+        named = placed.join(low, "component_id").select("doc_id", "h", "n_shingles", F.col("low").alias("component_id"))
+        return named.unionByName(signed.filter("doc_id IS NULL").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id")))
     classes = written(_class_table(signed), "near-classes")
     found = components(links(docs, classes, how))
     placed = written(classes.select("set_a", "set_b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")), "near-placed")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    rows = signed.select("doc_id", "n_shingles", "set_a", "set_b")
-    together = rows.filter(~alone).join(placed, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    every = together.unionByName(rows.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = signed.select("doc_id", "h", "n_shingles", "set_a", "set_b")
+    together = rows.filter(~alone).join(placed, ["set_a", "set_b"]).select("doc_id", "h", "n_shingles", F.col("component").alias("component_id"))
+    return together.unionByName(rows.filter(alone).select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document.
+
+    Words are runs without white space, after lower-casing A-Z; a text of one to four words
+    has its whole sequence as only shingle.  Texts that are null or have no word have an
+    empty set and are linked with nothing.  Two documents are linked at a similarity of at
+    least ``similarity`` hundredths, and component_id is the smallest id that links reach.  A
+    row without an id is linked with nothing: its component_id is null, and it is kept.  Rows
+    that repeat an id are placed each by its own text.  Other columns are not read.  An empty
+    table gives an empty result.
+    """
+    every = _placed(docs.select("doc_id", "text"), tensoring(similarity))
+    return every.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with their columns."""
-    gone = near_duplicates(docs, similarity=similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stay, with their columns: of each component the row with the smallest id.
+
+    A row is known by its id and its text, so an id that also has another text takes nothing
+    with it; if several texts have the smallest id, one of them stays.  Rows that repeat both
+    are kept or dropped together, and rows without an id or without words are kept.
+    """
+    rows = written(_placed(docs.select("doc_id", "text"), tensoring(similarity)).filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "h", "component_id"), "near-found")
+    stays = rows.filter("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("stays"))
+    gone = rows.join(stays, "component_id").filter("doc_id <> component_id OR h <> stays").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")

@@ -62,11 +62,11 @@ _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 
 ORACLES = {
     "op2_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages WHERE page_id IS NOT NULL),
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
              m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p)
         SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
-               CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+               CASE WHEN n >= 1000 AND coalesce(page_id < last, last IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND coalesce(page_id < last, last IS NOT NULL) THEN last END AS refers_to
         FROM m""",
     "op7_near_dedup": f"""
         WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLDED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -44,7 +44,7 @@ def _record(kind: Column) -> Column:
     return F.concat(
         F.lit(MAGIC.decode()),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))),
         F.when(F.col("uri").isNotNull(), line("WARC-Target-URI", F.regexp_replace("uri", r"[\x00-\x20\x7F]", "%20"))).otherwise(""),
         line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -61,8 +61,9 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
     Of records with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the
     largest id is a response and the others are revisits that refer to it; all smaller ones
-    are responses.  A null payload counts as empty, a null address is left out.  Ids are
-    not null; rows that repeat an id are records of their own.
+    are responses.  A null payload counts as empty, a null address is left out.  Rows that
+    repeat an id are records of their own.  A row without an id is a record with an empty
+    number: a revisit where an equal payload has an id, else a response.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload"))
@@ -70,8 +71,9 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     keys = written(rows.filter(F.col("bytes") >= LEAST_REVISIT).select("id", "bytes", "digest"), "warc-keys")
     last = written(keys.groupBy("digest", "bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-last")
     # Only the small keys are shuffled by digest; the payloads meet the decisions by id.
-    revisits = written(keys.join(last, ["digest", "bytes"]).filter(F.col("id") < F.col("refers_to")).select("id", "digest", "refers_to").distinct(), "warc-revisits")
-    decided = rows.join(revisits, ["id", "digest"], "left")
+    again = (F.col("id") < F.col("refers_to")) | (F.col("id").isNull() & F.col("refers_to").isNotNull())
+    revisits = written(keys.join(last, ["digest", "bytes"]).filter(again).select(F.col("id").alias("again"), F.col("digest").alias("same"), "refers_to").distinct(), "warc-revisits")
+    decided = rows.join(revisits, rows["id"].eqNullSafe(revisits["again"]) & (rows["digest"] == revisits["same"]), "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     decided.select(_record(kind).alias("value")).write.option("lineSep", "\r\n\r\n").text(folder)
 
@@ -225,11 +227,11 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Lengths and digests are of full payloads: those of a response come from the bytes read
     back, and a revisit takes the length of the response that it refers to.  An empty table
-    gives an empty result.  Rows without a page_id are not archived.
+    gives an empty result.  Rows without a page_id have a null one.  Other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    write_archives(pages.filter(F.col("page_id").isNotNull()), folder)
+    write_archives(pages, folder)
     records = written(read_archives(spark, folder, with_payload=False).select("id", "record_type", "digest", "refers_to", "payload_bytes"), "warc-records")
     stored = records.filter("record_type = 'response'")
     again = records.filter("record_type = 'revisit'")

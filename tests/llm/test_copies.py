@@ -148,6 +148,17 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_near_duplicates_where_an_id_has_several_texts(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    near, unique = base.replace("w50", "x"), " ".join(f"u{i}" for i in range(100))
+    rows = [(3, base, 1), (5, base, 1), (5, unique, 1), (7, near, 1), (3, near, 1), (5, "", 1), (None, base, 1)]
+    docs = spark.createDataFrame(rows, DOC + ", component_id int")
+    kept = sorted((r.doc_id or 0, r.text[:2]) for r in near_dedup.drop_near_duplicates(docs).collect())
+    assert len(kept) == 4 and kept[0] == (0, "w0") and kept[1][0] == 3 and kept[2:] == [(5, ""), (5, "u0")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(0, 96, 0), (3, 96, 3), (3, 96, 3), (5, 0, 5), (5, 96, 3), (5, 96, 5), (7, 96, 3)]
+
+
 def test_near_copies_from_four_fifths_leave_the_pipeline(spark):
     import corpus_pipeline
 
@@ -170,7 +181,7 @@ def test_neighbours_by_brute_force(spark):
     v = rng.standard_normal((1500, 16)).astype(np.float32)
     v[200:260] = v[200]
     rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)]
-    odd = [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (2004, [float("inf")] + [1.0] * 15), (None, [1.0] * 16), (2020, [1.0] * 3)]
+    odd = [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (2004, [float("inf")] + [1.0] * 15), (None, [1.0] * 16)]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     got = defaultdict(list)
     for r in ann.nearest(table, block_rows=1200).orderBy("query_id", "rank").collect():
@@ -189,6 +200,35 @@ def test_neighbours_by_brute_force(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_neighbours_through_the_index(spark):
+    """Blocks of which the windows leave most out: no answer comes from reading a block whole."""
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((12_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index = ann.BlockIndex(v[:6000], 13)
+    read = [len(index.candidates(q, max(ann.WANTED * 20, int(ann.SHARE * 6000)))) / 6000 for q in v[:400:20]]
+    assert np.mean(read) < 0.12 and max(read) < 0.3
+    table = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(table, every=100, block_rows=6000).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for q in range(0, 12_000, 100):
+        score = v @ v[q]
+        score[q] = -9
+        hits.append(len(got[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert len(got) == 120 and np.mean(hits) >= 0.9
+
+
+def test_neighbours_of_each_length_and_of_huge_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(200)] + [(1000, [1.0] * 5), (1020, [2.0] * 5), (1040, [1e200, 0.0, 1e200]), (1041, [1e-200, 1e-200, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by = Counter(r.query_id for r in got)
+    assert all(by[q] == 20 for q in range(0, 200, 20)) and by[1000] == by[1020] == by[1040] == 1
+    assert {(r.query_id, r.vec_id, r.score) for r in got if r.query_id >= 1000} == {(1000, 1020, 10.0), (1020, 1000, 10.0), (1040, 1041, 1.0)}
+
+
 MAGIC = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 
 
@@ -226,8 +266,17 @@ def test_archives_that_end_early_are_an_error(spark, text):
 def test_archives_of_nothing_and_of_short_equal_pages(spark):
     shape = "page_id long, url string, html string"
     assert warc.round_trip(spark.createDataFrame([], shape)).count() == 0
-    got = warc.round_trip(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (None, "u", "x")], shape)).collect()
-    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(1, 2, "response", None), (2, 2, "response", None)]
+    got = warc.round_trip(spark.createDataFrame([(1, "u", "ab", 1), (2, "u", "ab", 1), (None, "u", "x", 1), (None, None, None, 1)], shape + ", id int")).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(0, 0, "response", None), (0, 1, "response", None), (1, 2, "response", None), (2, 2, "response", None)]
+
+
+def test_archives_of_pages_without_ids_and_of_repeated_ones(spark):
+    long, other = "y" * 1000, "z" * 1000
+    rows = [(None, long), (None, long), (3, long), (3, long), (9, long), (None, other), (None, other), (5, "é" * 499), (6, "é" * 499), (7, "é" * 500), (8, "é" * 500)]
+    got = warc.round_trip(spark.createDataFrame([(i, "u", t, "d", "k") for i, t in rows], "page_id long, url string, html string, digest string, payload string")).collect()
+    want = [(0, 1000, "response", 0)] * 2 + [(0, 1000, "revisit", 9)] * 2 + [(3, 1000, "revisit", 9)] * 2 + [(5, 998, "response", 0), (6, 998, "response", 0), (7, 1000, "revisit", 8), (8, 1000, "response", 0), (9, 1000, "response", 0)]
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == want
+    assert {r.payload_digest for r in got if r.page_id in (7, 8)} == {hashlib.sha1(("é" * 500).encode()).hexdigest()}
 
 
 def test_packing_places_everything_once(spark):
