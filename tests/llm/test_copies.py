@@ -33,8 +33,12 @@ def _roots(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("capacity", [2, 1_000_000])
-def test_exact_groups_by_brute_force(spark, capacity):
+@pytest.mark.parametrize(("capacity", "hash_values", "owned"), [(2, None, 50_000), (None, None, 3), (1, 3, 50_000), (4, 1, 5)])
+def test_exact_groups_by_brute_force(spark, monkeypatch, capacity, hash_values, owned):
+    """With few hash values the chains hold texts that differ, and only their bytes tell them apart."""
+    monkeypatch.setattr(exact_dedup, "OWNED", owned)
+    if hash_values:
+        monkeypatch.setattr(exact_dedup, "text_hash", lambda body: F.shiftleft(F.pmod(F.xxhash64(body), F.lit(hash_values)), 60))
     rng = random.Random(3)
     pool = ["", None, "A b", "a B", "É", "é", "x" * 50_000, "X" * 50_000, "K", "k", *map(str, range(30))]
     texts = [rng.choice(pool) for _ in range(200)]
@@ -63,13 +67,29 @@ def test_exact_with_null_ids_repeats_and_nothing(spark):
     assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.drop_exact_duplicates(empty).count() == 0
 
 
-def test_directory_splits_only_overfull_buckets(spark):
-    chains = spark.range(4000).select(F.xxhash64("id").alias("h"))
-    slots, bits = exact_dedup.directory(chains, 4000, 300)
+def test_directory_doubles_where_buckets_are_overfull(spark):
+    hashes = spark.range(4000).select(F.xxhash64("id").alias("h"))
+    crowd = spark.range(1000).select(F.shiftrightunsigned(F.xxhash64("id"), 6).alias("h"))  # all begin with six zeros
+    slots, bits = exact_dedup.directory(hashes.union(crowd), 300)
     rows = slots.collect()
-    assert sorted(r.slot for r in rows) == list(range(1 << bits))
-    held = chains.select(F.shiftrightunsigned("h", 64 - bits).alias("slot")).join(slots, "slot").groupBy("bucket").count().collect()
-    assert max(r["count"] for r in held) <= 300 and len({r.depth for r in rows}) >= 1
+    assert bits > 6 and sorted(r.slot for r in rows) == list(range(1 << bits))
+    assert all(r.bucket == r.slot >> (bits - r.depth) << (bits - r.depth) for r in rows)
+    held = {r.bucket: r["count"] for r in hashes.union(crowd).select(F.shiftrightunsigned("h", 64 - bits).alias("slot")).join(slots, "slot").groupBy("bucket").count().collect()}
+    assert max(held.values()) <= 300 and len({r.depth for r in rows}) > 1
+    # No bucket was split for nothing: each pair of buckets of one parent holds more than a bucket may.
+    depth = {r.bucket: r.depth for r in rows}
+    for b, d in depth.items():
+        sibling = b ^ (1 << (bits - d)) if d else None
+        if sibling in depth and depth[sibling] == d:
+            assert held.get(b, 0) + held.get(sibling, 0) > 300
+    assert exact_dedup.directory(hashes.limit(0), 300)[1] == 0
+
+
+def test_exact_groups_come_from_the_bucket_files(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], DOC)
+    made = exact_dedup.build_index(docs, capacity=1)
+    assert made.depth > 0 and {(r.keep_id, r.group_size) for r in made.entries.collect()} == {(2, 2), (3, 1)}
+    assert made.entries.select("bucket").distinct().count() == 2
 
 
 def test_components_of_chains_and_stars(spark):
