@@ -4,7 +4,8 @@ All templates' words go into one suffix automaton.  Reading a text word by word
 gives, at each word, the longest run ending there that occurs in some template.  Where such a
 run can't be carried on and is long enough, it becomes an anchor in each template it occurs
 in.  Anchors that follow each other in text and template, with short gaps, are chained, and a
-chain that covers enough of its template is a span with that template's label.
+chain that covers enough of its template is a span with that template's label.  A short
+notice is made of everyday words, so it counts only when it stands there whole.
 
 Only stretches whose neighbouring words are neighbours in some template go through the
 automaton; a table of such pairs finds them for a whole text at once.  A stretch without
@@ -26,7 +27,9 @@ from .license_texts import PHRASES, TEMPLATES
 
 #: Words of the shortest run that becomes an anchor; words skipped between anchors at most;
 #: share of a template's words that a span covers at least.
-ANCHOR, GAP, COVERED = 3, 12, 0.6
+ANCHOR, GAP, COVERED = 4, 12, 0.6
+#: Templates of up to this many words must stand whole and without a gap.
+SHORT = 15
 
 _CLASSES = W.byte_classes(separators=bytes([*range(0, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -111,6 +114,20 @@ class LicenceScanner:
             self.neighbours[c[:-1], c[1:]] = True
         self.phrase_codes = [(self.codes(h), label) for h, label in self.phrases]
         self.automaton = SuffixAutomaton([c.tolist() for c in coded])
+        # A run ends with a template if that template's end is among the ends of its state's link path.
+        made = self.automaton
+        at_end: dict[int, list[tuple[int, int]]] = {}
+        for number, c in enumerate(coded):
+            if 0 < len(c) <= SHORT:
+                state = 0
+                for symbol in c.tolist():
+                    state = made.next[state][symbol]
+                at_end.setdefault(state, []).append((number, len(c)))
+        self.closing: dict[int, list[tuple[int, int]]] = {}
+        for state in sorted(range(1, len(made.length)), key=lambda s: made.length[s]):
+            found = at_end.get(state, []) + self.closing.get(made.link[state], [])
+            if found:
+                self.closing[state] = found
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the words in the vocabulary; its size for every other word."""
@@ -135,16 +152,23 @@ class LicenceScanner:
         pair = self.neighbours[codes[:-1], codes[1:]]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], pair.view(np.int8), [0]))))
         out = []
+        least = min([ANCHOR, *self.sizes])
         for start, end in zip(edges[::2], edges[1::2], strict=True):
-            if end - start + 1 < ANCHOR:
+            if end - start + 1 < least:
                 continue
             runs = self.automaton.longest(codes[start : end + 1].tolist())
             for i, (length, state) in enumerate(runs):
+                last = int(start) + i + 1
+                # A short template inside a longer run is a shorter suffix of it: its own end is a state above.
+                out += [(number, last - self.sizes[number], 0, self.sizes[number]) for number in self.whole(state, length)]
                 if length >= ANCHOR and (i + 1 == len(runs) or runs[i + 1][0] <= length):
-                    last = int(start) + i + 1
-                    out += [(number, last - length, stop - length, length) for number, stop in self.automaton.ends[state]]
+                    out += [(number, last - length, stop - length, length) for number, stop in self.automaton.ends[state] if self.sizes[number] > SHORT]
         return sorted(out)
 
+    def whole(self, state: int, length: int) -> list[int]:
+        """Short templates that end with the run of ``length`` words that ``state`` stands for."""
+        return [number for number, size in self.closing.get(state, ()) if size <= length]
+
     def spans(self, codes: np.ndarray) -> list[tuple[int, int, str, float]]:
         """(first word, word after the last, label, share of the template covered)."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
@@ -152,6 +176,9 @@ class LicenceScanner:
             by_template.setdefault(number, []).append((at, inside, length))
         found = []
         for number, anchors in by_template.items():
+            if self.sizes[number] <= SHORT:
+                found += [(at, at + length, self.labels[number], 1.0) for at, _, length in anchors]
+                continue
             # best[i]: covered words, start of the chain that ends with anchor i
             best: list[tuple[int, int]] = []
             taken: list[bool] = []
@@ -193,7 +220,8 @@ def scan_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     the smallest and largest first word (null if there are none); base_labels are the
     phrases' labels, labels also those of covered template spans (distinct, sorted, joined
     by commas; empty if there are none).  score is the largest share of a template that a
-    span covers, and at least 0.5 where a phrase stands.  A null text counts as empty.
+    span covers, and at least 0.5 where a phrase stands.  A null text counts as empty.  Rows
+    that repeat and rows without an id are scanned each; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
 

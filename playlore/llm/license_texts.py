@@ -30,6 +30,10 @@ TEMPLATES = [
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl", "licensed under the GPL"),
+    ("gpl", "released under the GPL"),
+    ("gpl", "distributed under the GPL"),
+    ("gpl", "under the terms of the GPL"),
     (
         "gpl",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",

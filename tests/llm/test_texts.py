@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -140,6 +141,39 @@ def test_licences_by_phrase_and_by_wording(spark):
     assert got[n + 2].labels == "" and got[n + 2].score == 0
 
 
+def test_everyday_words_are_no_licence(spark):
+    plain = ["The record was released under the moon in June", "He sailed under the MIT banner", "This work is done. Licensed pilots fly under a creative sky, in common.", "permission is hereby granted, free of charge, to any person who asks"]
+    named = ["this project is licensed under the GPL; see the license file", "x Released under the MIT License. y", "Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."]
+    got = {r.doc_id: r for r in license_scan.scan_licences(_docs(spark, plain + named)).collect()}
+    assert [got[i].labels for i in range(8)] == ["", "", "", "", "gpl", "mit", "cc-by", "cc-by"]
+    assert got[4].score == 1.0 and got[0].score == 0.0
+
+
+def test_whole_short_templates_by_brute_force():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(8)]
+    scanner = license_scan.LicenceScanner([(f"l{i}", t) for i, t in enumerate(texts)], {"z z": "z"})
+    for _ in range(40):
+        words = [rng.choice("abcd") for _ in range(60)]
+        found = {(a, b, x) for a, b, x, _ in scanner.spans(scanner.codes(license_scan.word_hashes(" ".join(words))))}
+        want = {(i, i + len(t.split()), f"l{k}") for k, t in enumerate(texts) for i in range(60) if words[i : i + len(t.split())] == t.split() and len(t.split()) > 1}
+        assert {x for x in found if x[1] - x[0] > 1} == want
+
+
+def test_places_of_phrases_by_regular_expression(spark):
+    rng = random.Random(4)
+    some = ["gnu", "general", "public", "license", "apache", "cc", "by", "mit", "é", "x9", "MIT", "License"]
+    texts = ["".join(rng.choice(some) + rng.choice([" ", "-", ". ", "\x7f", "\n", "/", "  "]) for _ in range(rng.randrange(60))) for _ in range(300)] + [" ".join(["cc by"] * 40_000)]
+    got = {r.doc_id: r for r in license_scan.scan_licences(_docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
+        hits = sorted((k, label) for phrase, label in license_scan.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None)
+        assert r.base_labels == ",".join(sorted({label for _, label in hits})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+
+
 @pytest.mark.parametrize("run", [langid.languages, license_scan.scan_licences, lambda d: bpe.round_trip(d, PATH)])
 def test_null_ids_and_repeated_rows(spark, run):
     rows = [(None, "the text", "en"), (1, "the text", "en"), (1, "the text", "en"), (2, None, None)]
