@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -169,7 +169,8 @@ def clean(text: object) -> str:
 def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of the whole text; null texts count as empty and have none.
 
-    ``vocabulary`` is a path that every executor can open.
+    ``vocabulary`` is a path that every executor can open.  A column that is already called
+    ``ids_col`` is replaced.
     """
     bounded_batches(docs.sparkSession)
 
@@ -182,6 +183,18 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col:
     return docs.withColumn(ids_col, ids(F.col(text_col)))
 
 
+def count(text_col: str, vocabulary: str) -> Column:
+    """Number of tokens of the whole text of a column; null texts have none."""
+
+    @F.pandas_udf("long")
+    def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = coder(vocabulary)
+        for batch in texts:
+            yield pd.Series([len(ids) // 4 for ids in own.encode_batch([clean(t) for t in batch])], dtype="int64")
+
+    return tokens(F.col(text_col))
+
+
 def decode(docs: DataFrame, vocabulary: str, *, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids; null ids give the empty text."""
     bounded_batches(docs.sparkSession)

@@ -44,7 +44,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), size=bpe.count("text", public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
