@@ -6,6 +6,7 @@ written as Parquet before the next one reads it.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from playlore.llm import exact_dedup, near_dedup, packing, pii, quality
@@ -33,8 +34,8 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are placed in training sequences of the permitted lengths."""
-    return packing.pack(docs)
+    """Documents become training sequences of the permitted lengths: one row each, with ids of documents and tokens."""
+    return packing.sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
