@@ -14,7 +14,9 @@ copies of a document add nothing to any count.  For a value c and a word t of it
 are taken over all texts, p(t) being the share of texts that hold t.  A word whose
 PMI reaches ``REMOVED`` of IC(c) tells (nearly) which value it stands with, and is removed
 wherever it stands in a document that holds the value; between ``GENERALISED`` and that it
-is replaced by a general term.  A word needs ``SUPPORT`` different surroundings with the
+is replaced by a general term.  Where the value itself isn't written a word still gives it
+away if most texts with the word are the value's: from p(c | t) of ``TELLING`` on the word is
+treated so in every document.  A word needs ``SUPPORT`` different surroundings with the
 value (the 200 characters before and after it), since one meeting is no estimate and texts
 that repeat a passage are one meeting.  They may also lie in one text where the word is among
 the ``WINDOW`` words on either side of the value each time.
@@ -22,6 +24,8 @@ the ``WINDOW`` words on either side of the value each time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,12 @@ _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Words on either side of a value; different contexts needed; shares of the value's
 #: information from which a word is generalised and removed.
 WINDOW, SUPPORT, GENERALISED, REMOVED = 4, 3, 0.6, 0.9
+#: Share of a word's texts that hold the value, from which the word is looked for everywhere.
+TELLING = 0.5
+#: Characters of a stretch that surroundings are cut from.
+STRETCH = 4096
+#: Words that are broadcast to the words of all texts; more of them meet in a shuffle.
+BROADCAST_TERMS = 100_000
 _WORD = r"[^\s\p{Punct}]{3,}+"
 
 
@@ -79,8 +89,23 @@ def _cut(text: Column, pattern: str | Column, limit: int = -1) -> Column:
 def _starts(pieces: Column, matches: Column) -> Column:
     """Code points before each match, from the pieces between the matches."""
     steps = F.zip_with(F.slice(pieces, 1, F.size(matches)), F.concat(F.array(F.lit("")), F.slice(matches, 1, F.greatest(F.size(matches) - 1, F.lit(0)))), lambda piece, before: F.length(piece) + F.length(before))
-    running = F.aggregate(steps, F.array().cast("array<int>"), lambda done, step: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + step)))
-    return running
+    return _running(steps)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once; a function's argument would be worked out at each mention."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _running(steps: Column, block: int = 128) -> Column:
+    """Running totals of an array of numbers, in blocks, so that only blocks are copied while they grow."""
+    empty = F.array().cast("array<int>")
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))
+    grow = lambda part: F.aggregate(part, empty, lambda done, step: F.concat(done, F.array(last(done) + step)))
+    cut = lambda all_: F.transform(F.filter(F.sequence(F.lit(0), F.ceil(F.size(all_) / block).cast("int")), lambda i: i * block < F.size(all_)), lambda i: grow(F.slice(all_, i * block + 1, F.lit(block))))
+    shift = lambda part, by: F.transform(part, lambda x: x + by)
+    joined = lambda parts: _let(F.concat(F.array(F.lit(0)), grow(F.transform(parts, last))), lambda before: F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda part, by: shift(part, by))))
+    return _let(steps, lambda all_: _let(cut(all_), joined))
 
 
 _NONE = "array<struct<kind:string,order:int,start:int,end:int,value:string>>"
@@ -90,8 +115,8 @@ def _found(text: str, kind: str) -> Column:
     """Valid matches of a kind in the column ``text`` as an array of structs."""
     pattern = _PATTERN[kind]
     body = F.col(text)
-    matches = F.regexp_extract_all(body, F.lit(pattern), 0)
-    spans = F.zip_with(matches, _starts(_cut(body, pattern), matches), lambda m, s: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("order"), s.alias("start"), (s + F.length(m)).cast("int").alias("end"), m.alias("value")))
+    span = lambda m, s: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("order"), s.alias("start"), (s + F.length(m)).cast("int").alias("end"), m.alias("value"))
+    spans = _let(F.regexp_extract_all(body, F.lit(pattern), 0), lambda matches: F.zip_with(matches, _starts(_cut(body, pattern), matches), span))
     hint = _HINT[kind]
     likely = F.contains(body, F.lit(hint)) if hint else F.lit(True)
     return F.when(likely & body.rlike(pattern), F.filter(spans, lambda x: _valid(kind, x["value"]))).otherwise(F.array().cast(_NONE))
@@ -110,12 +135,26 @@ def _words(text: Column) -> Column:
 
 
 def _hits(based: DataFrame, *columns: str) -> DataFrame:
-    """``columns``, value, before and after of every base span, and whether these reach the text's ends."""
+    """``columns``, value, before and after of every base span, and whether these reach the text's ends.
+
+    The surroundings are cut from the stretch of the text that a value lies in and the two beside
+    it, and rows are made of them, not of texts, so a text of very many values is read once a stretch.
+    """
+    size = F.lit(STRETCH)
+    stretches = F.transform(F.sequence(F.lit(0), F.floor(F.length("body") / size).cast("int")), lambda i: F.substring(F.col("body"), i * size + 1, size))
+
+    def around(hit: Column, cut: Column) -> Column:
+        first = F.greatest(F.floor((hit["start"] - 200) / size).cast("int"), F.lit(0))
+        final = F.floor((hit["end"] + 200) / size).cast("int")
+        near, start = F.array_join(F.slice(cut, first + 1, final - first + 1), ""), hit["start"] - first * size
+        end = hit["end"] - first * size
+        low = F.greatest(start - 199, F.lit(1))
+        return F.struct(F.lower(hit["value"]).alias("value"), F.substring(near, low, start - low + 1).alias("before"), F.substring(near, end + 1, F.lit(200)).alias("after"), (hit["start"] <= 200).alias("from_start"), (F.length("body") <= hit["end"] + 200).alias("to_end"))
+
+    hits = _let(stretches, lambda cut: F.transform("base", lambda hit: around(hit, cut)))
     # explode_outer, as explode would have the patterns evaluated once more to filter rows.
-    held = based.select(*columns, "body", F.explode_outer("base").alias("hit")).filter(F.col("hit.value").isNotNull())
-    before = F.expr("substring(body, greatest(hit.start - 199, 1), hit.start - greatest(hit.start - 199, 1) + 1)")
-    after = F.expr("substring(body, hit.end + 1, 200)")
-    return held.select(*columns, F.lower("hit.value").alias("value"), before.alias("before"), after.alias("after"), (F.col("hit.start") <= 200).alias("from_start"), (F.length("body") <= F.col("hit.end") + 200).alias("to_end"))
+    held = based.select(*columns, F.explode_outer(F.when(F.size("base") > 0, hits)).alias("hit")).filter(F.col("hit.value").isNotNull())
+    return held.select(*columns, "hit.*")
 
 
 def _holders(texts: DataFrame, name: str) -> DataFrame:
@@ -124,7 +163,7 @@ def _holders(texts: DataFrame, name: str) -> DataFrame:
 
 
 def risky_terms(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(value, term, removed): words that give a value away, from all different texts."""
+    """(value, term, removed, telling): words that give a value away, from all different texts."""
     # Copies meet in the map side already, and each text is read once for whatever is counted.
     texts = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body")).distinct(), "pii-texts")
     inside = written(find_base(texts, text_col="body").filter(F.size("base") > 0).select(F.sha2("body", 256).alias("of"), "body", "base"), "pii-inside")
@@ -152,27 +191,33 @@ def risky_terms(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     counted = _holders(texts, "n_term")
     pmi = F.log2(F.col("n_both") * whole / (F.col("n_value") * F.col("n_term")))
     share = pmi / F.greatest(F.log2(whole / F.col("n_value")), F.lit(1e-9))
-    return pairs.join(counted, "term").withColumn("share", share).filter(F.col("share") >= GENERALISED).select("value", "term", (F.col("share") >= REMOVED).alias("removed"))
+    return pairs.join(counted, "term").withColumn("share", share).filter(F.col("share") >= GENERALISED).select("value", "term", (F.col("share") >= REMOVED).alias("removed"), (F.col("n_both") >= TELLING * F.col("n_term")).alias("telling"))
 
 
 def find_all(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``body``, ``base`` and ``more``: spans of words that give values away.
 
-    Null texts count as empty.  Terms are looked for where the value itself stands: in rows
-    that share a null id only the base is found, and rows that repeat an id share the terms
-    found for it.
+    Null texts count as empty.  Terms are looked for where the value itself stands, telling
+    ones in every document.  In rows that share a null id only the base is found, and rows
+    that repeat an id share the terms found for it.
     """
     based = find_base(docs.withColumn("__id", F.col(id_col)), text_col=text_col)
     held = written(_hits(based, "__id").select("__id", "value").distinct(), "pii-hits")
     risky = written(risky_terms(docs, text_col=text_col), "pii-risky")
-    hits = held.join(risky, "value").groupBy("__id", "term").agg(F.max("removed").alias("removed"))
+    hits = held.join(risky, "value").select("__id", "term", "removed")
+    telling = risky.filter("telling").groupBy("term").agg(F.max("removed").alias("removed"))
+    many = telling.limit(BROADCAST_TERMS + 1).count()
+    if many:
+        words = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(_words(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
+        hits = hits.unionByName(words.join(F.broadcast(telling) if many <= BROADCAST_TERMS else telling, "term"))
+    hits = hits.groupBy("__id", "term").agg(F.max("removed").alias("removed"))
     by_doc = written(hits.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("terms")), "pii-terms")
     joined = based.join(by_doc, "__id", "left")
     # Terms hold neither punctuation nor white space, so they stand for themselves in a pattern.
     pattern = F.concat(F.lit(r"(?iu)(?<![^\s\p{Punct}])(?:"), F.array_join(F.transform("terms", lambda x: x["term"]), "|"), F.lit(r")(?![^\s\p{Punct}])"))
     joined = joined.withColumn("pattern", F.when(F.col("terms").isNotNull(), pattern))
-    matches = F.regexp_extract_all("body", F.col("pattern"), F.lit(0))
-    spans = F.zip_with(matches, _starts(F.split("body", F.col("pattern"), F.lit(-1)), matches), lambda m, s: F.struct(m.alias("value"), s.alias("start"), (s + F.length(m)).cast("int").alias("end")))
+    span = lambda m, s: F.struct(m.alias("value"), s.alias("start"), (s + F.length(m)).cast("int").alias("end"))
+    spans = _let(F.regexp_extract_all("body", F.col("pattern"), F.lit(0)), lambda matches: F.zip_with(matches, _starts(F.split("body", F.col("pattern"), F.lit(-1)), matches), span))
     removed = F.transform(F.filter("terms", lambda t: t["removed"]), lambda t: t["term"])
     kinds = F.transform(spans, lambda x: F.struct(F.when(F.array_contains(removed, F.lower(x["value"])), "removed").otherwise("term").alias("kind"), F.lit(len(KINDS)).alias("order"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     apart = F.filter(kinds, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
