@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from playlore.llm import ann, components, exact_dedup, near_dedup, packing, pii, warc
+from playlore.llm import ann, components, exact_dedup, near_dedup, packing, pii, quality, warc
 from playlore.llm.common import new_folder
 
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -110,7 +110,7 @@ def _sets(rows):
     return out
 
 
-def _brute(rows):
+def _brute(rows, least=85):
     sets = _sets(rows)
     holders = defaultdict(list)
     for i, s in sets.items():
@@ -119,7 +119,7 @@ def _brute(rows):
     edges = []
     for i, s in sets.items():
         for j, n in Counter(j for x in s for j in holders[x] if j > i).items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= least * (len(s) + len(sets[j]) - n):
                 edges.append((i, j))
     return sets, _roots(sets, edges)
 
@@ -502,6 +502,46 @@ def test_pipeline_stages_keep_the_documents_columns(spark):
     assert held == {r.doc_id: n for r in docs.collect() if (n := len(lib.encode(r.text or "", add_special_tokens=False).ids))}
 
 
+def _masked(text):
+    """The text with base matches replaced; of overlapping ones the first is."""
+    found = sorted((m.start(), k, m.end()) for k, kind in enumerate(PATTERNS) for m in re.finditer(PATTERNS[kind], text) if _valid(kind, m[0]))
+    out, at = "", 0
+    for start, k, end in found:
+        if start >= at:
+            out += text[at:start] + f"[{list(PATTERNS)[k].upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_pipeline_by_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights = quality.fit(docs, labels).astype(np.float32)
+    texts = {}
+    for r in docs.collect():
+        at, values = quality.features(r.text)
+        if 1 / (1 + np.exp(-float(weights[at] @ values))) >= 0.3:
+            texts[r.doc_id] = r.text or ""
+    last = {}
+    for i in sorted(texts):
+        last[texts[i].translate(UPPER)] = i
+    rows = sorted((i, texts[i]) for i in last.values())
+    sets, roots = _brute(rows, 80)
+    rows = [(i, t) for i, t in rows if roots[i] == i]
+    risky = {r.term for r in pii.risky_terms(spark.createDataFrame(rows, DOC)).collect()}
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = defaultdict(dict)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        for i, doc in enumerate(r.doc_ids):
+            pieces[doc][r.pieces[i]] = r.tokens[r.starts[i] : r.starts[i + 1] if i + 1 < len(r.starts) else r.used]
+    made = {doc: lib.decode([t for k in sorted(p) for t in p[k]], skip_special_tokens=False) for doc, p in pieces.items()}
+    assert set(made) == {i for i, t in rows if t}
+    plain = [(i, t) for i, t in rows if t and not risky & set(re.findall(r"\w+", t.lower()))]
+    assert len(plain) > 0.7 * len(rows) and all(made[i] == _masked(t) for i, t in plain)
+
+
 def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
     import corpus_pipeline
 

@@ -68,6 +68,92 @@ def test_kernel_values_are_shared_runs_over_norms():
     assert set(langid.runs(long).tolist()) == set(langid.runs("ab cd ab cd").tolist())
 
 
+def _run_set(text):
+    plain = " ".join("".join(c if c.isalpha() else " " for c in f" {text.lower()} ").split())
+    plain = f" {plain} " if plain else " "
+    return {plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)}
+
+
+def test_language_scores_by_brute_force():
+    """Kernels from sets of runs, the whitened map and the regressions written out for a few texts."""
+    rng = random.Random(8)
+    letters = {"x": "abcde", "y": "cdefg", "z": "efghi"}
+    say = lambda lang: "".join(rng.choice(letters[lang] + " ") for _ in range(40))
+    examples = [(say(lang), lang) for _ in range(12) for lang in letters]
+    asked = [say(lang) for lang in letters for _ in range(4)] + ["ab1cd", "é ü", "zzz"]
+    model = langid.train([(langid.runs(t), lang) for t, lang in examples], landmarks=5, ridge=0.1)
+    kernel = lambda a, b: len(_run_set(a) & _run_set(b)) / np.sqrt(len(_run_set(a)) * len(_run_set(b)))
+    taken = {lang: [t for t, x in examples if x == lang][:5] for lang in letters}
+    landmarks = [t for t, lang in examples if t in taken[lang]]
+    base = np.array([[kernel(a, b) for b in landmarks] for a in landmarks])
+    value, vector = np.linalg.eigh(base)
+    good = value > 1e-6 * value.max()
+    whiten = vector[:, good] / np.sqrt(value[good])
+    space = np.array([[kernel(t, b) for b in landmarks] for t, _ in examples]) @ whiten
+    want = np.empty((len(asked), 3))
+    for j, lang in enumerate(sorted(letters)):
+        yes = np.array([x == lang for _, x in examples])
+        weight = np.where(yes, 0.5 / yes.sum(), 0.5 / (~yes).sum()) * len(examples)
+        dual = np.linalg.solve(space.T @ (space * weight[:, None]) + 0.1 * np.eye(space.shape[1]), space.T @ (weight * np.where(yes, 1, -1)))
+        want[:, j] = np.array([[kernel(t, b) for b in landmarks] for t in asked]) @ whiten @ dual
+    assert np.allclose(model.scores(asked), want, atol=2e-3)
+    assert [model.languages[i] for i in want[:12].argmax(axis=1)] == [model.languages[i] for i in model.scores(asked[:12]).argmax(axis=1)]
+
+
+def _plain_features(text):
+    """Counts of one- and two-word runs, of shouted and of repeated words, by words cut with a regular expression."""
+    cut = re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+|[.,;:'\"?()\-]+|!+|[^0-9A-Za-z.,;:'\"?()\-!\s\x80-\U0010ffff]+", text or "")
+    fold = lambda w: "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+    hashes = [np.uint64(W.word_hash(fold(w), quality._CLASSES)) for w in cut]
+    pairs = [W.shingles(np.array([a, b]), 2)[0] for a, b in zip(hashes, hashes[1:])]
+    extra = [quality._SHOUTED] * sum(len(w) > 1 and all("A" <= c <= "Z" for c in w) for w in cut) + [quality._REPEATED] * sum(a == b for a, b in zip(hashes, hashes[1:]))
+    counts = {}
+    for h in [*hashes, *pairs, *extra]:
+        counts[int(h) >> (64 - quality.BITS)] = counts.get(int(h) >> (64 - quality.BITS), 0) + 1
+    length = np.sqrt(sum(n * n for n in counts.values())) or 1.0
+    return {k: n / length for k, n in counts.items()} | {quality.BIAS: 1.0}
+
+
+def test_quality_features_and_scores_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    weights = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    for r in docs.limit(60).collect():
+        margin = sum(float(np.float32(weights[k])) * v for k, v in _plain_features(r.text).items())
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-margin))) < 1e-4
+
+
+def test_training_by_brute_force():
+    """Follow-the-regularised-leader coordinate by coordinate, with plain numbers in dictionaries."""
+    rng = random.Random(5)
+    examples = []
+    for _ in range(60):
+        at = sorted(rng.sample(range(40), rng.randrange(1, 8)))
+        examples.append((np.array([*at, quality.BIAS]), np.array([rng.random() for _ in at] + [1.0]), int(min(at) < 8)))
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.5
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return (np.sign(z[k]) * l1 - z[k]) / ((beta + np.sqrt(n[k])) / alpha + l2)
+
+    share = np.mean([y for *_, y in examples])
+    cost = {1: min(0.7 / share, 20.0), 0: min(0.3 / (1 - share), 20.0)}
+    order = np.random.default_rng(7)
+    for _ in range(6):
+        for k in order.permutation(len(examples)):
+            at, values, label = examples[k]
+            p = 1 / (1 + np.exp(-sum(weight(int(a)) * v for a, v in zip(at, values, strict=True))))
+            for a, v in zip(map(int, at), values, strict=True):
+                w, g = weight(a), (p - label) * v * cost[label]
+                sigma = (np.sqrt(n.get(a, 0.0) + g * g) - np.sqrt(n.get(a, 0.0))) / alpha
+                z[a], n[a] = z.get(a, 0.0) + g - sigma * w, n.get(a, 0.0) + g * g
+    made = quality.train(examples)
+    assert all(abs(made[a] - weight(a)) < 1e-9 for a in z) and np.count_nonzero(made) == sum(weight(a) != 0 for a in z)
+
+
 def test_quality_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
