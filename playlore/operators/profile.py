@@ -108,21 +108,23 @@ def pin_stats(plays: DataFrame, pins: DataFrame, zone: str = S.ZONE) -> DataFram
     """Hours, plays and first local day of each pin; zeros where it was never played.
 
     ``pins(user_id, pin, kind, uri, title, artist)``: a song matches by uri, or by title key
-    and act; an artist by act; an album by title key and act.  Plays are counted by song
-    before they meet the pins, once by uri and once by act: an act is joined under its whole
-    credit and under the credit's leading parts, of which one side's must be whole.
+    and act; an artist by act; an album by title key and act.  Plays meet the pins by uri and
+    by act: an act is joined under its whole credit and under the credit's leading parts, of
+    which one side's must be whole.  Titles are normalised only where the act agrees.
     """
-    listen = F.col("ms_played") >= S.LISTEN_MS
-    songs = plays.groupBy("user_id", "track_uri", "track_name", "artist_name", "album_name").agg(F.sum("ms_played").alias("ms"), F.count_if(listen).alias("n"), F.min(F.when(listen, F.col("played_at"))).alias("first"))
-    songs = songs.withColumns({"t": X.title_key("track_name"), "al": X.title_key("album_name")}).drop("track_name", "album_name")
+    rows = plays.select("user_id", "track_uri", "track_name", "artist_name", "album_name", "ms_played", "played_at")
     asked = pins.select("user_id", "pin", "kind", "uri", X.title_key("title").alias("want"), "artist")
-    found = ["user_id", "pin", "track_uri", "artist_name", "t", "al", "ms", "n", "first"]
-    by_uri = songs.join(asked.filter("kind = 'song'").select("user_id", "pin", F.col("uri").alias("track_uri")), ["user_id", "track_uri"]).select(*found)
-    theirs = songs.select("*", _credit_keys("artist_name")).withColumnRenamed("whole", "whole_play")
+    found = ["user_id", "pin", "ms_played", "played_at"]
+    by_uri = rows.join(asked.filter("kind = 'song'").select("user_id", "pin", F.col("uri").alias("track_uri")), ["user_id", "track_uri"]).select(*found)
+    theirs = rows.select("*", _credit_keys("artist_name")).withColumnRenamed("whole", "whole_play")
     named = asked.select("*", _credit_keys("artist")).drop("artist")
-    title = F.when(F.col("kind") == "song", F.col("t") == F.col("want")).when(F.col("kind") == "album", F.col("al") == F.col("want")).otherwise(F.lit(True))
-    by_act = theirs.join(named, ["user_id", "key"]).filter((F.col("whole") | F.col("whole_play")) & title).select(*found)
-    total = by_uri.unionByName(by_act).distinct().groupBy("user_id", "pin").agg(F.sum("ms").alias("ms"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    title = F.when(F.col("kind") == "song", X.title_key("track_name") == F.col("want")).when(F.col("kind") == "album", X.title_key("album_name") == F.col("want")).otherwise(F.lit(True))
+    counted = (F.col("kind") == "song") & (F.col("track_uri") == F.col("uri"))  # by its uri
+    acts = theirs.join(named, ["user_id", "key"]).filter((F.col("whole") | F.col("whole_play")) & ~F.coalesce(counted, F.lit(False)))
+    # An act that is whole on both sides meets once; a longer credit meets a shorter one under the shorter's key only.
+    by_act = acts.filter(title).select(*found)
+    listen = F.col("ms_played") >= S.LISTEN_MS
+    total = by_uri.unionByName(by_act).groupBy("user_id", "pin").agg(F.sum("ms_played").alias("ms"), F.count_if(listen).alias("n"), F.min(F.when(listen, F.col("played_at"))).alias("first"))
     return pins.select("user_id", "pin").join(total, ["user_id", "pin"], "left").select(
         "user_id", "pin", F.round(F.coalesce("ms", F.lit(0)) / 3600000.0, 2).alias("hours"), F.coalesce("n", F.lit(0)).alias("plays"), F.to_date(X.local("first", zone)).alias("first_day")
     )

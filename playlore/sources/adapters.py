@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlore.functions.shared import stored
+from playlore.functions.shared import checkpointed, stored
 from playlore.schema import TRACK_PREFIX
 
 #: The clock of questions that depend on it.
@@ -65,7 +65,17 @@ HISTORY_SQL = f"""
 
 
 def genres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(artist, genre, region): a genre is a region with the number of the supplier's nation; artists are lower case."""
+    """(artist, genre, region): a genre is a region with the number of the supplier's nation; artists are lower case.
+
+    Written once in each session, as a lookup table is.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir + "/genres")
+    if key not in _stored:
+        _stored[key] = checkpointed(_genres(spark, sf_dir))
+    return _stored[key]
+
+
+def _genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
     joined = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select(F.lower("s_name").alias("artist"), F.concat_ws(" ", F.lower("r_name"), F.col("n_nationkey").cast("string")).alias("genre"), F.lower("r_name").alias("region"))
