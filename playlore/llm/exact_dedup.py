@@ -35,7 +35,7 @@ CAPACITY, BUCKETS = 8192, 1 << 16
 #: Bits of a hash that the directory can tell apart, and rows up to which it is broadcast.
 DEEPEST, BROADCAST_DIRECTORY_ROWS = 24, 1 << 18
 #: Rows of one hash that one owner takes; at most ``HOT`` hashes can have more than the rows over ``HOT``.
-OWNED, HOT = 50_000, 1 << 17
+OWNED, HOT = 1000, 1 << 17
 #: Bits of the largest bitmap; a word of 64 bits is a row, so at most 2**20 rows are broadcast.
 BITMAP = 1 << 26
 
