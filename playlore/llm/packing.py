@@ -156,7 +156,8 @@ def pack(docs: DataFrame, *, permitted: Sizes = Sizes(), id_col: str = "doc_id",
     bounded_batches(docs.sparkSession, rows=20_000)
     longest = max(permitted.lengths)
     units = word_count(F.col(text_col)) if size is None else F.coalesce(size, F.lit(0)).cast("long")
-    sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), units.alias("units")).filter("units > 0"), "pack-sized")
+    # Filtered after it is written, as a filter would have the units counted a second time.
+    sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), units.alias("units")), "pack-sized").filter("units > 0")
     starts = F.sequence(F.lit(0).cast("long"), F.col("units") - 1, F.lit(longest).cast("long"))
     pieces = sized.select("doc_id", "units", F.posexplode(starts).alias("piece", "first")).select("doc_id", "piece", "first", F.least(F.col("units") - F.col("first"), F.lit(longest)).cast("int").alias("size"))
     total = sized.agg(F.sum(F.ceil(F.col("units") / longest))).first()[0] or 0
@@ -208,7 +209,7 @@ def sequences(docs: DataFrame, vocabulary: str, *, permitted: Sizes = Sizes(), i
     """
     longest = max(permitted.lengths)
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = written(encode(plain, vocabulary, ids_col="tokens").drop("text").filter(F.size("tokens") > 0), "pack-tokens")
+    encoded = written(encode(plain, vocabulary, ids_col="tokens").drop("text"), "pack-tokens").filter(F.size("tokens") > 0)
     told = encoded.agg(F.sum(F.ceil(F.size("tokens") / longest)).alias("pieces"), F.sum(F.size("tokens")).alias("tokens")).first()
     groups = max(1, -(-(told["pieces"] or 0) // group_rows), -(-(told["tokens"] or 0) // group_tokens))
     starts = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(longest))
