@@ -30,6 +30,8 @@ ORDER = 3
 #: Runs are sorted in stretches of this many characters, so only their codes grow with a text.
 STRETCH = 1 << 20
 UNKNOWN = "und"
+#: Languages that one model can learn.
+LANGUAGES = 1000
 
 
 def _letters() -> np.ndarray:
@@ -147,7 +149,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     """
     bounded_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, 3, 1)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     if not counted:
         return train([])
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(counted.items()) for x in (lang, min(1.0, rows_per_language / n))])
@@ -164,8 +168,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score in a struct column ``language``.
+    """``docs`` with lang_pred and score in a struct column ``language``, which replaces one of that name.
 
+    Of languages with equal scores the first by name is predicted.
     ``und`` with score 0 stands where the text is null or has no letter, and where the model
     has learnt no language.  The score is the softmax of the regressions at the language.
     """

@@ -3,7 +3,8 @@
 A word is a run of letters and digits, or a run of one sort of other characters, so that
 ``word$$$`` is two words.  The features of a text are the hashed one- and two-word runs with
 their counts, scaled to length one; all upper-case words also count under one feature, and
-words that repeat the one before them under another.  The model is one vector of weights, and a score is the
+words that repeat the one before them under another: these are the two classes of n-grams
+that single n-grams can't tell of words not seen in training.  The model is one vector of weights, and a score is the
 logistic function of the sparse dot product of that vector with the counts.
 """
 
@@ -87,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int =
     Only labels 0 and 1 of ids that are not held out are drawn, by a hash of the id, each
     label at a rate of its own so that either can make up half the sample.  The drawn labels
     are few whatever the size of the tables, so they are broadcast to the documents.  Counts
-    of features, not texts, reach the driver.
+    of features, not texts, reach the driver.  An id that has both labels, or several texts,
+    is an example of each.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

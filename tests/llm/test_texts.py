@@ -56,6 +56,8 @@ def test_language_of_odd_texts(spark):
     got = {r.doc_id: r.language for r in langid.predict(_docs(spark, [*ODD, "1234 !?", "und der hund"]), model).collect()}
     assert [got[i].lang_pred for i in (0, 1, 2, 4, 7)] == ["und"] * 5 and got[8].lang_pred == "de"
     assert langid.languages(_docs(spark, [])).count() == 0
+    tied = langid.train([(langid.runs("abc"), "x"), (langid.runs("abc"), "w")])
+    assert {r.language.lang_pred for r in langid.predict(_docs(spark, ["abc"]), tied).collect()} == {"w"}
     assert {r.lang_pred for r in langid.languages(_docs(spark, ["abc", "abc"], None)).collect()} == {"und"}
 
 
@@ -174,6 +176,12 @@ def test_quality_of_odd_texts_and_without_labels(spark):
     assert quality.quality_scores(_docs(spark, []), none).count() == 0
 
 
+def test_quality_of_ids_with_both_labels(spark):
+    docs = _docs(spark, ["plain words here", "BUY BUY !!! $$$"] * 20)
+    labels = spark.createDataFrame([(i, q) for i in range(40) for q in (0, 1)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    assert all(0 < r.score < 1 for r in quality.quality_scores(docs, labels).collect())
+
+
 def test_training_moves_weights_towards_the_labels():
     good, bad = quality.features("plain words here"), quality.features("$$$ !!! $$$")
     w = quality.train([(*good, 1), (*bad, 0)] * 40)
@@ -192,6 +200,22 @@ def test_tokens_are_those_of_the_library():
     assert "�" in own.decode(own.encode("𐍈")[:1])
 
 
+def test_tokens_of_texts_of_megabytes():
+    own, lib = bpe.ForcedBoundaryBPE(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(6)
+    some = ["the ", "Wörter", " 日本", "\n\n", "x" * 30, "<|endoftext|>", "é", "123 ", "'ll ", "\t"]
+    texts = ["".join(rng.choice(some) for _ in range(400_000)), "".join(rng.choice("abcdeé日") for _ in range(1_000_000)), "short", "ab" * 300_000]
+    got = own.encode_batch(texts)
+    for text, packed in zip(texts, got, strict=True):
+        ids = np.frombuffer(packed, "<u4").tolist()
+        assert ids == lib.encode(text, add_special_tokens=False).ids and own.decode(ids) == text
+
+
+def test_tokens_are_counted(spark):
+    docs = _docs(spark, ODD)
+    assert [r[0] for r in docs.select(bpe.count("text", PATH)).collect()] == [len(Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids) for t in ODD]
+
+
 def test_tokens_of_a_table(spark):
     got = {r.doc_id: r for r in bpe.round_trip(_docs(spark, ODD), PATH).collect()}
     assert got[0].n_tokens == got[1].n_tokens == 0 and got[0].decoded_sha256 == got[1].decoded_sha256
