@@ -31,16 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, by: str, *order: str) -> DataFrame:
-    """``df`` written to the shared folder by the values of ``by``, its files in ranges of ``order``.
+def stored(df: DataFrame, path: str, by: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written to ``path`` and read from there: in folders by ``by``, its files in ranges of ``order``.
 
     A filter on ``by`` skips folders, one on the first of ``order`` files and row groups.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).option("compression", "zstd").parquet(path)
+    if by:
+        df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).option("compression", "zstd").parquet(path)
+    else:
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; nothing is created yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def file_system(spark: SparkSession, folder: str):
     """Hadoop's file system of a folder, and the folder's path there."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlore.functions.shared import checkpointed, stored
+from playlore.functions.shared import exists, new_folder, stored
 from playlore.schema import TRACK_PREFIX
 
 #: The clock of questions that depend on it.
@@ -21,16 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``make`` writes to the path it is given: made once in each session, and again if the files are gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored or not exists(spark, _stored[key][0]):
+        path = new_folder(spark, name)
+        _stored[key] = path, make(path)
+    return _stored[key][1]
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``joined_history``, stored by year once in each session and read from there."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        plays = joined_history(spark, sf_dir)
-        _stored[key] = stored(plays.withColumn("year", F.year("played_at")), "plays", "year", "user_id", "played_at")
-    return _stored[key]
+    """``joined_history``, stored by year and read from there."""
+    plays = lambda: joined_history(spark, sf_dir).withColumn("year", F.year("played_at"))
+    return _once(spark, sf_dir, "plays", lambda path: stored(plays(), path, "year", ("user_id", "played_at")))
 
 
 def joined_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +75,9 @@ HISTORY_SQL = f"""
 def genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(artist, genre, region): a genre is a region with the number of the supplier's nation; artists are lower case.
 
-    Written once in each session, as a lookup table is.
+    Written once, as a lookup table is.
     """
-    key = (spark.sparkContext.applicationId, sf_dir + "/genres")
-    if key not in _stored:
-        _stored[key] = checkpointed(_genres(spark, sf_dir))
-    return _stored[key]
+    return _once(spark, sf_dir, "genres", lambda path: stored(_genres(spark, sf_dir), path))
 
 
 def _genres(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,18 @@ def test_windows_reach_the_folders_of_a_stored_table(history, spark, tmp_path):
         assert "PartitionFilters: [isnotnull(year" in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stored_plays_are_made_again_if_they_are_gone(spark):
+    from playlore.functions.shared import file_system
+    from playlore.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    n = adapters.history(spark, sf).count()
+    path, _ = adapters._stored[spark.sparkContext.applicationId, sf, "plays"]
+    system, at = file_system(spark, path)
+    system.delete(at, True)
+    assert adapters.history(spark, sf).count() == n == adapters.joined_history(spark, sf).count()
+
+
 def test_a_day_line_starts_at_nothing_and_ends_with_the_day(spark):
     p = plays(spark, [(1, dt.datetime(2024, 1, 15, 15), "A", "x", 1_800_000, None), (1, dt.datetime(2024, 1, 15, 15, 15), "B", "x", 1_800_000, None)])
     line = lambda **k: [(r["at"], r["value"]) for r in profile.day_timeline(p, dt.date(2024, 1, 15), **k).orderBy("n").collect()]
