@@ -4,7 +4,7 @@ Only DataFrame operations run here.  What travels for every row is its id, hash
 texts travel only where their hash is shared.
 
 1. *Directory.*  It starts with one slot, depth 0 and one bucket.  As long as a bucket has more
-   hashes than its capacity the directory doubles: every slot becomes two, those of an
+   rows than its capacity the directory doubles: every slot becomes two, those of an
    overfull bucket go to a bucket each, one bit deeper, and the other pairs share theirs.
 2. *Owner tasks.*  A bucket is a range of hashes, and one task owns it.  Texts whose hash
    another row has too are sent to the owner, which chains what has one hash and compares
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_ascii, written
 
-#: Hashes that a bucket holds at least before it splits; buckets are meant to be at most ``BUCKETS``.
+#: Rows that a bucket holds at least before it splits; buckets are meant to be at most ``BUCKETS``.
 CAPACITY, BUCKETS = 8192, 1 << 16
 #: Bits of a hash that the directory can tell apart, and rows up to which it is broadcast.
 DEEPEST, BROADCAST_DIRECTORY_ROWS = 24, 1 << 18
@@ -62,12 +62,12 @@ def _prefix(h: Column, bits: int) -> Column:
 
 
 def directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
-    """Directory of an extendible-hash index over the different ``hashes(h)``, and its depth in bits.
+    """Directory of an extendible-hash index over the different ``hashes(h, n)`` of n rows each, and its depth in bits.
 
     Returns rows (slot, depth, bucket): slot is a prefix of the returned depth, bucket the
     first slot of the bucket that holds it, and depth the bucket's own depth.
     """
-    held = written(hashes.groupBy(_prefix(F.col("h"), DEEPEST).alias("p")).agg(F.count("*").alias("n")), "dedup-held")
+    held = written(hashes.groupBy(_prefix(F.col("h"), DEEPEST).alias("p")).agg(F.sum("n").alias("n")), "dedup-held")
     slots, depth = hashes.sparkSession.range(1).select(F.col("id").alias("slot"), F.lit(0).alias("depth")), 0
     while depth < DEEPEST:
         sizes = held.groupBy(F.call_function("shiftright", "p", F.lit(DEEPEST - depth)).alias("slot")).agg(F.sum("n").alias("n"))
@@ -107,13 +107,14 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), body.alias("body")).withColumn("h", text_hash(F.col("body")))
     keys = written(rows.select("doc_id", "h", F.sha2("body", 256).alias("text_sha256")), "dedup-keys")
     hashes = written(keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.min("text_sha256").alias("text_sha256")), "dedup-hashes")
-    told = hashes.agg(F.count("*").alias("hashes"), F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("shared")).first()
-    slots, depth = directory(hashes, capacity or max(CAPACITY, -(-told["hashes"] // BUCKETS)))
+    told = hashes.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("shared")).first()
     bits = min(BITMAP, 1 << max(10, (16 * told["shared"]).bit_length()))
     again = hashes.filter("n > 1")
     shared = written(again.groupBy(_word(F.col("h"), bits).alias("__word")).agg(F.bit_or(_bit(F.col("h"), bits)).alias("__mask")), "dedup-shared")
-    # Fewer than HOT hashes can have more rows than this.
-    owned = max(OWNED, (told["rows"] or 0) // HOT + 1)
+    # Fewer than HOT hashes can have more rows than this; of such a hash a bucket counts the rows of one owner.
+    rows_in_all = told["rows"] or 0
+    owned = max(OWNED, rows_in_all // HOT + 1)
+    slots, depth = directory(hashes.select("h", F.least("n", F.lit(owned)).alias("n")), capacity or max(CAPACITY, -(-rows_in_all // BUCKETS)))
     hot = again.filter(F.col("n") > owned).select("h", F.ceil(F.col("n") / owned).alias("owners"))
     travel = _maybe_shared(rows, shared, bits).filter("__again").join(F.broadcast(hot), "h", "left")
     dealt = _in_bucket(travel, slots, depth).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("owners", F.lit(1).cast("long"))))

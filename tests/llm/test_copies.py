@@ -70,8 +70,8 @@ def test_exact_with_null_ids_repeats_and_nothing(spark):
 
 
 def test_directory_doubles_where_buckets_are_overfull(spark):
-    hashes = spark.range(4000).select(F.xxhash64("id").alias("h"))
-    crowd = spark.range(1000).select(F.shiftrightunsigned(F.xxhash64("id"), 6).alias("h"))  # all begin with six zeros
+    hashes = spark.range(4000).select(F.xxhash64("id").alias("h"), F.lit(1).alias("n"))
+    crowd = spark.range(1000).select(F.shiftrightunsigned(F.xxhash64("id"), 6).alias("h"), F.lit(1).alias("n"))  # all begin with six zeros
     slots, bits = exact_dedup.directory(hashes.union(crowd), 300)
     rows = slots.collect()
     assert bits > 6 and sorted(r.slot for r in rows) == list(range(1 << bits))
