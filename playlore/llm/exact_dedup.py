@@ -67,12 +67,14 @@ def directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     Returns rows (slot, depth, bucket): slot is a prefix of the returned depth, bucket the
     first slot of the bucket that holds it, and depth the bucket's own depth.
     """
-    held = written(hashes.groupBy(_prefix(F.col("h"), DEEPEST).alias("p")).agg(F.sum("n").alias("n")), "dedup-held")
+    held = written(hashes.groupBy(_prefix(F.col("h"), DEEPEST).alias("p")).agg(F.sum("n").alias("n"), F.count("*").alias("k")), "dedup-held")
     slots, depth = hashes.sparkSession.range(1).select(F.col("id").alias("slot"), F.lit(0).alias("depth")), 0
     while depth < DEEPEST:
-        sizes = held.groupBy(F.call_function("shiftright", "p", F.lit(DEEPEST - depth)).alias("slot")).agg(F.sum("n").alias("n"))
+        sizes = held.groupBy(F.call_function("shiftright", "p", F.lit(DEEPEST - depth)).alias("slot")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         # A bucket that has fewer bits than the directory wasn't overfull before, so it isn't now.
-        seen = slots.join(sizes, "slot", "left").withColumn("over", (F.col("depth") == depth) & (F.coalesce("n", F.lit(0)) > capacity))
+        # One hash can't be split, however many rows it has.
+        overfull = F.coalesce((F.col("n") > capacity) & (F.col("k") > 1), F.lit(False))
+        seen = slots.join(sizes, "slot", "left").withColumn("over", (F.col("depth") == depth) & overfull)
         seen = written(seen.select("slot", "depth", "over"), "dedup-slots")
         if seen.filter("over").isEmpty():
             break
