@@ -36,9 +36,9 @@ from .common import bounded_batches
 #: The pattern that splits text before merging (fixed by the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids one task remembers, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: Characters of the texts that are encoded together; a longer text is encoded by itself.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 # Tasks are what runs in parallel here; threads of the library's own in each of them only
 # wait for one another.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col:
     ``vocabulary`` is a path that every executor can open.  A column that is already called
     ``ids_col`` is replaced.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows=500, size=8 << 20)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

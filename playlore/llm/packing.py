@@ -153,7 +153,7 @@ def pack(docs: DataFrame, *, permitted: Sizes = Sizes(), id_col: str = "doc_id",
     first unit.  The same table is packed the same way whatever its partitions.  Other columns
     are not read.
     """
-    bounded_batches(docs.sparkSession, rows=20_000)
+    bounded_batches(docs.sparkSession, rows=20_000, size=8 << 20)
     longest = max(permitted.lengths)
     units = word_count(F.col(text_col)) if size is None else F.coalesce(size, F.lit(0)).cast("long")
     # Filtered after it is written, as a filter would have the units counted a second time.
@@ -198,14 +198,14 @@ def _filled(permitted: Sizes) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return solve
 
 
-def sequences(docs: DataFrame, vocabulary: str, *, permitted: Sizes = Sizes(), id_col: str = "doc_id", text_col: str = "text", group_rows: int = 20_000, group_tokens: int = 8_000_000) -> DataFrame:
+def sequences(docs: DataFrame, vocabulary: str, *, permitted: Sizes = Sizes(), id_col: str = "doc_id", text_col: str = "text", group_rows: int = 5000, group_tokens: int = 1_000_000) -> DataFrame:
     """The packed training sequences themselves, one row each, with their tokens.
 
     ``tokens`` are those of the pieces in order; piece i of a sequence begins at ``starts[i]``
     and is piece ``pieces[i]`` of the document in row ``rows[i]``, whose id is ``doc_ids[i]``.
     Rows are numbered here, so null ids and repeated ones stay apart.  Texts that are null or
     empty are in no sequence.  A group holds about ``group_rows`` pieces and ``group_tokens``
-    tokens at most.  Other columns are not read; an empty table gives no sequence.
+    tokens, which a task holds as one.  Other columns are not read; an empty table gives no sequence.
     """
     longest = max(permitted.lengths)
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -215,5 +215,5 @@ def sequences(docs: DataFrame, vocabulary: str, *, permitted: Sizes = Sizes(), i
     starts = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(longest))
     pieces = encoded.select("row", "doc_id", "tokens", F.posexplode(starts).alias("piece", "first")).select("row", "doc_id", "piece", F.slice("tokens", F.col("first") + 1, F.lit(longest)).alias("tokens"))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(groups))).repartition(groups, "part").sortWithinPartitions("part")
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows=500, size=8 << 20)
     return dealt.mapInPandas(_by_group(_filled(permitted)), _SEQUENCE)
