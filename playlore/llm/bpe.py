@@ -36,9 +36,7 @@ from .common import bounded_batches
 #: The pattern that splits text before merging (fixed by the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids one task remembers, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 100_000, 64
-#: Characters of the texts that are encoded together; a longer text is encoded by itself.
-TOGETHER = 1 << 18
+REMEMBERED, LONGEST = 500_000, 64
 # Tasks are what runs in parallel here; threads of the library's own in each of them only
 # wait for one another.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,7 +56,10 @@ def byte_characters() -> list[str]:
 class ForcedBoundaryBPE:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
+        # Characters of the texts that are encoded together; a longer text is encoded by itself.
+        self.together = 2 * remembered
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.character = byte_characters()
@@ -122,7 +123,7 @@ class ForcedBoundaryBPE:
         start = 0
         while start < len(texts):
             stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= TOGETHER):
+            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= self.together):
                 size += len(texts[stop])
                 stop += 1
             out += self._encode_together(texts[start:stop])
@@ -137,7 +138,7 @@ class ForcedBoundaryBPE:
         known |= {p: p.to_bytes(4, "little") for p in fresh if isinstance(p, int)}
         known |= self._learn([p for p in fresh if isinstance(p, str)])
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         for p in fresh:
             if isinstance(p, str) and len(p) > LONGEST:
@@ -152,31 +153,31 @@ class ForcedBoundaryBPE:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_coders: dict[str, ForcedBoundaryBPE] = {}
+_coders: dict[tuple[str, int], ForcedBoundaryBPE] = {}
 
 
-def coder(path: str) -> ForcedBoundaryBPE:
+def coder(path: str, remembered: int = REMEMBERED) -> ForcedBoundaryBPE:
     """The coder of a vocabulary file, made once in each Python process."""
-    if path not in _coders:
-        _coders[path] = ForcedBoundaryBPE(path)
-    return _coders[path]
+    if (path, remembered) not in _coders:
+        _coders[path, remembered] = ForcedBoundaryBPE(path, remembered)
+    return _coders[path, remembered]
 
 
 def clean(text: object) -> str:
     return text if isinstance(text, str) else ""
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col: str = "token_ids", remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with the ids of the whole text; null texts count as empty and have none.
 
     ``vocabulary`` is a path that every executor can open.  A column that is already called
-    ``ids_col`` is replaced.
+    ``ids_col`` is replaced.  With fewer pieces ``remembered`` a task takes less memory and more time.
     """
     bounded_batches(docs.sparkSession, rows=500, size=8 << 20)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = coder(vocabulary)
+        own = coder(vocabulary, remembered)
         for batch in texts:
             yield pd.Series([np.frombuffer(ids, "<u4").astype(np.int32) for ids in own.encode_batch([clean(t) for t in batch])])
 

@@ -209,7 +209,7 @@ def sequences(docs: DataFrame, vocabulary: str, *, permitted: Sizes = Sizes(), i
     """
     longest = max(permitted.lengths)
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = written(encode(plain, vocabulary, ids_col="tokens").drop("text"), "pack-tokens").filter(F.size("tokens") > 0)
+    encoded = written(encode(plain, vocabulary, ids_col="tokens", remembered=100_000).drop("text"), "pack-tokens").filter(F.size("tokens") > 0)
     told = encoded.agg(F.sum(F.ceil(F.size("tokens") / longest)).alias("pieces"), F.sum(F.size("tokens")).alias("tokens")).first()
     groups = max(1, -(-(told["pieces"] or 0) // group_rows), -(-(told["tokens"] or 0) // group_tokens))
     starts = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(longest))
