@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, license_scan, near_dedup, packing, pii, quality, warc
+from . import ann, bpe, bpe_fst, exact_dedup, langid, license_scan, merkle, near_dedup, packing, periodic, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,35 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {"op1_language": op1_language, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours, "op6_pii": op6_pii, "op7_near_dedup": op7_near_dedup, "op8_packing": op8_packing, "op9_bpe": op9_bpe, "op10_licences": op10_licences}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_fst.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_language": op1_language, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours, "op6_pii": op6_pii, "op7_near_dedup": op7_near_dedup, "op8_packing": op8_packing, "op9_bpe": op9_bpe, "op10_licences": op10_licences, "op11_periodic": op11_periodic, "op12_byte_bpe": op12_byte_bpe, "op13_merkle": op13_merkle}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of an id's digits, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)))"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(({column})::VARCHAR) || ':' || ({column})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
 ORACLES = {
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
@@ -85,4 +110,37 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM folded WINDOW same AS (PARTITION BY body)""",
+    "op13_merkle": f"""
+        WITH RECURSIVE l AS (
+            SELECT doc_id, source, row_number() OVER () AS id, {_leaf("text")} AS leaf,
+                   CASE WHEN {_CRC} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+            FROM documents),
+        p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+        u AS (
+            SELECT 0 AS level, source, pos, leaf AS d, n FROM p
+            UNION ALL
+            SELECT level + 1, source, pos // 16, sha256(string_agg(d, '' ORDER BY pos)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY level, source, pos // 16, n),
+        s AS (SELECT source, d AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM u WHERE n = 1),
+        t AS (
+            SELECT 0 AS level, pos, subroot AS d, n FROM s
+            UNION ALL
+            SELECT level + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY level, pos // 16, n),
+        f AS (
+            SELECT 0 AS level, id, source, pos, n, coalesce(changed, leaf) AS d, '' AS proof FROM p
+            UNION ALL
+            SELECT f.level + 1, f.id, f.source, f.pos // 16, (f.n + 15) // 16,
+                   sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.d ELSE u.d END, '' ORDER BY u.pos)),
+                   f.proof || coalesce(string_agg(u.d, '' ORDER BY u.pos) FILTER (u.pos <> f.pos), '')
+            FROM f JOIN u ON u.level = f.level AND u.source IS NOT DISTINCT FROM f.source AND u.pos // 16 = f.pos // 16
+            WHERE f.n > 1 GROUP BY f.level, f.id, f.source, f.pos, f.n, f.d, f.proof),
+        g AS (
+            SELECT 0 AS level, f.id, s.pos, s.n, f.d, f.proof FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source WHERE f.n = 1
+            UNION ALL
+            SELECT g.level + 1, g.id, g.pos // 16, (g.n + 15) // 16,
+                   sha256(string_agg(CASE WHEN t.pos = g.pos THEN g.d ELSE t.d END, '' ORDER BY t.pos)),
+                   g.proof || coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (t.pos <> g.pos), '')
+            FROM g JOIN t ON t.level = g.level AND t.pos // 16 = g.pos // 16
+            WHERE g.n > 1 GROUP BY g.level, g.id, g.pos, g.n, g.d, g.proof)
+        SELECT l.doc_id, l.leaf, s.subroot, r.d AS root, sha256(g.proof) AS proof_sha256, g.d AS folded_root, g.d = r.d AS verified
+        FROM l JOIN g ON g.id = l.id AND g.n = 1 JOIN s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT d FROM t WHERE n = 1) r""",
 }
