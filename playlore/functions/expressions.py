@@ -42,13 +42,32 @@ def title_key(title: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-_TAIL = r"(?i)\s*(?:-\s+|[\(\[])[^\(\[\)\]]*\b(remaster(ed)?|remix|live|feat\.?|ft\.?|with|version|edit|mix|mono|stereo|deluxe|bonus|acoustic|demo)\b.*$"
+#: Words that mark a stretch after a dash or in brackets as telling the version of a title.
+#: Fixed values, by what they tell; a dot at the end may be missing.
+VERSION_WORDS = {
+    "release": ("deluxe", "bonus", "single", "extended", "edit", "version"),
+    "sound": ("remaster", "remastered", "rerecorded", "re-recorded", "mono", "stereo", "mix", "remix", "radio"),
+    "performance": ("acoustic", "demo", "instrumental", "live"),
+    "speed": ("slowed", "sped up"),
+    "guests": ("feat.", "ft.", "with"),
+}
 
 
 def short_title(title: Column | str) -> Column:
-    """A title for display, without its version tail; unchanged if nothing would be left."""
-    cut = F.trim(F.regexp_replace(title, _TAIL, ""))
-    return F.when(cut == "", title).otherwise(cut)
+    """A title for display, without its version tail; unchanged if nothing would be left.
+
+    A tail goes from a dash between spaces, or from an opening bracket, to the end.  It is one if
+    a version word stands in it before the bracket closes; the first such tail is cut.
+    """
+    raw = F.col(title) if isinstance(title, str) else title
+    # Places where a tail may begin, and what stands from there on.
+    stretches = F.regexp_extract_all(raw, F.lit(r"(?s)(?=(\s+-\s.*|[\(\[].*))"), F.lit(1))
+    words = "|".join(sorted((w.replace(".", r"\.?").replace(" ", r"\s+") for group in VERSION_WORDS.values() for w in group), key=len, reverse=True))
+    telling = rf"(?is)^\s*[-\(\[][^\)\]]*?(?<!\w)(?:{words})(?!\w)"
+    tails = F.filter(stretches, lambda x: x.rlike(telling))
+    longest = F.array_max(F.transform(tails, F.length))
+    cut = F.trim(F.substring(raw, F.lit(1), F.length(raw) - longest))
+    return F.when((F.size(tails) > 0) & (cut != ""), cut).otherwise(raw)
 
 
 def same_act(act: Column, name: Column) -> Column:

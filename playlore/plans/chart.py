@@ -27,6 +27,8 @@ STEPS = {"7d": 7, "30d": 30, "90d": 90}
 DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 #: Labels of an axis that several listeners share; fifty years have fewer days.
 LABELS = 20_000
+#: Lines of a split chart.
+LINES = 6
 
 
 @dataclass(frozen=True)
@@ -243,6 +245,11 @@ def _metric(metric: str) -> Column:
     }[metric]
 
 
+def _strength(metric: str) -> Column:
+    """What a metric's values are ranked by: exact, and not rounded as they are shown."""
+    return F.sum("ms_played") if metric == "hours" else _metric(metric)
+
+
 def _needs_floor(metric: str) -> bool:
     return metric in ("plays", "distinct_tracks", "distinct_artists")
 
@@ -294,11 +301,12 @@ def chart(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as
     if spec.series != "none":
         return split(rows, spec)
     label, sub = _axis(spec, spec.dimension)
-    made = rows.filter(label.isNotNull()).groupBy("user_id", label.alias("label"), sub.alias("sub")).agg(_metric(spec.metric).alias("value"), F.count("*").alias("n")).filter("value IS NOT NULL")
+    made = rows.filter(label.isNotNull()).groupBy("user_id", label.alias("label"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), _strength(spec.metric).alias("strength"), F.count("*").alias("n")).filter("value IS NOT NULL")
     if spec.metric == "skip_rate" and spec.dimension not in ORDERED:
         made = made.filter(F.col("n") >= RATE_SAMPLE)
-    made = made.withColumn("value", F.round("value", 2)).drop("n")
+    made = made.drop("n")
     if spec.dimension in ORDERED:
+        made = made.drop("strength")
         if spec.dimension == "hour_of_day" and spec.metric != "skip_rate":
             made = every_hour(made, spec, hour_of(as_of, zone) if spec.range == "today" and spec.year is None and not back and as_of else 23)
         order = Window.partitionBy("user_id").orderBy(_ordinal(spec))
@@ -306,13 +314,22 @@ def chart(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as
         if spec.cumulative:
             made = made.withColumn("value", F.round(F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0)), 2))
         return made
-    value = F.desc("value") if spec.sort == "desc" else F.asc("value")
-    order = Window.partitionBy("user_id").orderBy(value, "label", "sub")
-    bars = made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= spec.limit)
+    order = Window.partitionBy("user_id").orderBy(_falling(spec, "strength"), "label", "sub")
+    bars = made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= spec.limit).drop("strength")
     if spec.dimension != "track":
         return bars
     theirs = rows.select("user_id", label.alias("label"), sub.alias("sub"), "track_uri")
-    return bars.join(most_played(theirs, ["user_id", "label", "sub"]), ["user_id", "label", "sub"], "left").withColumnRenamed("track_uri", "uri")
+    return with_most_played(bars, theirs, ["user_id", "label", "sub"])
+
+
+def _falling(spec: ChartSpec, column: str) -> Column:
+    return F.desc(column) if spec.sort == "desc" else F.asc(column)
+
+
+def with_most_played(shown: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """``shown`` with the ``uri`` most played in each of its groups; only plays of these groups are counted."""
+    kept = rows.join(shown.select(*by), by, "left_semi")
+    return shown.join(most_played(kept, by), by, "left").withColumnRenamed("track_uri", "uri")
 
 
 def rows_behind(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as_of: dt.datetime | None = None, zone: str = ZONE, back: int = 0) -> DataFrame:
@@ -348,10 +365,9 @@ def per_period(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     """
     label, _ = _axis(spec, spec.dimension)
     series, sub = _axis(spec, spec.series)
-    made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), series.alias("series"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), F.count_if(F.col("ms_played") >= LISTEN_MS).alias("plays")).filter("value IS NOT NULL")
-    value = F.desc("value") if spec.sort == "desc" else F.asc("value")
-    inside = Window.partitionBy("user_id", "label").orderBy(value, "series", "sub")
-    ranked = made.withColumn("rank", F.row_number().over(inside)).filter(F.col("rank") <= spec.limit)
+    made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), series.alias("series"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), _strength(spec.metric).alias("strength"), F.count_if(F.col("ms_played") >= LISTEN_MS).alias("plays")).filter("value IS NOT NULL")
+    inside = Window.partitionBy("user_id", "label").orderBy(_falling(spec, "strength"), "series", "sub")
+    ranked = made.withColumn("rank", F.row_number().over(inside)).filter(F.col("rank") <= spec.limit).drop("strength")
     newest = Window.partitionBy("user_id").orderBy(_ordinal(spec).desc(), "rank")
     cells = ranked.withColumn("row", F.row_number().over(newest)).filter(F.col("row") <= TABLE_CAP)
     cells = cells.withColumn("truncated", F.count("*").over(Window.partitionBy("user_id")) >= TABLE_CAP)
@@ -359,28 +375,34 @@ def per_period(rows: DataFrame, spec: ChartSpec) -> DataFrame:
         return cells
     by = ["user_id", "label", "series", "sub"]
     theirs = rows.select("user_id", label.alias("label"), series.alias("series"), sub.alias("sub"), "track_uri")
-    return cells.join(most_played(theirs, by), by, "left").withColumnRenamed("track_uri", "uri")
+    return with_most_played(cells, theirs, by)
 
 
 def split(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     """A line for each of the strongest series, or for the named artists; gaps filled.
 
-    Lines are ranked by their total along the axis, added as decimals, so that equal totals
-    are equal in whatever order they are added.  Missing points are 0 for sums and counts and
-    null for rates.
+    At most ``limit`` lines, and never more than six.  Lines are ranked by their total along
+    the axis, unrounded, as decimals, so that equal totals are equal in whatever order they
+    are added.  Named artists are lines in the order of the names, each once, with all their
+    spellings counted together.  Missing points are 0 for sums and counts and null for rates.
     """
     label, _ = _axis(spec, spec.dimension)
     series, sub = _axis(spec, spec.series)
     key = F.concat_ws("\u001f", series, sub)
-    made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), key.alias("series")).agg(F.round(_metric(spec.metric), 2).alias("value")).filter("value IS NOT NULL")
-    if spec.series == "artist" and spec.artists:
-        wanted = rows.sparkSession.createDataFrame([(a.strip().lower(), i) for i, a in enumerate(spec.artists, 1)], "series string, line int")
-        made = made.withColumn("series", F.lower("series")).groupBy("user_id", "label", "series").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
+    most = min(spec.limit, LINES)
+    named = spec.artists if spec.series == "artist" else ()
+    if named:
+        key = X.name_key(key)
+    made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), key.alias("series")).agg(F.round(_metric(spec.metric), 2).alias("value"), _strength(spec.metric).alias("strength")).filter("value IS NOT NULL")
+    if named:
+        first = dict.fromkeys(a.strip().lower() for a in [a for a in named if a.strip()][:most])
+        wanted = rows.sparkSession.createDataFrame([(a, i) for i, a in enumerate(first, 1)], "series string, line int")
         lines = made.select("user_id").distinct().join(F.broadcast(wanted))
     else:
-        total = made.groupBy("user_id", "series").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
+        total = made.groupBy("user_id", "series").agg(F.sum(F.col("strength").cast("decimal(28,6)")).alias("total"))
         order = Window.partitionBy("user_id").orderBy(F.desc("total"), "series")
-        lines = total.withColumn("line", F.row_number().over(order)).filter(F.col("line") <= min(spec.limit, 6)).select("user_id", "series", "line")
+        lines = total.withColumn("line", F.row_number().over(order)).filter(F.col("line") <= most).select("user_id", "series", "line")
+    made = made.drop("strength")
     spine = made.select("user_id", "label").distinct().join(lines, "user_id")
     fill = F.lit(None).cast("double") if spec.metric == "skip_rate" else F.lit(0.0)
     filled = spine.join(made, ["user_id", "label", "series"], "left").withColumn("value", F.coalesce("value", fill))
@@ -433,13 +455,16 @@ def winner(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     if _needs_floor(spec.metric):
         rows = rows.filter(F.col("ms_played") >= LISTEN_MS)
     label, sub = _axis(spec, spec.dimension)
-    made = rows.filter(label.isNotNull()).groupBy("user_id", label.alias("label"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), F.count("*").alias("n")).filter("value IS NOT NULL")
-    if spec.metric == "skip_rate" and spec.dimension not in ORDERED:
+    made = rows.filter(label.isNotNull()).groupBy("user_id", label.alias("label"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), _strength(spec.metric).alias("strength"), F.count("*").alias("n")).filter("value IS NOT NULL")
+    ordered = spec.dimension in ORDERED
+    if spec.metric == "skip_rate" and not ordered:
         made = made.filter(F.col("n") >= RATE_SAMPLE)
     if spec.sort == "desc":
         made = made.filter("value > 0")
-    order = Window.partitionBy("user_id").orderBy(F.desc("value") if spec.sort == "desc" else F.asc("value"), "label", "sub")
-    return made.drop("n").withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
+    # Points of an ordered axis are compared as they are drawn, bars by what they stand for.
+    by = [_falling(spec, "value"), _ordinal(spec)] if ordered else [_falling(spec, "strength"), F.col("label"), F.col("sub")]
+    order = Window.partitionBy("user_id").orderBy(*by)
+    return made.drop("n").withColumn("rank", F.row_number().over(order)).filter("rank <= 2").drop("strength")
 
 
 def winner_facts(rows: DataFrame, spec: ChartSpec) -> DataFrame:
@@ -519,9 +544,17 @@ def aligned(lines: DataFrame, fill: str = "zero") -> DataFrame:
 
 
 def shares(made: DataFrame) -> DataFrame:
-    """Each series as a share of its bucket, in percent; null where the bucket is empty."""
+    """Each series as a share of its bucket, in percent; null where the bucket is empty.
+
+    Values have two places and are added and divided as decimals: a share that ends in a half
+    is rounded up, in whatever order the bucket was added.
+    """
     bucket = Window.partitionBy("user_id", "label")
-    return made.withColumn("share", F.round(F.col("value") * 100 / F.nullif(F.sum("value").over(bucket), F.lit(0.0)), 2))
+    value = F.col("value").cast("decimal(16,2)")
+    whole = F.sum("value").over(bucket)
+    exact = made.withColumn("value", value)
+    share = F.round(F.col("value") * 100 / F.nullif(whole, F.lit(0).cast("decimal(26,2)")), 2)
+    return exact.withColumn("share", share.cast("double")).withColumn("value", F.col("value").cast("double"))
 
 
 def intensity(made: DataFrame) -> DataFrame:

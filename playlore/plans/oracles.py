@@ -18,9 +18,9 @@ NONE = "CAST(NULL AS VARCHAR)"
 
 
 def ranked(label: str, sub: str = NONE, metric: str = HOURS, where: str = "true", limit: int = 10, sort: str = "DESC", having: str = "true", source: str = "p") -> str:
-    return f"""{H}, m AS (SELECT user_id, {label} AS label, {sub} AS sub, round({metric}, 2) AS value FROM {source}
+    return f"""{H}, m AS (SELECT user_id, {label} AS label, {sub} AS sub, round({metric}, 2) AS value, {metric} AS raw FROM {source}
         WHERE artist_name IS NOT NULL AND ({where}) AND {label} IS NOT NULL GROUP BY 1, 2, 3 HAVING {having})
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value {sort}, label, sub) AS rank FROM m WHERE value IS NOT NULL) WHERE rank <= {limit}"""
+        SELECT user_id, label, sub, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY raw {sort}, label, sub) AS rank FROM m WHERE value IS NOT NULL) WHERE rank <= {limit}"""
 
 
 def along(label: str, metric: str = HOURS, where: str = "true", order: str = "label", value: str = "value") -> str:
@@ -44,8 +44,8 @@ GENRED = "(SELECT p.*, g.genre FROM p JOIN genres g ON lower(p.artist_name) = g.
 COVER = "(CASE WHEN regexp_matches(genre, '\\bamerica') THEN 'america' WHEN regexp_matches(genre, '\\beast') THEN 'east' WHEN regexp_matches(genre, '\\basia 8') THEN 'asia 8' END)"
 
 def split(label: str, series: str, metric: str, source: str, where: str, limit: int, value: str = "value") -> str:
-    return f"""{H}, m AS (SELECT user_id, {label} AS label, {series} AS series, round({metric}, 2) AS value FROM {source} WHERE {where} AND {series} IS NOT NULL GROUP BY 1, 2, 3),
-        lines AS (SELECT user_id, series, row_number() OVER (PARTITION BY user_id ORDER BY sum(CAST(value AS DECIMAL(18, 2))) DESC, series) AS line FROM m GROUP BY 1, 2),
+    return f"""{H}, m AS (SELECT user_id, {label} AS label, {series} AS series, round({metric}, 2) AS value, {'sum(ms_played)' if metric == HOURS else metric} AS strength FROM {source} WHERE {where} AND {series} IS NOT NULL GROUP BY 1, 2, 3),
+        lines AS (SELECT user_id, series, row_number() OVER (PARTITION BY user_id ORDER BY sum(CAST(strength AS DECIMAL(28, 6))) DESC, series) AS line FROM m GROUP BY 1, 2),
         spine AS (SELECT DISTINCT m.user_id, m.label, l.series, l.line FROM m JOIN lines l ON m.user_id = l.user_id WHERE l.line <= {limit}),
         f AS (SELECT s.user_id, s.label, s.series, s.line, coalesce(m.value, 0.0) AS value FROM spine s LEFT JOIN m USING (user_id, label, series))
         SELECT user_id, label, series, line, {value} AS value FROM f"""
@@ -164,8 +164,8 @@ ORACLES: dict[str, str] = {
     "named_genres": ranked(COVER, source=GENRED),
     "genre_lines": split(year(), "genre", HOURS, GENRED, "true", 4),
     "album_lines_running": split(year(), "album_name || chr(31) || artist_name", PLAYS, "p", LISTEN, 3, "sum(value) OVER (PARTITION BY user_id, series ORDER BY label ROWS UNBOUNDED PRECEDING)"),
-    "top3_artists_each_year": f"""{H}, m AS (SELECT user_id, {year()} AS label, artist_name AS series, {NONE} AS sub, round({HOURS}, 2) AS value, count(*) FILTER (WHERE {LISTEN}) AS plays FROM p GROUP BY 1, 2, 3),
-        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY value DESC, series) AS rank FROM m)
+    "top3_artists_each_year": f"""{H}, m AS (SELECT user_id, {year()} AS label, artist_name AS series, {NONE} AS sub, round({HOURS}, 2) AS value, sum(ms_played) AS ms, count(*) FILTER (WHERE {LISTEN}) AS plays FROM p GROUP BY 1, 2, 3),
+        r AS (SELECT * EXCLUDE (ms), row_number() OVER (PARTITION BY user_id, label ORDER BY ms DESC, series) AS rank FROM m)
         SELECT *, count(*) OVER (PARTITION BY user_id) >= 60 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, rank) AS row FROM r WHERE rank <= 3) WHERE row <= 60""",
     "top_album_each_month_2000": f"""{H}, m AS (SELECT user_id, {month()} AS label, album_name AS series, artist_name AS sub, {PLAYS} AS value, count(*) AS plays FROM p WHERE {LISTEN} AND {WHOLE_YEAR} GROUP BY 1, 2, 3, 4),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY value DESC, series, sub) AS rank FROM m)
@@ -304,9 +304,12 @@ ORACLES: dict[str, str] = {
         SELECT region, string_agg(tag, ', ' ORDER BY r) AS label FROM c WHERE r <= 2 GROUP BY 1""",
     "widened": f"""WITH genres AS ({A.GENRES_SQL}) SELECT DISTINCT genre, {COVER} AS word FROM genres WHERE {COVER} IS NOT NULL""",
     "serving_table": f"""{H} SELECT DISTINCT artist_name, genre FROM plays LEFT JOIN genres g ON lower(artist_name) = g.artist""",
-    "deduped_listings": """WITH c AS (SELECT s_name AS artist, CAST(o_orderdate AS DATE) AS date, l_orderkey * 8 + l_linenumber AS fetched, CASE WHEN l_returnflag = 'R' THEN o_orderpriority END AS venue,
-            CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DOUBLE) END AS price, CASE WHEN l_tax > 0.04 THEN CAST(l_tax AS DOUBLE) END AS distance_mi FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)
-        SELECT artist, date, venue, price, distance_mi FROM (SELECT *, row_number() OVER (PARTITION BY artist, date ORDER BY (venue IS NOT NULL)::INT + (price IS NOT NULL)::INT + (distance_mi IS NOT NULL)::INT DESC, fetched, venue NULLS FIRST, price NULLS FIRST, distance_mi NULLS FIRST) AS r FROM c) WHERE r = 1""",
+    "deduped_listings": """WITH c AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN upper(s_name) ELSE s_name END AS artist, CAST(o_orderdate AS DATE) AS date, l_orderkey * 8 + l_linenumber AS fetched, CASE WHEN l_returnflag = 'N' THEN '19:30' END AS time,
+            CASE WHEN l_returnflag = 'R' THEN o_orderpriority END AS venue, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS INTEGER) END AS price_min, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity * 2 AS INTEGER) END AS price_max,
+            CASE WHEN l_tax > 0.04 THEN round(l_partkey % 500 / 4.0, 1) END AS distance_mi, CASE WHEN l_linenumber <= 4 THEN CASE WHEN abs(l_quantity * 10 - 340) < 100 THEN 'other' ELSE 'near' END END AS image,
+            CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS external_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lower(artist), date ORDER BY (image IS NOT NULL)::INT + coalesce(price_min <> 0, false)::INT + coalesce(distance_mi <> 0, false)::INT + (external_id IS NOT NULL)::INT + (time IS NOT NULL)::INT DESC, fetched) AS r FROM c)
+        SELECT artist, date, time, venue, price_min, price_max, distance_mi, image, external_id FROM r WHERE r = 1""",
     "genre_index": """WITH t AS (SELECT DISTINCT p_brand AS genre, p_partkey, unnest(string_split(lower(p_type), ' ')) AS tag FROM part), n AS (SELECT p_brand AS genre, count(*) AS n FROM part GROUP BY 1),
         d AS (SELECT t.genre, tag FROM t JOIN n ON t.genre = n.genre GROUP BY 1, 2 HAVING count(*) >= 0.5 * min(n))
         SELECT n.genre, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS dominant, min(n) AS n_artists, 'calm' AS state FROM n LEFT JOIN d ON n.genre = d.genre GROUP BY 1""",
@@ -344,7 +347,8 @@ ORACLES: dict[str, str] = {
     "resolved_names": resolved(),
     "watched": watched(),
 }
-ORACLES["genre_shares"] = f"""WITH f AS ({ORACLES['genre_lines']}) SELECT user_id, label, series, round(value * 100 / nullif(sum(value) OVER (PARTITION BY user_id, label), 0), 2) AS share FROM f"""
+ORACLES["genre_shares"] = f"""WITH f AS ({ORACLES['genre_lines']}) SELECT user_id, label, series, CAST((sign(cents) * ((abs(cents) * 20000 + abs(whole)) // (2 * abs(whole)))) AS DOUBLE) / 100 AS share
+    FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, nullif(CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id, label) AS BIGINT), 0) AS whole FROM f)"""
 
 ORACLES["gallery"] = " UNION ALL ".join(f"SELECT '{name}' AS preset, count(*) AS rows FROM ({ORACLES[name]})" for name in PRESETS)
 

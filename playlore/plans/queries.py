@@ -337,20 +337,28 @@ def serving_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order line as a landed listing: its supplier plays on the order's day, some know where and for how much."""
+    """Every order line as a landed listing: its supplier plays on the order's day, under names of either case; some know more."""
     line, orders = A.table(spark, sf_dir, "lineitem"), A.table(spark, sf_dir, "orders")
     s = A.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    start = F.struct(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("localDate")).alias("start"))
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.upper("s_name")).otherwise(F.col("s_name"))
+    time = F.when(F.col("l_returnflag") == "N", F.lit("19:30:00"))
+    start = F.struct(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("localDate"), time.alias("localTime")).alias("start"))
     venue = F.when(F.col("l_returnflag") == "R", F.array(F.struct(F.col("o_orderpriority").alias("name"))))
-    price = F.when(F.col("l_linestatus") == "F", F.array(F.struct(F.col("l_quantity").cast("double").alias("min"))))
-    body = F.struct(F.col("s_name").alias("name"), start.alias("dates"), F.when(F.col("l_tax") > 0.04, F.col("l_tax").cast("double")).alias("distance"), price.alias("priceRanges"), F.struct(venue.alias("venues")).alias("_embedded"))
+    quantity = F.col("l_quantity").cast("double")
+    price = F.when(F.col("l_linestatus") == "F", F.array(F.struct(quantity.alias("min"), (quantity * 2).alias("max"))))
+    picture = lambda url, width, ratio: F.struct(F.lit(url).alias("url"), width.cast("int").alias("width"), F.lit(ratio).alias("ratio"))
+    images = F.when(F.col("l_linenumber") <= 4, F.array(picture("wide", F.lit(640), "16_9"), picture("near", F.lit(740), "3_2"), picture("other", quantity * 10 + 300, "3_2")))
+    links = F.create_map(F.lit("site"), F.array(F.struct(F.concat(F.lit("https://example.org/artist/"), F.col("l_suppkey").cast("string")).alias("url"))))
+    acts = F.when(F.col("l_linenumber") % 3 == 0, F.array(F.struct(name.alias("name"), links.alias("externalLinks"))))
+    distance = F.when(F.col("l_tax") > 0.04, F.col("l_partkey") % 500 / 4)
+    body = F.struct(name.alias("name"), start.alias("dates"), distance.alias("distance"), price.alias("priceRanges"), images.alias("images"), F.struct(acts.alias("attractions"), venue.alias("venues")).alias("_embedded"))
     return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fetched"), F.to_json(body).alias("body"))
 
 
 def deduped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing for each supplier and day, the one that tells most."""
-    return ingest.normal_events(_event_bodies(spark, sf_dir)).select("artist", "date", "venue", "price", "distance_mi")
+    return ingest.normal_events(_event_bodies(spark, sf_dir)).select("artist", "date", "time", "venue", "price_min", "price_max", "distance_mi", "image", "external_id")
 
 
 def genre_index(spark: SparkSession, sf_dir: str) -> DataFrame:

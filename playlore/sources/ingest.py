@@ -264,29 +264,58 @@ def reconcile(watched: DataFrame, estimated: DataFrame, seconds: int = 30) -> Da
     return watched.withColumn("how", F.lit("watch")).unionByName(left.withColumn("how", F.lit("recent")), allowMissingColumns=True)
 
 
+#: A listing as it lands: what is read of it.
+_ACT = "struct<name:string,externalLinks:map<string,array<struct<url:string>>>,images:array<struct<url:string,width:int,ratio:string>>,upcomingEvents:struct<_total:int>>"
+_LISTING = f"struct<id:string,name:string,url:string,dates:struct<start:struct<localDate:string,localTime:string>>,distance:double,priceRanges:array<struct<min:double,max:double>>,images:array<struct<url:string,width:int,ratio:string>>,_embedded:struct<attractions:array<{_ACT}>,venues:array<struct<name:string,city:struct<name:string>,location:struct<latitude:string,longitude:string>>>>>"
+
+
+def chosen_image(images: Column, width: int = 640) -> Column:
+    """The url of one of some pictures: of ratio 3:2 if there is one, and then nearest to ``width``.
+
+    Of equal ones the first; where none tells its width, the first of all.
+    """
+    sized = F.filter(images, lambda i: F.coalesce(i["width"], F.lit(0)) != 0)
+    order = F.transform(sized, lambda i, n: F.struct((~i["ratio"].eqNullSafe("3_2")).alias("other"), F.abs(i["width"] - width).alias("off"), n.alias("n"), i["url"].alias("url")))
+    return F.when(F.size(sized) > 0, F.array_min(order)["url"]).otherwise(F.get(images, F.lit(0))["url"])
+
+
 def normal_events(events: DataFrame) -> DataFrame:
-    """Shows of landed event JSON ``(body, fetched)``: one row for each act and date, the richest copy.
+    """Shows of landed event JSON ``(body, fetched)``: one row for each act, whatever its case, and date.
 
-    The headliner is the first attraction, else the event's name; support is the next three.
+    The headliner is the first attraction, else the event's name, else Unknown; support is the
+    next three.  Of several copies that stays which tells most of image, least price, distance,
+    the act's id and the time of day; of equal ones that fetched first.
     """
-    shape = "struct<name:string,url:string,dates:struct<start:struct<localDate:string>>,distance:double,priceRanges:array<struct<min:double>>,images:array<struct<url:string,width:int,ratio:string>>,_embedded:struct<attractions:array<struct<name:string,externalLinks:struct<artist:array<struct<url:string>>>>>,venues:array<struct<name:string,city:struct<name:string>>>>>"
-    e = events.select("fetched", F.from_json("body", shape).alias("e"))
+    e = events.select("fetched", F.from_json("body", _LISTING).alias("e"))
     acts = F.col("e._embedded.attractions")
-    image = F.try_element_at(F.array_sort(F.col("e.images"), lambda a, b: b["width"] - a["width"]), F.lit(1))
+    head = F.get(acts, F.lit(0))
+    venue = F.get(F.col("e._embedded.venues"), F.lit(0))
+    given = lambda c: F.when(c != "", c)
+    links = F.transform(F.flatten(F.map_values(head["externalLinks"])), lambda x: F.regexp_extract(x["url"], r"artist/(\w+)", 1))
+    price = lambda end: (lambda p: F.when(p != 0, p.cast("int")))(F.get(F.col("e.priceRanges"), F.lit(0))[end])
+    images = F.when(F.size(head["images"]) > 0, head["images"]).otherwise(F.col("e.images"))
     rows = e.select(
-        F.coalesce(F.get(acts, F.lit(0))["name"], F.col("e.name")).alias("artist"),
+        F.col("e.id").alias("id"),
+        F.coalesce(given(head["name"]), given(F.col("e.name")), F.lit("Unknown")).alias("artist"),
         F.to_date("e.dates.start.localDate").alias("date"),
-        F.regexp_extract(F.get(F.get(acts, F.lit(0))["externalLinks"]["artist"], F.lit(0))["url"], r"artist/(\w+)", 1).alias("external_id"),
+        given(F.substring("e.dates.start.localTime", 1, 5)).alias("time"),
+        F.get(F.filter(links, lambda x: x != ""), F.lit(0)).alias("external_id"),
         F.transform(F.slice(acts, 2, 3), lambda a: a["name"]).alias("support"),
-        F.get(F.col("e._embedded.venues"), F.lit(0))["name"].alias("venue"),
-        F.get(F.col("e.priceRanges"), F.lit(0))["min"].alias("price"),
-        image["url"].alias("image"),
-        F.col("e.distance").alias("distance_mi"),
+        venue["name"].alias("venue"),
+        venue["city"]["name"].alias("city"),
+        venue["location"]["latitude"].cast("double").alias("lat"),
+        venue["location"]["longitude"].cast("double").alias("lon"),
+        F.round("e.distance", 1).alias("distance_mi"),
+        price("min").alias("price_min"),
+        price("max").alias("price_max"),
+        chosen_image(images).alias("image"),
+        F.col("e.url").alias("url"),
+        head["upcomingEvents"]["_total"].alias("upcoming_total"),
         "fetched",
-    ).filter("artist IS NOT NULL AND date IS NOT NULL")
-    filled = sum(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), 1).otherwise(0) for c in ("external_id", "venue", "price", "image", "distance_mi"))
-    order = Window.partitionBy("artist", "date").orderBy(F.desc("rich"), "fetched", "venue", "price", "distance_mi")
-    return rows.withColumn("rich", filled).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r", "rich", "fetched")
+    ).filter("date IS NOT NULL")
+    tells = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("image", "external_id", "time")] + [F.coalesce(F.col(c) != 0, F.lit(False)) for c in ("price_min", "distance_mi")]
+    order = Window.partitionBy(F.lower("artist"), "date").orderBy(F.desc("rich"), "fetched", "venue", "price_min", "distance_mi", "id")
+    return rows.withColumn("rich", sum(t.cast("int") for t in tells)).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r", "rich", "fetched")
 
 
 def fan_counts(candidates: DataFrame) -> DataFrame:

@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from playlore.functions import expressions as X
 from playlore.functions.shared import checkpointed, exists
 
 # Fixed values, in milliseconds.
 REPEAT_MS, SLACK_MS, BLACKOUT_MS, SHORTEST_MS = 3000, 2000, 50_000, 1000
+#: Statuses of a fetch that say something: what is on, and that nothing is.
+ON, SILENT = 200, 204
 
 SNAPSHOT = T.StructType(
     [
         T.StructField("user_id", T.LongType()),
         T.StructField("at", T.TimestampType()),
-        T.StructField("status", T.IntegerType()),  # of the fetch: 200, or an error
+        T.StructField("status", T.IntegerType()),  # of the fetch: 200, 204 when nothing is on, or an error
         T.StructField("is_playing", T.BooleanType()),
         T.StructField("kind", T.StringType()),  # track, episode, ad, ...
         T.StructField("progress_ms", T.LongType()),
@@ -108,7 +111,7 @@ def step(state: dict | None, snap: dict | None, at: int) -> tuple[dict | None, d
 def _snapshot(row: dict) -> tuple[dict | None, int]:
     """What a row of a table of snapshots says is playing, and its time in milliseconds."""
     at = pd.Timestamp(row["at"]).value // 1_000_000
-    if row["kind"] != "track" or not isinstance(row["uri"], str):
+    if row["status"] == SILENT or row["kind"] != "track" or not isinstance(row["uri"], str):
         return None, at
     plain = {k: None if pd.isna(v) else v for k, v in row.items()}
     plain["progress_ms"] = max(0, int(plain["progress_ms"] or 0))
@@ -163,9 +166,81 @@ class Watcher(StatefulProcessor):
         pass
 
 
+_WAITING = T.StructType([T.StructField("at", T.LongType()), *(T.StructField(f.name, f.dataType) for f in SNAPSHOT.fields if f.name not in ("user_id", "at"))])
+
+
+def _in_order(waiting: tuple) -> tuple:
+    """The order in which snapshots are stepped through: by time, track and progress, null first."""
+    row = dict(zip([f.name for f in _WAITING.fields], waiting, strict=True))
+    return row["at"], *((row[c] is not None, row[c] if row[c] is not None else kind) for c, kind in (("uri", ""), ("progress_ms", 0)))
+
+
+class PatientWatcher(StatefulProcessor):
+    """Applies ``step`` to snapshots that come out of order: each waits until the watermark has passed it.
+
+    What waits is one listener's snapshots of the time that the watermark allows.  A timer at the
+    earliest of them releases those that no later one can precede.  Nothing else ends a play than
+    in ``replay``, so the plays are the same.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("player", _STATE)
+        self.waiting = handle.getListState("waiting", _WAITING)
+
+    def _release(self, user: int, fresh: list[tuple], watermark: int) -> list[tuple[int, dict]]:
+        every = sorted([*(tuple(x) for x in self.waiting.get()), *fresh], key=_in_order) if self.waiting.exists() else sorted(fresh, key=_in_order)
+        names = [f.name for f in _WAITING.fields]
+        state = dict(zip([f.name for f in _STATE.fields], self.state.get(), strict=True)) if self.state.exists() else None
+        done, n = [], 0
+        while n < len(every) and every[n][0] <= watermark:
+            row = dict(zip(names, every[n], strict=True))
+            state, play = step(state, *_snapshot(row | {"at": pd.Timestamp(row["at"], unit="ms")}))
+            if play:
+                done.append((user, play))
+            n += 1
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update(tuple(state[f.name] for f in _STATE.fields))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if every[n:]:
+            self.waiting.put(every[n:])
+            self.handle.registerTimer(every[n][0])
+        else:
+            self.waiting.clear()
+        return done
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [f.name for f in _WAITING.fields][1:]
+        fresh = []
+        for batch in rows:
+            plain = batch[names].astype(object).where(batch[names].notna(), None)
+            at = batch["at"].astype("datetime64[ms]").astype("int64")
+            fresh += [(int(t), *(int(v) if c in ("status", "progress_ms", "duration_ms") and v is not None else v for c, v in zip(names, row, strict=True))) for t, row in zip(at, plain.itertuples(index=False), strict=True)]
+        yield _frame(self._release(key[0], fresh, timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield _frame(self._release(key[0], [], timerValues.getCurrentWatermarkInMs()))
+
+    def close(self) -> None:
+        pass
+
+
+def plays_in_order(snapshots: DataFrame, late: str = "2 minutes") -> DataFrame:
+    """Finished plays of a stream whose snapshots may come in any order, up to ``late`` behind the newest.
+
+    A snapshot counts when the watermark has passed it, so plays come ``late`` later than with
+    ``plays_from``, which takes snapshots as they come.  Those still later are dropped.
+    """
+    good = snapshots.filter(F.col("status").isin(ON, SILENT)).withWatermark("at", late)
+    return good.groupBy("user_id").transformWithStateInPandas(statefulProcessor=PatientWatcher(), outputStructType=FINISHED, outputMode="Append", timeMode="EventTime")
+
+
 def plays_from(snapshots: DataFrame, late: str = "2 minutes") -> DataFrame:
     """Finished plays of a stream of snapshots.  Failed fetches say nothing and are dropped."""
-    good = snapshots.filter("status = 200").withWatermark("at", late)
+    good = snapshots.filter(F.col("status").isin(ON, SILENT)).withWatermark("at", late)
     return good.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Watcher(), outputStructType=FINISHED, outputMode="Append", timeMode="EventTime")
 
 
@@ -175,7 +250,7 @@ def replay(snapshots: DataFrame) -> DataFrame:
     Rows are dealt by listener and sorted by time, so that a listener's snapshots stream
     through one task without being held.  What is still playing at the end is not finished.
     """
-    dealt = snapshots.filter("status = 200").repartition("user_id").sortWithinPartitions("user_id", "at", "uri", "progress_ms")
+    dealt = snapshots.filter(F.col("status").isin(ON, SILENT)).repartition("user_id").sortWithinPartitions("user_id", "at", "uri", "progress_ms")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, state = None, None
@@ -220,10 +295,20 @@ def stalled(beats: DataFrame, as_of: dt.datetime, minutes: int = 5) -> DataFrame
 
 
 def presence(latest: DataFrame, genres: DataFrame) -> DataFrame:
-    """(user_id, state) of the latest snapshots: sleeping, the state of what plays, or unknown."""
-    act = F.lower(F.trim(F.element_at(F.split("artist", ","), 1)))
-    named = latest.join(genres.select(F.col("artist").alias("g_artist"), F.col("state")), act == F.col("g_artist"), "left")
-    return named.select("user_id", F.when(~F.coalesce("is_playing", F.lit(False)), "sleeping").otherwise(F.coalesce("state", F.lit("unknown"))).alias("state"))
+    """(user_id, state) of the latest snapshots: sleeping, the state of what plays, or unknown.
+
+    A credit is looked up whole, then by its first act, as names may hold commas.  Without an
+    artist, paused or with nothing on, a listener sleeps.
+    """
+    whole = X.name_key("artist")
+    first = F.trim(F.element_at(F.split(whole, ","), 1))
+    known = genres.filter("artist IS NOT NULL").groupBy("artist").agg(F.min("state").alias("known"))
+    by = lambda name: known.select(F.col("artist").alias(f"{name}_artist"), F.col("known").alias(name))
+    named = latest.join(by("all_acts"), whole == F.col("all_acts_artist"), "left").join(by("first_act"), first == F.col("first_act_artist"), "left")
+    listening = F.coalesce("is_playing", F.lit(False)) & (F.coalesce("artist", F.lit("")) != "")
+    if "status" in latest.columns:
+        listening = listening & (F.coalesce("status", F.lit(ON)) != SILENT)
+    return named.select("user_id", F.when(~listening, "sleeping").otherwise(F.coalesce("all_acts", "first_act", F.lit("unknown"))).alias("state"))
 
 
 def store_stream(plays: DataFrame, folder: str, checkpoint: str, **trigger: object):

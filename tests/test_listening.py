@@ -230,13 +230,75 @@ def test_recent_payload_and_gap_estimate(spark):
 
 def test_event_listings_keep_the_richest_copy(spark):
     base = {"name": "Fest", "dates": {"start": {"localDate": "2024-05-01"}}}
-    rich = {**base, "_embedded": {"attractions": [{"name": "Head"}, {"name": "S1"}, {"name": "S2"}, {"name": "S3"}, {"name": "S4"}], "venues": [{"name": "Hall"}]}}
+    rich = {**base, "dates": {"start": {"localDate": "2024-05-01", "localTime": "20:00:00"}}, "_embedded": {"attractions": [{"name": "Head"}, {"name": "S1"}, {"name": "S2"}, {"name": "S3"}, {"name": "S4"}], "venues": [{"name": "Hall"}]}}
     poor = {**base, "_embedded": {"attractions": [{"name": "Head"}]}}
     rows = spark.createDataFrame([(1, json.dumps(poor)), (2, json.dumps(rich)), (3, json.dumps(base))], "fetched long, body string")
     got = {r.artist: r for r in ingest.normal_events(rows).collect()}
     assert set(got) == {"Head", "Fest"} and got["Head"].venue == "Hall" and got["Head"].support == ["S1", "S2", "S3"]
 
 
+def test_event_listings_are_one_for_names_of_either_case_and_choose_their_image(spark):
+    def body(**more):
+        return json.dumps({"dates": {"start": {"localDate": "2024-05-01"}}, **more})
+
+    images = [{"url": "widest", "width": 2048, "ratio": "16_9"}, {"url": "large", "width": 1024, "ratio": "3_2"}, {"url": "near", "width": 620, "ratio": "3_2"}, {"url": "exact", "width": 640, "ratio": "16_9"}]
+    links = {"site": [{"url": "https://x.org/a"}], "music": [{"url": "https://y.org/artist/Ab1"}]}
+    rows = [
+        (1, body(name="Act", priceRanges=[{"min": 0, "max": 40.9}], distance=0)),
+        (2, body(name="ACT", images=images, distance=3.14, url="u", _embedded={"venues": [{"name": "Hall", "city": {"name": "Town"}, "location": {"latitude": "1.5", "longitude": "-2"}}]})),
+        (3, body(name="act", priceRanges=[{"min": 12.7, "max": 40.9}], images=[{"url": "only"}])),
+        (4, body(name=None)),
+        (5, body(name="x", _embedded={"attractions": [{"name": "Linked", "externalLinks": links, "images": images[:1], "upcomingEvents": {"_total": 7}}]})),
+        (6, json.dumps({"name": "no date"})),
+        (7, None),
+    ]
+    got = {r.artist: r for r in ingest.normal_events(spark.createDataFrame(rows, "fetched long, body string")).collect()}
+    assert set(got) == {"ACT", "Unknown", "Linked"}
+    act = got["ACT"]
+    assert (act.image, act.distance_mi, act.city, act.lat, act.lon, act.url, act.price_min) == ("near", 3.1, "Town", 1.5, -2.0, "u", None)
+    assert (got["Linked"].external_id, got["Linked"].image, got["Linked"].upcoming_total) == ("Ab1", "widest", 7)
+    poorer = ingest.normal_events(spark.createDataFrame(rows[:1] + rows[2:3], "fetched long, body string")).first()
+    assert (poorer.artist, poorer.price_min, poorer.price_max, poorer.image) == ("act", 12, 40, "only")
+
+
+def test_ranks_go_by_values_that_are_not_rounded(spark):
+    t = [(1, T0, "s", "Aaa", 36_001_000, None), (1, T0, "s", "Zzz", 36_010_000, None)]
+    own = plays(spark, t)
+    assert [(r.label, r.value) for r in chart(own, ChartSpec(limit=1)).collect()] == [("Zzz", 10.0)]
+    assert [r.label for r in chart(own, ChartSpec(answer="top")).orderBy("rank").collect()] == ["Zzz", "Aaa"]
+    cells = chart(own, ChartSpec(dimension="date", grain="year", series="artist", per_period=True, limit=1)).collect()
+    assert [(r.series, r.value) for r in cells] == [("Zzz", 10.0)]
+    lines = chart(own, ChartSpec(dimension="date", grain="year", series="artist", limit=1)).collect()
+    assert [r.series for r in lines] == ["Zzz"]
+
+
+def test_named_lines_are_as_many_as_asked_once_each_and_rates_are_not_added(spark):
+    rows = [(1, T0, "s", "x", 60_000, True), (1, T0, "s", "X", 60_000, True), (1, T0, "s", "y", 60_000, False)]
+    names = ("X", "x", "nobody", "y", "a", "b", "c", "d")
+    spec = ChartSpec(dimension="date", grain="year", series="artist", artists=names, metric="skip_rate")
+    got = {r.series: (r.line, r.value) for r in chart(plays(spark, rows), C.replace(spec, limit=4)).collect()}
+    assert got == {"x": (1, 100.0), "nobody": (2, None), "y": (3, 0.0)}
+    assert len(chart(plays(spark, rows), C.replace(spec, limit=40)).collect()) == 5
+
+
+def test_shares_end_in_a_half_rounded_up(spark):
+    made = spark.createDataFrame([(1, "a", "x", 0.29), (1, "a", "y", 1.31), (1, "b", "x", 0.0)], "user_id long, label string, series string, value double")
+    assert {(r.label, r.series): r.share for r in C.shares(made).collect()} == {("a", "x"): 18.13, ("a", "y"): 81.88, ("b", "x"): None}
+
+
+@pytest.mark.parametrize(
+    ("title", "short"),
+    [
+        *[(f"Song - {tail}", "Song") for tail in ("Instrumental", "Sped Up", "2010 Remastered Version", "Radio Edit", "Slowed + Reverb", "Re-Recorded", "Single Version", "Extended Mix", "Live at Home")],
+        *[("Song (feat. Someone)", "Song"), ("Song [Live]", "Song"), ("Song (with A & B) - Remix", "Song")],
+        *[(same, same) for same in ("Song (Interlude)", "(What's the Story)", "Song - Part One", "Alive - Delivered", "Mixed-up", "Live", "(Live)")],
+        ("Song (Interlude) - Live", "Song (Interlude)"),
+    ],
+)
+def test_version_tails(spark, title, short):
+    assert spark.createDataFrame([(title,)], "t string").select(X.short_title("t")).first()[0] == short
+
+
 def test_fan_counts_need_the_exact_name(spark):
     c = spark.createDataFrame([("A", "a", 5), ("A", "A", 9), ("A", "A b", 99), ("B", "x", 3), ("C", "c", 0)], "name string, found string, fans long")
     assert {r.name: r.fans for r in ingest.fan_counts(c).collect()} == {"A": 9, "B": None, "C": None}

@@ -1,6 +1,7 @@
 """The player's state machine, by sequences of (seconds, snapshot)."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 
@@ -111,6 +112,51 @@ def test_stream_gives_the_same_plays(spark, tmp_path):
     assert isinstance(got, pd.DataFrame) and int(got.loc[got["track_uri"] == "u1", "ms_played"].iloc[0]) == 35_000
 
 
+def test_nothing_on_is_silence_and_ends_a_play(spark):
+    at = dt.datetime(2024, 1, 1)
+    on = [(1, at + dt.timedelta(seconds=20 * i), 200, True, "track", 20_000 * i, "u1", "n", "a", "b", 200_000) for i in range(2)]
+    off = [(1, at + dt.timedelta(seconds=40 + 20 * i), 204, None, None, None, None, None, None, None, None) for i in range(8)]
+    failed = [(1, at + dt.timedelta(seconds=30), 500, None, None, None, None, None, None, None, None)]
+    got = watch.replay(spark.createDataFrame(on + off + failed, watch.SNAPSHOT)).collect()
+    assert [(r.track_uri, r.ms_played, r.played_at.second) for r in got] == [("u1", 40_000, 40)]
+
+
+def test_shuffled_stream_gives_what_replay_gives(spark, tmp_path):
+    rng = random.Random(3)
+    at = dt.datetime(2024, 1, 1)
+    rows = []
+    for user in (1, 2, 3):
+        second, uri, progress = 0, 0, 0
+        for _ in range(120):
+            second += rng.choice((10, 20, 30))
+            kind = rng.random()
+            if kind < 0.15:
+                rows.append((user, at + dt.timedelta(seconds=second), 204, None, None, None, None, None, None, None, None))
+                continue
+            uri, progress = (uri + 1, rng.randrange(5000)) if kind < 0.35 else (uri, progress + rng.randrange(30_000))
+            rows.append((user, at + dt.timedelta(seconds=second), 200, rng.random() < 0.9, "track", progress, f"u{uri}", "n", "a", "b", 200_000))
+    # Batches as they come: each row up to 100 seconds later than it was taken.
+    came = sorted(rows, key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(100)))
+    end = [(u, at + dt.timedelta(hours=9), 500 if u == 3 else 204, None, None, None, None, None, None, None, None) for u in (1, 2, 3)]
+    source = str(tmp_path / "in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for n, part in enumerate([came[:90], came[90:200], came[200:], end, [(9, at + dt.timedelta(hours=10), 204, *[None] * 8)]]):
+        spark.createDataFrame(part, watch.SNAPSHOT).coalesce(1).write.mode("append").parquet(source)
+        stream = watch.plays_in_order(spark.readStream.schema(watch.SNAPSHOT).parquet(source), "100 seconds")
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120) and query.exception() is None, n
+    plain = lambda df: sorted((r.user_id, str(r.played_at), r.track_uri, r.ms_played) for r in df.collect())
+    got = plain(spark.read.schema(watch.FINISHED).parquet(str(tmp_path / "out")))
+    assert len(got) > 30 and got == plain(watch.replay(spark.createDataFrame(rows + end, watch.SNAPSHOT)))
+
+
+def test_presence_looks_up_whole_credits_first(spark):
+    genres = spark.createDataFrame([("tyler, the creator", "rap"), ("ann", "calm"), ("tyler", "wrong")], "artist string, state string")
+    rows = [(1, 200, True, " Tyler, The Creator"), (2, 200, True, "Ann, Bob"), (3, 200, True, None), (4, 200, False, "Ann"), (5, 204, True, "Ann"), (6, 200, True, "Zed"), (7, 200, True, "")]
+    got = watch.presence(spark.createDataFrame(rows, "user_id long, status int, is_playing boolean, artist string"), genres)
+    assert {r.user_id: r.state for r in got.collect()} == {1: "rap", 2: "calm", 3: "sleeping", 4: "sleeping", 5: "sleeping", 6: "unknown", 7: "sleeping"}
+
+
 def _captured(spark, rows):
     at = dt.datetime(2024, 1, 1, 23, 59, 50)
     made = [(1, at + dt.timedelta(seconds=s), u, "t", "a", "b", 1000, source) for s, u, source in rows]
