@@ -150,19 +150,24 @@ def pack(docs: DataFrame, *, permitted: Sizes = Sizes(), id_col: str = "doc_id",
     ``offset`` in its bin.  Units are words, or what the column ``size`` counts (``bpe.count``
     gives tokens).  Documents of no units (null and empty texts) have no piece.  Rows that
     repeat, and rows without an id, are packed each; pieces of one size go by id and then by
-    first unit.  The same table is packed the same way whatever its partitions.  Other columns
-    are not read.
+    first unit.  The same table is packed the same way whatever its partitions, but for ids and sizes
+    that very many rows share (null ids, repeats): these are dealt by the number of their row, so
+    that they don't come to one group.  Other columns are not read.
     """
     bounded_batches(docs.sparkSession, rows=20_000, size=8 << 20)
     longest = max(permitted.lengths)
     units = word_count(F.col(text_col)) if size is None else F.coalesce(size, F.lit(0)).cast("long")
     # Filtered after it is written, as a filter would have the units counted a second time.
-    sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), units.alias("units")), "pack-sized").filter("units > 0")
+    sized = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), units.alias("units")), "pack-sized").filter("units > 0")
     starts = F.sequence(F.lit(0).cast("long"), F.col("units") - 1, F.lit(longest).cast("long"))
-    pieces = sized.select("doc_id", "units", F.posexplode(starts).alias("piece", "first")).select("doc_id", "piece", "first", F.least(F.col("units") - F.col("first"), F.lit(longest)).cast("int").alias("size"))
+    same = sized.groupBy(F.col("doc_id").alias("_id"), F.col("units").alias("_units")).agg(F.count("*").alias("n"))
+    many = same.filter(F.col("n") > max(1, group_rows // 16)).select("_id", "_units", F.lit(True).alias("many"))
+    marked = sized.join(many, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("units") == F.col("_units")), "left")
+    salted = marked.select("doc_id", "units", F.when(F.col("many"), F.col("row")).alias("row"))
+    pieces = salted.select("row", "doc_id", "units", F.posexplode(starts).alias("piece", "first")).select("row", "doc_id", "piece", "first", F.least(F.col("units") - F.col("first"), F.lit(longest)).cast("int").alias("size"))
     total = sized.agg(F.sum(F.ceil(F.col("units") / longest))).first()[0] or 0
     groups = max(1, -(-total // group_rows))
-    part = F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(groups)).alias("part")
+    part = F.pmod(F.xxhash64("doc_id", "piece", "size", "row"), F.lit(groups)).alias("part")
     dealt = pieces.select("doc_id", "piece", "first", "size", part).repartition(groups, "part").sortWithinPartitions("part")
     return dealt.mapInPandas(_by_group(_placed(permitted)), _PACKED)
 

@@ -325,6 +325,14 @@ def test_packing_places_everything_once(spark):
     assert packing.pack(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_rows_that_repeat_are_dealt_over_all_groups(spark):
+    rows = [(None, "a b c")] * 3000 + [(5, "a b")] * 3000 + [(i, "a") for i in range(100, 400)]
+    got = packing.pack(spark.createDataFrame(rows, DOC).repartition(3), group_rows=200).collect()
+    groups = Counter(r.bin.split("-")[0] for r in got)
+    assert len(got) == 6300 and len(groups) == 32 and max(groups.values()) < 300
+    assert Counter((r.doc_id, r["size"]) for r in got if r.doc_id is None or r.doc_id == 5) == {(None, 3): 3000, (5, 2): 3000}
+
+
 def test_best_fit_takes_the_tightest_bin_and_downsizes():
     sizes = packing.Sizes(lengths=(4, 8), fixed=0.0, pairs=1e9)
     bins, offsets, capacity = packing.pack_with([7, 5, 3, 1], sizes, 8)
