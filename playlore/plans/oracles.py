@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from playlore.operators import taste
 from playlore.plans.gallery import PRESETS
 from playlore.sources import adapters as A
 
@@ -308,7 +307,7 @@ ORACLES: dict[str, str] = {
             CASE WHEN l_returnflag = 'R' THEN o_orderpriority END AS venue, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS INTEGER) END AS price_min, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity * 2 AS INTEGER) END AS price_max,
             CASE WHEN l_tax > 0.04 THEN round(l_partkey % 500 / 4.0, 1) END AS distance_mi, CASE WHEN l_linenumber <= 4 THEN CASE WHEN abs(l_quantity * 10 - 340) < 100 THEN 'other' ELSE 'near' END END AS image,
             CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS external_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
-        r AS (SELECT *, row_number() OVER (PARTITION BY lower(artist), date ORDER BY (image IS NOT NULL)::INT + coalesce(price_min <> 0, false)::INT + coalesce(distance_mi <> 0, false)::INT + (external_id IS NOT NULL)::INT + (time IS NOT NULL)::INT DESC, fetched) AS r FROM c)
+        r AS (SELECT *, row_number() OVER (PARTITION BY lower(artist), date ORDER BY (image IS NOT NULL)::INT + coalesce(price_min <> 0, false)::INT + coalesce(distance_mi <> 0, false)::INT + (external_id IS NOT NULL)::INT + (time IS NOT NULL)::INT DESC, fetched, venue NULLS FIRST, price_min NULLS FIRST, distance_mi NULLS FIRST, time NULLS FIRST, image NULLS FIRST, external_id NULLS FIRST, artist) AS r FROM c)
         SELECT artist, date, time, venue, price_min, price_max, distance_mi, image, external_id FROM r WHERE r = 1""",
     "genre_index": """WITH t AS (SELECT DISTINCT p_brand AS genre, p_partkey, unnest(string_split(lower(p_type), ' ')) AS tag FROM part), n AS (SELECT p_brand AS genre, count(*) AS n FROM part GROUP BY 1),
         d AS (SELECT t.genre, tag FROM t JOIN n ON t.genre = n.genre GROUP BY 1, 2 HAVING count(*) >= 0.5 * min(n))
@@ -342,8 +341,15 @@ ORACLES: dict[str, str] = {
         SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(greatest(0.0, least(1.0, (avg(near) - 0.709) / 0.291)), 3) AS match FROM n GROUP BY 1, 2""",
     "run_changes": """WITH x AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'new' WHEN o_orderstatus = 'F' THEN 'gone' WHEN o_totalprice > 100000 AND NOT o_orderpriority < '3' THEN 'regression' WHEN o_totalprice <= 100000 AND o_orderpriority < '3' THEN 'fixed' END AS change FROM orders)
         SELECT change, count(*) AS cases FROM x WHERE change IS NOT NULL GROUP BY 1""",
-    "corpus_tags": f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS artist, trim(regexp_replace(lower(unnest(list_concat([lang, source], regexp_split_to_array(lower(text), '\\s+')))), '[\\s_/-]+', ' ', 'g')) AS tag FROM documents WHERE text IS NOT NULL)
-        SELECT artist, count(DISTINCT tag) AS n_tags FROM t WHERE tag <> '' AND length(tag) < 40 AND tag NOT IN {taste.JUNK} AND NOT regexp_matches(tag, '{taste.OF_ONESELF}') GROUP BY 1""",
+    "corpus_tags": """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS artist, trim(regexp_replace(lower(unnest(list_concat([lang, source], regexp_split_to_array(lower(text), '\\s+')))), '[\\s_/-]+', ' ', 'g')) AS tag FROM documents WHERE text IS NOT NULL)
+        SELECT artist, count(DISTINCT tag) AS n_tags FROM t WHERE tag <> '' AND length(tag) < 40 AND tag NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL) AND NOT list_has_any(regexp_split_to_array(tag, '[^\\p{L}\\p{N}]+'), ['mine', 'wir', 'nous']) GROUP BY 1""",
+    "tag_says": """WITH t AS (SELECT DISTINCT p_partkey AS artist, unnest(string_split(lower(p_type || ' brand' || p_brand[7:7] || ' size' || (p_size % 5)), ' ')) AS tag FROM part),
+        n AS (SELECT count(DISTINCT artist) AS n FROM t), d AS (SELECT tag, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 3), i AS (SELECT tag, ln((1 + n) / (1 + df)) + 1 AS idf FROM d, n),
+        w AS (SELECT artist, tag, idf / sqrt(sum(idf * idf) OVER (PARTITION BY artist)) AS w, count(*) OVER (PARTITION BY artist) AS k FROM t JOIN i USING (tag)),
+        s AS (SELECT a.tag, b.tag AS other, sum(b.w / sqrt(1 - a.w * a.w)) AS s FROM w a JOIN w b ON a.artist = b.artist AND a.tag <> b.tag GROUP BY 1, 2),
+        h AS (SELECT tag, count(*) AS artists, count(*) FILTER (WHERE k > 1) AS m FROM w GROUP BY 1), l AS (SELECT tag, sum(s * s) AS q FROM s GROUP BY 1),
+        c AS (SELECT h.tag, artists, round(CASE WHEN m > 1 THEN (q - m) / (m * (m - 1)) END, 6) AS cohesion FROM h LEFT JOIN l USING (tag))
+        SELECT *, row_number() OVER (ORDER BY cohesion NULLS FIRST, tag) AS rank FROM c""",
     "resolved_names": resolved(),
     "watched": watched(),
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from playlore.functions import expressions as X
 from playlore.operators import feed, profile, scoring, taste
@@ -303,7 +304,9 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = taste.tag_corpus(_tagged(spark, sf_dir))
+    """Tags of each document, but for names of languages and what speaks of oneself."""
+    languages = A.table(spark, sf_dir, "documents").select(F.col("lang").alias("tag")).filter("tag IS NOT NULL")
+    made = taste.tag_corpus(_tagged(spark, sf_dir), dropped=languages, markers=("mine", "wir", "nous"))
     return made.select("artist", F.size("tags").cast("long").alias("n_tags"))
 
 
@@ -317,6 +320,15 @@ def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_brand").alias("genre"), F.col("p_partkey").alias("artist"), F.split(F.lower("p_type"), " ").alias("tags"))
 
 
+def tag_says(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of parts' types, brands and sizes as tags, by how much their parts have in common otherwise."""
+    p = A.table(spark, sf_dir, "part")
+    words = F.split(F.lower(F.concat_ws(" ", "p_type", F.concat(F.lit("brand"), F.substring("p_brand", 7, 1)), F.concat(F.lit("size"), (F.col("p_size") % 5).cast("string")))), " ")
+    corpus = p.select(F.col("p_partkey").alias("artist"), words.alias("tags"))
+    made = taste.tag_cohesion(taste.tag_matrix(corpus)).withColumn("cohesion", F.round("cohesion", 6))
+    return made.withColumn("rank", F.row_number().over(Window.orderBy("cohesion", "tag")))
+
+
 def dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = taste.dominant_tags(part_tags(spark, sf_dir), share=0.25)
     return made.select("genre", F.explode("tags").alias("tag"))
@@ -576,6 +588,7 @@ QUERIES |= {
     "twins": twins,
     "exemplars": exemplars,
     "corpus_tags": corpus_tags,
+    "tag_says": tag_says,
     "tag_idf": tag_idf,
     "dominant": dominant,
     "labels_of_regions": labels_of_regions,

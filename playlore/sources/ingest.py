@@ -314,7 +314,7 @@ def normal_events(events: DataFrame) -> DataFrame:
         "fetched",
     ).filter("date IS NOT NULL")
     tells = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("image", "external_id", "time")] + [F.coalesce(F.col(c) != 0, F.lit(False)) for c in ("price_min", "distance_mi")]
-    order = Window.partitionBy(F.lower("artist"), "date").orderBy(F.desc("rich"), "fetched", "venue", "price_min", "distance_mi", "id")
+    order = Window.partitionBy(F.lower("artist"), "date").orderBy(F.desc("rich"), "fetched", "venue", "price_min", "distance_mi", "time", "image", "external_id", "artist", "id")
     return rows.withColumn("rich", sum(t.cast("int") for t in tells)).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r", "rich", "fetched")
 
 

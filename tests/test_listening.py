@@ -350,11 +350,36 @@ def test_recommendations_are_those_of_brute_force(spark):
 
 
 def test_tags_are_cleaned(spark, tmp_path):
-    (tmp_path / "tags.csv").write_text('artist,tags\nAnn,Hip-Hop;hip_hop; seen live ;my songs\n ann ,"rock;Hip Hop;swedish;female vocalists;i love it"\nBob,\n,x\n')
+    (tmp_path / "tags.csv").write_text('artist,tags\nAnn,Hip-Hop;hip_hop; junk ;our songs\n ann ,"rock;Hip Hop;northern;junk;what our songs say"\nBob,\n,x\n')
     raw = ingest.read_tags(spark, str(tmp_path / "tags.csv"))
     assert [r.artist for r in raw.collect()] == ["ann"]
-    assert taste.tag_corpus(raw).first().tags == ["rock", "hip hop", "swedish", "female vocalists"]
-    assert taste.tag_corpus(raw, soft=True).first().tags == ["rock", "hip hop"]
+    assert taste.tag_corpus(raw).first().tags == ["rock", "hip hop", "northern", "junk", "what our songs say"]
+    dropped = spark.createDataFrame([("northern",), ("junk",), ("junk",)], "tag string")
+    assert taste.tag_corpus(raw, dropped=dropped, markers=("our", "my")).first().tags == ["rock", "hip hop"]
+    every = spark.createDataFrame([(t,) for t in ("rock", "hip hop", "northern", "junk", "what our songs say")], "tag string")
+    assert taste.tag_corpus(raw, dropped=every).count() == 0 and taste.tag_corpus(raw, min_tags=0, dropped=every).first().tags == []
+
+
+def test_tags_whose_artists_differ_are_quiet(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    lists = [[f"g{i % 3}", *(f"g{i % 3}w{rng.integers(4)}" for _ in range(3)), *(["anyone"] if i % 2 else [])] for i in range(60)] + [["alone"], ["alone"], ["alone"]]
+    corpus = spark.createDataFrame([(f"a{i}", t) for i, t in enumerate(lists)], "artist string, tags array<string>")
+    matrix = taste.tag_matrix(corpus)
+    rows = {}
+    for r in matrix.collect():
+        rows.setdefault(r.artist, {})[r.tag] = r.weight
+    got = {r.tag: (r.artists, r.cohesion) for r in taste.tag_cohesion(matrix).collect()}
+    for tag in {t for row in rows.values() for t in row}:
+        left = [{t: w for t, w in row.items() if t != tag} for row in rows.values() if tag in row]
+        unit = [{t: w / sum(v * v for v in row.values()) ** 0.5 for t, w in row.items()} for row in left if row]
+        cosines = [sum(w * b.get(t, 0) for t, w in a.items()) for a, b in itertools.combinations(unit, 2)]
+        assert got[tag][0] == len(left) and (got[tag][1] is None if not cosines else abs(got[tag][1] - np.mean(cosines)) < 1e-9)
+    assert got["alone"] == (3, None)
+    assert "anyone" in {r.tag for r in taste.quiet_tags(taste.tag_cohesion(matrix), below=0.5 * got["g1"][1]).collect()}
 
 
 def test_account_files_are_read(spark, tmp_path):
