@@ -71,8 +71,8 @@ def short_title(title: Column | str) -> Column:
 
 
 def same_act(act: Column, name: Column) -> Column:
-    """Equal, or one is the other with further acts after a comma; both in lower case."""
-    a, b = F.lower(act), F.lower(name)
+    """Equal, or one is the other with further acts after a comma; both trimmed and in lower case."""
+    a, b = name_key(act), name_key(name)
     return (a == b) | a.startswith(F.concat(b, F.lit(", "))) | b.startswith(F.concat(a, F.lit(", ")))
 
 

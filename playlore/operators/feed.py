@@ -106,7 +106,7 @@ def back_in_rotation(plays: DataFrame, limit: int = 10) -> DataFrame:
 
 def songs_back_in_rotation(plays: DataFrame, limit: int = 10) -> DataFrame:
     """The same for songs by title and artist, shown with the newest spelling and uri."""
-    rows = _listens(plays).filter("track_name IS NOT NULL AND artist_name IS NOT NULL").withColumns({"t": X.name_key("track_name"), "a": X.name_key("artist_name")})
+    rows = _listens(plays).filter("track_name IS NOT NULL AND artist_name IS NOT NULL AND track_uri IS NOT NULL").withColumns({"t": X.name_key("track_name"), "a": X.name_key("artist_name")})
     newest = F.max_by(F.struct("track_name", "track_uri"), F.struct("played_at", "track_uri", "track_name"))
     counted = rows.groupBy("user_id", "t", "a").agg(*_three_spans(), newest.alias("shown"))
     kept = counted.filter((F.col("recent") >= S.BACK_SONG) & (F.col("prior") < S.PRIOR_SONG) & (F.col("earlier") > 0))

@@ -99,7 +99,7 @@ def last_played(plays: DataFrame) -> DataFrame:
 
 def _credit_keys(name: str) -> Column:
     """(key, whole) for an act and each of its leading parts before a comma, in lower case."""
-    parts = F.split(F.lower(name), ", ")
+    parts = F.split(X.name_key(name), ", ")
     leading = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), ", ").alias("key"), (n == F.size(parts)).alias("whole")))
     return F.inline(leading)
 
@@ -110,9 +110,10 @@ def pin_stats(plays: DataFrame, pins: DataFrame, zone: str = S.ZONE) -> DataFram
     ``pins(user_id, pin, kind, uri, title, artist)``: a song matches by uri, or by title key
     and act; an artist by act; an album by title key and act.  Plays meet the pins by uri and
     by act: an act is joined under its whole credit and under the credit's leading parts, of
-    which one side's must be whole.  Titles are normalised only where the act agrees.
+    which one side's must be whole.  Titles are normalised only where the act agrees.  Plays
+    without an artist don't count.
     """
-    rows = plays.select("user_id", "track_uri", "track_name", "artist_name", "album_name", "ms_played", "played_at")
+    rows = plays.filter("artist_name IS NOT NULL").select("user_id", "track_uri", "track_name", "artist_name", "album_name", "ms_played", "played_at")
     asked = pins.select("user_id", "pin", "kind", "uri", X.title_key("title").alias("want"), "artist")
     found = ["user_id", "pin", "ms_played", "played_at"]
     by_uri = rows.join(asked.filter("kind = 'song'").select("user_id", "pin", F.col("uri").alias("track_uri")), ["user_id", "track_uri"]).select(*found)

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 def field_scores(produced: DataFrame, expected: DataFrame) -> DataFrame:
     """(case, field, ok): fields ``(case, field, value)`` against ``(case, field, kind, value, low, high, among)``.
 
-    kind is exact, between, in or list; a list matches in any order.
+    kind is exact, between, in or list; a list matches in any order.  A case that is expected to
+    be rejected (``understood`` false) is scored by that alone: its other fields mean nothing.
     """
+    refused = (F.col("field") == "understood") & (F.lower("value") == "false")
+    rejected = expected.filter(refused).select("case").distinct()
+    expected = expected.join(rejected, "case", "left_anti").unionByName(expected.filter(refused))
     p = produced.select("case", "field", F.col("value").alias("got"))
     joined = expected.join(p, ["case", "field"], "left")
     items = lambda c: F.array_sort(F.split(F.lower(c), r"\s*,\s*"))

@@ -249,7 +249,7 @@ ORACLES: dict[str, str] = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY plays DESC, days DESC, track_uri) AS rank FROM m WHERE days >= 2 AND plays >= 4) WHERE rank <= 10""",
     "back_in_rotation": f"""{E}, m AS (SELECT user_id, artist_name, {SPANS} FROM w WHERE artist_name IS NOT NULL GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recent DESC, artist_name) AS rank FROM m WHERE recent >= 6 AND prior < 4 AND earlier > 0) WHERE rank <= 10""",
-    "songs_back_in_rotation": f"""{E}, m AS (SELECT user_id, {SONG} AS t, {ACT} AS a, {SPANS} FROM w GROUP BY 1, 2, 3),
+    "songs_back_in_rotation": f"""{E}, m AS (SELECT user_id, {SONG} AS t, {ACT} AS a, {SPANS} FROM w WHERE track_uri IS NOT NULL GROUP BY 1, 2, 3),
         n AS (SELECT user_id, {SONG} AS t, {ACT} AS a, track_name AS name, track_uri AS uri, row_number() OVER (PARTITION BY user_id, {SONG}, {ACT} ORDER BY played_at DESC, track_uri DESC, track_name DESC) AS r FROM w)
         SELECT * FROM (SELECT m.*, name, uri, row_number() OVER (PARTITION BY m.user_id ORDER BY recent DESC, m.t, m.a) AS rank FROM m JOIN n ON m.user_id = n.user_id AND m.t = n.t AND m.a = n.a AND r = 1 WHERE recent >= 3 AND prior < 3 AND earlier > 0) WHERE rank <= 10""",
     "on_repeat": f"""{E}, m AS (SELECT user_id, track_uri, count(*) AS plays FROM w WHERE played_at > tip - INTERVAL 7 DAY GROUP BY 1, 2 HAVING count(*) >= 3)
@@ -339,6 +339,20 @@ ORACLES: dict[str, str] = {
     "matches": f"""WITH {CENTRES}, d AS (SELECT a.region AS mode_a, a.region % 3 AS a, b.region % 3 AS b, b.region AS mode_b, sum(a.c * b.c) AS cosine FROM centres a JOIN centres b ON a.i = b.i AND a.region % 3 <> b.region % 3 GROUP BY 1, 2, 3, 4),
         n AS (SELECT a, b, mode_a, max(cosine) AS near FROM d GROUP BY 1, 2, 3)
         SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(greatest(0.0, least(1.0, (avg(near) - 0.709) / 0.291)), 3) AS match FROM n GROUP BY 1, 2""",
+    "mode_pairs": f"""WITH {CENTRES}, d AS (SELECT a.region AS mode, b.region AS theirs, sum(a.c * b.c) AS cosine FROM centres a JOIN centres b ON a.i = b.i AND a.region % 3 <> b.region % 3 GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY mode, theirs % 3 ORDER BY cosine DESC, theirs) AS r FROM d), n AS (SELECT region, n * 1.0 / sum(n) OVER (PARTITION BY region % 3) AS share FROM lengths)
+        SELECT CAST(mode % 3 AS BIGINT) AS a, CAST(theirs % 3 AS BIGINT) AS b, mode, theirs, round(cosine, 6) AS cosine, round(share, 6) AS share, 1.0 AS their_share, cosine < 0.709 AS alone FROM r JOIN n ON n.region = mode WHERE r = 1""",
+    "profile_totals": f"""{H}, {WEIGHTS}, v AS (SELECT lower(s_name) AS artist, s_nationkey AS region, z FROM supplier JOIN ({A.SPACE_SQL}) e ON e.artist = s_suppkey), c AS (SELECT region, unnest(z) AS x, unnest(range(len(z))) AS i FROM v),
+        s AS (SELECT region, i, sum(x) AS s FROM c GROUP BY 1, 2), l AS (SELECT region, sqrt(sum(s * s)) AS length FROM s GROUP BY 1), u AS (SELECT region, i, s / length AS c FROM s JOIN l USING (region)),
+        d AS (SELECT a.region AS a, b.region AS b, sum(a.c * b.c) AS cosine FROM u a JOIN u b ON a.i = b.i AND a.region < b.region GROUP BY 1, 2),
+        m AS (SELECT DISTINCT user_id, region FROM weights JOIN v USING (artist)),
+        o AS (SELECT x.user_id, round(max(cosine), 3) AS overlap FROM d JOIN m x ON x.region = d.a JOIN m y ON y.region = d.b AND y.user_id = x.user_id GROUP BY 1),
+        k AS (SELECT user_id, count(*) AS k FROM m GROUP BY 1),
+        t AS (SELECT user_id, count(*) AS n_artists, count(v.artist) AS n_matched, round(sum(ms) / 3600000.0, 1) AS hours, round(sum(CASE WHEN v.artist IS NOT NULL THEN ms ELSE 0 END) / sum(ms), 3) AS coverage FROM weights LEFT JOIN v USING (artist) GROUP BY 1)
+        SELECT user_id, n_artists, n_matched, hours, coverage, k, coalesce(overlap, 0.0) AS overlap FROM t JOIN k USING (user_id) LEFT JOIN o USING (user_id)""",
+    "tag_rates": """WITH c AS (SELECT s_suppkey, n_regionkey, s_acctbal < 2000 AS poor, CASE WHEN s_acctbal < 2000 THEN s_suppkey % 4 = 0 ELSE s_suppkey % 4 <> 0 AND (s_suppkey % 3 <> 0 OR s_nationkey = 0) END AS ok FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        t AS (SELECT 'region ' || n_regionkey AS tag, ok FROM c UNION ALL SELECT CASE WHEN poor THEN 'poor' ELSE 'rich' END, ok FROM c)
+        SELECT tag, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 4) AS rate FROM t GROUP BY 1""",
     "run_changes": """WITH x AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'new' WHEN o_orderstatus = 'F' THEN 'gone' WHEN o_totalprice > 100000 AND NOT o_orderpriority < '3' THEN 'regression' WHEN o_totalprice <= 100000 AND o_orderpriority < '3' THEN 'fixed' END AS change FROM orders)
         SELECT change, count(*) AS cases FROM x WHERE change IS NOT NULL GROUP BY 1""",
     "corpus_tags": """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS artist, trim(regexp_replace(lower(unnest(list_concat([lang, source], regexp_split_to_array(lower(text), '\\s+')))), '[\\s_/-]+', ' ', 'g')) AS tag FROM documents WHERE text IS NOT NULL)
@@ -356,7 +370,9 @@ ORACLES: dict[str, str] = {
 ORACLES["genre_shares"] = f"""WITH f AS ({ORACLES['genre_lines']}) SELECT user_id, label, series, CAST((sign(cents) * ((abs(cents) * 20000 + abs(whole)) // (2 * abs(whole)))) AS DOUBLE) / 100 AS share
     FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, nullif(CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id, label) AS BIGINT), 0) AS whole FROM f)"""
 
-ORACLES["gallery"] = " UNION ALL ".join(f"SELECT '{name}' AS preset, count(*) AS rows FROM ({ORACLES[name]})" for name in PRESETS)
+#: How presets are drawn: by period as tables, along dates, in lines or running totals as lines, else as bars.
+FORMS = {"top_track_each_year": "table", **dict.fromkeys(("months_distinct_tracks", "genre_lines", "running_total_2000", "winter_years", "best_month"), "line")}
+ORACLES["gallery"] = " UNION ALL ".join(f"SELECT '{name}' AS preset, '{FORMS.get(name, 'bar')}' AS form, count(*) AS rows FROM ({ORACLES[name]})" for name in PRESETS)
 
 _SECTIONS = [
     ("artists_up", "artists_up", "artist_name", "recent", "prior"),

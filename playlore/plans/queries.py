@@ -440,12 +440,43 @@ def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.run_diff(before, after).groupBy("change").agg(F.count("*").alias("cases"))
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listeners as groups of vectors: each label's centre is a mode of listener label % 3."""
+def tag_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as cases, tagged by region and by sign of balance; poor ones are expected to be rejected."""
+    s = A.table(spark, sf_dir, "supplier").join(A.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    case, poor = F.col("s_suppkey").alias("case"), F.col("s_acctbal") < 2000
+    got = F.create_map(F.lit("understood"), (F.col("s_suppkey") % 4 != 0).cast("string"), F.lit("nation"), F.col("s_nationkey").cast("string"))
+    wanted = F.create_map(F.lit("understood"), (~poor).cast("string"), F.lit("nation"), F.when(F.col("s_suppkey") % 3 == 0, "0").otherwise(F.col("s_nationkey").cast("string")))
+    expected = s.select(case, F.explode(wanted).alias("field", "value"), F.lit("exact").alias("kind"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("array<string>").alias("among"))
+    tags = s.select(case, F.array(F.concat(F.lit("region "), F.col("n_regionkey").cast("string")), F.when(poor, "poor").otherwise("rich")).alias("tags"))
+    return scoring.pass_rate_by_tag(scoring.field_scores(s.select(case, F.explode(got).alias("field", "value")), expected), tags)
+
+
+def _label_modes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Listeners as groups of vectors: each label's centre is a mode of listener label % 3; and all pairs of the three."""
     centres = taste.region_centres(A.space(spark, sf_dir))
-    modes = centres.select((F.col("region") % 3).cast("long").alias("user_id"), F.col("region").alias("mode"), F.lit(1.0).alias("share"), F.col("z").alias("centre"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))
+    modes = centres.select((F.col("region") % 3).cast("long").alias("user_id"), F.col("region").alias("mode"), "n", F.lit(1.0).alias("one"), F.col("z").alias("centre"))
+    modes = modes.withColumn("recent_share", share).withColumnRenamed("one", "share").drop("n")
     pairs = spark.range(3).select(F.col("id").alias("a"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("b")).filter("a <> b")
-    return taste.match(pairs, modes)
+    return pairs, modes
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taste.match(*_label_modes(spark, sf_dir))
+
+
+def mode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = taste.mode_pairs(*_label_modes(spark, sf_dir), recent=True)
+    return made.withColumn("cosine", F.round("cosine", 6)).withColumn("share", F.round("share", 6))
+
+
+def profile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles over modes that are the nations of the suppliers a listener hears."""
+    space, weights = _artist_space(spark, sf_dir), taste.artist_weights(A.history(spark, sf_dir))
+    nation = A.table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("artist"), F.col("s_nationkey").alias("region"))
+    centres = taste.region_centres(space.join(nation, "artist").select("artist", "region", "z"))
+    modes = weights.join(nation, "artist").select("user_id", F.col("region").alias("mode")).distinct().join(centres.select(F.col("region").alias("mode"), F.col("z").alias("centre")), "mode")
+    return taste.listener_profile(modes, weights, space, dims=64).drop("stamp").withColumn("coverage", F.round("coverage", 3))
 
 
 def _artist_space(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,12 +520,12 @@ def background(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each preset chart."""
-    made = [_chart(name)(spark, sf_dir).select(F.lit(name).alias("preset"), "user_id") for name in PRESETS]
+    """Rows of each preset chart, and the form it is drawn in."""
+    made = [_chart(name)(spark, sf_dir).select(F.lit(name).alias("preset"), F.lit(CHARTS[name].form).alias("form"), "user_id") for name in PRESETS]
     every = made[0]
     for m in made[1:]:
         every = every.unionByName(m)
-    return every.groupBy("preset").agg(F.count("*").alias("rows"))
+    return every.groupBy("preset", "form").agg(F.count("*").alias("rows"))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,6 +631,9 @@ QUERIES |= {
     "spec_scores": spec_scores,
     "run_changes": run_changes,
     "matches": matches,
+    "mode_pairs": mode_pairs,
+    "profile_totals": profile_totals,
+    "tag_rates": tag_rates,
     "short_titles": short_titles,
     "cells": cells,
     "modes": modes,
