@@ -302,24 +302,32 @@ def chart(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as
         return split(rows, spec)
     label, sub = _axis(spec, spec.dimension)
     made = rows.filter(label.isNotNull()).groupBy("user_id", label.alias("label"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), _strength(spec.metric).alias("strength"), F.count("*").alias("n")).filter("value IS NOT NULL")
+    shown = finished(made, spec, hour_of(as_of, zone) if spec.range == "today" and spec.year is None and not back and as_of else 23)
+    if spec.dimension != "track":
+        return shown
+    theirs = rows.select("user_id", label.alias("label"), sub.alias("sub"), "track_uri")
+    return with_most_played(shown, theirs, ["user_id", "label", "sub"])
+
+
+def finished(made: DataFrame, spec: ChartSpec, last_hour: int = 23) -> DataFrame:
+    """A chart's rows from what was counted: user_id, label, sub, value, strength and n.
+
+    Ordered axes come whole, with hours up to ``last_hour``, others as their first bars.
+    """
     if spec.metric == "skip_rate" and spec.dimension not in ORDERED:
         made = made.filter(F.col("n") >= RATE_SAMPLE)
     made = made.drop("n")
     if spec.dimension in ORDERED:
         made = made.drop("strength")
         if spec.dimension == "hour_of_day" and spec.metric != "skip_rate":
-            made = every_hour(made, spec, hour_of(as_of, zone) if spec.range == "today" and spec.year is None and not back and as_of else 23)
+            made = every_hour(made, spec, last_hour)
         order = Window.partitionBy("user_id").orderBy(_ordinal(spec))
         made = made.withColumn("rank", F.row_number().over(order))
         if spec.cumulative:
             made = made.withColumn("value", F.round(F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0)), 2))
         return made
     order = Window.partitionBy("user_id").orderBy(_falling(spec, "strength"), "label", "sub")
-    bars = made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= spec.limit).drop("strength")
-    if spec.dimension != "track":
-        return bars
-    theirs = rows.select("user_id", label.alias("label"), sub.alias("sub"), "track_uri")
-    return with_most_played(bars, theirs, ["user_id", "label", "sub"])
+    return made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= spec.limit).drop("strength")
 
 
 def _falling(spec: ChartSpec, column: str) -> Column:
