@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from playlore import schema as S
 from playlore.functions import expressions as X
-from playlore.plans.chart import cover, tips, with_genres
+from playlore.plans.chart import ChartSpec, cover, tips, with_genres
 
 
 def card(plays: DataFrame) -> DataFrame:
@@ -194,6 +195,68 @@ def namesakes(plays: DataFrame, limit: int = 8) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order) - 1).filter((F.col("rank") > 0) & (F.col("rank") <= limit))
 
 
+def index_keys(key: str, asked: bool) -> Column:
+    """Keys under which a name can be found: itself, its words, its beginning, and its rarer letters.
+
+    A name that is asked for needs just one of its words, the longest, to be found by words.  For
+    close spellings, let two names agree in m letters, letters that come again counted again, and
+    be as near as 0.9.  Then they begin with the same four letters; or with the same one, and m is
+    at least 4/7 of the length of either; or m is at least 7/10 of it.  With all letters in one order,
+    two names that share m letters share the first of them among the first (length - m + 1) of
+    either, and the first two among one more.  Letters' second and later places come first in
+    that order, as fewer names have them.
+    """
+    text = F.col(key)
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    if asked:
+        words = F.slice(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1, 1)
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    numbered = F.transform(letters, lambda c, i: F.struct((-F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c))).alias("place"), F.xxhash64(c).alias("order"), c.alias("letter")))
+    ordered = F.transform(F.array_sort(numbered), lambda x: F.concat(x["letter"], x["place"].cast("string")))
+    n = F.size(letters)
+    first = lambda share, more: F.slice(ordered, 1, F.greatest(n - F.ceil(n * share).cast("int") + more, F.lit(0)))
+    two = first(F.lit(7) / 10, 2)
+    pairs = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda y: F.concat(F.lit("n"), x, y))))
+    tagged = lambda kind, values: F.transform(values, lambda v: F.concat(kind, v))
+    beginning = F.when(n >= 4, F.array(F.concat(F.lit("p"), F.substring(text, 1, 4)))).otherwise(F.array().cast("array<string>"))
+    near = F.concat(beginning, tagged(F.concat(F.lit("f"), F.substring(text, 1, 1)), first(F.lit(4) / 7, 1)), pairs)
+    whole = F.array(F.concat(F.lit("="), text))
+    found = F.concat(whole, tagged(F.lit("w"), F.array_distinct(words)), near)
+    # Short names are meant whole only, so others needn't be looked for.
+    return F.when(F.length(text) >= 4, found).otherwise(whole) if asked else found
+
+
+def name_candidates(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs of ``names(user_id, kind, key, ...)`` and ``asked(user_id, kind, want, ...)`` that share an index key, once each."""
+    by = [*names.columns, *[c for c in asked.columns if c not in ("user_id", "kind")]]
+    left = names.withColumn("at", F.explode(F.array_distinct(index_keys("key", asked=False))))
+    right = asked.withColumn("at", F.explode(F.array_distinct(index_keys("want", asked=True))))
+    return left.join(right, ["user_id", "kind", "at"]).select(*by).distinct()
+
+
+def resolve(plays: DataFrame, spec: ChartSpec, user_id: int) -> tuple[ChartSpec, list[tuple[str, str]]]:
+    """A spec with each name as one listener's history has it, and (typed, name) of those read as something else.
+
+    Artists are read first, and titles then among the songs and albums of these.  A name
+    that means nothing stays as it was typed.
+    """
+    spark = plays.sparkSession
+    own = plays.filter(F.col("user_id") == user_id)
+    notes: list[tuple[str, str]] = []
+
+    def read(kind: str, typed: tuple[str, ...], artists: tuple[str, ...]) -> tuple[str, ...]:
+        if not typed:
+            return ()
+        rows = [(user_id, t, kind, [a.strip().lower() for a in artists] or None) for t in dict.fromkeys(typed)]
+        asked = spark.createDataFrame(rows, "user_id long, typed string, kind string, artists array<string>")
+        found = {r["typed"]: r for r in resolve_names(own, asked).collect()}  # as many as the spec names
+        notes.extend((t.strip(), found[t]["name"]) for t in dict.fromkeys(typed) if t in found and found[t]["tier"] < 3)
+        return tuple(found[t]["name"] if t in found else t for t in typed)
+
+    artists = read("artist", spec.artists, ())
+    return replace(spec, artists=artists, tracks=read("track", spec.tracks, artists), albums=read("album", spec.albums, artists)), notes
+
+
 def resolve_names(plays: DataFrame, typed: DataFrame) -> DataFrame:
     """The played name that a typed one means: exact before whole words before close spelling.
 
@@ -201,8 +264,8 @@ def resolve_names(plays: DataFrame, typed: DataFrame) -> DataFrame:
     optionally ``artists`` (lower-case names) titles are read too, and those named with their
     artists are looked for among these artists' only.  Names are compared without version
     tails, punctuation and case.  Within close spellings nearness goes first, then plays, then
-    the name.  Whole words and close spellings need four letters; a close spelling is compared
-    wherever the lengths and first letters of the two don't rule 0.9 out.
+    the name.  Whole words and close spellings need four letters.  Names and typed ones meet in an
+    index (``index_keys``), so a typed name is compared with those that may be meant only.
     """
     from playlore.functions.similarity import jaro_winkler, may_reach
 
@@ -216,7 +279,7 @@ def resolve_names(plays: DataFrame, typed: DataFrame) -> DataFrame:
     names = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in kinds])
     counted = plays.select("user_id", F.lower("artist_name").alias("act"), F.inline(names)).filter("name IS NOT NULL")
     counted = counted.groupBy("user_id", "kind", "name", F.when(F.col("kind") != "artist", F.col("act")).alias("act")).agg(F.count("*").alias("plays"))
-    scoped = counted.withColumn("key", X.title_key("name")).join(asked, ["user_id", "kind"])
+    scoped = name_candidates(counted.withColumn("key", X.title_key("name")), asked)
     scoped = scoped.filter((F.col("kind") == "artist") | F.col("artists").isNull() | (F.size("artists") == 0) | F.array_contains("artists", F.col("act")))
     enough = F.length("want") >= 4
     words = enough & F.concat(F.lit(" "), F.col("key"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("want"), F.lit(" ")))

@@ -421,6 +421,47 @@ def test_no_close_name_is_ruled_out_unread(spark):
     assert all(r.may for r in got if jaro_winkler_pair(r.a, r.b) >= 0.9) and not all(r.may for r in got)
 
 
+def test_the_index_of_names_loses_none_and_compares_few(spark):
+    import random
+
+    rng = random.Random(6)
+    part = lambda n: "".join(rng.choice("aeiourstlnmkd") for _ in range(n))
+    names = list(dict.fromkeys(" ".join(part(rng.randint(2, 9)) for _ in range(rng.randint(1, 3))) for _ in range(500)))
+
+    def near(name):
+        letters = list(name)
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(letters))
+            letters[i : i + 1] = rng.choice([[], [letters[i], rng.choice("abc")], ["x"]])
+        return "".join(letters)
+
+    typed = list(dict.fromkeys([near(rng.choice(names)) for _ in range(60)] + [rng.choice(names).split()[0] for _ in range(20)] + ["ab", "zq zq"]))
+    p = plays(spark, [(1, T0, "t", n, 60_000, None) for n in names])
+    got = {r.typed: (r.name, r.tier) for r in profile.resolve_names(p, spark.createDataFrame([(1, t) for t in typed], "user_id long, typed string")).collect()}
+    norm = lambda x: " ".join(x.split())
+    want = {}
+    for t in typed:
+        q, best = norm(t), []
+        for n in names:
+            tier = 3 if n == q else 2 if len(q) >= 4 and f" {q} " in f" {n} " else 1 if len(q) >= 4 and jaro_winkler_pair(n, q) >= 0.9 else 0
+            if tier and q:
+                best.append((-tier, -jaro_winkler_pair(n, q) if tier == 1 else 0, n))
+        if best:
+            want[t] = (min(best)[2], -min(best)[0])
+    assert got == want and {v[1] for v in want.values()} == {1, 2, 3}
+    asked = spark.createDataFrame([(1, "artist", t) for t in typed], "user_id long, kind string, want string")
+    pairs = profile.name_candidates(spark.createDataFrame([(1, "artist", n) for n in names], "user_id long, kind string, key string"), asked).count()
+    assert pairs < 0.25 * len(names) * len(typed)
+
+
+def test_specs_are_rewritten_artists_before_titles(spark):
+    p = plays(spark, [(1, T0, "Creep", "Radiohead", 60_000, None), (1, T0, "Creep - Live", "Stone Temple", 60_000, None), (1, T0, "Creep - Live", "Stone Temple", 60_000, None), (2, T0, "Creeps", "Radioheads", 60_000, None)])
+    spec, notes = profile.resolve(p, ChartSpec(artists=("radiohed", "nobody at all"), tracks=("creep",)), 1)
+    assert (spec.artists, spec.tracks, notes) == (("Radiohead", "nobody at all"), ("Creep",), [("radiohed", "Radiohead")])
+    assert profile.resolve(p, ChartSpec(tracks=("creep",)), 1)[0].tracks == ("Creep - Live",)
+    assert profile.resolve(p, ChartSpec(), 1) == (ChartSpec(), [])
+
+
 def test_pins_are_those_of_brute_force(spark):
     acts = ["Ann", "Ann, Bob", "Bob, Ann", "Ann, Bob, Cy", "ann", "Anna", None]
     rows = [(u, T0 + dt.timedelta(hours=i), t, a, 40_000 + i, None) for u in (1, 2) for i, (t, a) in enumerate((t, a) for t in ("Stay", "Stay (Live)", "Go") for a in acts)]
@@ -456,6 +497,47 @@ def test_regions_are_split_until_they_cohere(spark):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_loose_regions_are_split_in_the_same_rounds(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for g in range(8):
+        for i in range(30):
+            z = np.zeros(16)
+            z[g] = 1
+            z[8 + g // 2] = 0.6
+            z += rng.normal(0, 0.03, 16)
+            rows.append((f"g{g}-{i}", (z / np.linalg.norm(z)).tolist()))
+    space = spark.createDataFrame(rows, "artist string, z array<double>")
+    monkeypatch.setattr(taste, "REGION_MIN", 20)
+    monkeypatch.setattr(taste, "COHESION_FLOOR", 0.9)
+    calls = []
+    halved = taste.halved
+    monkeypatch.setattr(taste, "halved", lambda members: calls.append(1) or halved(members))
+    by = {}
+    for r in taste.fit_regions(space, k=2).collect():
+        by.setdefault(r.region, []).append(r.artist[:2])
+    assert len(by) == 8 and all(len(set(v)) == 1 and len(v) == 30 for v in by.values())
+    assert len(calls) <= 4  # six splits, in rounds
+    # Halves of regions all at once are those of each by itself.
+    two = space.withColumn("region", F.when(F.substring("artist", 2, 1).cast("int") < 4, 0).otherwise(1))
+    split = lambda df: {(r.artist, r.side) for r in halved(df).collect()}
+    assert split(two) == split(two.filter("region = 0")) | split(two.filter("region = 1"))
+
+
+def test_sums_of_vectors_are_those_of_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(int(g), rng.normal(0, 1, 5).tolist()) for g in rng.integers(0, 4, 200)] + [(9, None)]
+    got = {r.g: (r.n, r.z) for r in taste._vector_sums(spark.createDataFrame(rows, "g int, z array<double>").repartition(5), "g").collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for g, (n, z) in got.items():
+        own = np.array([v for k, v in rows if k == g])
+        assert n == len(own) and np.allclose(z, own.sum(axis=0))
+
+
 def test_tag_space_keeps_like_with_like(spark):
     rows = [(f"a{i}", ["rock", "loud", "guitar"] if i % 2 else ["jazz", "sax", "calm"]) for i in range(20)]
     z = {r.artist: r.z for r in taste.tag_space(spark.createDataFrame(rows, "artist string, tags array<string>"), dims=3).collect()}
