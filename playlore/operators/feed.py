@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from playlore import schema as S
 from playlore.functions import expressions as X
+from playlore.functions.shared import checkpointed
 from playlore.plans.chart import most_played, tips
 
 
@@ -67,17 +68,24 @@ def song_movers(plays: DataFrame, direction: str = "up", limit: int = 10) -> Dat
 
 def discoveries(plays: DataFrame, limit: int = 10) -> DataFrame:
     """New acts that were kept: no act of the credit known before, and not a new name for old songs."""
-    rows = _listens(plays)
-    old = rows.filter(~_after(S.DISCOVER_DAYS))
-    known = old.filter("artist_name IS NOT NULL").select("user_id", F.explode(X.credited_acts("artist_name")).alias("act")).distinct()
-    fresh = rows.filter("artist_name IS NOT NULL").groupBy("user_id", "artist_name").agg(F.min("played_at").alias("since"), F.max("tip").alias("tip")).filter(F.col("since") > F.col("tip") - F.expr(f"INTERVAL {S.DISCOVER_DAYS} days"))
-    joint = fresh.select("user_id", "artist_name", F.explode(X.credited_acts("artist_name")).alias("act")).join(known, ["user_id", "act"], "left_semi").select("user_id", "artist_name").distinct()
-    solo = fresh.select("user_id", "artist_name").join(joint, ["user_id", "artist_name"], "left_anti")
-    titles = old.filter("track_name IS NOT NULL").select("user_id", X.name_key("track_name").alias("title")).distinct()
-    theirs = rows.join(solo, ["user_id", "artist_name"])
-    renamed = theirs.withColumn("title", X.name_key("track_name")).join(titles, ["user_id", "title"], "left_semi").groupBy("user_id", "artist_name").agg(F.countDistinct("title").alias("n")).filter(F.col("n") > S.FAMILIAR_TITLES)
-    counted = theirs.join(renamed, ["user_id", "artist_name"], "left_anti").filter(_after(S.DISCOVER_DAYS)).groupBy("user_id", "artist_name")
-    made = counted.agg(F.count("*").alias("plays"), F.countDistinct("track_uri").alias("tracks"), F.countDistinct(F.to_date("played_at")).alias("days"), F.to_date(F.min("played_at")).alias("since"))
+    recent = _after(S.DISCOVER_DAYS)
+    day = F.to_date("played_at")
+    # The plays are read once: everything else is told from these counts.
+    counts = checkpointed(
+        _listens(plays)
+        .groupBy("user_id", "artist_name", X.name_key("track_name").alias("title"))
+        .agg(F.count_if(~recent).alias("old"), F.count_if(recent).alias("plays"), F.collect_set(F.when(recent, F.col("track_uri"))).alias("uris"), F.collect_set(F.when(recent, day)).alias("days"), F.min(F.when(recent, F.col("played_at"))).alias("since"))
+    )
+    by = ["user_id", "artist_name"]
+    heard = counts.filter("old > 0")
+    known = heard.filter("artist_name IS NOT NULL").select("user_id", F.explode(X.credited_acts("artist_name")).alias("act")).distinct()
+    fresh = counts.filter("artist_name IS NOT NULL").groupBy(*by).agg(F.sum("old").alias("old")).filter("old = 0").select(*by)
+    joint = fresh.select(*by, F.explode(X.credited_acts("artist_name")).alias("act")).join(known, ["user_id", "act"], "left_semi").select(*by).distinct()
+    theirs = counts.drop("old").join(fresh.join(joint, by, "left_anti"), by)
+    titles = heard.filter("title IS NOT NULL").select("user_id", "title").distinct()
+    renamed = theirs.join(titles, ["user_id", "title"], "left_semi").groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > S.FAMILIAR_TITLES)
+    different = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    made = theirs.join(renamed, by, "left_anti").groupBy(*by).agg(F.sum("plays").alias("plays"), different("uris").alias("tracks"), different("days").alias("days"), F.to_date(F.min("since")).alias("since"))
     kept = made.filter((F.col("days") >= S.DISCOVER_DISTINCT) & (F.col("plays") >= S.DISCOVER_PLAYS))
     return _ranked(kept, F.desc("plays"), F.desc("days"), F.col("artist_name"), limit=limit)
 

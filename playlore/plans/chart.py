@@ -208,8 +208,29 @@ def _titled(plays: DataFrame, rows: DataFrame, column: str, names: tuple[str, ..
     return keyed.join(chosen, ["user_id", "title", "artist_name"], "left_semi").drop("title")
 
 
-def selected(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as_of: dt.datetime | None = None, zone: str = ZONE, back: int = 0) -> DataFrame:
-    """The plays a spec is about, before the listen floor."""
+def _condenses(spec: ChartSpec) -> bool:
+    """Whether a chart by genre can meet the genres after its plays were added up: sums along one axis do."""
+    plain = spec.answer == "chart" and not spec.per_period and spec.metric in ("hours", "plays")
+    axes = {spec.dimension, spec.series} - {"none"}
+    return plain and "genre" in axes and axes <= {"genre", "date", "day_of_week", "hour_of_day", "artist"}
+
+
+def condensed(rows: DataFrame, spec: ChartSpec) -> DataFrame:
+    """Plays of an artist in one bucket as one row: user_id, artist_name, local, ms_played, n.
+
+    A hot artist is then no more rows of the join with the genres than there are listeners and buckets.
+    """
+    if _needs_floor(spec.metric):
+        rows = rows.filter(F.col("ms_played") >= LISTEN_MS)
+    unit = "hour" if "hour_of_day" in (spec.dimension, spec.series) else "day"
+    if spec.dimension == "date" and unit == "day" and spec.series != "day_of_week" and not _shift(spec):
+        unit = spec.grain or "day"
+    at = F.date_trunc(unit, "local") if {spec.dimension, spec.series} & set(ORDERED) else F.lit(None).cast("timestamp_ntz")
+    return rows.groupBy("user_id", "artist_name", at.alias("local")).agg(F.sum("ms_played").alias("ms_played"), F.count("*").alias("n"))
+
+
+def selected(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as_of: dt.datetime | None = None, zone: str = ZONE, back: int = 0, condense: bool = False) -> DataFrame:
+    """The plays a spec is about, before the listen floor; with ``condense`` sums of them where the spec allows."""
     rows = windowed(plays, spec, as_of or dt.datetime(1970, 1, 1), zone, back).filter("artist_name IS NOT NULL")
     if 0 < len(set(spec.months)) < 12:
         rows = rows.filter(F.month("local").isin(*spec.months))
@@ -225,6 +246,8 @@ def selected(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None,
     if spec.genres or "genre" in (spec.dimension, spec.series):
         if genres is None:
             raise ValueError("this chart needs genres")
+        if condense and _condenses(spec):
+            rows = condensed(rows, spec)
         rows = with_genres(rows, genres).filter("genre IS NOT NULL")
         if spec.genres:
             covered = cover(genres, spec.genres)
@@ -234,7 +257,10 @@ def selected(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None,
     return rows
 
 
-def _metric(metric: str) -> Column:
+def _metric(metric: str, rows: DataFrame | None = None) -> Column:
+    """A metric's value; ``rows`` may be sums of plays, with their number in ``n``."""
+    if metric == "plays" and rows is not None and "n" in rows.columns:
+        return F.sum("n").cast("double")
     skip = F.when(F.col("skipped"), 1.0).when(~F.col("skipped"), 0.0)
     return {
         "hours": F.sum("ms_played") / 3600000.0,
@@ -245,9 +271,9 @@ def _metric(metric: str) -> Column:
     }[metric]
 
 
-def _strength(metric: str) -> Column:
+def _strength(metric: str, rows: DataFrame | None = None) -> Column:
     """What a metric's values are ranked by: exact, and not rounded as they are shown."""
-    return F.sum("ms_played") if metric == "hours" else _metric(metric)
+    return F.sum("ms_played") if metric == "hours" else _metric(metric, rows)
 
 
 def _needs_floor(metric: str) -> bool:
@@ -285,7 +311,7 @@ def chart(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as
     spec = spec.effective()
     if back and not spec.can_step_back:
         raise ValueError("this window can't be stepped back")
-    rows = selected(plays, spec, genres, as_of, zone, back)
+    rows = selected(plays, spec, genres, as_of, zone, back, condense=True)
     if spec.answer == "recent":
         return recent_runs(plays, spec, rows)
     if spec.answer in ("first_played", "last_played"):
@@ -294,14 +320,14 @@ def chart(plays: DataFrame, spec: ChartSpec, genres: DataFrame | None = None, as
         return single_answer(rows)
     if spec.answer == "top":
         return winner(rows, spec)
-    if _needs_floor(spec.metric):
+    if _needs_floor(spec.metric) and "n" not in rows.columns:
         rows = rows.filter(F.col("ms_played") >= LISTEN_MS)
     if spec.per_period:
         return per_period(rows, spec)
     if spec.series != "none":
         return split(rows, spec)
     label, sub = _axis(spec, spec.dimension)
-    made = rows.filter(label.isNotNull()).groupBy("user_id", label.alias("label"), sub.alias("sub")).agg(F.round(_metric(spec.metric), 2).alias("value"), _strength(spec.metric).alias("strength"), F.count("*").alias("n")).filter("value IS NOT NULL")
+    made = rows.filter(label.isNotNull()).groupBy("user_id", label.alias("label"), sub.alias("sub")).agg(F.round(_metric(spec.metric, rows), 2).alias("value"), _strength(spec.metric, rows).alias("strength"), F.count("*").alias("n")).filter("value IS NOT NULL")
     shown = finished(made, spec, hour_of(as_of, zone) if spec.range == "today" and spec.year is None and not back and as_of else 23)
     if spec.dimension != "track":
         return shown
@@ -401,7 +427,7 @@ def split(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     named = spec.artists if spec.series == "artist" else ()
     if named:
         key = X.name_key(key)
-    made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), key.alias("series")).agg(F.round(_metric(spec.metric), 2).alias("value"), _strength(spec.metric).alias("strength")).filter("value IS NOT NULL")
+    made = rows.filter(series.isNotNull()).groupBy("user_id", label.alias("label"), key.alias("series")).agg(F.round(_metric(spec.metric, rows), 2).alias("value"), _strength(spec.metric, rows).alias("strength")).filter("value IS NOT NULL")
     if named:
         first = dict.fromkeys(a.strip().lower() for a in [a for a in named if a.strip()][:most])
         wanted = rows.sparkSession.createDataFrame([(a, i) for i, a in enumerate(first, 1)], "series string, line int")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlore.functions.shared import exists, new_folder, stored
+from playlore.functions.shared import exists, file_system, new_folder, stored
 from playlore.schema import TRACK_PREFIX
 
 #: The clock of questions that depend on it.
@@ -23,12 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_stored: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+_stored: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def _as_it_is(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and times of the files in a folder of tables, so that changed tables are told from those before."""
+    system, path = file_system(spark, sf_dir)
+    found = []
+    for status in system.listStatus(path):
+        inside = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in inside]
+    return tuple(sorted(found))
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
-    """What ``make`` writes to the path it is given: made once in each session, and again if the files are gone."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What ``make`` writes to the path it is given: made once in each session, and again if the files are gone or the tables changed."""
+    key = (spark.sparkContext.applicationId, _as_it_is(spark, sf_dir), name)
     if key not in _stored or not exists(spark, _stored[key][0]):
         path = new_folder(spark, name)
         _stored[key] = path, make(path)
