@@ -259,6 +259,33 @@ def test_everyday_words_are_no_licence(spark):
     assert got[4].score == 1.0 and got[0].score == 0.0
 
 
+def test_common_licences_by_name_notice_and_identifier(spark):
+    wanted = {
+        "GNU Affero General Public License v3": "agpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl",
+        "BSD 3-Clause License": "bsd",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose.": "unlicense",
+        "# SPDX-License-Identifier: MIT": "mit",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl",
+        "/* SPDX-License-Identifier: Apache-2.0 */": "apache",
+        "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa",
+        "Mozilla Public License": "mpl",
+        "a boost for the software licence": "",
+        "the identifier of a licence: mit": "",
+        "free software released into the public domain": "",
+        "Redistribution of source code": "",
+        "library general public": "",
+    }
+    got = {r.doc_id: r.labels for r in license_scan.scan_licences(_docs(spark, list(wanted))).collect()}
+    assert {t: got[i] for i, t in enumerate(wanted)} == {t: ("cc-by,cc-by-sa" if label == "cc-by-sa" and "CC-BY" in t else label) for t, label in wanted.items()}
+
+
+def test_whole_templates_carry_their_own_label():
+    scanner = license_scan.LicenceScanner()
+    for label, text in license_scan.TEMPLATES:
+        assert label in {x for _, _, x, _ in scanner.scan("words before it " + text + " and after")[2]}, text[:60]
+
+
 def test_whole_short_templates_by_brute_force():
     rng = random.Random(12)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(8)]
