@@ -294,6 +294,62 @@ def stalled(beats: DataFrame, as_of: dt.datetime, minutes: int = 5) -> DataFrame
     return beats.withColumn("stalled", F.coalesce(old, F.lit(True)))
 
 
+NOTICE = T.StructType([T.StructField("job", T.StringType()), T.StructField("user_id", T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("state", T.StringType())])
+_BEAT = T.StructType([T.StructField("last_ok", T.LongType()), T.StructField("stalled", T.BooleanType())])
+
+
+class StallWatcher(StatefulProcessor):
+    """Says when a job has had no success for a while, without a row that says so, and when it has again.
+
+    A success sets a timer on the clock.  If it expires first, the job is stalled; the next
+    success tells that it has recovered.
+    """
+
+    def __init__(self, seconds: float):
+        self.length = int(seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.beat = handle.getValueState("beat", _BEAT)
+
+    def _told(self, key, at: int, state: str) -> pd.DataFrame:
+        return pd.DataFrame({"job": [key[0]], "user_id": [key[1]], "at": [pd.Timestamp(at, unit="ms")], "state": [state]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        last, stalled = self.beat.get() if self.beat.exists() else (None, False)
+        for batch in rows:
+            for at in batch.loc[batch["ok"].fillna(False).astype(bool), "at"]:
+                at = pd.Timestamp(at).value // 1_000_000
+                last = at if last is None else max(last, at)
+        # A job that has never had a success is due as long after it was first seen.
+        due = (now if last is None else last) + self.length
+        if stalled and last is not None and due > now:
+            stalled = False
+            yield self._told(key, now, "recovered")
+        if not stalled:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(due, now + 1))
+        self.beat.update((last, stalled))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, _ = self.beat.get()
+        self.beat.update((last, True))
+        yield self._told(key, timerValues.getCurrentProcessingTimeInMs(), "stalled")
+
+    def close(self) -> None:
+        pass
+
+
+def stall_notices(runs: DataFrame, seconds: float = 300) -> DataFrame:
+    """A stream of (job, user_id, at, state): stalled when a job has had no success for ``seconds``, and recovered.
+
+    ``runs(job, user_id, at, ok)`` is the stream that ``heartbeat`` reads.
+    """
+    return runs.groupBy("job", "user_id").transformWithStateInPandas(statefulProcessor=StallWatcher(seconds), outputStructType=NOTICE, outputMode="Update", timeMode="ProcessingTime")
+
+
 def presence(latest: DataFrame, genres: DataFrame) -> DataFrame:
     """(user_id, state) of the latest snapshots: sleeping, the state of what plays, or unknown.
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pandas as pd
 
@@ -150,6 +151,35 @@ def test_shuffled_stream_gives_what_replay_gives(spark, tmp_path):
     assert len(got) > 30 and got == plain(watch.replay(spark.createDataFrame(rows + end, watch.SNAPSHOT)))
 
 
+def test_stalled_jobs_are_told_without_a_later_row(spark, tmp_path):
+    shape = "job string, user_id long, at timestamp, ok boolean"
+    source = str(tmp_path / "in")
+    now = dt.datetime.now
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+
+    arrive(("watch", 1, now(), True), ("watch", 2, now(), False))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = watch.stall_notices(spark.readStream.schema(spark.createDataFrame([], shape).schema).parquet(source), seconds=4)
+    query = stream.writeStream.format("memory").queryName("notices").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    told = lambda: sorted((r.user_id, r.state) for r in spark.table("notices").collect())
+
+    def wait(want):
+        end = time.time() + 90
+        while told() != want and time.time() < end:
+            assert query.exception() is None
+            time.sleep(0.5)
+        assert told() == want
+
+    try:
+        wait([(1, "stalled"), (2, "stalled")])
+        arrive(("watch", 1, now() + dt.timedelta(minutes=5), True), ("watch", 2, now(), False))
+        wait([(1, "recovered"), (1, "stalled"), (2, "stalled")])
+    finally:
+        query.stop()
+
+
 def test_presence_looks_up_whole_credits_first(spark):
     genres = spark.createDataFrame([("tyler, the creator", "rap"), ("ann", "calm"), ("tyler", "wrong")], "artist string, state string")
     rows = [(1, 200, True, " Tyler, The Creator"), (2, 200, True, "Ann, Bob"), (3, 200, True, None), (4, 200, False, "Ann"), (5, 204, True, "Ann"), (6, 200, True, "Zed"), (7, 200, True, "")]
