@@ -538,6 +538,26 @@ def test_sums_of_vectors_are_those_of_numpy(spark):
         assert n == len(own) and np.allclose(z, own.sum(axis=0))
 
 
+@pytest.mark.parametrize("held", [3, 100_000])
+def test_medians_by_narrowing_are_exact(spark, monkeypatch, held):
+    import random
+    import statistics
+
+    from playlore.operators import medians as M
+
+    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "CELLS", 4)
+    rng = random.Random(held)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(301)], "b": [rng.choice([1.0, 2.0]) for _ in range(200)], "c": [5.0] * 50, "d": [1e300, -1e300, 3.5, 3.5], "e": [7.0], "f": [None, 2.0], "g": [None]}
+    rows = [(g, x, None if x is None else -x) for g, xs in groups.items() for x in xs]
+    got = {r.k: (r.x, r.y, r.n) for r in M.medians(spark.createDataFrame(rows, "k string, x double, y double"), "k", ["x", "y"]).collect()}
+    for g, xs in groups.items():
+        known = [x for x in xs if x is not None]
+        want = (statistics.median(known), statistics.median([-x for x in known])) if known else (None, None)
+        assert got[g] == (*want, len(xs)), g
+    assert M.medians(spark.createDataFrame([], "k string, x double, y double"), "k", ["x"]).count() == 0
+
+
 def test_tag_space_keeps_like_with_like(spark):
     rows = [(f"a{i}", ["rock", "loud", "guitar"] if i % 2 else ["jazz", "sax", "calm"]) for i in range(20)]
     z = {r.artist: r.z for r in taste.tag_space(spark.createDataFrame(rows, "artist string, tags array<string>"), dims=3).collect()}
