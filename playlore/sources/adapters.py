@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_stored: dict[tuple, tuple[str, DataFrame]] = {}
+_stored: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+_made_from: dict[tuple[str, str, str], tuple] = {}
 
 
 def _as_it_is(spark: SparkSession, sf_dir: str) -> tuple:
@@ -38,10 +39,10 @@ def _as_it_is(spark: SparkSession, sf_dir: str) -> tuple:
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
     """What ``make`` writes to the path it is given: made once in each session, and again if the files are gone or the tables changed."""
-    key = (spark.sparkContext.applicationId, _as_it_is(spark, sf_dir), name)
-    if key not in _stored or not exists(spark, _stored[key][0]):
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), _as_it_is(spark, sf_dir)
+    if key not in _stored or _made_from[key] != now or not exists(spark, _stored[key][0]):
         path = new_folder(spark, name)
-        _stored[key] = path, make(path)
+        _stored[key], _made_from[key] = (path, make(path)), now
     return _stored[key][1]
 
 

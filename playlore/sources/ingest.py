@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from playlore import schema as S
 from playlore.functions import expressions as X
-from playlore.functions.shared import checkpointed, exists, file_system
+from playlore.functions.shared import checkpointed, exists
+from playlore.sources.store import DayStore
 
 EXPORT = T.StructType(
     [
@@ -171,34 +172,23 @@ def first_day(live: DataFrame, export: DataFrame, reread: int = 2) -> DataFrame:
     return newest.join(end, "user_id", "full").select("user_id", F.greatest("a", "b").alias("first_day"))
 
 
-def replace_days(spark: SparkSession, pulled: DataFrame, folder: str, since: DataFrame) -> DataFrame:
-    """Make each day from ``since(user_id, first_day)`` on hold exactly the pulled rows.
+def replace_days(spark: SparkSession, pulled: DataFrame, folder: str, since: DataFrame, buckets: int = 64) -> DataFrame:
+    """Make each day from ``since(user_id, first_day)`` on hold exactly the pulled rows, in the day store at ``folder``.
 
     Days whose rows are as they were are not written; days that vanished are emptied.
     Returns (user_id, day, gone) of the days that changed.
     """
-    day = F.date_format("played_at", "yyyy-MM-dd")
+    store = DayStore(spark, folder, pulled.schema, buckets)
+    day = F.to_date("played_at")
     digest = lambda rows, d, n: rows.groupBy("user_id", "day").agg(F.sum(F.xxhash64("played_at", "track_uri", "track_name", "artist_name", "album_name", "ms_played").cast("decimal(38,0)")).alias(d), F.count("*").alias(n))
-    due = lambda rows: rows.join(since, "user_id").filter(F.col("day") >= F.col("first_day").cast("string")).drop("first_day")
-    fresh = due(pulled.withColumn("day", day))
-    made = digest(fresh, "d", "n")
-    if exists(spark, folder):
-        old = due(spark.read.schema(T.StructType([*pulled.schema.fields, T.StructField("day", T.StringType())])).parquet(folder))
-        both = made.join(digest(old, "od", "on"), ["user_id", "day"], "full")
-        made = both.filter(~(F.col("d").eqNullSafe(F.col("od")) & F.col("n").eqNullSafe(F.col("on"))))
-    # Cut from the files that are about to be replaced.
-    changed = checkpointed(made.select("user_id", "day", F.col("n").isNull().alias("gone")))
-    touched = fresh.join(changed.filter("NOT gone").select("user_id", "day"), ["user_id", "day"], "left_semi")
-    touched.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("user_id", "day").parquet(folder)
-    drop_days(spark, folder, changed.filter("gone").select("user_id", "day"))
-    return changed
-
-
-def drop_days(spark: SparkSession, folder: str, days: DataFrame) -> None:
-    """Remove the folders of ``days(user_id, day)``, which come to the driver a partition at a time."""
-    for r in days.toLocalIterator():
-        system, path = file_system(spark, f"{folder}/user_id={r['user_id']}/day={r['day']}")
-        system.delete(path, True)
+    due = lambda rows: rows.withColumn("day", day).join(since, "user_id").filter(F.col("day") >= F.col("first_day")).drop("first_day")
+    fresh = due(pulled)
+    both = digest(fresh, "d", "n").join(digest(due(store.read(store.parts_since(since))), "od", "on"), ["user_id", "day"], "full")
+    different = both.filter(~(F.col("d").eqNullSafe(F.col("od")) & F.col("n").eqNullSafe(F.col("on"))))
+    changed = checkpointed(different.select("user_id", "day", F.col("n").isNull().alias("gone")))
+    days = changed.select("user_id", "day")
+    store.replace_days(fresh.join(days, ["user_id", "day"], "left_semi"), days)
+    return changed.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 def prunable_days(live: DataFrame, export: DataFrame) -> DataFrame:

@@ -103,3 +103,32 @@ class PartStore:
 def parts_of(rows: DataFrame) -> list[str]:
     """The parts that rows with a column ``part`` belong to; they are few by construction."""
     return [r["part"] for r in rows.select("part").distinct().collect()]
+
+
+class DayStore(PartStore):
+    """Captured plays whose days are replaced whole, in parts by bucket of listeners and month.
+
+    A part holds many listeners' days, so there is no folder for each, and a replacement writes the
+    parts of its days once, without what they held of these days before.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, buckets: int = 64):
+        super().__init__(spark, folder, schema, ("user_id", "played_at"))
+        self.buckets = buckets
+
+    def part(self, at: Column | str = "played_at") -> Column:
+        return F.concat(bucket_of("user_id", self.buckets), F.lit("-"), F.date_format(at, "yyyy-MM"))
+
+    def parts_since(self, since: DataFrame) -> list[str]:
+        """The parts that may hold days from ``since(user_id, first_day)`` on."""
+        first = {r["bucket"]: r["month"] for r in since.groupBy(bucket_of("user_id", self.buckets).alias("bucket")).agg(F.date_format(F.min("first_day"), "yyyy-MM").alias("month")).collect()}
+        return [p for p in self.current() if p[:4] in first and p[5:] >= (first[p[:4]] or "")]
+
+    def replace_days(self, rows: DataFrame, days: DataFrame) -> None:
+        """Let ``days(user_id, day)`` hold exactly ``rows``; other days stay."""
+        parts = parts_of(days.select(self.part("day").alias("part")))
+        if parts:
+            day = F.to_date("played_at")
+            rest = self.read(parts).withColumn("day", day).join(days, ["user_id", "day"], "left_anti")
+            names = [f.name for f in self.schema.fields]
+            self.replace(rest.select(*names).unionByName(rows.select(*names)).withColumn("part", self.part()), parts)

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from playlore.functions import expressions as X
-from playlore.functions.shared import checkpointed, exists
+from playlore.functions.shared import checkpointed
+from playlore.sources.store import DayStore, parts_of
 
 # Fixed values, in milliseconds.
 REPEAT_MS, SLACK_MS, BLACKOUT_MS, SHORTEST_MS = 3000, 2000, 50_000, 1000
@@ -367,31 +368,34 @@ def presence(latest: DataFrame, genres: DataFrame) -> DataFrame:
     return named.select("user_id", F.when(~listening, "sleeping").otherwise(F.coalesce("all_acts", "first_act", F.lit("unknown"))).alias("state"))
 
 
-def store_stream(plays: DataFrame, folder: str, checkpoint: str, **trigger: object):
-    """Write each batch of plays to day folders, replacing the days it touches.
+#: What the day store of a stream holds of each play.
+CAPTURED = T.StructType([*(f for f in FINISHED.fields if f.name != "duration_ms"), T.StructField("source", T.StringType())])
+
+
+def captured_days(spark, folder: str, buckets: int = 64) -> DayStore:
+    """The day store that ``store_stream`` writes."""
+    return DayStore(spark, folder, CAPTURED, buckets)
+
+
+def store_stream(plays: DataFrame, folder: str, checkpoint: str, buckets: int = 64, **trigger: object):
+    """Write each batch of plays to the day store at ``folder``, replacing the days it touches.
 
     The days' stored plays are read, reconciled with the batch by source, and written again.
     """
-    from playlore.sources.ingest import drop_days, reconcile
+    from playlore.sources.ingest import reconcile
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
+        store = captured_days(spark, folder, buckets)
+        names = [f.name for f in CAPTURED.fields]
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in CAPTURED.fields])
         day = F.to_date("played_at")
-        rows = rows.withColumn("day", day)
-        touched = rows.select("user_id", F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))).alias("day")).distinct()
-        before = None
-        if exists(spark, folder):
-            stored = spark.read.parquet(folder).withColumn("day", F.col("day").cast("date")).join(touched, ["user_id", "day"], "left_semi")
-            before = checkpointed(stored.select("user_id", "day").distinct())
-            rows = rows.unionByName(stored.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]))
-        rows = rows.dropDuplicates(["user_id", "source", "track_uri", "played_at"])
-        merged = reconcile(rows.filter("source = 'watch'").drop("source"), rows.filter("source = 'recent'").drop("source")).withColumnRenamed("how", "source")
-        # Cut from the files that are about to be replaced.
-        done = checkpointed(merged.select("user_id", "played_at", "track_uri", "track_name", "artist_name", "album_name", "ms_played", "source", F.to_date("played_at").alias("day")))
-        done.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("user_id", "day").parquet(folder)
-        # An overwrite leaves days alone that have lost their last play.
-        if before is not None:
-            drop_days(spark, folder, before.join(done, ["user_id", "day"], "left_anti"))
+        near = rows.select("user_id", F.explode(F.array(F.date_sub(day, 1), day, F.date_add(day, 1))).alias("day")).distinct()
+        days = checkpointed(near)
+        before = store.read(parts_of(days.select(store.part("day").alias("part")))).withColumn("day", day).join(days, ["user_id", "day"], "left_semi")
+        every = rows.unionByName(before.select(*names)).dropDuplicates(["user_id", "source", "track_uri", "played_at"])
+        merged = reconcile(every.filter("source = 'watch'").drop("source"), every.filter("source = 'recent'").drop("source"))
+        store.replace_days(merged.withColumnRenamed("how", "source"), days)
 
     return plays.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

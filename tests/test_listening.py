@@ -13,6 +13,7 @@ from playlore.operators import feed, profile, scoring, taste
 from playlore.plans import chart as C
 from playlore.plans.chart import ChartSpec, chart
 from playlore.sources import ingest
+from playlore.sources.store import DayStore
 
 T0 = dt.datetime(2024, 1, 15, 18)
 
@@ -208,7 +209,31 @@ def test_days_are_replaced_whole(spark, tmp_path):
     assert pull([row(1, "x"), row(2, "y")]) == [(1, "2024-01-01"), (1, "2024-01-02")]
     assert pull([row(1, "x"), row(2, "z"), row(2, "y")]) == [(1, "2024-01-02")]
     assert pull([row(1, "x")]) == [(1, "2024-01-02")]
-    assert spark.read.parquet(folder).count() == 1
+    store = DayStore(spark, folder, spark.createDataFrame([], shape).schema)
+    assert [r.track_uri for r in store.read().collect()] == ["x"] and len(store.current()) == 1
+    # A pull from later on leaves earlier days alone, and a reader of the old version keeps it.
+    before = store.read()
+    since = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (2, dt.date(2024, 1, 5))], "user_id long, first_day date")
+    assert pull([row(1, "ignored"), row(7, "w"), (2, dt.datetime(2024, 2, 3), "v", "t", "a", "b", 5)]) == [(1, "2024-01-07"), (2, "2024-02-03")]
+    assert sorted(r.track_uri for r in store.read().collect()) == ["v", "w", "x"] and before.count() == 1
+
+
+def test_stored_plays_are_made_again_if_the_tables_change(spark, tmp_path):
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    from playlore.sources import adapters
+
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    for name in ("lineitem", "orders", "part", "supplier"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", folder / f"{name}.parquet")
+    whole = adapters.history(spark, str(folder)).count()
+    assert adapters.history(spark, str(folder)).count() == whole
+    lines = pq.read_table(folder / "lineitem.parquet")
+    pq.write_table(lines.slice(0, lines.num_rows // 2), folder / "lineitem.parquet")
+    assert 0 < adapters.history(spark, str(folder)).count() < whole
 
 
 def test_measured_plays_replace_estimates_near_them(spark):

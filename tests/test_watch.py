@@ -202,7 +202,7 @@ def test_stored_days_hold_measured_plays_in_either_order_of_arrival(spark, tmp_p
         query = watch.store_stream(spark.readStream.schema(made.schema).parquet(source), folder, str(tmp_path / "ck"))
         query.awaitTermination(120)
         assert query.exception() is None
-        return sorted((r.track_uri, r.source, r.played_at.second) for r in spark.read.parquet(folder).collect())
+        return sorted((r.track_uri, r.source, r.played_at.second) for r in watch.captured_days(spark, folder).read().collect())
 
     assert arrive([(0, "x", "recent"), (100, "y", "watch")]) == [("x", "recent", 50), ("y", "watch", 30)]
     # The measured play ends twenty seconds later, past midnight; a repeat changes nothing.
