@@ -187,12 +187,21 @@ def show_totals(shows: DataFrame, matching: DataFrame) -> DataFrame:
     return a.join(b, "user_id", "left").na.fill(0, ["matching"])
 
 
-def namesakes(plays: DataFrame, limit: int = 8) -> DataFrame:
-    """Other artists with a song of the same title as a listener's most played artist for it."""
+def namesakes(plays: DataFrame, shown: int = 3, limit: int = 8) -> DataFrame:
+    """Other artists with a song of the same title as a listener's most played artist for it.
+
+    Of the first ``limit`` others by plays, the first ``shown`` acts: an act that is spelt in several
+    ways, or like the most played one but for case and space, is named once.
+    """
     rows = plays.filter(X.is_listen() & F.col("artist_name").isNotNull()).withColumn("title", X.title_key("track_name"))
     counted = rows.groupBy("user_id", "title", "artist_name").agg(F.count("*").alias("plays"))
     order = Window.partitionBy("user_id", "title").orderBy(F.desc("plays"), "artist_name")
-    return counted.withColumn("rank", F.row_number().over(order) - 1).filter((F.col("rank") > 0) & (F.col("rank") <= limit))
+    first = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit + 1).withColumn("key", X.name_key("artist_name"))
+    # The most played spelling of each act; the act in the first place is the one that is meant.
+    spelt = Window.partitionBy("user_id", "title", "key").orderBy("place")
+    acts = first.withColumn("spelling", F.row_number().over(spelt)).filter("spelling = 1")
+    ranked = acts.withColumn("rank", F.row_number().over(Window.partitionBy("user_id", "title").orderBy("place")) - 1)
+    return ranked.filter((F.col("rank") > 0) & (F.col("rank") <= shown)).select("user_id", "title", F.trim("artist_name").alias("artist_name"), "plays", "rank")
 
 
 def index_keys(key: str, asked: bool) -> Column:

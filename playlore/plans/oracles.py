@@ -274,8 +274,11 @@ ORACLES: dict[str, str] = {
         SELECT user_id, s.artist, date, fans, genre, {LEVEL} AS familiarity FROM shows s JOIN seen ON lower(s.artist) = seen.artist LEFT JOIN genres g ON g.artist = lower(s.artist)""",
     "shows_filtered": f"""{H}, shows AS ({A.SHOWS_SQL}), {SEEN}, v AS (SELECT user_id, s.*, days FROM shows s JOIN seen ON lower(s.artist) = seen.artist)
         SELECT user_id, count(*) AS total, count(*) FILTER (WHERE days >= 15 AND (distance_mi IS NULL OR distance_mi <= 60) AND date BETWEEN DATE '1998-02-01' AND DATE '1998-04-02' AND fans <= 90000) AS matching FROM v GROUP BY 1""",
-    "namesakes": f"""{H}, c AS (SELECT user_id, lower(replace(album_name, '#', '')) AS title, artist_name, count(*) AS plays FROM plays WHERE {LISTEN} GROUP BY 1, 2, 3)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, title ORDER BY plays DESC, artist_name) - 1 AS rank FROM c) WHERE rank BETWEEN 1 AND 8""",
+    "namesakes": f"""{H}, c AS (SELECT user_id, lower(replace(album_name, '#', '')) AS title, artist_name, count(*) AS plays FROM plays WHERE {LISTEN} GROUP BY 1, 2, 3),
+        o AS (SELECT *, row_number() OVER (PARTITION BY user_id, title ORDER BY plays DESC, artist_name) AS place FROM c),
+        k AS (SELECT *, row_number() OVER (PARTITION BY user_id, title, lower(trim(artist_name)) ORDER BY place) AS spelling FROM o WHERE place <= 9),
+        r AS (SELECT user_id, title, trim(artist_name) AS artist_name, plays, row_number() OVER (PARTITION BY user_id, title ORDER BY place) - 1 AS rank FROM k WHERE spelling = 1)
+        SELECT * FROM r WHERE rank BETWEEN 1 AND 3""",
     "artist_weights": f"""{H}, t AS (SELECT user_id, max(played_at) AS tip FROM plays GROUP BY 1) SELECT p.user_id, {ACT} AS artist, sum(ms_played) AS ms FROM plays p JOIN t ON p.user_id = t.user_id WHERE {LISTEN} AND played_at >= tip - INTERVAL 90 DAY GROUP BY 1, 2""",
     "occupancy": f"{H}, {OCCUPIED} SELECT * FROM occ",
     "map_regions": f"""{H}, {OCCUPIED}, r AS (SELECT region, round(median(x), 6) AS x, round(median(y), 6) AS y, count(*) AS all_artists FROM points GROUP BY 1)

@@ -479,6 +479,13 @@ def test_the_index_of_names_loses_none_and_compares_few(spark):
     assert pairs < 0.25 * len(names) * len(typed)
 
 
+def test_namesakes_are_three_acts_each_named_once(spark):
+    acts = [("Main", 9), ("main ", 8), ("Ann", 7), (" ANN", 6), ("Bob", 5), ("Cy", 4), ("Di", 3)]
+    p = plays(spark, [(1, T0 + dt.timedelta(minutes=i), "Stay (Live)" if i % 2 else "Stay", a, 60_000, None) for a, n in acts for i in range(n)])
+    got = profile.namesakes(p).orderBy("rank").collect()
+    assert [(r.title, r.artist_name, r.plays, r["rank"]) for r in got] == [("stay", "Ann", 7, 1), ("stay", "Bob", 5, 2), ("stay", "Cy", 4, 3)]
+
+
 def test_specs_are_rewritten_artists_before_titles(spark):
     p = plays(spark, [(1, T0, "Creep", "Radiohead", 60_000, None), (1, T0, "Creep - Live", "Stone Temple", 60_000, None), (1, T0, "Creep - Live", "Stone Temple", 60_000, None), (2, T0, "Creeps", "Radioheads", 60_000, None)])
     spec, notes = profile.resolve(p, ChartSpec(artists=("radiohed", "nobody at all"), tracks=("creep",)), 1)
