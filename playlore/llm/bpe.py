@@ -53,6 +53,22 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(moved)) for b in range(256)]
 
 
+class _Counts(dict):
+    """piece -> its number of tokens; a piece that isn't known counts 0 and is noted."""
+
+    def __init__(self) -> None:
+        self.noted: list[str | int] = []
+
+    def __missing__(self, piece: str | int) -> int:
+        self.noted.append(piece)
+        return 0
+
+    def met(self) -> list[str | int]:
+        """The unknown pieces met since this was last asked, as often as they were met."""
+        noted, self.noted = self.noted, []
+        return noted
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
@@ -79,6 +95,7 @@ class ForcedBoundaryBPE:
         self.cut_added = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.table = str.maketrans({chr(b): c for b, c in enumerate(self.character)})
         self.known: dict[str | int, bytes] = {}
+        self.counts = _Counts()
 
     def fragments(self, pieces: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """Pieces cut wherever two bytes are forced apart, and each piece's number of fragments."""
@@ -145,6 +162,42 @@ class ForcedBoundaryBPE:
                 known.pop(p, None)
         return out
 
+    def count_batch(self, texts: list[str]) -> list[int]:
+        """How many tokens each text has; only numbers are remembered of the pieces."""
+        out: list[int] = []
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= self.together):
+                size += len(texts[stop])
+                stop += 1
+            out += self._count_together(texts[start:stop])
+            start = stop
+        return out
+
+    def _count_together(self, texts: list[str]) -> list[int]:
+        """Counts of a few texts: known pieces are added at once, the others are noted, learnt and added then."""
+        counts, totals, missing = self.counts, [], []
+        for text in texts:
+            totals.append(sum(map(counts.__getitem__, self._split(text))))
+            missing.append(counts.met())
+        fresh = list(dict.fromkeys(p for m in missing for p in m))
+        if not fresh:
+            return totals
+        made = {p: 1 for p in fresh if isinstance(p, int)}
+        pieces = [p for p in fresh if isinstance(p, str)]
+        if pieces:
+            parts, cut = self.fragments([p.encode("utf-8") for p in pieces])
+            distinct = list(dict.fromkeys(parts))
+            encoded = self.merger.encode_batch_fast([d.decode("latin-1").translate(self.table) for d in distinct], add_special_tokens=False)
+            tokens = dict(zip(distinct, map(len, encoded), strict=True))
+            sums = np.add.reduceat(np.fromiter(map(tokens.__getitem__, parts), np.int64, len(parts)), np.cumsum(cut) - cut)
+            made |= dict(zip(pieces, sums.tolist(), strict=True))
+        if len(counts) + len(made) > self.remembered:
+            counts.clear()
+        counts.update((p, c) for p, c in made.items() if isinstance(p, int) or len(p) <= LONGEST)
+        return [total + sum(map(made.__getitem__, m)) for total, m in zip(totals, missing, strict=True)]
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
 
@@ -191,7 +244,7 @@ def count(text_col: str, vocabulary: str) -> Column:
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = coder(vocabulary)
         for batch in texts:
-            yield pd.Series([len(ids) // 4 for ids in own.encode_batch([clean(t) for t in batch])], dtype="int64")
+            yield pd.Series(own.count_batch([clean(t) for t in batch]), dtype="int64")
 
     return tokens(F.col(text_col))
 

@@ -239,6 +239,17 @@ def test_matching_statistics_against_all_substrings():
             assert n == max([k for k in range(1, i + 2) if tuple(asked[i + 1 - k : i + 1]) in subs], default=0)
 
 
+def test_counts_are_the_numbers_of_ids():
+    rng = random.Random(15)
+    texts = [t or "" for t in ODD] + ["<|endoftext|>a<|endoftext|>", "x" * 9000, "a b a b a", "日本語 🎉 'll\n\n  "]
+    texts += ["".join(rng.choice("ab \n\t'sé日🎉.,! ２ <|>") for _ in range(rng.randrange(80))) for _ in range(300)]
+    for remembered in (5, 500_000):
+        own = bpe.ForcedBoundaryBPE(PATH, remembered)
+        want = [len(ids) // 4 for ids in own.encode_batch(texts)]
+        assert own.count_batch(texts) == want == own.count_batch(texts)
+    assert own.count_batch([]) == []
+
+
 def test_licences_by_phrase_and_by_wording(spark):
     mit = next(t for label, t in license_scan.TEMPLATES if len(t) > 300 and label == "mit")
     broken = mit.replace("free of charge", "entirely free").replace("and/or sell", "sell")
