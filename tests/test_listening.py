@@ -597,6 +597,38 @@ def test_tag_space_keeps_like_with_like(spark):
     assert cos("a1", "a3") > 0.99 and abs(cos("a1", "a2")) < 0.01
 
 
+def test_singular_values_are_those_of_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from playlore.operators import svd
+
+    monkeypatch.setattr(svd, "COLUMNS", 40)
+    monkeypatch.setattr(svd, "MEET", 2)
+    rng = np.random.default_rng(4)
+    names = [f"t{i}" for i in range(90)]
+    rows, dense = [], np.zeros((300, 90))
+    for i in range(300):
+        # Groups of tags that go together, and some noise.
+        own = rng.choice(18, 6, replace=False) + 18 * (i % 5)
+        other = rng.choice(90, 3, replace=False)
+        at = np.unique(np.concatenate([own, other]))
+        w = rng.uniform(0.2, 1, len(at))
+        dense[i, at] = w / np.linalg.norm(w)
+        rows.append((f"a{i}", [names[j] for j in at], dense[i, at].tolist()))
+    made, s = svd.decompose(spark.createDataFrame([*rows, ("none", [], [])], "key string, columns array<string>, weights array<double>").repartition(5), 8)
+    u, want, _ = np.linalg.svd(dense, full_matrices=False)
+    assert np.abs(s / want[:8] - 1).max() < 0.01
+    z = {r.key: np.array(r.z) for r in made.collect()}
+    assert len(z) == 300
+    # The strong directions give the same angles between artists.
+    full, got = u[:, :5] * want[:5], np.array([z[f"a{i}"][:5] for i in range(300)])
+    assert np.abs(got @ got.T - full @ full.T).max() < 0.01
+    # Less rank than asked for.
+    few, s = svd.decompose(spark.createDataFrame([("a", ["x", "y"], [1.0, 2.0]), ("b", ["x", "y"], [2.0, 4.0]), ("c", ["z"], [3.0])], "key string, columns array<string>, weights array<double>"), 5)
+    assert np.allclose(s, [5.0, 3.0]) and {r.key: len(r.z) for r in few.collect()} == {"a": 2, "b": 2, "c": 2}
+    assert svd.decompose(spark.createDataFrame([], "key string, columns array<string>, weights array<double>"), 3)[0].count() == 0
+
+
 def test_feed_is_rebuilt_only_where_the_tip_moved(spark):
     p = plays(spark, [(u, T0 + dt.timedelta(hours=i), "A", "x", 60_000, None) for u in (1, 2) for i in range(4)])
     first = feed.build(p)
