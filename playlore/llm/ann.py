@@ -1,16 +1,20 @@
 """Nearest neighbours by collision counting over query-aware hashes.
 
 Vectors of one length are cut into blocks of bounded size.  A block is indexed by random
-directions: for each, the block's projections are kept in sorted order.  A query is projected
-on the same directions, and a window centred on its own projection is opened in each sorted
-array.  A vector collides with the query in an array if it lies in the window, and vectors
-with enough collisions are candidates.  If the candidates are too few, the windows are widened
-by the next radius (virtual rehashing: only the parts of the arrays that are new are counted).
-Candidates are verified with their exact inner product in double precision.
-
-The largest inner product is sought, and for vectors of unequal length that is not the least
-distance.  Each vector therefore gets one more component, which brings all to the length of
-the longest; queries get 0 there, and both orders agree.
+directions: for each, both ends of the block's projections are kept in sorted order.  A query
+is projected on the same directions and uses those on which its own projection lies farthest
+out: there the vectors with large inner products lie far out on the same side, and few others
+do.  A window is opened from that end of each of these arrays.  A vector collides with the
+query in an array if it lies in the window, and vectors with enough collisions are candidates.
+If the candidates are too few, the windows are widened (virtual rehashing: only the parts of
+the arrays that are new are counted).  Candidates are verified with their exact inner product
+in double precision.
+
+How many candidates are enough is measured, not set.  Each block asks its index for
+neighbours of some of its own vectors, compares the answers with brute force and takes the
+fewest candidates that find nearly all.  Of b blocks each has to find only its part of a
+query's k nearest, so the more blocks there are, the fewer candidates each of them verifies;
+and where the index tells near from far badly, more are verified, up to the whole block.
 
 Vectors that are equal component by component are one entry of the index.  A query can't
 need more than its ``k`` smallest ids and its own, so an entry carries only the k + 1
@@ -24,6 +28,7 @@ block with k neighbours, and a last aggregation keeps the best k of all blocks.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +39,20 @@ from pyspark.sql.window import Window
 
 from .common import bounded_batches, written
 
-#: Directions at least; they come in orthogonal sets, which for one number of directions
-#: tell far and near vectors apart better than independent ones.  At most ``MOST`` are used.
-PROJECTIONS, MOST = 64, 128
-#: Half widths of the windows, in standard deviations of a direction's projections.
-RADII = (*(x / 20 for x in range(12, 70)), 4.0, 6.0)
-#: Share of the projections in which a candidate collides.
-COLLISIONS = 0.9
-#: Candidates wanted before windows stop widening: so many times k, and this share of the
-#: block.  Without any structure in the vectors the share is what recall depends on.
+#: Directions, in orthogonal sets, and how many at a time are projected on.
+DIRECTIONS, AT_ONCE = 2048, 256
+#: Ends of arrays in which a query opens windows, and in how many of them a candidate collides.
+ENDS, COLLISIONS = 32, 5
+#: Share of an array that is kept at either end.  Windows start with ``FIRST`` vectors and grow by ``STEP``.
+DEPTH, FIRST, STEP = 1 / 8, 4, 1.2
+#: Candidates wanted before windows stop widening, if nothing is measured: so many times k,
+#: and this share of the block.  Up to WANTED times k vectors are compared without an index.
 WANTED, SHARE = 10, 0.06
+#: Shares that are tried, on how many neighbours of the block's own vectors, and which recall is enough.
+SHARES = tuple(SHARE * 2 ** (x / 2) for x in range(-10, 7))
+PROBED, ENOUGH = 1000, 0.955
+#: Entries that are queries themselves are asked, if the block has so many; else any.
+LEAST = 50
 BLOCK = 16_384
 
 
@@ -54,72 +63,106 @@ def usable(vector: Column) -> Column:
 
 
 class BlockIndex:
-    """Sorted projections of the vectors of one block."""
+    """Both ends of the sorted projections of the vectors of one block."""
 
     def __init__(self, vectors: np.ndarray, seed: int):
         self.vectors = vectors
-        # The largest component is scaled to 1, so that no length overflows.
-        scaled = vectors / np.abs(vectors).max()
-        dim = vectors.shape[1]
+        count, dim = vectors.shape
         rng = np.random.default_rng(seed)
-        sets = [np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0] for _ in range(-(-PROJECTIONS // (dim + 1)))]
-        self.directions = np.concatenate(sets, axis=1)[:, :MOST]
-        squares = np.einsum("ij,ij->i", scaled, scaled)
-        self.longest = float(np.sqrt(squares.max()))
-        extra = np.sqrt(np.maximum(0.0, self.longest**2 - squares))
-        projected = (np.column_stack((scaled, extra)) @ self.directions).T
-        order = np.argsort(projected, axis=1, kind="stable")
-        self.order = order.astype(np.int32)
-        self.sorted = np.take_along_axis(projected, order, axis=1)
-        self.spread = projected.std(axis=1) + 1e-12
-        self.need = int(np.ceil(COLLISIONS * len(projected)))
-        #: Number of the first radius; it follows where the last query's windows were wide enough.
+        sets = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-DIRECTIONS // dim))]
+        self.directions = np.concatenate(sets, axis=1)[:, :DIRECTIONS].astype(np.float32)
+        # The largest component is scaled to 1, so that no length overflows.
+        self.scaled = scaled = (vectors / np.abs(vectors).max()).astype(np.float32)
+        #: What rounding to single precision can change in the product of a vector and a query of length 1.
+        self.rounding = (dim + 8) * 2.0**-23 * float(np.sqrt(np.einsum("ij,ij->i", scaled, scaled).max()))
+        kept = min(count, max(int(DEPTH * count), 64))
+        #: Positions from the upper end of each array inwards, then from the lower ends.
+        self.order = np.empty((2, self.directions.shape[1], kept), np.min_scalar_type(count))
+        for at in range(0, self.directions.shape[1], AT_ONCE):
+            projected = np.ascontiguousarray((scaled @ self.directions[:, at : at + AT_ONCE]).T)
+            for side, values in enumerate((-projected, projected)):
+                ends = np.argpartition(values, kept - 1, axis=1)[:, :kept]
+                inwards = np.argsort(np.take_along_axis(values, ends, axis=1), axis=1)
+                self.order[side, at : at + AT_ONCE] = np.take_along_axis(ends, inwards, axis=1)
+        self.order = self.order.reshape(-1, kept)
+        self.widths = [FIRST]
+        while self.widths[-1] < kept:
+            self.widths.append(min(kept, int(self.widths[-1] * STEP) + 1))
+        #: Number of the first width; it follows where the last query's windows were wide enough.
         self.start = 0
+        #: Candidates that are enough; all vectors, until ``tune`` has measured it.
+        self.wanted = count
+
+    def tune(self, near: int, least: int, asked: np.ndarray) -> None:
+        """Find how many candidates it takes to meet the ``near`` nearest of the block's vectors ``asked``.
 
-    def _windows(self, centre: np.ndarray, radius: float) -> list[tuple[int, int]]:
-        reach = radius * self.spread
-        return [tuple(row.searchsorted((c - r, c + r))) for row, c, r in zip(self.sorted, centre, reach, strict=True)]
+        At least ``least`` are wanted.  If no share is enough, all vectors are verified.
+        """
+        count = len(self.vectors)
+        near = min(near, count - 1)
+        asked = asked[np.linspace(0, len(asked) - 1, min(-(-PROBED // near), len(asked))).astype(int)]
+        scores = self.scaled[asked] @ self.scaled.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        nearest = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+
+        def recall(wanted: int) -> float:
+            self.start = 0
+            met = [np.isin(nearest[i], self.candidates(self.vectors[at], wanted)).mean() for i, at in enumerate(asked)]
+            return float(np.mean(met))
+
+        levels = [max(least, int(share * count)) for share in SHARES]
+        first = bisect_left(levels, True, key=lambda wanted: recall(wanted) >= ENOUGH)
+        self.wanted = levels[first] if first < len(levels) else count
 
     def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
         """Positions of the vectors that collide often enough with the query, ``wanted`` of them at least.
 
         Only where even the widest windows bring too few together are all vectors taken.
         """
-        n = len(self.vectors)
-        # A query is compared as a vector of the common length.
-        unit = query / np.abs(query).max()
-        centre = (unit * (self.longest / np.sqrt(unit @ unit))) @ self.directions[:-1]
-        start = self.start
-        windows = self._windows(centre, RADII[start])
-        counts = np.bincount(np.concatenate([row[a:b] for row, (a, b) in zip(self.order, windows, strict=True)]), minlength=n)
-        found = np.flatnonzero(counts >= self.need)
-        for step, radius in enumerate(RADII[start + 1 :], start + 1):
+        count = len(self.vectors)
+        if wanted >= count:
+            return np.arange(count)
+        projected = (query / np.abs(query).max()).astype(np.float32) @ self.directions
+        projected = np.concatenate((projected, -projected))
+        ends = self.order[np.argpartition(-projected, ENDS - 1)[:ENDS]]
+        start, done = self.start, 0
+        counts = np.zeros(count, np.int64)
+        for step in range(start, len(self.widths)):
+            width = self.widths[step]
+            counts += np.bincount(ends[:, done:width].ravel(), minlength=count)
+            found = np.flatnonzero(counts >= COLLISIONS)
             if len(found) >= wanted:
                 break
-            wider = self._windows(centre, radius)
-            fresh = [part for row, (a, b), (c, d) in zip(self.order, windows, wider, strict=True) for part in (row[c:a], row[b:d])]
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            windows, self.start = wider, max(0, step - 3)
-            found = np.flatnonzero(counts >= self.need)
+            done = width
         else:
-            return found if len(found) >= wanted else np.arange(n)
-        if self.start == start:
-            self.start = max(0, start - 1)
+            return np.arange(count)
+        self.start = max(0, step - 2 if step > start else start - 1)
         return found
 
+    def best(self, query: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` of the vectors ``at`` with the largest inner products, any equal ones too, and the products.
+
+        Single precision only leaves out what rounding can't bring back among them.
+        """
+        if len(at) > most:
+            unit = (query / np.abs(query).max()).astype(np.float32)
+            rough = (self.scaled if len(at) == len(self.scaled) else self.scaled[at]) @ unit
+            at = at[rough >= np.partition(rough, len(at) - most)[len(at) - most] - 2 * self.rounding * float(np.sqrt(unit @ unit))]
+        score = self.products(query, at)
+        if len(at) > most:
+            largest = score >= np.partition(score, len(at) - most)[len(at) - most]
+            at, score = at[largest], score[largest]
+        return at, score
+
     def products(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Inner products in double precision, added in the order of the components."""
-        chosen = self.vectors[at]
-        total = np.zeros(len(at))
-        for d in range(len(query)):
-            total += query[d] * chosen[:, d]
-        return total
+        return np.cumsum(self.vectors[at] * query, axis=1)[:, -1]
 
 
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _search(k: int, seed: int):
+def _search(k: int, every: int, seed: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, index, vectors, ids = None, None, [], []
         for batch in batches:
@@ -137,15 +180,15 @@ def _search(k: int, seed: int):
                     owned = [np.asarray(x, np.int64) for x in ids]
                     first = np.array([x[0] for x in owned])
                     single = np.array([len(x) == 1 for x in owned])
-                wanted = max(WANTED * k, int(SHARE * len(vectors)))
+                    if len(vectors) > WANTED * k:
+                        # The block's part of the k nearest, and as many more as one deviation.
+                        part_of_k = k / part["blocks"].iloc[0]
+                        queries = np.flatnonzero(first % every == 0)
+                        index.tune(min(k, int(np.ceil(part_of_k) + np.ceil(part_of_k**0.5))), k + 1, queries if len(queries) >= LEAST else np.arange(len(vectors)))
                 rows = []
                 for query_id, vector in zip(asked["at"], asked["vector"], strict=True):
                     query = np.asarray(vector, float)
-                    at = index.candidates(query, wanted)
-                    score = index.products(query, at)
-                    if len(at) > k + 1:
-                        best = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                        at, score = at[best], score[best]
+                    at, score = index.best(query, index.candidates(query, index.wanted), k + 1)
                     if single[at].all():
                         vec, val = first[at], score
                     else:
@@ -192,12 +235,12 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     dim = F.size("vector").alias("dim")
     sizes = written(entries.groupBy(dim).agg(F.ceil(F.count("*") / block_rows).alias("blocks")), "ann-sizes")
     total = sizes.agg(F.sum("blocks")).first()[0] or 1
-    columns = ["dim", "block", "kind", "at", "ids", "vector"]
-    stored = entries.withColumn("dim", dim).join(sizes, "dim").select("dim", F.pmod(F.xxhash64("low"), F.col("blocks")).alias("block"), F.lit(0).alias("kind"), F.col("low").alias("at"), "ids", "vector")
+    columns = ["dim", "block", "blocks", "kind", "at", "ids", "vector"]
+    stored = entries.withColumn("dim", dim).join(sizes, "dim").select("dim", F.pmod(F.xxhash64("low"), F.col("blocks")).alias("block"), "blocks", F.lit(0).alias("kind"), F.col("low").alias("at"), "ids", "vector")
     queries = plain.filter(F.col("id") % every == 0).withColumn("dim", dim).join(sizes, "dim")
-    asked = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), F.col("id").alias("at"), F.array().cast("array<long>").alias("ids"), "vector")
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "blocks", F.lit(1).alias("kind"), F.col("id").alias("at"), F.array().cast("array<long>").alias("ids"), "vector")
     stream = stored.select(*columns).unionByName(asked.select(*columns)).repartition(max(1, min(total, 20_000)), "dim", "block").sortWithinPartitions("dim", "block", "kind", "at")
-    found = stream.mapInPandas(_search(k, seed), _FOUND)
+    found = stream.mapInPandas(_search(k, every, seed), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
     return merged.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -242,6 +242,39 @@ def test_neighbours_through_the_index(spark):
     assert len(got) == 120 and np.mean(hits) >= 0.9
 
 
+def test_neighbours_count_few_collisions(monkeypatch):
+    """A query reads far fewer entries of the arrays than a comparison with every vector has steps."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((8000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index, read = ann.BlockIndex(v, 13), []
+    count = np.bincount
+    monkeypatch.setattr(ann.np, "bincount", lambda x, **rest: (read.append(len(x)), count(x, **rest))[1])
+    found = [index.candidates(q, int(ann.SHARE * 8000)) for q in v[:100]]
+    assert sum(read) / 100 < 4 * 8000 and all(len(f) < 0.3 * 8000 for f in found)
+
+
+def test_neighbours_in_more_blocks_verify_fewer_candidates():
+    """The part of the nearest that a block has to find tells how many candidates are enough, whatever the vectors are like."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((3, 32))
+    for v in (rng.standard_normal((6000, 32)), centres[rng.integers(0, 3, 6000)] + 0.1 * rng.standard_normal((6000, 32))):
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        index, wanted = ann.BlockIndex(v, 13), []
+        for near in (20, 2):
+            index.tune(near, 21, np.arange(0, 6000, 20))
+            wanted.append(index.wanted)
+            hits = []
+            for q in range(10, 6000, 60):
+                score = v @ v[q]
+                score[q] = -9
+                at, _ = index.best(v[q], index.candidates(v[q], index.wanted), 21)
+                hits.append(len(set(at.tolist()) & set(np.argsort(-score)[:near].tolist())) / near)
+            assert np.mean(hits) >= 0.9
+        assert 21 <= wanted[1] <= wanted[0]
+        assert wanted[1] < wanted[0] or wanted[0] > 1000
+
+
 def test_neighbours_of_each_length_and_of_huge_components(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(4).tolist()) for i in range(200)] + [(1000, [1.0] * 5), (1020, [2.0] * 5), (1040, [1e200, 0.0, 1e200]), (1041, [1e-200, 1e-200, 0.0])]
